@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, simhash, warc
+from . import decontaminate, packing, pii, quality, simhash, tokenstore, warc
 from .common import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": lambda s, d: quality.op1(table(s, d, "documents")),
     "op2_warc": lambda s, d: warc.op2(table(s, d, "pages")),
     "op3_pii": lambda s, d: pii.op3(table(s, d, "documents")),
+    "op4_tokens": lambda s, d: tokenstore.op4(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op5_simhash": lambda s, d: simhash.op5(table(s, d, "documents")),
     "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
     "op10_packing": lambda s, d: packing.op10(table(s, d, "documents"), tokenizer("byte_bpe_50k.json")),
