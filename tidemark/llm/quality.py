@@ -199,15 +199,15 @@ def estimate(stats: DataFrame, n_groups: int, counts: DataFrame, total: int) ->
 
 
 def with_verdict(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP, with_text: bool = True) -> DataFrame:
-    """docs with __q (base statistics), __distance (squared) and __kept.
+    """docs with __q (base statistics), __distance (squared) and __kept; with_text=False leaves the text out.
 
-    Without the text, the rows and their statistics are stored once and read from there. With it, the statistics are computed
-    twice, for the estimates and beside the rows; so no text is ever shuffled or written.
+    The rows and their statistics are stored once, and both the estimates and the verdicts read them from there.
     """
     based = with_base(docs, text_col)
     if not with_text:
         docs = docs.drop(text_col)
-        based = stored(based.drop(text_col), "based")
+        based = based.drop(text_col)
+    based = stored(based, "based")
     key = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
     raw = stored(based.select(*key, *[v.alias(f"x{i}") for i, v in enumerate(vector())]), "statistics")
     named = stored(groups(raw, min_group), "groups")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, lm, packing, pii, quality, simhash, tokenstore, warc
+from . import decontaminate, html, licenses, lm, packing, pii, quality, simhash, tokenstore, warc
 from .common import table
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": lambda s, d: pii.op3(table(s, d, "documents")),
     "op4_tokens": lambda s, d: tokenstore.op4(table(s, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op5_simhash": lambda s, d: simhash.op5(table(s, d, "documents")),
+    "op6_licenses": lambda s, d: licenses.op6(table(s, d, "documents")),
     "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_lm": lambda s, d: lm.op8(table(s, d, "documents"), tokenizer(lm.PIECES)),
     "op9_html": lambda s, d: html.op9(table(s, d, "pages")),
