@@ -4,11 +4,10 @@ Fingerprints: A-Z lower-cased, words split at ASCII white space, SHINGLE-word sh
 of each; a bit is 1 if set in over half the hashes. Equal fingerprints are collapsed first, whatever their number.
 
 Join: two fingerprints that differ in at most BUDGET bits agree on all but BUDGET of the m blocks that 64 bits are cut
-into, so they share the leading bits of at least one of C(m, BUDGET) bit orders, each of which has m - BUDGET blocks in
-front. For each order a binary trie holds the fingerprints; node pairs of one trie that agree on the leading blocks are
+into (m = BLOCKS), so they share the leading bits of at least one of C(m, BUDGET) bit orders, each of which has
+m - BUDGET blocks in front. For each order a binary trie holds the fingerprints; node pairs of one trie that agree on the leading blocks are
 traversed together, bit by bit, differing bits are added up, and a pair of nodes is dropped when the sum is over the
-budget. Spark spreads the tries by (order, leading blocks). m follows the number of fingerprints, so that the subtrees
-stay small; subtrees that are still over MAX_NODE are cut into pairs of their own sub-nodes, within the budget, before
+budget. Spark spreads the tries by (order, leading blocks). Subtrees over MAX_NODE are cut into pairs of their own sub-nodes, within the budget, before
 they reach a task. A task returns links that span its components, never all pairs of a group.
 
 Components: parents are pulled to the smallest neighbour and jumped until nothing changes, each round a few
@@ -34,8 +33,9 @@ SHINGLE = 4
 BUDGET = 4
 #: Fingerprints of one trie subtree that a task takes at once; larger subtrees are cut.
 MAX_NODE = 4096
-#: Wanted fingerprints a subtree: m grows until the mean is below.
-MEAN_NODE = 32
+#: Blocks that 64 bits are cut into: BUDGET + 2 give 15 orders with 21 leading bits, which keep a billion fingerprints at
+#: a few hundred a subtree. The number doesn't depend on the input, so rows grow in step with it.
+BLOCKS = 6
 #: Node pairs that a task expands at once; more wait on a stack.
 FRONTIER = 1 << 18
 #: Big subtrees whose list is broadcast; a longer list is joined by a shuffle.
@@ -72,14 +72,6 @@ def with_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return src.mapInPandas(run, f"{schema}, {name} bigint")
 
 
-def blocks_for(n: int, budget: int) -> int:
-    """Blocks to cut 64 bits into: the fewest whose leading bits keep subtrees near MEAN_NODE fingerprints."""
-    m = budget + 1
-    while m < budget + 3 and n > MEAN_NODE << (64 * (m - budget) // m):
-        m += 1
-    return m
-
-
 def orders(m: int, budget: int) -> list[tuple[list[int], int]]:
     """(bit positions from the first looked at to the last, leading bits that must agree) of every trie."""
     edges = [64 * i // m for i in range(m + 1)]
@@ -204,9 +196,9 @@ def _cut_big(rows: DataFrame, big: DataFrame, leads: list[int], budget: int) ->
     return rest.unionByName(cut)
 
 
-def links(fps: DataFrame, n: int, budget: int = BUDGET, max_node: int = MAX_NODE) -> DataFrame:
+def links(fps: DataFrame, budget: int = BUDGET, max_node: int = MAX_NODE, blocks: int = BLOCKS) -> DataFrame:
     """(a, b) with a > b: links between the distinct fingerprints in fps.fp that span the components of all pairs within the budget."""
-    plan = orders(blocks_for(n, budget), budget)
+    plan = orders(blocks, budget)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -275,7 +267,7 @@ def components(fingerprints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """fingerprints (doc_id, fp) -> one row per distinct fp: fp, component_id (smallest doc_id reachable), n_docs."""
     fps = stored(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")), "fps")
     n = fps.count()
-    found = roots(links(fps, n, budget))
+    found = roots(links(fps, budget, blocks=budget + 2))
     named = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_fps"))
     return hot_join(named, best, "root", "n_fps", n).select("fp", "component_id", "n_docs")
