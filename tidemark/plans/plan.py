@@ -27,6 +27,10 @@ class Filter:
     op: str
     value: Any = None
 
+    def __post_init__(self):
+        if self.op not in FILTER_OPS:
+            raise PlanError(f"unknown filter operator: {self.op}")
+
     def column(self, cat: Catalog) -> Column:
         x = F.col(cat.column(self.field))
         v = self.value
@@ -49,7 +53,7 @@ class Filter:
                 return x.isin(list(v))
             case "is_null":
                 return x.isNull() if v in (None, True) else x.isNotNull()
-        raise PlanError(f"unknown filter operator: {self.op}")
+        raise AssertionError(self.op)
 
 
 def all_of(filters: list[Filter] | tuple[Filter, ...], cat: Catalog) -> Column:
@@ -102,7 +106,7 @@ class Plan:
         for name in (*self.metrics, *self.group_by, *((self.axis,) if self.axis else ())):
             cat.column(name)
         for f in (*self.filters, *(f for c in self.cohorts for f in c.filters)):
-            f.column(cat)
+            cat.column(f.field)
         if len(self.group_by) > MAX_DIMENSIONS:
             raise PlanError(f"more than {MAX_DIMENSIONS} dimensions")
         if cat.key in [cat.column(g) for g in self.group_by]:

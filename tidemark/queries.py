@@ -579,6 +579,55 @@ def _(s, d):
     return rel.nearest(e, e.filter("vec_id % 100 = 0"))
 
 
+# streams, by batch replay of the same transitions
+
+
+def _messages(s, d) -> DataFrame:
+    """Events as messages: every 50th arrives twice, every 70th a hundred seconds late."""
+    e = table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    e = e.select(F.concat(F.lit("m"), (F.col("user_id") % 16).cast("string")).alias("machine_id"), F.col("event_id").alias("seq"), "t", F.col("event_id").cast("double").alias("order"))
+    twice = e.filter("seq % 50 = 0").withColumn("order", F.col("order") + 0.5)
+    late = e.filter("seq % 70 = 1").withColumn("t", F.col("t") - 100000.0).withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("order", F.col("order") + 0.25)
+    return e.unionByName(twice).unionByName(late).withColumn("now", F.col("t") + 1.0)
+
+
+@query("stream_intake")
+def _(s, d):
+    from .streaming import intake
+
+    return intake.replay(_messages(s, d)).groupBy("machine_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_duplicates", """WITH e AS (SELECT 'm' || CAST(user_id % 16 AS VARCHAR) AS machine_id, event_id AS seq FROM events) SELECT machine_id, count(*) AS messages, count(*) FILTER (seq % 50 = 0) AS duplicates FROM e GROUP BY machine_id""")
+def _(s, d):
+    from .streaming import intake
+
+    v = intake.replay(_messages(s, d)).filter("seq < 1000000000")
+    return v.groupBy("machine_id").agg(F.count_if(F.col("verdict") != "duplicate").alias("messages"), F.count_if(F.col("verdict") == "duplicate").alias("duplicates"))
+
+
+@query("stream_scorer")
+def _(s, d):
+    from .streaming import scorer
+
+    return scorer.replay(observations(s, d))
+
+
+@query("tile_min_rollup", f"{OBS} SELECT machine_id, date_trunc('day', ts) AS start, round(min(worst_margin), 6) + 0e0 AS worst, count(*) AS n FROM obs GROUP BY ALL")
+def _(s, d):
+    from .streaming import scorer
+
+    t = scorer.rolled(scorer.tiles(observations(s, d)))
+    return t.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events), i AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), s AS (SELECT user_id, k, count(*) AS c FROM i GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(c) AS longest FROM s GROUP BY user_id")
+def _(s, d):
+    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("c"))
+    return w.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("c").alias("longest"))
+
+
 # the same operators over order lines
 
 
