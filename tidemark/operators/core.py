@@ -58,9 +58,8 @@ def edges(df: DataFrame, column: str, binning: Binning) -> list[float]:
 def bin_index(column: str, e: list[float]) -> Column:
     """0-based bin of half-open bins whose last is closed; null outside and for null."""
     x = F.col(column).cast("double")
-    last = len(e) - 2
-    parts = [F.when((x >= e[i]) & (x <= e[i + 1] if i == last else x < e[i + 1]), i) for i in range(last + 1)]
-    return F.coalesce(*parts)
+    inner = [(x >= edge).cast("int") for edge in e[1:-1]]
+    return F.when((x >= e[0]) & (x <= e[-1]), reduce(lambda a, b: a + b, inner, F.lit(0)))
 
 
 def _label(e: list[float], i: int) -> str:
@@ -84,9 +83,9 @@ def _grouped(df: DataFrame, plan: Plan, cat: Catalog) -> tuple[DataFrame, Column
         e = edges(df, col, plan.binning)
         if len(e) >= 2:
             names = [_label(e, i) for i in range(len(e) - 1)]
-            i = bin_index(col, e)
-            key = F.coalesce(*[F.when(i == k, F.lit(n)) for k, n in enumerate(names)], F.lit("out_of_range"))
-            return df, key, [F.min(F.coalesce(i, F.lit(len(names)))).alias("ord")]
+            df = df.withColumn("bin", F.coalesce(bin_index(col, e), F.lit(len(names))))
+            key = F.element_at(F.array(*[F.lit(n) for n in names], F.lit("out_of_range")), F.col("bin") + 1)
+            return df, key, [F.min("bin").alias("ord")]
         return df, F.lit("all"), []
     if plan.grain:
         return df, _grain(cat, plan.grain), []

@@ -127,11 +127,27 @@ def wear_trajectory(df: DataFrame, p: Process, horizon: int = 200) -> DataFrame:
     return s.groupBy("machine_id").agg(F.min(F.when(F.col("margin") <= 0, F.col("cycle"))).cast("bigint").alias("crossing_cycle"), F.min("margin").alias("last_margin"))
 
 
+def ranked(counted: DataFrame, by: str, counts: tuple[str, ...], buckets: int = 1024) -> DataFrame:
+    """counted (by, x, counts...) with running and total counts in the order of x, and the next x, by group.
+
+    No task sorts a whole group: x falls into equal-width buckets, running sums are taken inside a bucket, and what lies before a
+    bucket comes from the small table of buckets. Groups are a plan's metrics or dimension values, so that table is bounded.
+    """
+    span = counted.groupBy(by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    b = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
+    keyed = counted.join(F.broadcast(span), by).withColumn("_b", b).drop("_lo", "_hi")
+    per = keyed.groupBy(by, "_b").agg(*[F.sum(c).alias(c) for c in counts], F.min("x").alias("_first"))
+    w, whole = Window.partitionBy(by).orderBy("_b"), Window.partitionBy(by)
+    per = per.select(by, "_b", F.lead("_first").over(w).alias("_next"), *[(F.sum(c).over(w) - F.col(c)).alias(f"{c}_before") for c in counts], *[F.sum(c).over(whole).alias(f"{c}_all") for c in counts])
+    inside = Window.partitionBy(by, "_b").orderBy("x")
+    out = keyed.join(F.broadcast(per), [by, "_b"])
+    return out.select(by, "x", *counts, *[(F.col(f"{c}_before") + F.sum(c).over(inside)).alias(f"{c}_upto") for c in counts], *[f"{c}_all" for c in counts], F.coalesce(F.lead("x").over(inside), F.col("_next")).alias("next"))
+
+
 def conformal(df: DataFrame, column: str, by: str, alpha: float = 0.1) -> DataFrame:
     """Split-conformal interval by group: order statistics k and n + 1 - k, exact by counting values map-side."""
     counted = df.groupBy(by, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy("x")
-    r = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    r = ranked(counted, by, ("c",)).withColumnsRenamed({"c_upto": "upto", "c_all": "n"})
     k = F.floor(F.lit(alpha) * (F.col("n") + 1) / 2)
     kk = F.greatest(k, F.lit(1))
     return r.groupBy(by).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= kk, F.col("x"))).alias("lo"), F.min(F.when(F.col("upto") >= F.col("n") + 1 - kk, F.col("x"))).alias("hi"), F.max(k >= 1).alias("valid"))
@@ -230,19 +246,17 @@ def leakage(df: DataFrame, columns: tuple[str, ...], outcome: str = "machine_fai
 def best_split(df: DataFrame, metrics: tuple[str, ...], outcome: str) -> DataFrame:
     """For every metric the threshold and side with the best F1 for the outcome, over all distinct values (exact).
 
-    Distinct values are counted map-side; prefix sums run over counts, by metric.
+    Distinct values are counted map-side; prefix sums run over counts, bucket by bucket.
     """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
     c = df.select(F.explode(pairs).alias("s"), F.col(outcome).alias("y")).groupBy("s.metric", "s.x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-    w = Window.partitionBy("metric").orderBy("x")
-    all_ = Window.partitionBy("metric")
-    r = c.withColumn("n_lo", F.sum("n").over(w)).withColumn("k_lo", F.sum("k").over(w)).withColumn("n_all", F.sum("n").over(all_)).withColumn("k_all", F.sum("k").over(all_)).withColumn("next", F.lead("x").over(w))
+    r = ranked(c, "metric", ("n", "k")).withColumnsRenamed({"n_upto": "n_lo", "k_upto": "k_lo"})
     f1 = lambda k, n: F.try_divide(2.0 * k, n + F.col("k_all"))
     r = r.filter("next IS NOT NULL").withColumn("cut", (F.col("x") + F.col("next")) / 2)
     sides = F.array(F.struct(f1(F.col("k_lo"), F.col("n_lo")).alias("f1"), F.lit("<").alias("side")), F.struct(f1(F.col("k_all") - F.col("k_lo"), F.col("n_all") - F.col("n_lo")).alias("f1"), F.lit(">").alias("side")))
     best = r.select("metric", "cut", F.array_max(sides).alias("b")).select("metric", "cut", "b.f1", "b.side")
-    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("f1"), "cut"))
-    return best.withColumn("place", place).filter("place = 1").drop("place")
+    top = best.groupBy("metric").agg(F.max(F.struct("f1", (-F.col("cut")).alias("cut"), "side")).alias("b"))
+    return top.select("metric", (-F.col("b.cut")).alias("cut"), "b.f1", "b.side")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 512) -> DataFrame:
