@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import core, physics
+from .operators import core, discovery, physics
 from .operators import reliability as rel
 from .plans import catalog
 from .plans.plan import Binning, Cohort, Filter, Plan
@@ -572,6 +572,43 @@ def _(s, d):
     return rel.best_split(observations(s, d), FIVE + ("overstrain_min_nm",), "osf")
 
 
+@query("rule_induction")
+def _(s, d):
+    return discovery.induce(observations(s, d), FIVE + ("overstrain_min_nm",), "osf")
+
+
+@query("rule_audit")
+def _(s, d):
+    cuts = rel.best_split(observations(s, d).filter("product_type = 'L'"), FIVE + ("overstrain_min_nm",), "osf")
+    return discovery.audit(cuts, {"overstrain_min_nm": 11000.0})
+
+
+@query("linear_baseline")
+def _(s, d):
+    return discovery.anomalies(observations(s, d), BASE, F.col("machine_failure") == 0)
+
+
+@query("conformal_coverage", f"""{OBS}, o AS (SELECT udi, product_type, torque_nm AS x, rank() OVER (PARTITION BY product_type ORDER BY torque_nm) - 1 AS below, count(*) OVER (PARTITION BY product_type ORDER BY torque_nm) AS upto, count(*) OVER (PARTITION BY product_type) AS n FROM obs)
+SELECT product_type, max(n) AS n, round(avg(CASE WHEN floor(0.1e0 * n / 2e0) < 1 OR (upto > floor(0.1e0 * n / 2e0) AND below < n - floor(0.1e0 * n / 2e0)) THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM o GROUP BY product_type""")
+def _(s, d):
+    return discovery.leave_one_out(observations(s, d), "torque_nm", "product_type")
+
+
+@query("envelope_projection", f"""{OBS}{_LATEST}, g AS (SELECT machine_id, c, 3500e0 / (rotational_speed_rpm * CAST(0.10471975511965977 AS DOUBLE)) AS lo, 9000e0 / (rotational_speed_rpm * CAST(0.10471975511965977 AS DOUBLE)) AS pw, coalesce(lim / nullif(tool_wear_min + c * rt, 0), 1e308) AS st FROM f, (SELECT unnest(range(0, 201, 5)) AS c)),
+a AS (SELECT machine_id, max(least(pw, st) - lo) FILTER (c = 0) AS w0, max(least(pw, st) - lo) FILTER (c = 200) AS w1, min(c) FILTER (least(pw, st) < lo) AS closes, min(c) FILTER (st < pw) AS binds FROM g GROUP BY machine_id)
+SELECT machine_id, round(w0, 6) AS width_now, round(w1, 6) AS width_then, coalesce(closes, -1) AS closes_at, coalesce(binds, -1) AS strain_binds_at, round(100e0 * (1 - greatest(w1, 0e0) / w0), 5) AS shrink FROM a""")
+def _(s, d):
+    r = discovery.envelope_projection(observations(s, d), P).fillna(-1, ["closes_at", "strain_binds_at"])
+    return r.withColumn("shrink", F.round("shrink", 5) + 0.0)
+
+
+@query("telemetry_page", f"{OBS} SELECT udi, machine_id, {r('torque_nm')} FROM obs ORDER BY obs.torque_nm DESC, udi LIMIT 50 OFFSET 100")
+def _(s, d):
+    from .sources.io import page
+
+    return page(observations(s, d), "torque_nm", ("udi", "torque_nm"), descending=True, offset=100).select("udi", "machine_id", "torque_nm")
+
+
 @query("nearest_vectors", """WITH q AS (SELECT vec_id AS query_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(v, [CAST(x AS DOUBLE) FOR x IN embedding]) AS c FROM q JOIN embeddings ON vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(c, 6) AS similarity, rank FROM r WHERE rank <= 5""")
 def _(s, d):
