@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -504,7 +505,7 @@ def test_against_sql(name, spark, sf):
     for f in os.listdir(sf):
         c.execute(f"create view {f[:-8]} as select * from '{sf}/{f}'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.ORACLES[name]).df()
-    key = lambda df: sorted(tuple("-" if x is None or x != x else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    key = lambda df: sorted(tuple("-" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert key(got) == key(want)
 
 
