@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark import queries as q
@@ -13,7 +14,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple("null" if x is None or x != x else f"{x:.5f}" if isinstance(x, float) else str(x) for x in r))
+        out.append(tuple("null" if not isinstance(x, (list, tuple)) and pd.isna(x) else f"{x:.5f}" if isinstance(x, float) else str(x) for x in r))
     return sorted(out)
 
 
