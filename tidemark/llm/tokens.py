@@ -8,8 +8,7 @@ straight to the library's merge model; all others, and texts with rarer white sp
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import struct
 
 #: Rarer white space and separators; a text with any of these is encoded whole.
 _RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -40,15 +39,17 @@ class Encoder(dict):
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, text: str) -> bytes:
         """Ids of one pre-token."""
         if (ids := self.pieces.get(text)) is None:
             if len(self.pieces) > MEMO:
                 self.pieces.clear()
-            mapped = text.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.pieces[text] = np.asarray([t.id for t in self.merge(mapped)], dtype="<u4").tobytes()
+            mapped = text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(self.alphabet)
+            found = [t.id for t in self.merge(mapped)]
+            ids = self.pieces[text] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, segment: bytes) -> bytes:

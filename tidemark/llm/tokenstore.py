@@ -7,7 +7,7 @@ follow doc_id order, so a document's own chunks lie one after another, and only
 are fetched elsewhere, by ranged reads. A recipe lists the document's chunks; its Merkle root is checked against the chunks
 that come back, partitions have a root over their recipes, and the manifest table one per partition.
 
-Layout of a store folder: encoded/ (ids and cuts, in input order), owners/ (who stores which chunk), recipes/ (Parquet, in
+Layout of a store folder: encoded/ (compressed ids and cuts, in input order), owners/ (who stores which chunk), recipes/ (Parquet, in
 ascending doc_id order), packs/*.pack (raw little-endian unsigned ids, 16 bits where the vocabulary allows it).
 Only packs that the committed recipes name belong to the store; a lost task's pack is never read.
 
@@ -85,11 +85,13 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def encode(docs: DataFrame, path: str, *, end: int = 1, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = True, wide: bool = False) -> DataFrame:
-    """doc_id, tie (content hash), n_tokens, ids (16 or 32 bits each), cuts (chunk ends, in ids), digests."""
+    """doc_id, tie (content hash), n_tokens, ids (16 or 32 bits each, a Zstandard frame), cuts (chunk ends, in ids), digests."""
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path, drops_space)
+        import zstandard
+
+        enc, squeeze = encoder(path, drops_space), zstandard.ZstdCompressor(level=1)
         tail = end.to_bytes(4, "little")
         for b in batches:
             rows = []
@@ -102,7 +104,7 @@ def encode(docs: DataFrame, path: str, *, end: int = 1, id_col: str = "doc_id",
                 for c in cuts:
                     digests.append(address(data[start:c].tobytes()))
                     start = c
-                rows.append((address(t or b"").hex(), len(ids), data.tobytes(), cuts, digests))
+                rows.append((address(t or b"").hex(), len(ids), squeeze.compress(data.tobytes()), cuts, digests))
             b = b.drop(columns="text")
             b["tie"], b["n_tokens"], b["ids"], b["cuts"], b["digests"] = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield b
@@ -133,8 +135,10 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
     dealt = lists.unionByName(texts).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie", "what")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
         from pyspark import TaskContext
 
+        unsqueeze = zstandard.ZstdDecompressor()
         fs, base = filesystem(f"{folder}/packs")
         fs.create_dir(base, recursive=True)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
@@ -149,6 +153,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
                     continue
                 owned = mine[2] if mine[:2] == (doc_id, tie) else frozenset()
                 mine = (None, None, frozenset())  # of equal documents, the first stores
+                ids = unsqueeze.decompress(ids)
                 packs, offsets, sizes, at = [], [], [], 0
                 for k, c in enumerate(cuts):
                     data = ids[at * width : int(c) * width]
