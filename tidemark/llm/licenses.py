@@ -83,17 +83,19 @@ LOOKALIKES = (
     "Version 2.0 of the program was released in May.",
 )
 UNKNOWN = "unknown"
-ANCHORS = ("license", "licence", "licensed", "licences", "licenses", "copyright", "copying", "spdx", "mit", "apache", "bsd", "gnu", "gpl", "lgpl", "mozilla", "mpl", "cc", "cc0", "commons", "domain", "warranties", "warranty", "redistribution", "redistribute", "permission", "rights", "proprietary")
+#: MIT is one only in capitals (it becomes the word mit0), since mit is a common German word.
+ANCHORS = ("license", "licence", "licensed", "licences", "licenses", "copyright", "copying", "spdx", "mit0", "apache", "bsd", "gnu", "gpl", "lgpl", "mozilla", "mpl", "cc", "cc0", "commons", "domain", "warranties", "warranty", "redistribution", "redistribute", "permission", "rights", "proprietary")
 FAMILIES = (UNKNOWN, *TEMPLATES)
 NGRAM = 3
 TRAIN_EACH, TRAIN_STEPS, SEED = 60, 250, 3
 #: Share of n-grams that a template comparison needs.
 CONFIRM = 0.6
 _WORD = "[a-z0-9]+"
+_MIT = "(?<![A-Za-z0-9])MIT(?![A-Za-z0-9])"
 
 
 def ngrams(text: str) -> set[str]:
-    w = re.findall(_WORD, text.lower())
+    w = re.findall(_WORD, re.sub(_MIT, "mit0", text).lower())
     return {" ".join(w[i : i + k]) for k in range(1, NGRAM + 1) for i in range(len(w) - k + 1)}
 
 
@@ -112,7 +114,7 @@ def _variants(rng: random.Random, n: int) -> list[tuple[str, int]]:
             if label == 0 and rng.random() < 0.5:  # anchors among other words
                 words = filler(rng.randint(3, 12)).split()
                 for _ in range(rng.randint(1, 3)):
-                    words.insert(rng.randint(0, len(words)), rng.choice(ANCHORS))
+                    words.insert(rng.randint(0, len(words)), rng.choice(ANCHORS).replace("mit0", "MIT"))
             elif label and i >= len(TEMPLATES[name]):
                 words = [w for w in words if rng.random() > 0.06] if len(words) > 8 else words
             text = " ".join(words)
@@ -175,7 +177,7 @@ def model() -> dict:
 
 def _grams(text) -> F.Column:
     """Distinct n-grams of a column, as ngrams()."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    w = F.regexp_extract_all(F.lower(F.regexp_replace(text, _MIT, "mit0")), F.lit(_WORD), F.lit(0))
 
     def of(k: int):
         upto = F.size(w) - k
@@ -207,9 +209,9 @@ def classify(paragraphs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph_no (null: no candidate), paragraph, family, probability, match, confirmed; every document has a row."""
-    anchor = r"(?i)(?<![a-z0-9])(" + "|".join(ANCHORS) + r")(?![a-z0-9])"
+    anchor = "(?<![A-Za-z0-9])(?:MIT|(?i:" + "|".join(a for a in ANCHORS if a != "mit0") + "))(?![A-Za-z0-9])"
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    # one scan of the text; only texts with an anchor are cut into lines
+    # one scan of the text; only texts with an anchor are cut into lines. The look-behind passes over all but word starts.
     lines = F.when(text.rlike(anchor), F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda s: s["line"].rlike(anchor)))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode_outer(lines).alias("l")).select("doc_id", F.col("l.no").alias("paragraph_no"), F.col("l.line").alias("paragraph"))
     rows = stored(rows, "paragraphs")
