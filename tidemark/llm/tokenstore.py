@@ -91,7 +91,7 @@ def encode(docs: DataFrame, path: str, *, end: int = 1, id_col: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        enc, squeeze = encoder(path, drops_space), zstandard.ZstdCompressor(level=1)
+        enc, squeeze = encoder(path, drops_space), zstandard.ZstdCompressor(level=3)
         tail = end.to_bytes(4, "little")
         for b in batches:
             rows = []
@@ -104,13 +104,13 @@ def encode(docs: DataFrame, path: str, *, end: int = 1, id_col: str = "doc_id",
                 for c in cuts:
                     digests.append(address(data[start:c].tobytes()))
                     start = c
-                rows.append((address(t or b"").hex(), len(ids), squeeze.compress(data.tobytes()), cuts, digests))
+                rows.append((int.from_bytes(address(t or b"")[:8], "little", signed=True), len(ids), squeeze.compress(data.tobytes()), cuts, digests))
             b = b.drop(columns="text")
             b["tie"], b["n_tokens"], b["ids"], b["cuts"], b["digests"] = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield b
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInPandas(run, "doc_id bigint, tie string, n_tokens bigint, ids binary, cuts array<int>, digests array<binary>")
+    return src.mapInPandas(run, "doc_id bigint, tie bigint, n_tokens bigint, ids binary, cuts array<int>, digests array<binary>")
 
 
 def _owners(encoded: DataFrame) -> DataFrame:
