@@ -34,8 +34,8 @@ BLOCK_BYTES = 12 << 20
 SMOOTH = 0.5
 ZIPF_SHIFT = 2.7
 MARK = "▁"
-#: Words that a task runs through lattices at once.
-WORDS = 4096
+#: Words that a task runs through lattices at once, and words that it counts before it gives its tables up.
+WORDS, COUNTED = 4096, 500_000
 _P = np.uint64(0x100000001B3)
 _NEG = -1e30
 
@@ -227,7 +227,7 @@ def _dictionary(blocked: DataFrame) -> DataFrame:
                 w = words_of(text)
                 held.setdefault(block, [Counter(), Counter()])[bool(out)].update(w)
                 size += len(w)
-            if size > 3_000_000:
+            if size > COUNTED:
                 yield from flush()
                 size = 0
         yield from flush()
