@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, packing, pii, quality, queries, simhash
-from tidemark.llm.common import hot_join, stored, table
+from tidemark.llm.common import stored, table
 
 
 def _columns(docs: DataFrame) -> list:
@@ -22,14 +22,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_verdict(docs).filter("__kept").select(*_columns(docs))
 
 
+def _row_key(docs: DataFrame) -> list:
+    """128 bits over all columns of a row, nulls told apart by place; equal for equal rows only."""
+    cols = _columns(docs)
+    nulls = [c.isNull() for c in cols]
+    return [F.xxhash64(*cols, *nulls).alias("__h1"), F.xxhash64(F.lit(1), *cols, *nulls).alias("__h2")]
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays; rows without an id stay as a group."""
-    light = stored(simhash.with_fingerprint(docs.select("doc_id", "text"), carry=["doc_id"]).withColumnRenamed("fp", "__fp"), "fingerprints")
-    classes = stored(simhash.components(light.select("doc_id", F.col("__fp").alias("fp"))), "classes")
-    kept = hot_join(light, classes.withColumnRenamed("fp", "__fp"), "__fp", "n_docs", light.count()).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("__id"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(*_columns(docs))
+    """Of each component of near-duplicates one row stays: the one with the smallest doc_id, of equal ids the smallest row key; a row without an id only where no row has one."""
+    key = ["__h1", "__h2"]
+    light = simhash.with_fingerprint(docs.select("doc_id", "text", *_row_key(docs)), carry=["doc_id", *key])
+    light = stored(light, "fingerprints")
+    classes = stored(simhash.components(light.select("doc_id", "fp")), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)
+    best = light.groupBy("fp").agg(F.min(first).alias("best")).join(classes.select("fp", "root"), "fp")
+    kept = best.groupBy("root").agg(F.min("best").alias("best")).select("best.__h1", "best.__h2")
+    out = docs.select("*", *_row_key(docs)).join(kept, key, "left_semi")
+    return out.dropDuplicates(key).select(*_columns(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -632,3 +632,15 @@ def test_pipeline_stages_on_awkward_rows(spark, sf, awkward, empty):
             assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 0
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = [" ".join(f"{w}{i}{k}" for k in range(40)) for i, w in enumerate(("oak", "elm", "fir", "ash", "yew"))]
+    rows = [
+        (None, text[0], "en", "s", 1), (None, text[0], "en", "s", 1), (None, text[1], "en", "s", 1),  # without ids: two texts
+        (7, text[2], "en", "s", 1), (7, text[3], "en", "s", 1), (7, text[3], "en", "s", 1),  # one id, two texts
+        (None, text[4], "en", "s", 1), (9, text[4], "en", "s", 1), (8, text[4], None, "s", 1), (8, text[4], "s", None, 1),  # a copy without an id, one row of two with the smallest
+    ]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), sf).select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4])], key=str)

@@ -264,20 +264,20 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def components(fingerprints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """fingerprints (doc_id, fp) -> one row per distinct fp: fp, component_id (smallest doc_id reachable), n_docs."""
+    """fingerprints (doc_id, fp) -> one row per distinct fp: fp, root (smallest fp reachable), component_id (smallest doc_id reachable), n_docs."""
     fps = stored(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")), "fps")
     n = fps.count()
     found = roots(links(fps, budget, blocks=budget + 2))
     named = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_fps"))
-    return hot_join(named, best, "root", "n_fps", n).select("fp", "component_id", "n_docs")
+    return hot_join(named, best, "root", "n_fps", n).select("fp", "root", "component_id", "n_docs")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     docs = stored(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle), "fingerprints")
     classes = stored(components(docs, budget), "classes")
-    return hot_join(docs, classes, "fp", "n_docs", docs.count())
+    return hot_join(docs, classes.drop("root"), "fp", "n_docs", docs.count())
 
 
 def op5(docs: DataFrame) -> DataFrame:
