@@ -644,3 +644,23 @@ def test_near_duplicates_keep_one_row_of_each_component(spark, sf):
     ]
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), sf).select("doc_id", "text").collect()]
     assert sorted(got, key=str) == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4])], key=str)
+
+
+def test_equal_tokens_of_a_long_document_get_one_label():
+    """A base span gives away forty later mentions, near and far, in whatever batch the document stands."""
+    w, pair = pii.model()
+    t = "+14435555793 " + " ".join(f"und so fort 4435555793 {'mehr ' * (k % 3)}" for k in range(40))
+    (_, alone), (_, other) = pii.find_spans([t], w, pair)[0], pii.find_spans(["tel 1234567 x 1234567 ", t], w, pair)[1]
+    assert [t[a:b] for k, a, b in alone if k == "phone"] == ["4435555793"] * 40 and other == alone
+    table_ = " ".join(f"{k % 17} 443-555-57{k % 40 + 10}" for k in range(4000))
+    inside = {i for _, a, b in pii.find_spans([table_], w, pair)[0][1] for i in range(a, b)}
+    shown = Counter(table_[a:b] for a, b in pii.tokens(table_) if "-" in table_[a:b] and a in inside)
+    assert all(n == 100 for n in shown.values())
+    chain, hubs = pii.edges(table_, pii.tokens(table_))
+    assert len(chain) == 7999 and len(hubs) == 57
+
+
+def test_messages_that_do_not_settle_are_an_error(monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 8)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        pii.find_spans(["12 34 12 34 call 443-555-5793 12"], *pii.model())

@@ -2,11 +2,15 @@
 
 Base patterns (email, ip, card, phone) hold whatever the model says. The model's variables are the tokens with a digit or
 an at sign; all other tokens are certainly outside, so they split the chain and need no inference. Node potentials come
-from hashed token, shape and context features; chain edges join neighbouring tokens; skip edges join the distant
-occurrences of equal tokens and of similar ones (same digits, same mail domain), each to the next occurrence, so a token
-repeated n times has n - 1 edges. Tokens inside base spans are clamped to their kind. Loopy sum-product messages run over
-chain and skip edges of a whole batch of documents at once, damped, ROUNDS times; a token whose belief in a kind reaches
-BELIEF is added, so a repeated token's labels agree across its document.
+from hashed token, shape and context features; chain edges join neighbouring tokens. Tokens of one document that are equal or similar (same last seven digits, same mail
+domain) are one entity; skip edges join each of them to the entity's hub, a variable without features, so two occurrences
+are two edges apart however many there are and however far they stand from each other. Tokens inside base spans are
+clamped to their kind, and so is the hub of an entity that has a whole token there. Loopy sum-product messages run over chain and skip edges of a whole batch of documents at once,
+damped, until no message of a document changes by more than TOLERANCE; one that doesn't settle in MAX_ROUNDS, with ever
+stronger damping, is an error. Labels are decided by entity: when the hub or an occurrence reaches BELIEF in a kind, every
+occurrence is of that kind, so labels agree across a document. Tokens that are no entity by themselves but may be a piece
+of one (under seven digits, no at sign, no address: area codes, card blocks, but page numbers too) are decided where they
+stand: by their own belief, or by their hub's beside a piece of that kind.
 
 The model is trained here, on the driver, on TRAIN_DOCS documents that generate() labels by construction, by gradient
 ascent on the likelihood with the messages' beliefs as expectations. It doesn't see the corpus.
@@ -30,9 +34,14 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 N_LABELS = 1 + len(KINDS)  # 0: outside
 DIM = 1 << 12
-ROUNDS, DAMP = 12, 0.5
+TOLERANCE = 1e-4
+#: Messages keep so much of their last value, the more the longer they take to settle: (from this round on, share).
+DAMP = ((0, 0.5), (200, 0.8), (1000, 0.95))
+MAX_ROUNDS, ROUNDS_EACH = 10_000, 8
 BELIEF = 0.95
 TRAIN_DOCS, TRAIN_STEPS, SEED = 400, 120, 7
+#: Gradients need less than labels.
+TRAIN_TOLERANCE = 1e-2
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -138,39 +147,61 @@ def features(text: str, toks: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def edges(text: str, toks: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges, skip edges of equal tokens, skip edges of similar ones."""
+def _key(tok: str) -> str:
+    return tok.strip(".,;:!?\"'()[]{}<>|").lower()
+
+
+def edges(text: str, toks: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[bool, list[int]]]]:
+    """Chain edges, and entities of two tokens or more: whether their tokens are all equal, and the tokens."""
     chain = [(k - 1, k) for k in range(1, len(toks)) if toks[k - 1][1] + 1 == toks[k][0]]
-    same, alike, last_same, last_alike = [], [], {}, {}
-    for k, (a, b) in enumerate(toks):
-        tok = text[a:b].strip(".,;:!?\"'()[]{}<>|").lower()
-        if tok in last_same:
-            same.append((last_same[tok], k))
-        last_same[tok] = k
+    parent = list(range(len(toks)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    first: dict[tuple[str, str], int] = {}
+    texts = [_key(text[a:b]) for a, b in toks]
+    for k, tok in enumerate(texts):
         digits = "".join(c for c in tok if "0" <= c <= "9")
-        keys = [("d", digits[-7:])] * (len(digits) >= 7) + [("m", tok.partition("@")[2])] * ("@" in tok)
-        for key in keys:
-            if key in last_alike and (not same or same[-1] != (last_alike[key], k)):
-                alike.append((last_alike[key], k))
-            last_alike[key] = k
-    return chain, same, alike
+        host = tok.partition("@")[2]
+        for key in [("s", tok)] + [("d", digits[-7:])] * (len(digits) >= 7) + [("m", host)] * (host != ""):
+            a, b = root(first.setdefault(key, k)), root(k)
+            parent[max(a, b)] = min(a, b)
+    members: dict[int, list[int]] = {}
+    for k in range(len(toks)):
+        members.setdefault(root(k), []).append(k)
+    return chain, [(len({texts[k] for k in ks}) == 1, ks) for ks in members.values() if len(ks) > 1]
 
 
 class Graph:
-    """Variables and edges of a batch of documents, as arrays."""
+    """Variables and edges of a batch of documents, as arrays; a document's hubs follow its tokens."""
 
     def __init__(self):
         self.feats: list[list[int]] = []
         self.e: list[list[tuple[int, int]]] = [[], [], []]
         self.clamp: list[int] = []
+        self.doc: list[int] = []
 
-    def add(self, text: str, toks: list[tuple[int, int]], clamp: list[int]) -> int:
+    def add(self, text: str, toks: list[tuple[int, int]], clamp: list[int]) -> tuple[int, list[list[int]]]:
+        """(number of the first token's variable, tokens of each hub)."""
         at = len(self.feats)
-        self.feats += features(text, toks)
-        for mine, new in zip(self.e, edges(text, toks), strict=True):
-            mine += [(at + i, at + j) for i, j in new]
-        self.clamp += clamp
-        return at
+        chain, hubs = edges(text, toks)
+        self.feats += features(text, toks) + [[] for _ in hubs]
+        self.e[0] += [(at + i, at + j) for i, j in chain]
+        for h, (equal, ks) in enumerate(hubs):
+            self.e[1 if equal else 2] += [(at + k, at + len(toks) + h) for k in ks]
+        self.clamp += clamp + [self._held(text, toks, clamp, ks) for _, ks in hubs]
+        self.doc += [self.doc[-1] + 1 if self.doc else 0] * (len(toks) + len(hubs))
+        return at, [ks for _, ks in hubs]
+
+    @staticmethod
+    def _held(text: str, toks: list[tuple[int, int]], clamp: list[int], ks: list[int]) -> int:
+        """An entity that base patterns know by a whole token, of one kind, is of that kind."""
+        known = {clamp[k] for k in ks if clamp[k] >= 0 and _whole(_key(text[toks[k][0] : toks[k][1]]))}
+        return known.pop() if len(known) == 1 else -1
 
     def arrays(self):
         n = len(self.feats)
@@ -186,27 +217,46 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def beliefs(w: np.ndarray, pair: np.ndarray, arrays, clamped: bool = True):
-    """(node beliefs, edge beliefs) by damped loopy sum-product, all messages at once."""
+def _messages(phi: np.ndarray, i: np.ndarray, j: np.ndarray, psi: np.ndarray, doc: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Messages of all edges into j and into i. A document's stop when they have settled, so others in the batch don't change them."""
+    fwd, bwd = np.zeros((len(i), N_LABELS)), np.zeros((len(i), N_LABELS))
+    live, of, done = np.arange(len(i)), doc[i], 0
+    while len(live):
+        if done >= MAX_ROUNDS:
+            raise RuntimeError(f"messages of {len(np.unique(of[live]))} documents did not settle within {TOLERANCE} in {MAX_ROUNDS} rounds")
+        damp = next(d for r, d in reversed(DAMP) if done >= r)
+        ends, at = np.unique(np.r_[i[live], j[live]], return_inverse=True)
+        a, b, own, p, f, g = at[: len(live)], at[len(live) :], phi[ends], psi[live], fwd[live], bwd[live]
+        for _ in range(ROUNDS_EACH):
+            node = own.copy()
+            np.add.at(node, b, f)
+            np.add.at(node, a, g)
+            x = _lse((node[a] - g)[:, :, None] + p, 1)
+            y = _lse((node[b] - f)[:, None, :] + p, 2)
+            x -= _lse(x, 1)[:, None]
+            y -= _lse(y, 1)[:, None]
+            change = np.maximum(np.abs(x - f).max(axis=1), np.abs(y - g).max(axis=1))
+            f, g = damp * f + (1 - damp) * x, damp * g + (1 - damp) * y
+        fwd[live], bwd[live] = f, g
+        worst = np.zeros(int(of.max()) + 1)
+        np.maximum.at(worst, of[live], change)
+        live = live[worst[of[live]] > tolerance]
+        done += ROUNDS_EACH
+    return fwd, bwd
+
+
+def beliefs(w: np.ndarray, pair: np.ndarray, arrays, clamped: bool = True, doc: np.ndarray | None = None, tolerance: float = TOLERANCE):
+    """(node beliefs, edge beliefs) by damped loopy sum-product, all messages at once; doc: the document of each variable."""
     n, rows, cols, ij, kind, clamp = arrays
     phi = np.zeros((n, N_LABELS))
     np.add.at(phi, rows, w[cols])
     if clamped and len(clamp):
         held = clamp >= 0
-        phi[held] = -50.0
+        phi[held] = -1e6  # more than any number of neighbours says
         phi[np.flatnonzero(held), clamp[held]] = 0.0
     i, j = ij[:, 0], ij[:, 1]
     psi = pair[kind]
-    fwd, bwd = np.zeros((len(i), N_LABELS)), np.zeros((len(i), N_LABELS))  # into j, into i
-    for _ in range(ROUNDS if len(i) else 0):
-        node = phi.copy()
-        np.add.at(node, j, fwd)
-        np.add.at(node, i, bwd)
-        f = _lse((node[i] - bwd)[:, :, None] + psi, 1)
-        b = _lse((node[j] - fwd)[:, None, :] + psi, 2)
-        f -= _lse(f, 1)[:, None]
-        b -= _lse(b, 1)[:, None]
-        fwd, bwd = DAMP * fwd + (1 - DAMP) * f, DAMP * bwd + (1 - DAMP) * b
+    fwd, bwd = _messages(phi, i, j, psi, np.zeros(n, np.int64) if doc is None else doc, tolerance)  # into j, into i
     node = phi.copy()
     np.add.at(node, j, fwd)
     np.add.at(node, i, bwd)
@@ -285,9 +335,10 @@ def train(n_docs: int = TRAIN_DOCS, steps: int = TRAIN_STEPS, seed: int = SEED)
     for _ in range(n_docs):
         text, found = generate(rng)
         toks = tokens(text)
-        g.add(text, toks, [-1] * len(toks))
-        gold += [next((k for s, e, k in found if s <= a and b <= e + 1), 0) for a, b in toks]
-    arrays, y = g.arrays(), np.array(gold)
+        _, hubs = g.add(text, toks, [-1] * len(toks))
+        own = [next((k for s, e, k in found if s <= a and b <= e + 1), 0) for a, b in toks]
+        gold += own + [int(np.bincount([own[k] for k in ks]).argmax()) for ks in hubs]  # a hub is what most of its tokens are
+    arrays, doc, y = g.arrays(), np.array(g.doc), np.array(gold)
     n, rows, cols, ij, kind, _ = arrays
     hot = np.eye(N_LABELS)[y]
     pair_hot = hot[ij[:, 0]][:, :, None] * hot[ij[:, 1]][:, None, :]
@@ -295,15 +346,15 @@ def train(n_docs: int = TRAIN_DOCS, steps: int = TRAIN_STEPS, seed: int = SEED)
     m = [np.zeros_like(w), np.zeros_like(pair)]
     v = [np.zeros_like(w), np.zeros_like(pair)]
     for step in range(1, steps + 1):
-        node, edge = beliefs(w, pair, arrays, clamped=False)
+        node, edge = beliefs(w, pair, arrays, clamped=False, doc=doc, tolerance=TRAIN_TOLERANCE)
         gw = np.zeros_like(w)
         np.add.at(gw, cols, (hot - node)[rows])
         gp = np.stack([(pair_hot - edge)[kind == k].sum(axis=0) for k in range(3)])
+        gp[1:] = np.eye(N_LABELS) * np.trace(gp[1:], axis1=1, axis2=2)[:, None, None]  # one weight for agreement, whatever the label
         for x, grad, k in ((w, gw / n - 1e-4 * w, 0), (pair, gp / n - 1e-4 * pair, 1)):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad * grad
             x += 0.2 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    pair = (pair + pair.transpose(0, 2, 1) * np.array([0, 1, 1])[:, None, None]) / np.array([1, 2, 2])[:, None, None]  # skip edges have no direction
     return w, pair
 
 
@@ -336,20 +387,20 @@ def find_spans(texts: list[str], w: np.ndarray, pair: np.ndarray, belief: float
         out[k] = (base, [])
         if all(c >= 0 for c in clamp):
             continue  # nothing is left to find
-        where.append((k, g.add(t, toks, clamp), toks, clamp))
+        where.append((k, *g.add(t, toks, clamp), toks, clamp))
     if not where:
         return out
-    node, _ = beliefs(w, pair, g.arrays())
-    for k, at, toks, clamp in where:
-        t, label = texts[k], node[at : at + len(toks)].argmax(axis=1)
-        sure = node[at : at + len(toks)].max(axis=1) >= belief
+    node, _ = beliefs(w, pair, g.arrays(), doc=np.array(g.doc))
+    for k, at, hubs, toks, clamp in where:
+        t = texts[k]
+        label = _labels(t, toks, clamp, hubs, node[at : at + len(toks) + len(hubs)], belief)
         x = 0
         while x < len(toks):
-            if clamp[x] >= 0 or not sure[x] or not label[x]:
+            if clamp[x] >= 0 or not label[x]:
                 x += 1
                 continue
             y, digits = x, _digits(t, toks[x])
-            while y + 1 < len(toks) and (digits := digits + _digits(t, toks[y + 1])) <= _MOST[label[x]] and label[y + 1] == label[x] and sure[y + 1] and clamp[y + 1] < 0 and toks[y][1] + 1 == toks[y + 1][0]:
+            while y + 1 < len(toks) and (digits := digits + _digits(t, toks[y + 1])) <= _MOST[label[x]] and label[y + 1] == label[x] and clamp[y + 1] < 0 and toks[y][1] + 1 == toks[y + 1][0]:
                 y += 1
             a, b = toks[x][0], toks[y][1]
             while a < b and t[a] in ".,;:!?\"'[]{}<>|":
@@ -362,6 +413,36 @@ def find_spans(texts: list[str], w: np.ndarray, pair: np.ndarray, belief: float
     return out
 
 
+def _whole(tok: str) -> bool:
+    """Whether a token may be an entity by itself, not only a piece of one."""
+    return "@" in tok or sum("0" <= c <= "9" for c in tok) >= 7 or tok.count(".") >= 3
+
+
+def _labels(text: str, toks: list[tuple[int, int]], clamp: list[int], hubs: list[list[int]], node: np.ndarray, belief: float) -> list[int]:
+    """The kind of each token, 0 for outside: by entity, for pieces by place. node: beliefs of the tokens, then of the hubs."""
+    sure = np.where(node.max(axis=1) >= belief, node.argmax(axis=1), 0)
+    label = [c if c >= 0 else int(x) for c, x in zip(clamp, sure, strict=False)]
+    whole = [_whole(_key(text[a:b])) for a, b in toks]
+    piece = [0] * len(toks)
+    for h, ks in enumerate(hubs, len(toks)):
+        free = [k for k in ks if clamp[k] < 0 and whole[k]]
+        if free:
+            best = node[[h, *free], 1:].max(axis=0)
+            kind = 1 + int(best.argmax()) if best.max() >= belief else 0
+            for k in free:
+                label[k] = kind
+        for k in ks:
+            if not whole[k]:
+                piece[k] = int(sure[h])
+    order = range(len(toks))
+    for way, step in ((order, -1), (reversed(order), 1)):
+        for k in way:
+            o = k + step
+            if piece[k] and not label[k] and 0 <= o < len(toks) and label[o] == piece[k] and toks[min(k, o)][1] + 1 == toks[max(k, o)][0]:
+                label[k] = piece[k]
+    return label
+
+
 #: Digits of one entity of each label.
 _MOST = (0, 0, 12, 19, 15)
 
