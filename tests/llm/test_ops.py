@@ -664,3 +664,13 @@ def test_messages_that_do_not_settle_are_an_error(monkeypatch):
     monkeypatch.setattr(pii, "MAX_ROUNDS", 8)
     with pytest.raises(RuntimeError, match="did not settle"):
         pii.find_spans(["12 34 12 34 call 443-555-5793 12"], *pii.model())
+
+
+def test_stray_quotes_and_formulas_lose_no_text():
+    seen = lambda page: [b.text for b in html.blocks(page)]
+    assert seen("<p>a <a href=x title=Bob's>b</a> c</p><p>d</p><p>it's e</p>") == ["a b c", "d", "it's e"]
+    assert seen("<p class=x\">a</p><p>b</p>") == ["a", "b"]
+    assert seen("<p title='x>a</p><p>b</p>") == ["a", "b"]
+    assert seen("<p title=\"1 > 0\" lang='a>b'>a</p><p title=\"x>b</p>c \" d") == ["a", "b", 'c " d']
+    assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p><object data=y>in words</object></p>") == ["so x=2 holds", "in words"]
+    assert seen("<p>a</p><p " + "x=\"1\" " * 3000) == ["a"]

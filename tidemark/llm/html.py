@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks, decoded by Viterbi.
 
 A page is read once, tag by tag; start and end tags of block elements bound the leaf blocks, inline tags don't, and
-scripts, styles, comments and the head leave no block. A block's features are the tags, classes and ids of its open
+scripts, styles, comments, drawings (svg) and the head leave no block; formulas (math) and an object's fallback stay in theirs. A block's features are the tags, classes and ids of its open
 ancestors, its own tag, and its text (length, links, punctuation). The labels are main and other; the field is trained on
 the driver on TRAIN_PAGES pages that generate() labels by construction, by exact gradients (forward-backward), and doesn't
 see the corpus. The blocks that Viterbi calls main make up the text.
@@ -29,9 +29,12 @@ TRAIN_PAGES, TRAIN_STEPS, SEED = 500, 150, 11
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript iframe object svg math textarea title head".split())
+_RAW = frozenset("script style template noscript iframe svg textarea title head".split())
 _ENDS_P = _BLOCK - {"option", "select", "body", "html"}
-_TAG = re.compile(r"<(?:(!--)|([/]?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>?)")
+#: A quote delimits a value right after an equals sign only; any other is a character of the tag.
+_TAG = re.compile(r"<(?:(!--)|([/]?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|[!?/][^>]*>?)")
+#: A tag that the first pattern can't end, as a quoted value runs on to the page's last tag: it ends at the next >.
+_LOOSE = re.compile(r"<()([/]?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -103,7 +106,7 @@ def blocks(page: str) -> list[Block]:
             break
         if lt > at:
             text(page[at:lt])
-        m = _TAG.match(page, lt)
+        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if not m:
             nxt = page[lt + 1 : lt + 2]
             if nxt.isascii() and nxt.isalpha() or nxt in ("/", "!", "?"):
