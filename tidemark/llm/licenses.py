@@ -1,16 +1,20 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, in DataFrame expressions.
 
-A paragraph is a line of the text. Its features are its distinct word 1-, 2- and 3-grams that stand in the templates and hold
-an ANCHOR word; so a paragraph without an anchor has no features and is unknown, and one scan for anchors finds all others.
-Multinomial logistic regression, trained on the driver on labelled variants of the templates and on look-alikes (class
-unknown), scores the families; its temperature is fitted on held-out variants and a prediction below the threshold that
-keeps held-out look-alikes out is unknown. Templates then confirm: most n-grams of a template statement must be in the
-paragraph, or most of the paragraph's in the template.
+A paragraph is a stretch of lines between blank lines, comment marks taken off; a line that ends a sentence ends it too,
+any other goes on in the next line, so wrapped notices are read as one. Its features are its distinct word 1-, 2- and
+3-grams that hold an ANCHOR word and stand in the templates; so a paragraph without an anchor has no features and is
+unknown by definition, and one scan for anchors finds all others. Multinomial logistic regression, trained on the driver on
+labelled variants of the templates and on look-alikes (class unknown), scores the families; its temperature and the
+threshold under which a prediction is unknown are fitted on CALIBRATION, statements in other words than the templates.
+Templates then confirm: most n-grams of a template statement must be in the paragraph, or most of the paragraph's in the
+template.
 
 Spark classifies each distinct paragraph once (licence lines repeat by the thousand) and joins the verdicts back, hot
-paragraphs by broadcast. The weights are a table of a few thousand n-grams, a bound set by the templates.
+paragraphs by broadcast. Words and n-grams are written out once each, so no expression is worked out again inside another.
+The weights are a table of a few thousand n-grams, a bound set by the templates.
 
-Defined results: null and empty texts have no licence; rows with equal ids are one document; an empty table gives no rows.
+Defined results: null and empty texts have no licence; rows with equal ids are one document; an empty table gives no rows;
+a paragraph of any length is read whole, in time in step with its length.
 """
 
 from __future__ import annotations
@@ -19,54 +23,108 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_join, stored
 
-#: Statements by which the families are granted (public licence texts).
+#: Paragraphs by which the families are granted (public licence texts).
 TEMPLATES: dict[str, list[str]] = {
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
-        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.",
+        "Distributed under the MIT License.",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
     ],
     "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
+        "Licensed under the BSD 2-Clause License.",
+        "Distributed under the 3-clause BSD license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "License: BSD",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Released under the GPL v2 or later.",
+        "Licensed under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "License: GPL-3.0",
     ],
     "lgpl": [
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Released under the LGPL.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, you can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the Creative Commons Attribution License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights (CC0 1.0).", "Dedicated to the public domain under CC0."],
-    "proprietary": ["Copyright Example Inc. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the copyright holder.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+    "cc-by": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Text is available under the Creative Commons Attribution License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ],
+    "cc-by-sa": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ],
+    "cc-by-nc": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ],
+    "public-domain": [
+        "This is free and unencumbered software released into the public domain.",
+        "To the extent possible under law, the author has waived all copyright and related rights (CC0 1.0).",
+        "Dedicated to the public domain under CC0.",
+        "This work is in the public domain.",
+    ],
+    "proprietary": [
+        "Copyright Example Inc. All rights reserved.",
+        "All rights reserved.",
+        "All rights reserved. No part of this publication may be reproduced without prior written permission of the copyright holder.",
+        "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    ],
 }
+UNKNOWN = "unknown"
 #: Statements that look alike but grant nothing.
 LOOKALIKES = (
     "He lost his driving licence near the station.",
@@ -81,21 +139,57 @@ LOOKALIKES = (
     "Creative people share common goals.",
     "She was licensed to practise medicine in 1998.",
     "Version 2.0 of the program was released in May.",
+    "The warranty covers parts and labour for two years.",
+    "Members of the house of commons spoke about redistribution of income.",
+    "Their rights were read to them, and copying from others was not allowed.",
+    "With the permission of the owner they walked across the land.",
 )
-UNKNOWN = "unknown"
-#: MIT is one only in capitals (it becomes the word mit0), since mit is a common German word.
-ANCHORS = ("license", "licence", "licensed", "licences", "licenses", "copyright", "copying", "spdx", "mit0", "apache", "bsd", "gnu", "gpl", "lgpl", "mozilla", "mpl", "cc", "cc0", "commons", "domain", "warranties", "warranty", "redistribution", "redistribute", "permission", "rights", "proprietary")
+#: Statements in other words than the templates, by family: temperature and threshold are fitted on their variants.
+CALIBRATION: dict[str, list[str]] = {
+    "apache": ["This code is distributed under the Apache License 2.0, see the LICENSE file.", "you may not use this file except in compliance with the Apache License, Version 2.0"],
+    "mit": ["This software may be used under the MIT license, see LICENSE for details.", "Available under the MIT License; see the accompanying file. Permission is hereby granted, free of charge, to any person obtaining a copy"],
+    "bsd": ["Covered by a BSD-style license, see LICENSE.", "Redistribution and use in source and binary forms are permitted; redistributions must retain the above copyright notice"],
+    "isc": ["Distributed under the ISC license.", "Permission to use, copy, modify, and distribute this software for any purpose is hereby granted"],
+    "gpl": ["This program is covered by the GNU GPL version 2.", "it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation"],
+    "lgpl": ["Covered by the GNU Lesser General Public License v3.", "under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation"],
+    "mpl": ["Available under the Mozilla Public License 2.0.", "The contents of this file are subject to the Mozilla Public License Version 2.0"],
+    "cc-by": ["Content is licensed under CC BY 4.0 unless noted.", "available under the terms of the Creative Commons Attribution 4.0 License"],
+    "cc-by-sa": ["Content is available under CC BY-SA 4.0.", "under the Creative Commons Attribution-ShareAlike 4.0 license"],
+    "cc-by-nc": ["Photos are licensed under CC BY-NC 4.0.", "under a Creative Commons Attribution-NonCommercial 4.0 license"],
+    "public-domain": ["The author dedicates this file to the public domain.", "released into the public domain under CC0 1.0"],
+    "proprietary": ["(c) 2020 Some Company. All rights reserved worldwide.", "No part of this document may be reproduced without written permission of the copyright holder. All rights reserved."],
+    UNKNOWN: ["The apache tribe lived in the south west.", "His driving license was renewed in March.", "The public domain name registry was closed.", "A licence to sell wine was refused.", "The general public has rights, said the minister.", "Copyright law changed in 1976.", "The warranty is void if the seal is broken.", "mit einer Lizenz, mit license plate"],
+}
+ANCHORS = ("license", "licence", "licensed", "licences", "licenses", "copyright", "copying", "spdx", "mit0", "isc", "apache", "bsd", "gnu", "gpl", "lgpl", "mozilla", "mpl", "cc", "cc0", "commons", "domain", "warranties", "warranty", "redistribution", "redistributions", "redistribute", "permission", "rights", "proprietary", "granted", "sublicense", "merchantability", "noninfringement", "disclaimer", "unencumbered", "furnished", "confidential", "reproduced", "unauthorized")
 FAMILIES = (UNKNOWN, *TEMPLATES)
 NGRAM = 3
-TRAIN_EACH, TRAIN_STEPS, SEED = 60, 250, 3
+TRAIN_EACH, TRAIN_STEPS, SEED = 160, 250, 3
 #: Share of n-grams that a template comparison needs.
 CONFIRM = 0.6
 _WORD = "[a-z0-9]+"
-_MIT = "(?<![A-Za-z0-9])MIT(?![A-Za-z0-9])"
+#: "mit" is a common German word: it names the licence (the word mit0) only beside one of these, in any case.
+_MIT = (("(?<![a-z0-9])mit(?=[ \\t\\r\\n(\"'-]+(?:licen[cs]e|style|expat|x11))", "mit0"), ("((?:identifier|licen[cs]e)[: ]+|(?:licen[cs]ed|released|distributed|available|terms)[a-z ]{0,20} (?:under|of)(?: the)? )mit(?![a-z0-9])", "{1}mit0"))
+#: Cut and cleaned alike in Spark and here; the patterns mean the same in both.
+_MARKS = "(?m)^[ \\t]*(?:/\\*+|\\*+/|\\*+|//+|#+|;+|--+|<!--|%+|\\|)[ \\t]*"
+_ENDS = "\\n(?:[ \\t]*\\n)+|(?<=[.!?:;])[ \\t]*\\n"
+_ANCHORED = "(?<![A-Za-z0-9])(?i:" + "|".join(a for a in ANCHORS if a != "mit0") + ")(?![A-Za-z0-9])"
+
+
+def paragraphs(text: str | None) -> list[str]:
+    """The plain version of what Spark cuts."""
+    t = re.sub(_MARKS, "", re.sub("\r\n?", "\n", text or ""))
+    return [re.sub("[ \\t\\n]+", " ", p).strip(" ") for p in re.split(_ENDS, t)]
+
+
+def words(text: str) -> list[str]:
+    t = "".join(c.lower() if c.isascii() else c for c in text)
+    for pattern, to in _MIT:
+        t = re.sub(pattern, to.replace("{1}", r"\1"), t)
+    return re.findall(_WORD, t)
 
 
 def ngrams(text: str) -> set[str]:
-    w = re.findall(_WORD, re.sub(_MIT, "mit0", text).lower())
+    w = words(text)
     return {" ".join(w[i : i + k]) for k in range(1, NGRAM + 1) for i in range(len(w) - k + 1)}
 
 
@@ -103,19 +197,24 @@ def anchored(grams: set[str]) -> set[str]:
     return {g for g in grams if any(w in ANCHORS for w in g.split())}
 
 
-def _variants(rng: random.Random, n: int) -> list[tuple[str, int]]:
-    """Labelled paragraphs: statements and look-alikes, cut, thinned and set among other words."""
+def _variants(rng: random.Random, n: int, statements: dict[str, list[str]] | None = None) -> list[tuple[str, int]]:
+    """Labelled paragraphs: statements and look-alikes, thinned, cut short and set among other words."""
+    statements = statements or {UNKNOWN: list(LOOKALIKES), **TEMPLATES}
     filler = lambda k: " ".join("".join(rng.choice("aeiourstnlmd") for _ in range(rng.randint(2, 9))) for _ in range(k))
     out = []
     for label, name in enumerate(FAMILIES):
         for i in range(n * (3 if label == 0 else 1)):
-            source = rng.choice(LOOKALIKES if label == 0 else TEMPLATES[name])
+            source = statements[name][i] if i < len(statements[name]) else rng.choice(statements[name])
             words = source.split()
             if label == 0 and rng.random() < 0.5:  # anchors among other words
                 words = filler(rng.randint(3, 12)).split()
                 for _ in range(rng.randint(1, 3)):
                     words.insert(rng.randint(0, len(words)), rng.choice(ANCHORS).replace("mit0", "MIT"))
-            elif label and i >= len(TEMPLATES[name]):
+            elif label and i >= len(statements[name]):
+                if len(words) > 12 and rng.random() < 0.4:  # a part of it
+                    size = rng.randint(10, len(words))
+                    first = rng.randint(0, len(words) - size)
+                    words = words[first : first + size]
                 words = [w for w in words if rng.random() > 0.06] if len(words) > 8 else words
             text = " ".join(words)
             if rng.random() < 0.4:
@@ -133,8 +232,8 @@ def train(seed: int = SEED) -> dict:
     place = {g: i for i, g in enumerate(vocab)}
     k = len(FAMILIES)
 
-    def data(n: int):
-        rows = _variants(rng, n)
+    def data(n: int, statements: dict[str, list[str]] | None = None):
+        rows = _variants(rng, n, statements)
         x = np.zeros((len(rows), len(vocab)))
         for r, (text, _) in enumerate(rows):
             for g in anchored(ngrams(text)):
@@ -152,18 +251,19 @@ def train(seed: int = SEED) -> dict:
     mom = [np.zeros_like(w), np.zeros_like(w)]
     hot = np.eye(k)[y]
     for step in range(1, TRAIN_STEPS + 1):
-        g = x.T @ (hot - soft(x @ w + b)) / len(y) - 1e-3 * w
+        g = x.T @ (hot - soft(x @ w + b)) / len(y) - 2e-4 * w
         mom[0] = 0.9 * mom[0] + 0.1 * g
         mom[1] = 0.999 * mom[1] + 0.001 * g * g
         w += 0.1 * (mom[0] / (1 - 0.9**step)) / (np.sqrt(mom[1] / (1 - 0.999**step)) + 1e-8)
-    hx, hy = data(TRAIN_EACH)
+    hx, hy = data(TRAIN_EACH, CALIBRATION)
     s = hx @ w + b
     heat = min(np.linspace(0.3, 4, 38), key=lambda t: -np.log(soft(s / t)[np.arange(len(hy)), hy] + 1e-12).mean())
     p = soft(s / heat)
-    wrong = p[(p.argmax(axis=1) != hy) & (p.argmax(axis=1) > 0)].max(axis=1, initial=0)
-    threshold = float(np.clip(np.quantile(wrong, 0.99) if len(wrong) else 0.5, 0.5, 0.95))
+    best, named, right = p.max(axis=1), p.argmax(axis=1) > 0, p.argmax(axis=1) == hy
+    # a wrong family costs two missed ones
+    threshold = max(np.linspace(0.4, 0.95, 56), key=lambda t: (right & named & (best >= t)).sum() - 2 * (~right & named & (best >= t)).sum())
     seen = np.abs(w).max(axis=1) > 1e-4
-    return {"weights": [(g, [float(v) for v in w[i]]) for g, i in place.items() if seen[i]], "bias": b.tolist(), "temperature": float(heat), "threshold": threshold}
+    return {"weights": [(g, [float(v) for v in w[i]]) for g, i in place.items() if seen[i]], "bias": b.tolist(), "temperature": float(heat), "threshold": float(threshold)}
 
 
 _MODEL: list = []
@@ -175,51 +275,69 @@ def model() -> dict:
     return _MODEL[0]
 
 
-def _grams(text) -> F.Column:
-    """Distinct n-grams of a column, as ngrams()."""
-    w = F.regexp_extract_all(F.lower(F.regexp_replace(text, _MIT, "mit0")), F.lit(_WORD), F.lit(0))
+def _words(paragraph: Column) -> Column:
+    t = F.translate(paragraph, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for pattern, to in _MIT:
+        t = F.regexp_replace(t, pattern, to.replace("{1}", "$1"))
+    return F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
+
 
-    def of(k: int):
-        upto = F.size(w) - k
-        at = F.when(upto >= 0, F.sequence(F.lit(0), upto)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " "))
+def _grams(w: Column, only: Column | None = None) -> Column:
+    """Distinct n-grams of an array of words; with only (whether each word is an anchor), of those that hold one."""
 
-    return F.array_distinct(F.concat(*[of(k) for k in range(1, NGRAM + 1)]))
+    def at(i: Column) -> Column:
+        out = []
+        for k in range(1, NGRAM + 1):
+            gram = F.concat(*[x for j in range(k) for x in ([F.lit(" ")] if j else []) + [F.get(w, i + j)]])  # null beyond the end
+            out.append(gram if only is None else F.when(F.greatest(*[F.get(only, i + j).cast("int") for j in range(k)], F.lit(0)) > 0, gram))
+        return F.array(*out)
+
+    places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.filter(F.flatten(F.transform(places, at)), lambda g: g.isNotNull()))
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs (one column, distinct) -> paragraph, family, probability, confirmed."""
+    """paragraphs (key, paragraph; distinct keys) -> key, family, probability, match, confirmed.
+
+    Few bytes may be much work here, so the rows are spread over all cores.
+    """
     spark, m, k = paragraphs.sparkSession, model(), len(FAMILIES)
-    weights = spark.createDataFrame(m["weights"], "gram string, w array<double>")
-    told = paragraphs.withColumn("grams", _grams(F.col("paragraph")))
-    sums = told.select("paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy("paragraph").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
+    cores = spark.sparkContext.defaultParallelism
+    told = stored(paragraphs.repartition(cores, "key").select("key", _words(F.col("paragraph")).alias("w")), "words")
+    anchor = F.transform("w", lambda x: x.isin(*ANCHORS))
+    flagged = stored(told.repartition(cores, "key").select("key", "w", anchor.alias("a")), "flagged")
+    weights = spark.createDataFrame(m["weights"], "gram string, v array<double>")
+    grams = flagged.select("key", F.explode(_grams(F.col("w"), F.col("a"))).alias("gram"))
+    sums = grams.join(F.broadcast(weights), "gram").groupBy("key").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(k)])
     score = [(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + m["bias"][i]) / m["temperature"] for i in range(k)]
-    scored = told.join(sums, "paragraph", "left").select("paragraph", "grams", F.array(*score).alias("s"))
+    scored = stored(flagged.select("key").join(sums, "key", "left").select("key", F.array(*score).alias("s")), "scores")
     top = F.array_max("s")
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("s")))
-    best = scored.select("paragraph", "grams", (F.array_position("s", top) - 1).cast("int").alias("at"), (1 / total).alias("probability"))
-    named = best.withColumn("family", F.when(F.col("probability") >= m["threshold"], F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), F.col("at") + 1)).otherwise(UNKNOWN))
+    best = scored.select("key", (F.array_position("s", top) - 1).cast("int").alias("at"), (1 / total).alias("probability"))
+    family = F.when(F.col("probability") >= m["threshold"], F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), F.col("at") + 1)).otherwise(UNKNOWN)
+    named = best.select("key", "probability", family.alias("family"))
     templates = spark.createDataFrame([(f, sorted(ngrams(t))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
+    told = stored(named.filter(F.col("family") != UNKNOWN).join(flagged, "key").repartition(cores, "key").select("key", "family", _grams(F.col("w")).alias("grams")), "grams")
     both = F.size(F.array_intersect("grams", "template")).cast("double")
     match = F.greatest(both / F.size("template"), both / F.size("grams"))
-    near = named.filter(F.col("family") != UNKNOWN).join(F.broadcast(templates), "family").groupBy("paragraph").agg(F.max(match).alias("match"))
-    out = named.drop("grams", "at").join(near, "paragraph", "left")
-    return out.withColumn("confirmed", F.coalesce(F.col("match") >= CONFIRM, F.lit(False)))
+    near = told.join(F.broadcast(templates), "family").groupBy("key").agg(F.max(match).alias("match"))
+    return named.join(near, "key", "left").withColumn("confirmed", F.coalesce(F.col("match") >= CONFIRM, F.lit(False)))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph_no (null: no candidate), paragraph, family, probability, match, confirmed; every document has a row."""
-    anchor = "(?<![A-Za-z0-9])(?:MIT|(?i:" + "|".join(a for a in ANCHORS if a != "mit0") + "))(?![A-Za-z0-9])"
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    # one scan of the text; only texts with an anchor are cut into lines. The look-behind passes over all but word starts.
-    lines = F.when(text.rlike(anchor), F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line"))), lambda s: s["line"].rlike(anchor)))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode_outer(lines).alias("l")).select("doc_id", F.col("l.no").alias("paragraph_no"), F.col("l.line").alias("paragraph"))
-    rows = stored(rows, "paragraphs")
+    # one scan of the text; only texts with an anchor are cut into paragraphs
+    cut = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), _MARKS, ""), _ENDS)
+    told = F.transform(cut, lambda x, i: F.struct(i.alias("no"), F.trim(F.regexp_replace(x, "[ \\t\\n]+", " ")).alias("text")))
+    some = F.when(text.rlike(_ANCHORED), F.filter(told, lambda s: s["text"].rlike(_ANCHORED)))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode_outer(some).alias("l")).select("doc_id", F.col("l.no").alias("paragraph_no"), F.col("l.text").alias("paragraph"))
+    rows = stored(rows.withColumn("key", F.sha2("paragraph", 256)), "paragraphs")
     found = rows.filter("paragraph IS NOT NULL")
-    distinct = stored(found.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    verdict = stored(classify(distinct.select("paragraph")).join(distinct, "paragraph"), "verdicts")
+    distinct = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("paragraph").alias("paragraph")), "distinct")
+    verdict = stored(classify(distinct.select("key", "paragraph")).join(distinct.select("key", "n"), "key"), "verdicts")
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    return hot_join(found, verdict, "paragraph", "n", total).unionByName(rows.filter("paragraph IS NULL"), allowMissingColumns=True)
+    return hot_join(found, verdict, "key", "n", total).unionByName(rows.filter("paragraph IS NULL"), allowMissingColumns=True).drop("key")
 
 
 def op6(docs: DataFrame) -> DataFrame:
