@@ -15,22 +15,23 @@ _RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 _SEGMENT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: A segment whose pre-tokens are certain: one space or line end, letters, punctuation.
 _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;<=>?@\\[\\\\\\]^_`{|}~-]*)")
-#: Segments that a worker remembers, about 200 bytes each.
+#: Segments that a worker remembers, about 200 bytes each: half of them new, half from before; a segment that is met again stays.
 MEMO = 800_000
 
 
 class Encoder(dict):
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids, as add_special_tokens=False does.
 
-    The mapping itself is the memo: segment -> ids.
+    The mapping itself is the memo: segment -> ids. Texts in which a special token may stand are encoded whole.
     """
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.merge = self.tok.model.tokenize
+        self.special = sorted({t.content[:2] for t in self.tok.get_added_tokens_decoder().values()})
+        self.before: dict[bytes, bytes] = {}
         self.drops_space = drops_space
         #: byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,7 +46,7 @@ class Encoder(dict):
     def _piece(self, text: str) -> bytes:
         """Ids of one pre-token."""
         if (ids := self.pieces.get(text)) is None:
-            if len(self.pieces) > MEMO:
+            if len(self.pieces) > MEMO // 2:
                 self.pieces.clear()
             mapped = text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(self.alphabet)
             found = [t.id for t in self.merge(mapped)]
@@ -53,6 +54,12 @@ class Encoder(dict):
         return ids
 
     def __missing__(self, segment: bytes) -> bytes:
+        if (ids := self.before.get(segment)) is None:
+            ids = self._segment(segment)
+        self[segment] = ids
+        return ids
+
+    def _segment(self, segment: bytes) -> bytes:
         text = segment.decode()
         if m := _PLAIN.fullmatch(text):
             space, word, marks = m.groups()
@@ -66,13 +73,14 @@ class Encoder(dict):
                 ids += self._piece(marks)
         else:
             ids = self.whole(text)
-        self[segment] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        if _RARE.search(text.decode()):
-            return self.whole(text.decode())
-        if len(self) > MEMO:
+        plain = text.decode()
+        if _RARE.search(plain) or any(x in plain for x in self.special):
+            return self.whole(plain)
+        if len(self) > MEMO // 2:
+            self.before = dict(self)
             self.clear()
         return b"".join([self[s] for s in (text.split() if self.drops_space else _SEGMENT.findall(text))])
 

@@ -5,10 +5,11 @@ AVG_CHUNK), so equal passages give equal chunks wherever they stand. A chunk's a
 it is stored once, by the first document (in doc_id order) that has it, in the pack of that document's partition. Packs
 follow doc_id order, so a document's own chunks lie one after another, and only passages that an earlier document owns
 are fetched elsewhere, by ranged reads. A recipe lists the document's chunks; its Merkle root is checked against the chunks
-that come back, partitions have a root over their recipes, and the manifest table one per partition.
+that come back. A document's place, id, start, length and root are a leaf of its partition's Merkle tree, the partitions'
+roots are the leaves of the store's; the manifest holds them, and reading checks them.
 
 Layout of a store folder: encoded/ (compressed ids and cuts, in input order), owners/ (who stores which chunk), recipes/ (Parquet, in
-ascending doc_id order), packs/*.pack (raw little-endian unsigned ids, 16 bits where the vocabulary allows it).
+ascending doc_id order), packs/*.pack (little-endian unsigned ids, 16 bits where the vocabulary allows it; a Zstandard frame a chunk), manifest/.
 Only packs that the committed recipes name belong to the store; a lost task's pack is never read.
 
 Shuffles: the ids once, by ranges of doc_id; digests (16 bytes a chunk) twice. Hot chunks meet as partial minima.
@@ -34,6 +35,10 @@ from .common import filesystem, hot_join, new_path, stored
 from .tokens import encoder
 
 CUT_WINDOW, MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 16, 128, 512, 2048
+#: Ids that are cut at once.
+CUT_BATCH = 1 << 17
+#: Children of a node in the manifest's tree.
+FANOUT = 256
 #: A pack is closed after so many bytes.
 PACK_BYTES = 64 << 20
 #: Bytes of other packs' chunks that a reading task remembers.
@@ -44,32 +49,39 @@ _RECIPE = "part int, seq bigint, doc_id bigint, local_start bigint, n_tokens big
 
 
 def rolling(ids: np.ndarray, window: int = CUT_WINDOW) -> np.ndarray:
-    """Polynomial hash of each window of ids, by prefix sums modulo 2^64: of ids[i - window + 1 .. i] at i (shorter ones at the start)."""
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MULT
-    mixed ^= mixed >> np.uint64(29)
-    n = len(mixed)
-    out = np.zeros(n, dtype=np.uint64)
-    weight = np.uint64(1)
+    """Polynomial hash modulo 2^64 of each window (a power of two) of ids, of ids[i - window + 1 .. i] at i, by doubling; shorter ones at the start."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * _MULT
+    h ^= h >> np.uint64(29)
+    weight, have = np.uint64(0x100000001B3), 1
     with np.errstate(over="ignore"):
-        for k in range(min(window, n)):
-            out[k:] += mixed[: n - k] * weight
-            weight = weight * np.uint64(0x100000001B3)
+        while have < window:
+            h[have:] = h[have:] + h[:-have] * weight
+            weight, have = weight * weight, 2 * have
+    return h
+
+
+def cut_all(texts: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each text. Texts are hashed in a row: no chunk is as short as the window, so what stands before a text doesn't tell."""
+    h = rolling(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
+    marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(AVG_CHUNK - MIN_CHUNK) == 0) + 1
+    out, first = [], 0
+    for ids in texts:
+        n = len(ids)
+        of = (marks[np.searchsorted(marks, first + MIN_CHUNK) : np.searchsorted(marks, first + n, "right")] - first).tolist()
+        ends, at, k = [], 0, 0
+        while at < n:
+            while k < len(of) and of[k] < at + MIN_CHUNK:
+                k += 1
+            at = min(of[k] if k < len(of) else n, at + MAX_CHUNK, n)
+            ends.append(at)
+        out.append(ends)
+        first += n
     return out
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks."""
-    n = len(ids)
-    h = rolling(ids)
-    marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(AVG_CHUNK - MIN_CHUNK) == 0) + 1
-    ends, at, k = [], 0, 0
-    while at < n:
-        while k < len(marks) and marks[k] < at + MIN_CHUNK:
-            k += 1
-        end = min(int(marks[k]) if k < len(marks) else n, at + MAX_CHUNK, n)
-        ends.append(end)
-        at = end
-    return ends
+    return cut_all([ids])[0]
 
 
 def address(chunk: bytes) -> bytes:
@@ -94,22 +106,34 @@ def encode(docs: DataFrame, path: str, *, end: int = 1, id_col: str = "doc_id",
         enc, squeeze = encoder(path, drops_space), zstandard.ZstdCompressor(level=3)
         tail = end.to_bytes(4, "little")
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
+            held: list[tuple[bytes, np.ndarray]] = []
+
+            def put() -> None:
+                for (t, ids), cuts in zip(held, cut_all([ids for _, ids in held]), strict=True):  # noqa: B023
+                    data, start, digests = ids.astype(kind), 0, []
+                    if not wide and not np.array_equal(data, ids):
+                        raise ValueError("ids over 65535 need wide=True")
+                    raw = data.tobytes()
+                    for c in cuts:
+                        digests.append(address(raw[start * data.itemsize : c * data.itemsize]))
+                        start = c
+                    rows.append((int.from_bytes(address(t)[:8], "little", signed=True), len(ids), squeeze.compress(raw), cuts, digests))  # noqa: B023
+                held.clear()  # noqa: B023
+
+            size = 0
             for t in b["text"]:
-                ids = np.frombuffer(enc.encode(t or b"") + tail, dtype="<u4")
-                data = ids.astype(kind)
-                if not wide and not np.array_equal(data, ids):
-                    raise ValueError("ids over 65535 need wide=True")
-                cuts, start, digests = cut_points(ids), 0, []
-                for c in cuts:
-                    digests.append(address(data[start:c].tobytes()))
-                    start = c
-                rows.append((int.from_bytes(address(t or b"")[:8], "little", signed=True), len(ids), squeeze.compress(data.tobytes()), cuts, digests))
+                held.append((t or b"", np.frombuffer(enc.encode(t or b"") + tail, dtype="<u4")))
+                size += len(held[-1][1])
+                if size >= CUT_BATCH:
+                    put()
+                    size = 0
+            put()
             b = b.drop(columns="text")
             b["tie"], b["n_tokens"], b["ids"], b["cuts"], b["digests"] = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield b
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return src.mapInPandas(run, "doc_id bigint, tie bigint, n_tokens bigint, ids binary, cuts array<int>, digests array<binary>")
 
 
@@ -132,13 +156,13 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
     none = lambda c: F.lit(None).cast(encoded.schema[c].dataType).alias(c)
     lists = owned.select("doc_id", "tie", F.lit(0).alias("what"), "owned", *[none(c) for c in ("n_tokens", "ids", "cuts", "digests")])
     texts = encoded.select("doc_id", "tie", F.lit(1).alias("what"), F.lit(None).cast("array<int>").alias("owned"), "n_tokens", "ids", "cuts", "digests")
-    dealt = lists.unionByName(texts).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie", "what")
+    dealt = lists.unionByName(texts).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "what")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
         from pyspark import TaskContext
 
-        unsqueeze = zstandard.ZstdDecompressor()
+        unsqueeze, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         fs, base = filesystem(f"{folder}/packs")
         fs.create_dir(base, recursive=True)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
@@ -158,11 +182,13 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
                 for k, c in enumerate(cuts):
                     data = ids[at * width : int(c) * width]
                     at = int(c)
-                    sizes.append(len(data))
                     if k not in owned:
                         packs.append(None)
                         offsets.append(-1)
+                        sizes.append(-1)
                         continue
+                    data = squeeze.compress(data)
+                    sizes.append(len(data))
                     if sink is None or size >= PACK_BYTES:
                         if sink is not None:
                             sink.close()
@@ -186,23 +212,39 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
     return recipes
 
 
+def _folded(nodes: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(by, digest): the root of each tree over nodes (by, at, digest), at from 0 to most; a level at a time, FANOUT children a node."""
+    while True:
+        children = F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
+        nodes = nodes.groupBy(*by, F.floor(F.col("at") / FANOUT).alias("up")).agg(F.sha2(F.array_join(children, "|"), 256).alias("digest")).withColumnRenamed("up", "at")
+        most //= FANOUT
+        if not most:
+            return nodes.drop("at")
+
+
 def manifest(recipes: DataFrame) -> DataFrame:
-    """A row per partition: documents, ids, ids in all partitions before it, and a root over its documents' roots.
+    """A row per partition: documents, ids, ids in all partitions before it, its Merkle root, and the root over all partitions.
 
-    The root folds the documents' roots in any order (their digests with their places, xored), so no partition is collected.
+    A leaf holds a document's place, id, start, length and own root. A level of a tree is one grouped SHA-256 of at most
+    FANOUT children, so no partition is collected.
     """
-    leaf = F.xxhash64("part", "seq", "n_tokens", "root")
-    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.bit_xor(leaf).alias("root"))
-    return parts.withColumn("before", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    leaf = F.sha2(F.concat_ws("|", *[field(c) for c in ("part", "seq", "doc_id", "local_start", "n_tokens")], F.hex("root")), 256)
+    most = recipes.agg(F.max("seq").alias("seq"), F.max("part").alias("part")).first()
+    roots = _folded(recipes.select("part", F.col("seq").alias("at"), leaf.alias("digest")), ["part"], most.seq or 0).withColumnRenamed("digest", "root")
+    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).join(roots, "part")
+    top = _folded(roots.select(F.lit(0).alias("of"), F.col("part").alias("at"), F.col("root").alias("digest")), ["of"], most.part or 0)
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("before", before).withColumn("of", F.lit(0)).join(F.broadcast(top.withColumnRenamed("digest", "store")), "of").drop("of")
 
 
 def _located(recipes: DataFrame) -> DataFrame:
-    """(part, seq, at, pack, offset) of the chunks that another document stores."""
-    one = recipes.select("part", "seq", F.posexplode(F.arrays_zip("digests", "packs", "offsets")).alias("at", "c")).select("part", "seq", "at", "c.digests", "c.packs", "c.offsets")
+    """(part, seq, at, pack, offset, size) of the chunks that another document stores."""
+    one = recipes.select("part", "seq", F.posexplode(F.arrays_zip("digests", "packs", "offsets", "sizes")).alias("at", "c")).select("part", "seq", "at", "c.digests", "c.packs", "c.offsets", "c.sizes")
     away = one.filter("packs IS NULL").select("part", "seq", "at", F.col("digests").alias("digest"))
     wanted = stored(away.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "wanted")
     total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    here = one.filter("packs IS NOT NULL").select(F.col("digests").alias("digest"), F.col("packs").alias("pack"), F.col("offsets").alias("offset"))
+    here = one.filter("packs IS NOT NULL").select(F.col("digests").alias("digest"), F.col("packs").alias("pack"), F.col("offsets").alias("offset"), F.col("sizes").alias("size"))
     return hot_join(away, stored(here.join(wanted, "digest"), "index"), "digest", "n", total).drop("digest")
 
 
@@ -217,7 +259,7 @@ def read(spark: SparkSession, folder: str, *, wide: bool = False, with_ids: bool
     if not told.exceptAll(now).isEmpty() or not now.exceptAll(told).isEmpty():
         raise ValueError(f"the recipes in {folder} don't have their manifest's roots")
     away = _located(recipes)
-    lists = away.groupBy("part", "seq").agg(F.sort_array(F.collect_list(F.struct("at", "pack", "offset"))).alias("away"))
+    lists = away.groupBy("part", "seq").agg(F.sort_array(F.collect_list(F.struct("at", "pack", "offset", "size"))).alias("away"))
     none = lambda c: F.lit(None).cast(recipes.schema[c].dataType).alias(c)
     names = [f.name for f in recipes.schema.fields if f.name not in ("part", "seq")]
     first = lists.select("part", "seq", F.lit(0).alias("what"), "away", *[none(c) for c in names])
@@ -226,11 +268,14 @@ def read(spark: SparkSession, folder: str, *, wide: bool = False, with_ids: bool
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unsqueeze = zstandard.ZstdDecompressor()
         fs, base = filesystem(f"{folder}/packs")
         files: OrderedDict = OrderedDict()
-        cache: OrderedDict[tuple[str, int], bytes] = OrderedDict()
+        cache: OrderedDict[tuple[str, int, int], bytes] = OrderedDict()
         held = 0
-        away_of: dict[int, tuple[str, int]] = {}
+        away_of: dict[int, tuple[str, int, int]] = {}
 
         def fetch(pack: str, offset: int, size: int) -> bytes:
             f = files.get(pack)
@@ -240,20 +285,23 @@ def read(spark: SparkSession, folder: str, *, wide: bool = False, with_ids: bool
                 f = files[pack] = fs.open_input_file(f"{base}/{pack}")
             else:
                 files.move_to_end(pack)
-            return f.read_at(size, offset)
+            try:
+                return unsqueeze.decompress(f.read_at(size, offset))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"the chunk at {offset} of {pack} can't be decoded, so it doesn't have its address: {e}") from None
 
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
                 if r.what == 0:
-                    away_of = {int(x["at"]): (x["pack"], int(x["offset"])) for x in r.away}
+                    away_of = {int(x["at"]): (x["pack"], int(x["offset"]), int(x["size"])) for x in r.away}
                     continue
                 parts = []
                 for k, (pack, offset, size, digest) in enumerate(zip(r.packs, r.offsets, r.sizes, r.digests, strict=True)):
                     if pack is not None:
                         data = fetch(pack, int(offset), int(size))
                     elif (data := cache.get(away_of[k])) is None:
-                        data = cache[away_of[k]] = fetch(*away_of[k], int(size))
+                        data = cache[away_of[k]] = fetch(*away_of[k])
                         held += len(data)
                         while held > CACHE_BYTES:
                             held -= len(cache.popitem(last=False)[1])
