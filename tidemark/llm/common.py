@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -50,14 +52,22 @@ HOT_SHARE = 1000
 def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """left ⋈ right on key without a skewed task, however many of left's rows share one key.
 
-    right has one row per key, with the number of left's rows in the column count (dropped from the result);
-    total is left's number of rows. Keys with more than total / HOT_SHARE rows number HOT_SHARE at most,
-    whatever the input: their side is broadcast. All others are joined by a shuffle.
+    right has one row per key, with the number of left's rows in the column count (dropped from the result); total is left's
+    number of rows. Keys with more than total / HOT_SHARE rows number under HOT_SHARE, whatever the input: their side is
+    broadcast. All others are joined by a shuffle. With how="left", keys that right lacks must not be hot either, as nothing
+    counts them: give right a row for each key that may be, or keep such rows out of left.
     """
     floor = max(1, total // HOT_SHARE)
-    hot = right.filter(F.col(count) > floor).drop(count)
+    hot = F.broadcast(right.filter(F.col(count) > floor).drop(count))
     rest = right.filter(F.col(count) <= floor).drop(count)
-    hot = F.broadcast(hot.limit(HOT_SHARE))
     with_hot = left.join(hot, key, "inner")
     others = left.join(hot.select(key), key, "left_anti")
     return with_hot.unionByName(others.join(rest.hint("merge"), key, how))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

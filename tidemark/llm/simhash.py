@@ -8,7 +8,7 @@ into (m = BLOCKS), so they share the leading bits of at least one of C(m, BUDGET
 m - BUDGET blocks in front. For each order a binary trie holds the fingerprints; node pairs of one trie that agree on the leading blocks are
 traversed together, bit by bit, differing bits are added up, and a pair of nodes is dropped when the sum is over the
 budget. Spark spreads the tries by (order, leading blocks). Subtrees over MAX_NODE are cut into pairs of their own sub-nodes, within the budget, before
-they reach a task. A task returns links that span its components, never all pairs of a group.
+they reach a task, and again until none is over it. A task returns links that span its components, never all pairs of a group.
 
 Components: parents are pulled to the smallest neighbour and jumped until nothing changes, each round a few
 map-side combined aggregations whose result is written to the shared folder.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import hot_join, stored, unused
 
 SHINGLE = 4
 BUDGET = 4
@@ -60,14 +60,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def with_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: list[str] | None = None, name: str = "fp") -> DataFrame:
     """carry's columns (the id by default) and the fingerprint as a signed long."""
 
+    keep = carry or [id_col]
+    source = unused([*keep, name], "__bytes")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t or b"", shingle) for t in b["__bytes"]), dtype=np.uint64, count=len(b)).view(np.int64)
-            b = b.drop(columns="__bytes")
+            fps = np.fromiter((fingerprint(t or b"", shingle) for t in b[source]), dtype=np.uint64, count=len(b)).view(np.int64)
+            b = b.drop(columns=source)
             b[name] = fps
             yield b
 
-    src = docs.select(*[F.col(f"`{c}`") for c in carry or [id_col]], F.col(text_col).cast("binary").alias("__bytes"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(source))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInPandas(run, f"{schema}, {name} bigint")
 
@@ -181,18 +184,32 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, lead: int, budget: int) ->
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _cut_big(rows: DataFrame, big: DataFrame, leads: list[int], budget: int) -> DataFrame:
-    """Each fingerprint of a big subtree goes to every pair of sub-nodes (next 8 bits), within the budget, that has its own."""
-    lead = F.element_at(F.array(*[F.lit(x) for x in leads]), F.col("t") + 1)
-    rest = rows.join(big, ["t", "head"], "left_anti").withColumn("cell", F.lit(-1))
-    node = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("p"), lead), F.lit(56)).cast("int")
-    cells = rows.join(big, ["t", "head"], "left_semi").withColumn("node", node)
-    there = cells.select("t", "head", "node").distinct()
+#: Bits of one cut of a big subtree.
+CUT_BITS = 8
+
+
+def _cut_big(rows: DataFrame, big: DataFrame, leads: list[int], budget: int, level: int) -> DataFrame:
+    """rows with each fingerprint of a big cell in every pair of its sub-nodes (next CUT_BITS bits), within the budget, that has its own.
+
+    A cell is a pair of nodes that agree or differ (side 0: one node with itself; sides 1 and 2) with the bits they differ in.
+    """
+    lead = F.element_at(F.array(*[F.lit(x + CUT_BITS * level) for x in leads]), F.col("t") + 1)
+    rest = rows.join(big, ["t", "head", "cell"], "left_anti")
+    node = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("p"), lead), F.lit(64 - CUT_BITS)).cast("int")
+    cells = rows.join(big, ["t", "head", "cell"], "left_semi").withColumn("node", node)
+    there = stored(cells.select("t", "head", "cell", "err", "side", "node").distinct(), "nodes")  # at most 2 ** CUT_BITS a cell and side
     x, y = there.alias("x"), there.alias("y")
-    near = F.bit_count(F.col("x.node").bitwiseXOR(F.col("y.node"))) <= budget
-    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.head") == F.col("y.head")) & near)
-    pairs = pairs.select("x.t", "x.head", "x.node", (F.least("x.node", "y.node") * 256 + F.greatest("x.node", "y.node")).alias("cell"))
-    cut = cells.join(pairs, ["t", "head", "node"]).select("t", "head", "p", "fp", "cell")
+    differ = F.bit_count(F.col("x.node").bitwiseXOR(F.col("y.node"))) + F.col("x.err")
+    twins = (F.col("x.side") == 0) & (F.col("y.side") == 0) & (F.col("x.node") <= F.col("y.node"))
+    across = (F.col("x.side") == 1) & (F.col("y.side") == 2)
+    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.cell") == F.col("y.cell")) & (twins | across) & (differ <= budget)
+    name = F.xxhash64("x.cell", "x.node", "y.node").alias("to")
+    both = x.join(y, on).select("x.t", "x.head", "x.cell", F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.side").alias("sa"), F.col("y.side").alias("sb"), differ.cast("int").alias("e"), name)
+    one = F.struct(F.col("sa").alias("from"), F.col("a").alias("node"), F.when((F.col("sa") == 0) & (F.col("a") == F.col("b")), 0).otherwise(1).alias("as"))
+    two = F.struct(F.col("sb").alias("from"), F.col("b").alias("node"), F.lit(2).alias("as"))
+    ends = F.when((F.col("sa") == 0) & (F.col("a") == F.col("b")), F.array(one)).otherwise(F.array(one, two))
+    goes = both.select("t", "head", "cell", "e", "to", F.explode(ends).alias("end")).select("t", "head", "cell", "e", "to", F.col("end.from").alias("side"), F.col("end.node").alias("node"), F.col("end.as").alias("as"))
+    cut = cells.drop("err").join(goes, ["t", "head", "cell", "side", "node"]).select("t", "head", F.col("to").alias("cell"), F.col("e").alias("err"), F.col("as").alias("side"), "p", "fp")
     return rest.unionByName(cut)
 
 
@@ -207,30 +224,30 @@ def links(fps: DataFrame, budget: int = BUDGET, max_node: int = MAX_NODE, blocks
                 p = permuted(fp, order)
                 yield pd.DataFrame({"t": np.int32(t), "head": (p >> np.uint64(64 - lead)).view(np.int64), "p": p.view(np.int64), "fp": b["fp"]})
 
-    rows = stored(fps.select("fp").mapInPandas(deal, "t int, head bigint, p bigint, fp bigint"), "tries")
-    big = stored(rows.groupBy("t", "head").count().filter(F.col("count") > max_node).select("t", "head"), "big")
-    dealt = rows.withColumn("cell", F.lit(-1))
-    if n_big := big.count():
-        dealt = _cut_big(rows, F.broadcast(big) if n_big <= MAX_BROADCAST else big, [x[1] for x in plan], budget)
     leads = [x[1] for x in plan]
+    dealt = stored(fps.select("fp").mapInPandas(deal, "t int, head bigint, p bigint, fp bigint"), "tries").select("t", "head", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("err"), F.lit(0).alias("side"), "p", "fp")
+    for level in range((64 - max(leads)) // CUT_BITS):
+        big = stored(dealt.groupBy("t", "head", "cell").count().filter(F.col("count") > max_node).select("t", "head", "cell"), "big")
+        if not (n_big := big.count()):
+            break
+        dealt = stored(_cut_big(dealt, F.broadcast(big) if n_big <= MAX_BROADCAST else big, leads, budget, level), "cells")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The rows come sorted by subtree, so a subtree is finished when the next one begins."""
-        rest = None
-        for b in itertools.chain(batches, [None]):
-            if b is None:
-                if rest is not None and len(rest):
-                    yield from solve(rest)
-                return
-            if rest is not None:
-                b = pd.concat([rest, b], ignore_index=True)
+        open_, held = None, []
+        for b in batches:
             if not len(b):
                 continue
-            end = b.iloc[-1]
-            open_ = ((b["t"] == end["t"]) & (b["head"] == end["head"]) & (b["cell"] == end["cell"])).to_numpy()
-            at = int(np.argmax(open_))  # sorted: the open subtree is the tail
-            yield from solve(b.iloc[:at])
-            rest = b.iloc[at:]
+            key = b[["t", "head", "cell"]].to_numpy()
+            last = tuple(key[-1])
+            at = int(np.argmax((key == key[-1]).all(axis=1)))  # sorted: the open subtree is the tail
+            if at or last != open_:
+                held.append(b.iloc[:at])
+                yield from solve(pd.concat(held, ignore_index=True))
+                open_, held = last, []
+            held.append(b.iloc[at:])
+        if held:
+            yield from solve(pd.concat(held, ignore_index=True))
 
     def solve(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for t, of in b.groupby("t", sort=False):
@@ -243,19 +260,21 @@ def links(fps: DataFrame, budget: int = BUDGET, max_node: int = MAX_NODE, blocks
             x, y = of["fp"].to_numpy()[at][i], of["fp"].to_numpy()[at][j]
             yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    return dealt.repartition("t", "head", "cell").sortWithinPartitions("t", "head", "cell").mapInPandas(join, "a bigint, b bigint").distinct()
+    return dealt.drop("err", "side").repartition("t", "head", "cell").sortWithinPartitions("t", "head", "cell").mapInPandas(join, "a bigint, b bigint").distinct()
 
 
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a > b) reaches."""
     e = stored(edges.select("a", "b"), "links")
+    count = F.count(F.lit(1)).alias("n")
     while True:
-        up = e.groupBy("a").agg(F.min("b").alias("m"))
-        wide = e.join(up, "a").filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        up = e.groupBy("a").agg(F.min("b").alias("m"), count)
+        wide = hot_join(e, up, "a", "n", e.count()).filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         flat = stored(up.select("a", F.col("m").alias("b")).unionByName(wide).distinct(), "links")
         n = flat.count()
-        up = flat.groupBy("a").agg(F.min("b").alias("m"))
-        jumped = hot_join(flat, up.select(F.col("a").alias("b"), "m").join(flat.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b"), "b", "n", n, "left")
+        # every b is there with its count, whether it has a smaller neighbour or not: a root may have any number of children
+        above = flat.groupBy("b").agg(count).join(flat.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "b", "left")
+        jumped = hot_join(flat, above, "b", "n", n)
         e = stored(jumped.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")).distinct(), "links")
         state = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("a"), F.max("moved").alias("moved")).first()
         e = e.select("a", "b").distinct()
