@@ -8,7 +8,8 @@ and run again leaves nothing to be read twice.
 
 Reading: archives are read one after another in a task, frame by frame; the reader loads the dictionary from the leading
 frame, decodes a record per frame, and validates version line, mandatory headers, Content-Length against the block,
-and the SHA-1 payload digest. A bad archive raises ValueError naming the file and the offset.
+and the SHA-1 payload digest (hex or base 32; names of fields in any case). A revisit's digest and length are held against
+the response that it refers to. A bad archive raises ValueError naming the file and the offset.
 
 Defined results: a null html is an empty payload; a null id is written without an id and read back as null; null urls
 are read back as null; repeated rows are each written, and if they share the largest id each is a response; an empty
@@ -17,7 +18,9 @@ table gives an empty manifest.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,23 +40,37 @@ SAMPLE_BYTES, DICT_BYTES = 4 << 20, 32 << 10
 LEVEL = 3
 #: Payload bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 512 << 20
+#: Repeated digests (about 100 bytes each) that are broadcast.
+MAX_BROADCAST = 500_000
+#: Types of records, fixed by the format.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 _MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
 MANIFEST = "path string, records bigint, first_id bigint, last_id bigint, bytes bigint"
 
 
-def mark_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, digest, payload_bytes, refers_to (null for responses)."""
+def mark_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """page_id, url, payload, digest, payload_bytes, refers_to (null for responses).
+
+    Up to max_broadcast repeated digests are broadcast and no payload moves; more are joined by one shuffle of the payloads
+    of at least min_bytes.
+    """
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     src = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     src = src.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     # only payloads that occur more than once matter; they are found on digests alone
-    same = src.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    there = src.filter(F.col("payload_bytes") >= min_bytes)
+    same = there.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     same = stored(same, "repeats")
-    total = pages.select(F.count(F.lit(1)).alias("n")).first().n
-    if same.isEmpty():
-        return src.withColumn("refers_to", F.lit(None).cast("bigint"))
-    out = hot_join(src, same, "digest", "n", total, "left")
-    return out.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("refers_to")), F.lit(None)).otherwise(F.col("refers_to")))
+    n = same.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    none = F.lit(None).cast("bigint")
+    if not n.digests:
+        return src.withColumn("refers_to", none)
+    if n.digests <= max_broadcast:  # the payloads stay where they are
+        same = same.select(F.col("digest").alias("of"), "refers_to")
+        out = src.join(F.broadcast(same), (F.col("digest") == F.col("of")) & (F.col("payload_bytes") >= min_bytes), "left").drop("of")
+    else:  # payloads under min_bytes never meet; a digest that isn't in same has one row
+        out = hot_join(there, same, "digest", "n", n.rows, "left").unionByName(src.filter(F.col("payload_bytes") < min_bytes).withColumn("refers_to", none))
+    return out.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("refers_to")), none).otherwise(F.col("refers_to")))
 
 
 def dictionary(samples: list[bytes], size: int = DICT_BYTES):
@@ -201,6 +218,18 @@ def frames(stream) -> Iterator[tuple[int, bytes]]:
         at += used
 
 
+class Fields(dict):
+    """Header fields by name, in any case; one that is missing is a ValueError."""
+
+    def __getitem__(self, name: str) -> str:
+        if (v := self.get(name.lower())) is None:
+            raise ValueError(f"no {name}")
+        return v
+
+    def __contains__(self, name: str) -> bool:
+        return super().__contains__(name.lower())
+
+
 def parse(rec: bytes) -> tuple[dict[str, str], bytes]:
     """Validated headers and block of one record."""
     head, sep, block = rec.partition(b"\r\n\r\n")
@@ -212,38 +241,75 @@ def parse(rec: bytes) -> tuple[dict[str, str], bytes]:
         k, colon, v = line.partition(":")
         if not colon or not k or k != k.strip():
             raise ValueError(f"bad header line {line!r}")
-        fields[k] = v.strip()
-    if missing := [k for k in _MANDATORY if k not in fields]:
+        fields[k.lower()] = v.strip()
+    if missing := [k for k in _MANDATORY if k.lower() not in fields]:
         raise ValueError(f"no {missing[0]}")
-    if not fields["Content-Length"].isdigit() or int(fields["Content-Length"]) + 4 != len(block) or block[-4:] != b"\r\n\r\n":
+    if fields["warc-type"] not in TYPES:
+        raise ValueError(f"no such record type: {fields['warc-type']}")
+    fields = Fields(fields)
+    if not (fields["Content-Length"].isascii() and fields["Content-Length"].isdigit()) or int(fields["Content-Length"]) + 4 != len(block) or block[-4:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length is {fields['Content-Length']}, the block has {len(block) - 4} bytes")
     return fields, block[:-4]
 
 
 def _page(uri: str) -> int | None:
-    tail = uri.rstrip(">").rsplit(":", 1)[1]
+    tail = uri.rstrip(">").rsplit(":", 1)[-1]
+    if tail and not re.fullmatch("-?[0-9]+", tail):
+        raise ValueError(f"{uri} names no page")
     return int(tail) if tail else None
 
 
+def sha1_hex(labelled: str) -> str:
+    """The digest of a sha1: field as lower-case hex; it may stand there as hex or, as is common, in base 32."""
+    kind, _, value = labelled.partition(":")
+    if kind.lower() != "sha1":
+        raise ValueError(f"no SHA-1 digest: {labelled}")
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    if re.fullmatch("[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    raise ValueError(f"no SHA-1 digest: {labelled}")
+
+
 def decode(rec: bytes) -> tuple:
-    """(page_id, url, payload, payload_bytes, digest, record_type, refers_to) of one record, all checked."""
+    """(page_id, url, payload, payload_bytes, digest, record_type, refers_to) of one record, all checked but a revisit's claims."""
     f, block = parse(rec)
-    digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
     url = f["WARC-Target-URI"].encode("ascii").decode("unicode_escape") if "WARC-Target-URI" in f else None
-    if f["WARC-Type"] == "revisit":
+    kind = f["WARC-Type"]
+    if kind == "revisit":
         if block:
             raise ValueError("a revisit has a block")
-        return _page(f["WARC-Record-ID"]), url, None, int(f["X-Payload-Length"]), digest, "revisit", _page(f["WARC-Refers-To"])
-    _, sep, payload = block.partition(b"\r\n\r\n")
-    if not sep:
-        raise ValueError("no HTTP header")
-    if hashlib.sha1(payload).hexdigest() != digest:
+        if not re.fullmatch("[0-9]+", f["X-Payload-Length"]):
+            raise ValueError(f"X-Payload-Length is {f['X-Payload-Length']}")
+        return _page(f["WARC-Record-ID"]), url, None, int(f["X-Payload-Length"]), sha1_hex(f["WARC-Payload-Digest"]), kind, _page(f["WARC-Refers-To"])
+    payload = block
+    if kind == "response":
+        _, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep:
+            raise ValueError("no HTTP header")
+    digest = hashlib.sha1(payload).hexdigest()
+    if (kind == "response" or "WARC-Payload-Digest" in f) and digest != sha1_hex(f["WARC-Payload-Digest"]):
         raise ValueError("the payload doesn't have its digest")
-    return _page(f["WARC-Record-ID"]), url, payload, len(payload), digest, f["WARC-Type"], None
+    return _page(f["WARC-Record-ID"]), url, payload, len(payload), digest, kind, None
+
+
+def verify_revisits(records: DataFrame) -> None:
+    """Raises ValueError where a revisit's digest and length aren't those of a response with the id it refers to.
+
+    Payloads aren't needed. A response that any number of others revisit counts once before anything is shuffled.
+    """
+    claim = ["page_id", "payload_digest", "payload_bytes"]
+    claims = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *claim[1:]).distinct()
+    has = records.filter("record_type = 'response'").select(*claim).distinct()
+    if wrong := claims.join(has.hint("merge"), claim, "left_anti").take(1):
+        raise ValueError(f"a revisit of {wrong[0].page_id} has another payload than that response")
 
 
 def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """Every record of the manifest's archives. The manifest has a row per archive; each archive is read by one task."""
+    """Every record of the manifest's archives. The manifest has a row per archive; each archive is read by one task.
+
+    verify_revisits() holds the revisits among them against their responses.
+    """
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +338,9 @@ def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) ->
 def op2(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     manifest = write(mark_revisits(pages), new_path(spark, "warc"))
-    return read(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = stored(read(spark, manifest, payloads=False), "records")
+    verify_revisits(records)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
