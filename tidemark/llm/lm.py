@@ -8,9 +8,14 @@ space; bytes stand in for characters without a piece. Pieces never cross a word
 sum of its words' and its end's.
 
 Spark counts each word of the whole training part once; lattices are run once per distinct word, never per occurrence.
-Words meet their texts block-wise: texts are dealt into blocks of about BLOCK_BYTES, each block's distinct words fetch
-count and score in one join, and a block's texts are scored beside its own dictionary. No word, however frequent, has more
-rows in that join than there are blocks.
+Words meet their texts block-wise: neighbouring rows of a file are a block of about BLOCK_BYTES, each block's distinct words
+fetch count and score in one join, and a block's texts are scored beside its own dictionary, which a task reads first. No
+word, however frequent, has more rows in that join than there are blocks and splits of files, and a task holds one block's
+dictionary, however many rows, equal rows included, a block has. Rows that don't come from Parquet files are stored first.
+
+Words of over LONG characters are taken alone, a character at a time, in memory in step with their length; lattices of
+shorter ones hold CHARS characters at most. Expected counts are added up as whole numbers (units of 1 / UNIT), so
+scores don't depend on the order of tasks.
 
 Defined results: a null or empty text is its end alone; null ids are hashed as an empty text; repeated rows are scored
 and counted each; without training texts all counts are zero and the vocabulary's own ranks give the scores.
@@ -23,19 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 PIECES = "piece_bpe_32k.model"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Added to every piece's expected count.
 SMOOTH = 0.5
 ZIPF_SHIFT = 2.7
 MARK = "▁"
-#: Words that a task runs through lattices at once, and words that it counts before it gives its tables up.
-WORDS, COUNTED = 4096, 500_000
+#: Characters that a task runs through lattices at once, and those of a word that is taken alone.
+CHARS, LONG = 1 << 15, 1 << 11
+#: Expected counts are whole numbers of these.
+UNIT = 1 << 16
 _P = np.uint64(0x100000001B3)
 _NEG = -1e30
 
@@ -49,6 +57,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.pieces = pieces  # in the file's order of merit
+        self.place = {p: i for i, p in enumerate(pieces)}
         self.n = len(pieces)
         self.bytes_at, self.end_at = self.n, self.n + 256
         by_len: dict[int, list[tuple[int, int]]] = {}
@@ -171,18 +180,99 @@ class Lattice:
         return self.forward(arc)[self.first[1:] + np.arange(len(self.len))]
 
     def expected(self, arc: np.ndarray, weight: np.ndarray, voc: Vocabulary) -> np.ndarray:
-        """Expected piece counts, each word weighted."""
+        """Expected piece counts, each word weighted, in whole units."""
         f, b = self.forward(arc), self.backward(arc)
         total = f[self.first[1:] + np.arange(len(self.len))]
         node = self.start + self.word
-        p = np.exp(f[node] + arc + b[node + self.k] - total[self.word]) * weight[self.word]
-        out = np.bincount(self.piece[self.piece >= 0], p[self.piece >= 0], voc.n + 257)
+        p = np.rint(np.exp(f[node] + arc + b[node + self.k] - total[self.word]) * weight[self.word] * UNIT).astype(np.int64)
+        out = np.zeros(voc.n + 257, np.int64)
+        np.add.at(out, self.piece[self.piece >= 0], p[self.piece >= 0])
         for i in np.flatnonzero(self.piece < 0):
             for x in self.lone_bytes[int(self.start[i])]:
                 out[voc.bytes_at + x] += p[i]
         return out
 
 
+class LongWord:
+    """The same for one word of any length: two numbers a character, no arcs kept."""
+
+    def __init__(self, word: bytes, voc: Vocabulary):
+        self.text, self.voc = MARK + word.decode("utf-8", "replace"), voc
+
+    def arcs(self, at: int, scores: list[float]) -> list[tuple[int, int, float]]:
+        """(length, piece, score) of the arcs that end at a place; piece -1: the character's bytes."""
+        out = [(k, i, scores[i]) for k in range(1, min(at, self.voc.longest) + 1) if (i := self.voc.place.get(self.text[at - k : at], -1)) >= 0]
+        if not any(k == 1 for k, _, _ in out):
+            out.append((1, -1, sum(scores[self.voc.bytes_at + x] for x in self.text[at - 1].encode())))
+        return out
+
+    def forward(self, scores: list[float]) -> np.ndarray:
+        value = np.zeros(len(self.text) + 1)
+        for at in range(1, len(value)):
+            x = [value[at - k] + s for k, _, s in self.arcs(at, scores)]
+            top = max(x)
+            value[at] = top + math.log(sum(math.exp(v - top) for v in x))
+        return value
+
+    def marginal(self, scores: list[float]) -> float:
+        return float(self.forward(scores)[-1])
+
+    def expected(self, scores: list[float], weight: float) -> dict[int, int]:
+        """Expected counts by piece, in whole units: a word's end has weight 1, which its arcs hand down."""
+        value, out = self.forward(scores), {}
+        share = np.zeros(len(value))
+        share[-1] = 1.0
+        for at in range(len(value) - 1, 0, -1):
+            for k, i, s in self.arcs(at, scores):
+                p = share[at] * math.exp(value[at - k] + s - value[at])
+                share[at - k] += p
+                for j in [i] if i >= 0 else [self.voc.bytes_at + x for x in self.text[at - 1].encode()]:
+                    out[j] = out.get(j, 0) + round(p * weight * UNIT)
+        return out
+
+
+def cut_words(words: list[bytes]) -> Iterator[tuple[list[int], bool]]:
+    """Places of the words that a lattice takes at once, or of one long word (True)."""
+    held, size = [], 0
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            yield [i], True
+            continue
+        if held and size + len(w) + 1 > CHARS:
+            yield held, False
+            held, size = [], 0
+        held.append(i)
+        size += len(w) + 1
+    if held:
+        yield held, False
+
+
+def marginals_of(words: list[bytes], scores: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    out, plain = np.empty(len(words)), None
+    for at, long in cut_words(words):
+        if long:
+            plain = scores.tolist() if plain is None else plain
+            out[at[0]] = LongWord(words[at[0]], voc).marginal(plain)
+        else:
+            lat = Lattice([words[i] for i in at], voc)
+            out[at] = lat.marginal(lat.arc_scores(scores, voc))
+    return out
+
+
+def expected_of(words: list[bytes], weight: np.ndarray, scores: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    """Expected piece counts of weighted words, in whole units."""
+    total, plain = np.zeros(voc.n + 257, np.int64), None
+    for at, long in cut_words(words):
+        if long:
+            plain = scores.tolist() if plain is None else plain
+            for i, n in LongWord(words[at[0]], voc).expected(plain, float(weight[at[0]])).items():
+                total[i] += n
+        else:
+            lat = Lattice([words[i] for i in at], voc)
+            total += lat.expected(lat.arc_scores(scores, voc), weight[at], voc)
+    return total
+
+
 _VOC: dict[str, Vocabulary] = {}
 
 
@@ -197,42 +287,49 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def _blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """doc_id, text (bytes), held_out, block: blocks of about block_bytes, by content, so that a source or id can't fill one."""
-    t = F.col(f"`{text_col}`").cast("binary")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(t)), F.lit(0)).alias("n")).first().n
-    n = max(1, math.ceil(size / block_bytes))
-    id_text = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"), (F.crc32(id_text.cast("binary")) % 5 == 1).alias("held_out"))
-    return src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    """doc_id (as text), text (bytes), held_out, block: neighbouring rows of a file, about block_bytes of text.
+
+    A row's file and place in it are the same in every scan, so both scans deal the same blocks.
+    """
+    id_text = F.col(f"`{id_col}`").cast("string")
+    src = docs.select(id_text.alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        placed = docs.select(id_text.alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *place)
+    except AnalysisException:
+        placed = stored(src, "documents").select("doc_id", "text", *place)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("binary"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    rows = max(1, size.rows * block_bytes // max(1, size.bytes))
+    held_out = F.crc32(F.coalesce("doc_id", F.lit("")).cast("binary")) % 5 == 1
+    return placed.select("doc_id", "text", held_out.alias("held_out"), F.xxhash64("file", F.floor(F.col("row") / rows)).alias("block"))
 
 
 def _dictionary(blocked: DataFrame) -> DataFrame:
-    """(block, word, n): each block's distinct words, with their number in its training texts. Counted task by task; the
-    tables of a task's blocks are given up whenever they grow large, and added up after the shuffle."""
+    """(block, word, n): each block's distinct words, with their number in its training texts. A block's rows come one after
+    another, so a task holds one block's words; a block in two splits of a file has two rows of a word, to be added up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
-        held: dict[int, list[Counter]] = {}
-        size = 0
+        train, other, at = Counter(), set(), None
 
         def flush() -> Iterator[pd.DataFrame]:
-            for block, (train, other) in held.items():
-                words = list(train.keys() | other.keys())
-                yield pd.DataFrame({"block": np.int32(block), "word": words, "n": [train.get(w, 0) for w in words]})
-            held.clear()
+            words = [*train, *(other - train.keys())]
+            for i in range(0, len(words), 100_000):
+                part = words[i : i + 100_000]
+                yield pd.DataFrame({"block": np.int64(at), "word": part, "n": [train.get(w, 0) for w in part]})
+            train.clear()
+            other.clear()
 
         for b in batches:
-            for text, out, block in zip(b["text"], b["held_out"], b["block"], strict=True):
-                w = words_of(text)
-                held.setdefault(block, [Counter(), Counter()])[bool(out)].update(w)
-                size += len(w)
-            if size > COUNTED:
-                yield from flush()
-                size = 0
+            for text, out, block in zip(b["text"], b["held_out"], b["block"].tolist(), strict=True):
+                if block != at:
+                    yield from flush()
+                    at = block
+                (other if out else train).update(words_of(text))
         yield from flush()
 
-    return blocked.select("text", "held_out", "block").mapInPandas(run, "block int, word binary, n bigint").groupBy("block", "word").agg(F.sum("n").alias("n"))
+    return blocked.select("text", "held_out", "block").mapInPandas(run, "block bigint, word binary, n bigint")
 
 
 def fit(counts: DataFrame, n_end: int, path: str) -> np.ndarray:
@@ -243,19 +340,16 @@ def fit(counts: DataFrame, n_end: int, path: str) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(path)
-        scores, total = voc.first_scores(), np.zeros(voc.n + 257)
+        scores, total = voc.first_scores(), np.zeros(voc.n + 257, np.int64)
         for b in batches:
-            for at in range(0, len(b), WORDS):
-                part = b.iloc[at : at + WORDS]
-                lat = Lattice(list(part["word"]), voc)
-                total += lat.expected(lat.arc_scores(scores, voc), part["c"].to_numpy(dtype=float), voc)
+            total += expected_of(list(b["word"]), b["c"].to_numpy(dtype=float), scores, voc)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"piece": at, "n": total[at]})
 
     voc = vocabulary(path)
     total = np.full(voc.n + 257, SMOOTH)
-    for r in counts.filter("c > 0").mapInPandas(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[r.piece] += r.n
+    for r in counts.filter("c > 0").mapInPandas(run, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
+        total[r.piece] += r.n / UNIT
     total[voc.end_at] += n_end
     return np.log(total / total.sum()) if n_end else voc.first_scores()
 
@@ -264,7 +358,7 @@ def score(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), for every row of docs."""
     spark = docs.sparkSession
     blocked = _blocked(docs, id_col, text_col, block_bytes)
-    pairs = stored(_dictionary(blocked).repartition("word"), "pairs")
+    pairs = stored(_dictionary(blocked), "pairs")
     counts = stored(pairs.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     ends = blocked.filter(~F.col("held_out")).count()
     t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
@@ -276,29 +370,43 @@ def score(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     def marginals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(path)
         for b in batches:
-            out = np.empty(len(b))
-            for at in range(0, len(b), WORDS):
-                lat = Lattice(list(b["word"].iloc[at : at + WORDS]), voc)
-                out[at : at + WORDS] = lat.marginal(lat.arc_scores(sent.value, voc))
-            yield b.assign(p=out)
+            yield b.assign(p=marginals_of(list(b["word"]), sent.value, voc))
 
     scored = counts.mapInPandas(marginals, "word binary, c bigint, p double")
-    known = pairs.select("block", "word").join(scored.hint("merge"), "word").select("block", "word", "c", "p")
+    known = pairs.select("block", "word").join(scored.hint("merge"), "word")
     floor = total + 0.5 * (kinds + 1)
     base = lambda c: math.log10((c + 0.5) / floor)
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        p_end = float(sent.value[end_at])
-        table = {w: (c > 0, base(c), p) for w, c, p in zip(right["word"], right["c"].tolist(), right["p"].tolist(), strict=True)}
-        rows = []
-        for doc_id, text, out in zip(left["doc_id"], left["text"], left["held_out"], strict=True):
-            got = [table[w] for w in words_of(text)]
-            n_known = sum(g[0] for g in got) + (ends > 0)
-            rows.append((doc_id, out, len(got) + 1, n_known, total, math.fsum(g[1] for g in got) + base(ends), (math.fsum(g[2] for g in got) + p_end) / math.log(10)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
-
-    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, schema)
+    # a block's dictionary (what 0) comes before its texts
+    words = known.select("block", F.lit(0).alias("what"), F.col("word").alias("data"), F.col("c").cast("double").alias("c"), "p", F.lit(None).cast("string").alias("doc_id"))
+    texts = blocked.select("block", F.when(F.col("held_out"), 2).otherwise(1).alias("what"), F.col("text").alias("data"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("p"), "doc_id")
+    dealt = words.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("what") > 0)
+    schema = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p_end, ln10 = float(sent.value[end_at]), math.log(10)
+        end, at = base(ends), None
+        table: dict[bytes, tuple[bool, float, float]] = {}
+        bases: dict[float, float] = {}
+        for b in batches:
+            rows = []
+            for block, what, data, c, p, doc_id in zip(b["block"].tolist(), b["what"].tolist(), b["data"], b["c"].tolist(), b["p"].tolist(), b["doc_id"], strict=True):
+                if block != at:
+                    table.clear()
+                    at = block
+                if what == 0:
+                    if (v := bases.get(c)) is None:
+                        if len(bases) > 100_000:
+                            bases.clear()
+                        v = bases[c] = base(c)
+                    table[data] = (c > 0, v, p)
+                    continue
+                got = [table[w] for w in words_of(data)]
+                k, v, q = zip(*got, strict=True) if got else ((), (), ())
+                rows.append((doc_id, what == 2, len(got) + 1, sum(k) + (ends > 0), total, math.fsum(v) + end, (math.fsum(q) + p_end) / ln10))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    out = dealt.mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def op8(docs: DataFrame, path: str) -> DataFrame:
