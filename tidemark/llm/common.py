@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +76,28 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def appended(df: DataFrame, column: str, run: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
+    """df without column, and with new fields made of its values; all other columns pass through untouched, whatever they hold.
+
+    run is called once a task and gives a function from a batch's values to its new columns, each a list.
+    """
+    rest = [f for f in df.schema.fields if f.name != column]
+    new = T.StructType.fromDDL(fields).fields
+    names = [f.name for f in rest + new]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, kinds = run(), [to_arrow_type(f.dataType) for f in new]
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            made = make(b.column(at).to_pylist())
+            kept = [b.column(i) for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)], names=names)
+
+    return df.mapInArrow(each, T.StructType(rest + new))
+
+
+def whole(values: list[int | None]) -> pd.api.extensions.ExtensionArray:
+    """Whole numbers and nulls for a pandas column, without a detour over floating point."""
+    return pd.array(values, dtype="Int64")

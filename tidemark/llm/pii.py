@@ -27,10 +27,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import appended, unused
+
 KINDS = ("email", "ip", "card", "phone")
 N_LABELS = 1 + len(KINDS)  # 0: outside
 DIM = 1 << 12
@@ -42,6 +43,8 @@ BELIEF = 0.95
 TRAIN_DOCS, TRAIN_STEPS, SEED = 400, 120, 7
 #: Gradients need less than labels.
 TRAIN_TOLERANCE = 1e-2
+#: Characters of the texts whose graphs a task holds at once; a longer text is one graph.
+BATCH_CHARS = 4 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -51,6 +54,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile("[0-9@]")
 _WS = re.compile(r"[\x20\x09-\x0D]")
+_GAP = re.compile(r"[\x20\x09-\x0D]+")
+_EDGE = ".,;:!?\"'()[]{}<>|"
 _BEFORE = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
 
 
@@ -118,18 +123,28 @@ _CUE = {w: k for k, ws in CUES.items() for w in ws}
 
 
 def _shape(tok: str) -> str:
+    """Of the whole token: letters in a row are one, digits in a row up to five, whole patterns of a long one too."""
     out = re.sub("[0-9]", "9", tok)
     out = re.sub(r"[^\W\d_]+", "a", out)
-    return re.sub(r"9{5,}", "9+", out)
+    out = re.sub(r"9{5,}", "9+", out)
+    return re.sub(r"(.{2,12}?)\1{3,}", r"\1*", out)
+
+
+def _beside(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether nothing but white space stands between a token and the next one."""
+    m = _GAP.match(text, a[1])
+    return bool(m) and m.end() == b[0]
 
 
 def features(text: str, toks: list[tuple[int, int]]) -> list[list[int]]:
     out = []
+    shapes = [_shape(text[a:b].strip(_EDGE)) for a, b in toks]
+    near = [_beside(text, x, y) for x, y in zip(toks, toks[1:], strict=False)]
     for k, (a, b) in enumerate(toks):
-        raw = text[a : min(b, a + 256)]  # what follows can't change these features' meaning: such a token is no personal data
-        tok = raw.strip(".,;:!?\"'()[]{}<>|")
+        raw = text[a:b]
+        tok = raw.strip(_EDGE)
         digits = "".join(c for c in tok if "0" <= c <= "9")
-        f = ["bias", "shape=" + _shape(tok)[:24], f"digits={min(len(digits), 20)}", f"dots={min(tok.count('.'), 5)}", f"at={tok.count('@')}"]
+        f = ["bias", "shape=" + shapes[k], f"digits={min(len(digits), 20)}", f"dots={min(tok.count('.'), 5)}", f"at={tok.count('@')}"]
         f += [f"letters={any(c.isalpha() for c in tok)}", f"plus={raw[:1] == '+'}", f"paren={raw[:1] == '('}", f"dash={min(tok.count('-'), 4)}", f"long={b - a > 40}"]
         parts = tok.split(":")[0].split(".")
         f.append(f"octets={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}")
@@ -138,11 +153,12 @@ def features(text: str, toks: list[tuple[int, int]]) -> list[list[int]]:
         word = m[1].strip(".,;:!?\"'()|#").lower() if m else ""
         f.append("cue=" + _CUE.get(word, "-"))
         f.append(f"before={'version' if word in ('version', 'v', 'section', 'page', 'chapter', 'art') else '='if word == '=' else '-'}")
-        f.append(f"left={k > 0 and toks[k - 1][1] + 1 == a} right={k + 1 < len(toks) and b + 1 == toks[k + 1][0]}")
-        if k > 0 and toks[k - 1][1] + 1 == a:
-            f.append("prev=" + _shape(text[toks[k - 1][0] : min(toks[k - 1][1], toks[k - 1][0] + 24)])[:12])
-        if k + 1 < len(toks) and b + 1 == toks[k + 1][0]:
-            f.append("next=" + _shape(text[toks[k + 1][0] : min(toks[k + 1][1], toks[k + 1][0] + 24)])[:12])
+        left, right = k > 0 and near[k - 1], k + 1 < len(toks) and near[k]
+        f.append(f"left={left} right={right}")
+        if left:
+            f.append("prev=" + shapes[k - 1])
+        if right:
+            f.append("next=" + shapes[k + 1])
         out.append([zlib.crc32(x.encode()) % DIM for x in f])
     return out
 
@@ -153,7 +169,7 @@ def _key(tok: str) -> str:
 
 def edges(text: str, toks: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[bool, list[int]]]]:
     """Chain edges, and entities of two tokens or more: whether their tokens are all equal, and the tokens."""
-    chain = [(k - 1, k) for k in range(1, len(toks)) if toks[k - 1][1] + 1 == toks[k][0]]
+    chain = [(k - 1, k) for k in range(1, len(toks)) if _beside(text, toks[k - 1], toks[k])]
     parent = list(range(len(toks)))
 
     def root(k: int) -> int:
@@ -400,7 +416,7 @@ def find_spans(texts: list[str], w: np.ndarray, pair: np.ndarray, belief: float
                 x += 1
                 continue
             y, digits = x, _digits(t, toks[x])
-            while y + 1 < len(toks) and (digits := digits + _digits(t, toks[y + 1])) <= _MOST[label[x]] and label[y + 1] == label[x] and clamp[y + 1] < 0 and toks[y][1] + 1 == toks[y + 1][0]:
+            while y + 1 < len(toks) and (digits := digits + _digits(t, toks[y + 1])) <= _MOST[label[x]] and label[y + 1] == label[x] and clamp[y + 1] < 0 and _beside(t, toks[y], toks[y + 1]):
                 y += 1
             a, b = toks[x][0], toks[y][1]
             while a < b and t[a] in ".,;:!?\"'[]{}<>|":
@@ -438,7 +454,7 @@ def _labels(text: str, toks: list[tuple[int, int]], clamp: list[int], hubs: list
     for way, step in ((order, -1), (reversed(order), 1)):
         for k in way:
             o = k + step
-            if piece[k] and not label[k] and 0 <= o < len(toks) and label[o] == piece[k] and toks[min(k, o)][1] + 1 == toks[max(k, o)][0]:
+            if piece[k] and not label[k] and 0 <= o < len(toks) and label[o] == piece[k] and _beside(text, toks[min(k, o)], toks[max(k, o)]):
                 label[k] = piece[k]
     return label
 
@@ -460,6 +476,18 @@ def _first(toks: list[tuple[int, int]], start: int) -> int:
     return lo
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, about BATCH_CHARS at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
@@ -480,25 +508,29 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None, redacted: bool = False, belief: float = BELIEF) -> DataFrame:
-    """carry's columns (doc_id by default), __base and __added (array of kind, start, end; code points), and __redacted text if asked for."""
+    """carry's columns (doc_id by default), __base and __added (array of kind, start, end; code points), and __redacted text if asked for.
+
+    carry must have none of these three names; the pipeline renames its columns for that.
+    """
     w, pair = model()
     sent = docs.sparkSession.sparkContext.broadcast((w, pair))
+    keep = carry or ["doc_id"]
+    source = unused(keep, "__text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run():
         w, pair = sent.value
-        for b in batches:
-            texts = [t or "" for t in b["__text"]]
-            found = find_spans(texts, w, pair, belief)
-            new = {"__base": [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x, _ in found], "__added": [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in y] for _, y in found]}
-            if redacted:
-                new["__redacted"] = [None if o is None else redact(t, x + y) for o, t, (x, y) in zip(b["__text"], texts, found, strict=True)]
-            b = b.drop(columns="__text")
-            yield b.assign(**{k: pd.Series(v, index=b.index, dtype=object) for k, v in new.items()})
-
-    src = docs.select(*[F.col(f"`{c}`") for c in carry or ["doc_id"]], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    span = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return src.mapInPandas(run, f"{schema}, __base {span}, __added {span}" + ", __redacted string" * redacted)
+        span = lambda found: [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found]
+
+        def make(texts: list) -> list:
+            found = [x for part in _parts([t or "" for t in texts]) for x in find_spans(part, w, pair, belief)]
+            new = [span(x for x, _ in found), span(y for _, y in found)]
+            return new + [[None if t is None else redact(t, x + y) for t, (x, y) in zip(texts, found, strict=True)]] * redacted
+
+        return make
+
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(source))
+    kind = "array<struct<kind: string, start: bigint, end: bigint>>"
+    return appended(src, source, run, f"__base {kind}, __added {kind}" + ", __redacted string" * redacted)
 
 
 def op3(docs: DataFrame) -> DataFrame:
