@@ -1,13 +1,14 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks, decoded by Viterbi.
 
 A page is read once, tag by tag; start and end tags of block elements bound the leaf blocks, inline tags don't, and
-scripts, styles, comments, drawings (svg) and the head leave no block; formulas (math) and an object's fallback stay in theirs. A block's features are the tags, classes and ids of its open
+scripts, styles, comments, drawings (svg) and the head leave no block (one of these that is never closed is an empty
+element, but scripts, styles, titles and text areas go on to the end); formulas (math) and an object's fallback stay in theirs. A block's features are the tags, classes and ids of its open
 ancestors, its own tag, and its text (length, links, punctuation). The labels are main and other; the field is trained on
 the driver on TRAIN_PAGES pages that generate() labels by construction, by exact gradients (forward-backward), and doesn't
 see the corpus. The blocks that Viterbi calls main make up the text.
 
-Defined results: a null or empty page has no blocks and an empty text; text outside any tag is a block; unclosed tags,
-comments and scripts end with the page; null urls stay null; repeated rows are each returned.
+Defined results: a null or empty page has no blocks and an empty text; text outside any tag is a block; white space, no-break
+spaces included, is one space; unclosed tags, comments and scripts end with the page; null urls stay null; repeated rows are each returned.
 """
 
 from __future__ import annotations
@@ -17,19 +18,22 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import appended
+
 DIM = 1 << 12
 TRAIN_PAGES, TRAIN_STEPS, SEED = 500, 150, 11
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe svg textarea title head".split())
+#: Of these, the ones whose text goes on to the page's end where they aren't closed, fixed by the format.
+_RAW_TO_END = frozenset("script style textarea title".split())
+_CLOSE = {t: re.compile(rf"</{t}\b[^>]*>?", re.IGNORECASE) for t in _RAW}
 _ENDS_P = _BLOCK - {"option", "select", "body", "html"}
 #: A quote delimits a value right after an equals sign only; any other is a character of the tag.
 _TAG = re.compile(r"<(?:(!--)|([/]?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|[!?/][^>]*>?)")
@@ -37,7 +41,8 @@ _TAG = re.compile(r"<(?:(!--)|([/]?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[
 _LOOSE = re.compile(r"<()([/]?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: White space, no-break and other spaces included.
+_SPACE = re.compile(r"\s+")
 
 
 def _id(feature: str) -> int:
@@ -66,6 +71,17 @@ def _ancestor(tag: str, attrs: str) -> list[int]:
 
 
 def blocks(page: str) -> list[Block]:
+    unclosed: set[str] = set()
+
+    def _closed(tag: str, page: str, at: int) -> int:
+        """Where an element's end tag ends, -1 where it has none; a page is searched in vain once a tag."""
+        if tag in unclosed:
+            return -1
+        if not (m := _CLOSE[tag].search(page, at)):
+            unclosed.add(tag)
+            return -1
+        return m.end()
+
     out: list[Block] = []
     stack: list[tuple[str, list[int]]] = []
     is_open: Counter = Counter()
@@ -77,7 +93,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
+            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 tag = next((t for t, _ in reversed(stack) if t in _BLOCK), "")
                 out.append(Block(text, linked, tag, [k for k, v in above.items() if v]))
@@ -129,12 +145,11 @@ def blocks(page: str) -> list[Block]:
                 pop_to(tag)
             continue
         if tag in _RAW and not m[4].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
-            if tag == "head" and not close:  # an unclosed head ends where the body begins
-                body = re.compile(r"<body\b", re.IGNORECASE).search(page, m.end())
-                at = body.start() if body else n
-            parts.append(" ")
+            if (close := _closed(tag, page, at)) >= 0:
+                at = close
+            elif tag in _RAW_TO_END:
+                at = n
+            parts.append(" ")  # any other that is never closed is an empty one
             continue
         if tag in _BLOCK:
             flush()
@@ -354,18 +369,19 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """page_id, url, text, n_blocks (main blocks)."""
     sent = pages.sparkSession.sparkContext.broadcast(model())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run():
         w, tr = sent.value
-        for b in batches:
+
+        def make(found: list) -> list:
             parts = []
-            for at in range(0, len(b), 256):
-                parts += extract_all([h or "" for h in b["html"].iloc[at : at + 256]], w, tr)
-            b = b.drop(columns="html")
-            yield b.assign(text=["\n".join(p) for p in parts], n_blocks=[len(p) for p in parts])
-
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInPandas(run, f"{schema}, text string, n_blocks bigint")
+            for at in range(0, len(found), 256):
+                parts += extract_all([h or "" for h in found[at : at + 256]], w, tr)
+            return [["\n".join(p) for p in parts], [len(p) for p in parts]]
+
+        return make
+
+    src = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    return appended(src, "html", run, "text string, n_blocks bigint")
 
 
 def op9(pages: DataFrame) -> DataFrame:
