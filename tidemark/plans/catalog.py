@@ -10,6 +10,8 @@ class Metric:
     name: str
     column: str
     unit: str
+    #: The smallest value that is physically possible.
+    least: float | None = None
 
 
 @dataclass(frozen=True)
@@ -29,26 +31,26 @@ class Catalog:
         raise ValueError(f"unknown quantity: {name}")
 
 
-def _metrics(*rows: tuple[str, str, str]) -> dict[str, Metric]:
-    return {n: Metric(n, c, u) for n, c, u in rows}
+def _metrics(*rows: tuple) -> dict[str, Metric]:
+    return {r[0]: Metric(*r) for r in rows}
 
 
 MILLING = Catalog(
     _metrics(
-        ("air_temp_k", "air_temperature_k", "K"),
-        ("process_temp_k", "process_temperature_k", "K"),
+        ("air_temp_k", "air_temperature_k", "K", 0.0),
+        ("process_temp_k", "process_temperature_k", "K", 0.0),
         ("temp_delta_k", "temp_delta_k", "delta K"),
-        ("rotational_speed_rpm", "rotational_speed_rpm", "rpm"),
-        ("torque_nm", "torque_nm", "N m"),
-        ("tool_wear_min", "tool_wear_min", "min"),
-        ("power_w", "power_w", "W"),
-        ("overstrain_min_nm", "overstrain_min_nm", "min N m"),
+        ("rotational_speed_rpm", "rotational_speed_rpm", "rpm", 0.0),
+        ("torque_nm", "torque_nm", "N m", 0.0),
+        ("tool_wear_min", "tool_wear_min", "min", 0.0),
+        ("power_w", "power_w", "W", 0.0),
+        ("overstrain_min_nm", "overstrain_min_nm", "min N m", 0.0),
         ("temp_delta_margin_k", "hdf_margin_0", "delta K"),
         ("speed_margin_rpm", "hdf_margin_1", "delta rpm"),
         ("power_low_margin_w", "pwf_margin_0", "delta W"),
         ("power_high_margin_w", "pwf_margin_1", "delta W"),
         ("overstrain_margin_min_nm", "osf_margin", "delta min N m"),
-        ("failure", "machine_failure", "rate"),
+        ("failure", "machine_failure", "rate", 0.0),
     ),
     {"udi": "udi", "product_type": "product_type", "machine_id": "machine_id", "shift": "shift"},
     outcome="machine_failure",

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.units import convert
 from .catalog import Catalog
 
 #: The filter operators and limits of a plan.
@@ -23,17 +24,43 @@ class PlanError(ValueError):
 
 @dataclass(frozen=True)
 class Filter:
+    """field op value; the value may be told in another unit than the field's."""
+
     field: str
     op: str
     value: Any = None
+    unit: str | None = None
 
     def __post_init__(self):
         if self.op not in FILTER_OPS:
             raise PlanError(f"unknown filter operator: {self.op}")
 
+    def bound(self, cat: Catalog) -> Any:
+        """The value in the field's own unit."""
+        if not self.unit:
+            return self.value
+        if self.field not in cat.metrics:
+            raise PlanError(f"{self.field} has no unit")
+        own = cat.metrics[self.field].unit
+        to = lambda v: convert(float(v), self.unit, own) if isinstance(v, int | float) and not isinstance(v, bool) else v
+        try:
+            return type(self.value)(map(to, self.value)) if isinstance(self.value, list | tuple) else to(self.value)
+        except ValueError as e:
+            raise PlanError(f"{self.field}: {e}") from None
+
+    def possible(self, cat: Catalog) -> None:
+        """Refuses a value that the quantity can't have, such as a torque below zero or an absolute temperature below its zero."""
+        least = cat.metrics[self.field].least if self.field in cat.metrics else None
+        if least is None or self.op == "is_null":
+            return
+        v = self.bound(cat)
+        for x in v if isinstance(v, list | tuple) else (v,):
+            if isinstance(x, int | float) and x < least:
+                raise PlanError(f"{self.field} is never below {least:g}: {x:g}")
+
     def column(self, cat: Catalog) -> Column:
         x = F.col(cat.column(self.field))
-        v = self.value
+        v = self.bound(cat)
         match self.op:
             case "eq":
                 return x == v
@@ -107,6 +134,7 @@ class Plan:
             cat.column(name)
         for f in (*self.filters, *(f for c in self.cohorts for f in c.filters)):
             cat.column(f.field)
+            f.possible(cat)
         if len(self.group_by) > MAX_DIMENSIONS:
             raise PlanError(f"more than {MAX_DIMENSIONS} dimensions")
         if cat.key in [cat.column(g) for g in self.group_by]:
@@ -121,7 +149,7 @@ class Plan:
 
 
 def plan_from_dict(d: dict, cat: Catalog) -> Plan:
-    flt = lambda fs: tuple(Filter(f["field"], f["op"], tuple(f["value"]) if isinstance(f.get("value"), list) else f.get("value")) for f in fs or ())
+    flt = lambda fs: tuple(Filter(f["field"], f["op"], tuple(f["value"]) if isinstance(f.get("value"), list) else f.get("value"), f.get("unit")) for f in fs or ())
     binning = d.get("bin")
     return Plan(
         op=d["op"], metrics=tuple(d.get("metrics", ())), filters=flt(d.get("filters")),

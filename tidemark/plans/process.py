@@ -64,6 +64,18 @@ class Mode:
         return d[0] if len(d) == 1 else (F.greatest if self.how == "all_of" else F.least)(*d)
 
 
+#: Fixed value: rounding steps of the larger operand within which a margin's sign isn't settled by the arithmetic.
+DEGENERATE_STEPS = 8
+#: Fixed value: the distance between 1 and the next double.
+EPSILON = 2.0**-52
+
+
+def degenerate(margin: Column, *operands: Column) -> Column:
+    """Whether a margin is so near zero that rounding, not the process, decides its sign."""
+    size = F.greatest(*[F.abs(x) for x in operands], F.lit(0.0))
+    return F.abs(margin) <= DEGENERATE_STEPS * EPSILON * F.when(size > 0, size).otherwise(1.0)
+
+
 #: Fixed value: radians a second for one revolution a minute, 2 pi / 60.
 RAD_PER_RPM = 2 * 3.141592653589793 / 60
 
@@ -79,6 +91,15 @@ class Process:
     def mode(self, name: str) -> Mode:
         return next(m for m in self.modes if m.name == name)
 
+    def limit(self, mode: str, metric: str, op: str | None = None) -> float | tuple[float, float] | dict[str, float]:
+        """The limit of a mode's term, by metric and, where it has several, by operator."""
+        return next(t.limit for t in self.mode(mode).terms if t.metric == metric and op in (None, t.op))
+
+    def regimes(self) -> list[tuple[str, str]]:
+        """(mode, how it can be known): exact by its boundary, statistical in a window or by chance, irreducible without any condition."""
+        kind = lambda m: "irreducible" if not m.terms else "statistical" if m.stochastic or any(t.op == "between" for t in m.terms) else "exact"
+        return [(m.name, kind(m)) for m in self.modes]
+
     def by_variant(self, values: dict[str, float]) -> Column:
         return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(self.variant))
 
