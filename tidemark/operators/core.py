@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..plans.catalog import Catalog
 from ..plans.plan import MAX_GROUPS, Binning, Cohort, Plan, PlanError, all_of
+from .explore import explore as explore
+from .quantiles import quantiles
 
 
 def _cohorts(plan: Plan) -> tuple[Cohort, ...]:
@@ -31,19 +33,22 @@ def _long(df: DataFrame, plan: Plan, cat: Catalog, population: Column) -> DataFr
 
 
 def describe(df: DataFrame, plan: Plan, cat: Catalog) -> DataFrame:
-    """cohort, metric, n, mean with interval, sd, min, p25, median, p75, max, quality. Quantiles are exact: a column's distinct
-    values are counted map-side, so the state grows with the channel's resolution, not with the rows."""
-    named = F.array(*[F.struct(F.lit(c.name).alias("cohort"), F.lit(m).alias("metric")) for c in _cohorts(plan) for m in plan.metrics])
+    """cohort, metric, n, mean with interval, sd, min, p25, median, p75, max, quality. Quantiles are exact and their state is
+    bounded (see quantiles); a row for each cohort and metric, so the three of each stand in the plan as numbers."""
+    pairs = [(c, m) for c in _cohorts(plan) for m in plan.metrics]
+    rows = df.filter(all_of(plan.filters, cat))
+    found = quantiles(rows, {f"{i}": F.when(all_of(c.filters, cat), F.col(cat.column(m))) for i, (c, m) in enumerate(pairs)}, (0.25, 0.5, 0.75))
+    number = lambda v: F.lit(v).cast("double")
+    named = F.array(*[F.struct(F.lit(c.name).alias("cohort"), F.lit(m).alias("metric"), F.array(*[number(v) for v in found[f"{i}"]]).alias("q")) for i, (c, m) in enumerate(pairs)])
     frame = df.sparkSession.range(1).select(F.explode(named).alias("s")).select("s.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = _long(df, plan, cat, all_of(plan.filters, cat)).groupBy("cohort", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    got = _long(df, plan, cat, all_of(plan.filters, cat)).groupBy("cohort", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
     out = frame.join(got, ["cohort", "metric"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     lo, hi = S.mean_interval(F.col("mean"), F.col("sd"), F.col("n"), plan.confidence)
     return out.select("cohort", "metric", "n", "mean", lo.alias("ci_lo"), hi.alias("ci_hi"), "sd", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max", S.quality(F.col("n")).alias("quality"))
 
 
 def edges(df: DataFrame, column: str, binning: Binning) -> list[float]:
-    """Distinct ascending edges of a binning; one pass for quantiles and widths."""
+    """Distinct ascending edges of a binning; one pass for widths, three for quantiles."""
     if binning.how == "explicit":
         return [float(e) for e in binning.bins]
     n = int(binning.bins)
@@ -51,8 +56,8 @@ def edges(df: DataFrame, column: str, binning: Binning) -> list[float]:
     if binning.how == "width":
         lo, hi = df.agg(F.min(x), F.max(x)).first()
         return sorted({lo + (hi - lo) * i / n for i in range(n + 1)}) if lo is not None else []
-    row = df.agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0]
-    return sorted(set(row)) if row else []
+    found = quantiles(df, {"x": x}, tuple(i / n for i in range(n + 1)))["x"]
+    return sorted({v for v in found if v is not None})
 
 
 def bin_index(column: str, e: list[float]) -> Column:
@@ -215,25 +220,3 @@ def execute(df: DataFrame, plan: Plan, cat: Catalog) -> DataFrame:
     if plan.op not in OPERATORS:
         raise PlanError(f"unknown operator: {plan.op}")
     return OPERATORS[plan.op](df, plan, cat)
-
-
-#: What a free query may read, and the rows that it may return.
-EXPLORE_VIEWS, EXPLORE_ROWS = ("observations",), 10_000
-
-
-def explore(df: DataFrame, sql: str) -> DataFrame:
-    """A read-only query over the view observations. Spark analyses the text; commands and other relations are refused."""
-    import re
-
-    spark = df.sparkSession
-    if not re.match(r"\s*(select|with)\b", sql, re.IGNORECASE):
-        raise PlanError("only SELECT or WITH")
-    session = spark.newSession()
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    df.createOrReplaceGlobalTempView("observations_source")
-    session.sql("CREATE OR REPLACE TEMPORARY VIEW observations AS SELECT * FROM global_temp.observations_source")
-    out = session.sql(f"SELECT * FROM ({sql}) LIMIT {EXPLORE_ROWS}")
-    files = out._jdf.queryExecution().analyzed().collectLeaves().toString()
-    if re.search(r"UnresolvedRelation|HiveTableRelation|\b(csv|json|text|orc|binaryFile)\b\s*$", files):
-        raise PlanError("only the view observations can be read")
-    return out

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.units import unit
 from ..plans.process import RAD_PER_RPM, Process
 from . import reliability as rel
+from .physics import power_limits
 
 #: Precision and new positives that a rule needs, and rounds at most.
 PRECISION, POSITIVES, ROUNDS = 0.90, 15, 8
@@ -44,6 +47,149 @@ def induce(df: DataFrame, metrics: tuple[str, ...], outcome: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rules, "rule long, metric string, side string, cut double, precision double, positives long, coverage double")
 
 
+# conjunctions
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Terms (metric, op, value) that together mean a failure, with the evidence: rows, failures and healthy rows among them."""
+
+    terms: tuple[tuple[str, str, float], ...]
+    fires: int
+    support: int
+    grade: str
+
+    @property
+    def precision(self) -> float:
+        return self.support / self.fires
+
+    def __str__(self) -> str:
+        return " AND ".join(f"{m} {op} {v:.6g}" for m, op, v in self.terms)
+
+
+def simplified(terms: tuple[tuple[str, str, float], ...]) -> tuple[tuple[str, str, float], ...]:
+    """The tightest bound of each metric and side."""
+    best: dict[tuple[str, str], float] = {}
+    for m, op, v in terms:
+        old = best.get((m, op))
+        best[m, op] = v if old is None else max(old, v) if op == ">" else min(old, v)
+    return tuple((m, op, v) for (m, op), v in best.items())
+
+
+def _meets(terms: tuple[tuple[str, str, float], ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(m) <= v if op == "<=" else F.col(m) > v for m, op, v in terms], F.lit(True))
+
+
+def grow(df: DataFrame, metrics: tuple[str, ...], target: Column, *, depth: int = 3, least: int = POSITIVES) -> list[tuple[tuple[tuple[str, str, float], ...], float, float]]:
+    """Leaves (terms, weight of the target, weight of the rest) of a tree of threshold tests, both classes weighing the same.
+
+    One aggregate a level, whatever the number of nodes: distinct values are counted map-side by node and metric, and the
+    exact cut with the lowest weighted impurity is taken from their running counts. A row a node comes here.
+    """
+    y = target.cast("int")
+    n, k = df.agg(F.count(F.lit(1)), F.sum(y)).first()
+    if not n or not k or n == k:
+        return [((), float(k or 0), float((n or 0) - (k or 0)))]
+    up, down = n / (2 * k), n / (2 * (n - k))
+    done, open_ = [], [((), k * up, (n - k) * down)]
+    for _ in range(depth):
+        node = F.coalesce(*[F.when(_meets(t), F.lit(i)) for i, (t, _, _) in enumerate(open_)]) if open_ else None
+        if node is None:
+            break
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
+        rows = df.withColumn("_node", node).filter("_node IS NOT NULL").select("_node", F.explode(pairs).alias("s"), y.alias("_y"))
+        counted = rows.groupBy(F.struct(F.col("_node").alias("node"), F.col("s.metric").alias("metric")).alias("g"), F.col("s.x").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k"))
+        r = rel.ranked(counted, "g", ("n", "k")).filter(F.col("next").isNotNull() & (F.col("n_upto") >= least) & (F.col("n_all") - F.col("n_upto") >= least))
+        left = (F.col("k_upto") * up, (F.col("n_upto") - F.col("k_upto")) * down)
+        right = ((F.col("k_all") - F.col("k_upto")) * up, (F.col("n_all") - F.col("n_upto") - F.col("k_all") + F.col("k_upto")) * down)
+        impure = lambda a, b: 2 * a * b / (a + b)
+        cut = F.struct(F.round(impure(*left) + impure(*right), 9).alias("impurity"), F.col("g.metric").alias("metric"), ((F.col("x") + F.col("next")) / 2).alias("cut"), left[0].alias("lp"), left[1].alias("ln"), right[0].alias("rp"), right[1].alias("rn"))
+        best = {b.node: b.c for b in r.groupBy(F.col("g.node").alias("node")).agg(F.min(cut).alias("c")).collect()}
+        after = []
+        for i, (terms, p, q) in enumerate(open_):
+            c = best.get(i)
+            if c is None or not p or not q or c.impurity >= 2 * p * q / (p + q) - 1e-9:
+                done.append((terms, p, q))
+                continue
+            after += [((*terms, (c.metric, "<=", c.cut)), c.lp, c.ln), ((*terms, (c.metric, ">", c.cut)), c.rp, c.rn)]
+        open_ = after
+    return done + open_
+
+
+def induce_paths(df: DataFrame, metrics: tuple[str, ...], outcome: str, *, depth: int = 3) -> tuple[list[Rule], float]:
+    """(rules, share of all failures that they cover): conjunctions that are enough for a failure, by separate and conquer.
+
+    A tree is grown on the failures that no rule explains yet; its leaves are held against the true label, and those with
+    PRECISION and POSITIVES new failures are rules. What they explain is taken out, and the next tree finds the next mode.
+    A rule without a false alarm is verified, any other a candidate.
+    """
+    y, rules, covered = F.col(outcome) == 1, [], F.lit(False)
+    for _ in range(ROUNDS):
+        left = y & ~covered
+        leaves = [simplified(t) for t, p, q in grow(df, metrics, left, depth=depth) if t and p > q]
+        if not leaves:
+            break
+        hits = [_meets(t) for t in leaves]
+        one = df.agg(*[a for i, h in enumerate(hits) for a in (F.count_if(h).alias(f"f{i}"), F.count_if(h & y).alias(f"s{i}"), F.count_if(h & left).alias(f"n{i}"))]).first()
+        found = [Rule(t, one[f"f{i}"], one[f"s{i}"], "verified" if one[f"f{i}"] == one[f"s{i}"] else "candidate") for i, t in enumerate(leaves) if one[f"f{i}"] and one[f"s{i}"] >= PRECISION * one[f"f{i}"] and one[f"n{i}"] >= POSITIVES]
+        if not found:
+            break
+        rules += found
+        covered = reduce(lambda a, b: a | b, [_meets(r.terms) for r in rules])
+    share = df.agg(F.try_divide(F.count_if(covered & y).cast("double"), F.count_if(y))).first()[0]
+    return sorted(rules, key=lambda r: (-r.support, -r.precision, str(r))), share or 0.0
+
+
+def rule_table(df: DataFrame, rules: list[Rule], coverage: float) -> DataFrame:
+    rows = [(i + 1, str(r), len(r.terms), r.fires, r.support, r.precision, r.grade, coverage) for i, r in enumerate(rules)]
+    return df.sparkSession.createDataFrame(rows, "rule long, terms string, n_terms long, fires long, support long, precision double, grade string, coverage double")
+
+
+def tree_f1(df: DataFrame, metrics: tuple[str, ...], outcome: str, depth: int = 3) -> float:
+    """F1 in sample of one tree that calls a failure where failures weigh more."""
+    y = F.col(outcome) == 1
+    hit = reduce(lambda a, b: a | b, [_meets(t) for t, p, q in grow(df, metrics, y, depth=depth) if p > q], F.lit(False))
+    k, n, s = df.agg(F.count_if(hit & y), F.count_if(hit), F.count_if(y)).first()
+    return 2.0 * k / (n + s) if n + s else 0.0
+
+
+def constructed(units: dict[str, str], counters: tuple[str, ...]) -> dict[str, Column]:
+    """Quantities that the channels' units ask for: differences of temperatures, torque times angular speed, a counter of time times torque."""
+    of = lambda u: [c for c, x in units.items() if unit(x) == unit(u)]
+    heat, out = of("K") + of("°C"), {}
+    for i, a in enumerate(heat):
+        for b in heat[i + 1 :]:
+            out[f"{b}_minus_{a}"] = F.col(b) - F.col(a)
+    for t in of("N·m"):
+        for s in of("rpm"):
+            out[f"power_from_{t}_{s}"] = F.col(t) * F.col(s) * F.lit(RAD_PER_RPM)
+        for m in of("min"):
+            if m in counters:
+                out[f"{m}_x_{t}"] = F.col(m) * F.col(t)
+    return out
+
+
+def one_hot(df: DataFrame, columns: tuple[str, ...], most: int = 12) -> dict[str, Column]:
+    """A 0/1 column for each level of the columns that have two to most levels."""
+    few = _few(df, columns, most)
+    seen = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in few]).first() if few else None
+    return {f"{c}_is_{v}": (F.col(c) == v).cast("double") for c in few for v in seen[c]}
+
+
+def _few(df: DataFrame, columns: tuple[str, ...], most: int) -> list[str]:
+    """The columns of two to most levels, by counts that no task has to hold the levels for."""
+    n = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    return [c for c in columns if n[c] <= 2 * most and 2 <= df.select(c).dropna().distinct().limit(most + 1).count() <= most]
+
+
+def as_yaml(rules: list[Rule], variant: str, wear_rate: dict[str, float]) -> str:
+    """Rules as a process definition that from_yaml reads: a mode a rule, for an engineer to confirm, tighten or delete."""
+    import yaml
+
+    modes = [{"name": f"RULE{i + 1}", "how": "all_of", "terms": [{"metric": m, "op": op, "limit": float(v)} for m, op, v in r.terms]} for i, r in enumerate(rules)]
+    return yaml.safe_dump({"variant": variant, "wear_rate": wear_rate, "modes": modes}, sort_keys=False)
+
+
 def audit(splits: DataFrame, documented: dict[str, float]) -> DataFrame:
     """Found cuts beside the nearest documented limit of the same metric; verified within ten percent."""
     docs = F.create_map(*[x for k, v in documented.items() for x in (F.lit(k), F.lit(float(v)))])
@@ -95,9 +241,9 @@ def envelope_projection(df: DataFrame, p: Process, horizon: int = 200, step: int
     rate = F.element_at(F.create_map(*[x for k, v in p.wear_rate.items() for x in (F.lit(k), F.lit(v))]), F.col("product_type"))
     now = df.groupBy("machine_id").agg(F.max_by(F.struct("product_type", "tool_wear_min", "rotational_speed_rpm"), "udi").alias("r")).select("machine_id", "r.*")
     s = now.withColumn("limit", limit).withColumn("rate", rate).withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(horizon), F.lit(step))))
-    w = F.col("rotational_speed_rpm") * F.lit(RAD_PER_RPM)
+    w, (low, high) = F.col("rotational_speed_rpm") * F.lit(RAD_PER_RPM), power_limits(p)
     wear = F.col("tool_wear_min") + F.col("cycle") * F.col("rate")
     strain = F.coalesce(F.try_divide(F.col("limit"), wear), F.lit(1e308))
-    s = s.select("machine_id", "cycle", (3500.0 / w).alias("lo"), F.least(9000.0 / w, strain).alias("hi"), (strain < 9000.0 / w).alias("by_strain"))
+    s = s.select("machine_id", "cycle", (low / w).alias("lo"), F.least(high / w, strain).alias("hi"), (strain < high / w).alias("by_strain"))
     g = s.groupBy("machine_id").agg(F.max(F.when(F.col("cycle") == 0, F.col("hi") - F.col("lo"))).alias("width_now"), F.max(F.when(F.col("cycle") == horizon, F.col("hi") - F.col("lo"))).alias("width_then"), F.min(F.when(F.col("hi") < F.col("lo"), F.col("cycle"))).cast("bigint").alias("closes_at"), F.min(F.when(F.col("by_strain"), F.col("cycle"))).cast("bigint").alias("strain_binds_at"))
     return g.withColumn("shrink", 100.0 * (1 - F.greatest(F.col("width_then"), F.lit(0.0)) / F.col("width_now")))

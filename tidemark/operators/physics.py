@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..plans.process import RAD_PER_RPM, Process
 
-_PWF_LO, _PWF_HI = 3500.0, 9000.0
+#: Tool-wear failures seen among the cycles in the window, and the conditions taken where nothing was observed.
+WEAROUT_SEEN = (43, 790)
+NOMINAL = {"air_temperature_k": 300.0, "process_temperature_k": 310.0, "rotational_speed_rpm": 1500.0, "torque_nm": 40.0, "tool_wear_min": 0.0}
+
+
+def power_limits(p: Process) -> tuple[float, float]:
+    return float(p.limit("PWF", "power_w", "<")), float(p.limit("PWF", "power_w", ">"))
+
+
+def heat_limits(p: Process) -> tuple[float, float]:
+    """(temperature difference, speed) under which heat isn't carried off."""
+    return float(p.limit("HDF", "temp_delta_k")), float(p.limit("HDF", "rotational_speed_rpm"))
 
 
 def _certain(p: Process) -> list[str]:
@@ -25,7 +36,7 @@ def root_causes(df: DataFrame, p: Process) -> DataFrame:
     verdict = F.when(F.size(fired) > 0, F.array_join(fired, " + ")).when(F.col("machine_failure") == 1, "cause_undetermined").otherwise("healthy")
     rate, torque = p.by_variant(p.wear_rate), F.col("torque_nm")
     limit = p.mode("OSF").terms[0].bound(F.col(p.variant))
-    return df.select("udi", "product_type", "machine_failure", verdict.alias("verdict"), F.size(fired).cast("bigint").alias("mode_count"), nearest["rule"].alias("closest_rule"), nearest["d"].alias("closest_distance"), F.try_divide(limit, torque).alias("osf_crossing_wear"), F.greatest(F.col("tool_wear_min") - F.try_divide(limit, torque), F.lit(0.0)).alias("osf_exceeded_by"), F.col("twf_rule").alias("twf_in_window"), rate.alias("wear_rate"))
+    return df.select("udi", "product_type", "machine_failure", verdict.alias("verdict"), F.size(fired).cast("bigint").alias("mode_count"), nearest["rule"].alias("closest_rule"), nearest["d"].alias("closest_distance"), F.try_divide(limit, torque).alias("osf_crossing_wear"), F.greatest(F.col("tool_wear_min") - F.try_divide(limit, torque), F.lit(0.0)).alias("osf_exceeded_by"), F.col("twf_rule").alias("twf_in_window"), F.when(F.col("twf_rule"), WEAROUT_SEEN[0] / WEAROUT_SEEN[1]).otherwise(0.0).alias("twf_probability"), ((F.col("rnf") == 1) & (F.col("machine_failure") == 0)).alias("rnf_not_rolled_up"), rate.alias("wear_rate"))
 
 
 def root_cause_summary(df: DataFrame, p: Process) -> DataFrame:
@@ -55,21 +66,22 @@ def counterfactual(df: DataFrame, p: Process, **shift: float) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("after_any") < F.col("before_any"), "helps").when(F.col("after_any") > F.col("before_any"), "harms").otherwise("no change"))
 
 
-def torque_band(rpm: Column, wear: Column, limit: Column) -> tuple[Column, Column]:
+def torque_band(p: Process, rpm: Column, wear: Column, limit: Column) -> tuple[Column, Column]:
     """Torques that keep power and overstrain safe at a speed; null where there is none."""
-    w = rpm * F.lit(RAD_PER_RPM)
-    lo = F.try_divide(F.lit(_PWF_LO), w)
-    hi = F.least(F.try_divide(F.lit(_PWF_HI), w), F.coalesce(F.try_divide(limit, wear), F.lit(1e308)))
+    w, (low, high) = rpm * F.lit(RAD_PER_RPM), power_limits(p)
+    lo = F.try_divide(F.lit(low), w)
+    hi = F.least(F.try_divide(F.lit(high), w), F.coalesce(F.try_divide(limit, wear), F.lit(1e308)))
     return F.when(lo <= hi, lo), F.when(lo <= hi, hi)
 
 
 def envelope_points(df: DataFrame, p: Process) -> DataFrame:
     """Each row's safe torque band, what bounds it, and the slowest speed that heat allows."""
     limit = p.mode("OSF").terms[0].bound(F.col(p.variant))
-    lo, hi = torque_band(F.col("rotational_speed_rpm"), F.col("tool_wear_min"), limit)
-    power_hi = F.lit(_PWF_HI) / (F.col("rotational_speed_rpm") * F.lit(RAD_PER_RPM))
+    lo, hi = torque_band(p, F.col("rotational_speed_rpm"), F.col("tool_wear_min"), limit)
+    delta, slowest = heat_limits(p)
+    power_hi = F.lit(power_limits(p)[1]) / (F.col("rotational_speed_rpm") * F.lit(RAD_PER_RPM))
     binding = F.when(lo.isNull(), "infeasible").when(F.coalesce(F.try_divide(limit, F.col("tool_wear_min")), F.lit(1e308)) < power_hi, "overstrain").otherwise("power")
-    return df.select("udi", lo.alias("torque_min"), hi.alias("torque_max"), (hi - lo).alias("torque_width"), binding.alias("binding_ceiling"), F.coalesce((F.col("torque_nm") >= lo) & (F.col("torque_nm") <= hi), F.lit(False)).alias("inside"), F.when(F.col("temp_delta_k") < 8.6, 1380.0).alias("min_safe_speed"))
+    return df.select("udi", lo.alias("torque_min"), hi.alias("torque_max"), (hi - lo).alias("torque_width"), binding.alias("binding_ceiling"), F.coalesce((F.col("torque_nm") >= lo) & (F.col("torque_nm") <= hi), F.lit(False)).alias("inside"), F.when(F.col("temp_delta_k") < delta, slowest).alias("min_safe_speed"))
 
 
 def envelope_curve(df: DataFrame, p: Process, points: int = 12, lo: float = 1200.0, hi: float = 2800.0) -> DataFrame:
@@ -77,7 +89,7 @@ def envelope_curve(df: DataFrame, p: Process, points: int = 12, lo: float = 1200
     at = df.groupBy(p.variant).agg(F.avg("tool_wear_min").alias("wear"))
     speeds = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(lo) + i * F.lit((hi - lo) / (points - 1)))
     c = at.select(p.variant, "wear", F.explode(speeds).alias("rpm"))
-    a, b = torque_band(F.col("rpm"), F.col("wear"), p.mode("OSF").terms[0].bound(F.col(p.variant)))
+    a, b = torque_band(p, F.col("rpm"), F.col("wear"), p.mode("OSF").terms[0].bound(F.col(p.variant)))
     return c.select(p.variant, "rpm", a.alias("torque_min"), b.alias("torque_max"))
 
 
@@ -88,12 +100,13 @@ def envelope_fix(df: DataFrame, p: Process, safety: float = 0.02) -> DataFrame:
     limit = p.mode("OSF").terms[0].bound(F.col(p.variant))
     w = F.col("rotational_speed_rpm") * F.lit(RAD_PER_RPM)
     up, down = 1 + safety, 1 - safety
+    (low, high), (delta, slowest) = power_limits(p), heat_limits(p)
     torque, rpm, wear = F.col("torque_nm"), F.col("rotational_speed_rpm"), F.col("tool_wear_min")
-    wanted = [("torque_nm", _PWF_LO * up / w), ("torque_nm", _PWF_HI * down / w), ("torque_nm", F.try_divide(limit * down, wear)), ("rotational_speed_rpm", F.lit(1380.0 * up)), ("rotational_speed_rpm", F.try_divide(F.lit(_PWF_LO * up / RAD_PER_RPM), torque)), ("rotational_speed_rpm", F.try_divide(F.lit(_PWF_HI * down / RAD_PER_RPM), torque)), ("tool_wear_min", F.try_divide(limit * down, torque))]
+    wanted = [("torque_nm", low * up / w), ("torque_nm", high * down / w), ("torque_nm", F.try_divide(limit * down, wear)), ("rotational_speed_rpm", F.lit(slowest * up)), ("rotational_speed_rpm", F.try_divide(F.lit(low * up / RAD_PER_RPM), torque)), ("rotational_speed_rpm", F.try_divide(F.lit(high * down / RAD_PER_RPM), torque)), ("tool_wear_min", F.try_divide(limit * down, torque))]
 
     def clear(t: Column, r: Column, x: Column) -> Column:
         power = t * r * F.lit(RAD_PER_RPM)
-        return ~((F.col("temp_delta_k") < 8.6) & (r < 1380.0)) & (power >= _PWF_LO) & (power <= _PWF_HI) & (x * t <= limit)
+        return ~((F.col("temp_delta_k") < delta) & (r < slowest)) & (power >= low) & (power <= high) & (x * t <= limit)
 
     options = []
     for name, value in wanted:
@@ -108,6 +121,41 @@ def envelope_fix(df: DataFrame, p: Process, safety: float = 0.02) -> DataFrame:
     return df.filter(broken).select("udi", best["variable"].alias("variable"), best["delta"].alias("delta"), best["new_value"].alias("new_value"), best.isNotNull().alias("available"))
 
 
+def operating_point(df: DataFrame, p: Process, given: dict[str, float | str] | None = None) -> DataFrame:
+    """One row: the point that a question is about. What is given counts; the rest is the mean of the rows of df, or nominal where there are none.
+
+    An air temperature without a process temperature keeps the observed difference of the two. An unknown variant counts as
+    the one with the lowest overstrain limit. Without rows and without anything given there is no point, and no row.
+    """
+    given = dict(given or {})
+    if bad := [k for k in given if k not in (*p.base, p.variant)]:
+        raise ValueError(f"not a base channel: {bad[0]}")
+    limits = p.limit("OSF", "overstrain_min_nm")
+    strictest = min(limits, key=limits.get)
+    one = df.agg(*[F.avg(c).alias(c) for c in p.base], F.min(p.variant).alias(p.variant), F.count(F.lit(1)).alias("matched"))
+    one = one.withColumns({c: F.coalesce(F.col(c), F.lit(NOMINAL[c])) for c in p.base}).withColumn(p.variant, F.coalesce(p.variant, F.lit(strictest)))
+    told = {c: F.lit(float(given[c])) for c in p.base if c in given}
+    if "air_temperature_k" in told and "process_temperature_k" not in told:
+        told["process_temperature_k"] = told["air_temperature_k"] + (F.col("process_temperature_k") - F.col("air_temperature_k"))
+    if p.variant in given:
+        name = str(given[p.variant]).upper()
+        told[p.variant] = F.lit(name if name in limits else strictest)
+    assumed = [c for c in p.base if c not in given]
+    point = one.withColumns(told) if told else one
+    point = point.withColumn("assumed", F.array(*[F.lit(c) for c in assumed]).cast("array<string>"))
+    return point if given else point.filter("matched > 0")
+
+
+def envelope_at(df: DataFrame, p: Process, given: dict[str, float | str] | None = None) -> DataFrame:
+    """The safe torque band, its ceiling's cause, and the rules at an operating point."""
+    point = p.judged(p.physics(operating_point(df, p, given)))
+    lo, hi = torque_band(p, F.col("rotational_speed_rpm"), F.col("tool_wear_min"), p.mode("OSF").terms[0].bound(F.col(p.variant)))
+    strain = F.coalesce(F.try_divide(p.mode("OSF").terms[0].bound(F.col(p.variant)), F.col("tool_wear_min")), F.lit(1e308))
+    ceiling = F.lit(power_limits(p)[1]) / (F.col("rotational_speed_rpm") * F.lit(RAD_PER_RPM))
+    safe = ~reduce(lambda a, b: a | b, [F.col(f"{n}_rule") for n in _certain(p)])
+    return point.select(p.variant, *p.base, "matched", F.array_join("assumed", ",").alias("assumed"), lo.alias("torque_min"), hi.alias("torque_max"), F.when(lo.isNull(), "infeasible").when(strain < ceiling, "overstrain").otherwise("power").alias("binding_ceiling"), safe.alias("safe"), "worst_margin")
+
+
 def forecast_overstrain(df: DataFrame, p: Process, *, cycle_s: float = 120.0, confidence: float = 0.95) -> DataFrame:
     """By variant: cycles until mean wear and torque cross the overstrain limit (inverse-Gaussian first passage)."""
     g = df.groupBy(p.variant).agg(F.avg("tool_wear_min").alias("wear"), F.avg("torque_nm").alias("torque"), F.stddev_samp("torque_nm").alias("sigma"))
@@ -119,10 +167,10 @@ def forecast_overstrain(df: DataFrame, p: Process, *, cycle_s: float = 120.0, co
     return g.select(p.variant, margin.alias("margin"), mu.alias("cycles"), F.greatest(mu - q * sd, F.lit(0.0)).alias("cycles_lo"), (mu + q * sd).alias("cycles_hi"), (mu * cycle_s / 60.0).alias("lead_min"), F.try_divide(limit, F.col("torque")).alias("crossing_wear"), F.when(margin <= 0, "exceeded").when(mu < 10, "critical").otherwise("running").alias("status"))
 
 
-def hazard_bands(df: DataFrame, width: float = 10.0, low: float = 200.0, high: float = 240.0) -> DataFrame:
-    """Wear-out rate by band of tool wear, with Wilson intervals and an isotonic fit over the few bands (pooled on the driver)."""
+def hazard_bands(df: DataFrame, width: float = 10.0, low: float = 180.0, high: float = 260.0) -> DataFrame:
+    """Wear-out rate by band of tool wear from low up to high, with Wilson intervals and a fit that never falls with wear (pooled on the driver over the few bands)."""
     band = (F.floor(F.col("tool_wear_min") / width) * width).alias("band_lo")
-    g = df.filter(F.col("tool_wear_min").between(low, high)).groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.sum("twf").cast("bigint").alias("k"))
+    g = df.filter((F.col("tool_wear_min") >= low) & (F.col("tool_wear_min") < high)).groupBy(band).agg(F.count(F.lit(1)).alias("n"), F.sum("twf").cast("bigint").alias("k"))
     lo, hi = S.wilson(F.col("k"), F.col("n"))
     g = g.select(F.col("band_lo").cast("double").alias("band_lo"), "n", "k", (F.col("k") / F.col("n")).alias("rate"), lo.alias("ci_lo"), hi.alias("ci_hi"))
     rows = g.orderBy("band_lo").collect()  # a row per band of a fixed window
@@ -131,6 +179,29 @@ def hazard_bands(df: DataFrame, width: float = 10.0, low: float = 200.0, high: f
     return df.sparkSession.createDataFrame(table, "band_lo double, n bigint, k bigint, rate double, ci_lo double, ci_hi double, hazard double")
 
 
+def forecast_wearout(points: DataFrame, p: Process, bands: DataFrame, width: float = 10.0) -> DataFrame:
+    """points (variant, tool_wear_min, ...) with the outlook on wear-out, which is a chance and never a crossing.
+
+    Before the window: cycles until it. Inside: the fitted hazard of the point's band (the documented rate where no band was
+    seen), its interval, the cycles left and the chance that one of them fails. Past it: only that.
+    """
+    start, end = map(float, p.limit("TWF", "tool_wear_min"))
+    wear, rate = F.col("tool_wear_min"), p.by_variant(p.wear_rate)
+    b = bands.select("band_lo", "hazard", "ci_lo", "ci_hi", F.col("n").alias("seen"))
+    j = points.withColumn("band_lo", (F.floor(wear / width) * width).cast("double")).join(F.broadcast(b), "band_lo", "left")  # a row per band of a fixed window
+    inside = (wear >= start) & (wear < end)
+    chance = F.coalesce("hazard", F.lit(WEAROUT_SEEN[0] / WEAROUT_SEEN[1]))
+    left = (end - wear) / rate
+    only = lambda c: F.when(inside, c)
+    out = {
+        "status": F.when(wear >= end, "past").when(inside, "inside").otherwise("before"),
+        "cycles_to_window": F.when(wear < start, (start - wear) / rate), "wear_to_window": F.when(wear < start, start - wear),
+        "cycles_left": only(left), "per_cycle": only(chance), "per_cycle_lo": only(F.col("ci_lo")), "per_cycle_hi": only(F.col("ci_hi")),
+        "band_n": only(F.col("seen")), "cumulative": only(1 - F.pow(1 - chance, left)),
+    }
+    return j.select(*[F.col(c) for c in points.columns], *[c.alias(n) for n, c in out.items()])
+
+
 def hazard_at(df: DataFrame, bands: DataFrame, width: float = 10.0) -> DataFrame:
     """Each row's hazard: an equi-join on the computed band, not a range join; a few bands are broadcast."""
     b = F.broadcast(bands.select("band_lo", "hazard"))
@@ -147,11 +218,12 @@ def interval_verdicts(df: DataFrame, p: Process, accuracy: dict[str, float] | No
     lo = {c: F.col(c) - acc[c] for c in p.base}
     hi = {c: F.col(c) + acc[c] for c in p.base}
     limit = p.mode("OSF").terms[0].bound(F.col(p.variant))
-    dt = (lo["process_temperature_k"] - hi["air_temperature_k"] - 8.6, hi["process_temperature_k"] - lo["air_temperature_k"] - 8.6)
-    sp = (lo["rotational_speed_rpm"] - 1380.0, hi["rotational_speed_rpm"] - 1380.0)
+    (low, high), (delta, slowest) = power_limits(p), heat_limits(p)
+    dt = (lo["process_temperature_k"] - hi["air_temperature_k"] - delta, hi["process_temperature_k"] - lo["air_temperature_k"] - delta)
+    sp = (lo["rotational_speed_rpm"] - slowest, hi["rotational_speed_rpm"] - slowest)
     k = F.lit(RAD_PER_RPM)
     power = (lo["torque_nm"] * lo["rotational_speed_rpm"] * k, hi["torque_nm"] * hi["rotational_speed_rpm"] * k)
-    p_lo, p_hi = (power[0] - _PWF_LO, power[1] - _PWF_LO), (_PWF_HI - power[1], _PWF_HI - power[0])
+    p_lo, p_hi = (power[0] - low, power[1] - low), (high - power[1], high - power[0])
     strain = (limit - hi["torque_nm"] * hi["tool_wear_min"], limit - F.greatest(lo["torque_nm"], F.lit(0.0)) * F.greatest(lo["tool_wear_min"], F.lit(0.0)))
     neg = lambda m: m[1] < 0
     pos = lambda m: m[0] >= 0

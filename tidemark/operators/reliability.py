@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..plans.process import Process
+from .quantiles import quantiles
 
 
 def data_quality(df: DataFrame) -> DataFrame:
@@ -16,39 +18,85 @@ def data_quality(df: DataFrame) -> DataFrame:
     fail = F.col("machine_failure") == 1
     explained = (F.col("hdf") + F.col("pwf") + F.col("osf") + F.col("twf")) > 0
     audit = [F.count_if(F.col(f"{n}_rule") & (F.col(n) == 0)).alias(f"{n}_false_alarms") for n in ("hdf", "pwf", "osf")] + [F.count_if(~F.col(f"{n}_rule") & (F.col(n) == 1)).alias(f"{n}_surprises") for n in ("hdf", "pwf", "osf")]
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum("machine_failure").cast("bigint").alias("failures"), F.count_if(fail & ~explained).alias("orphans"), F.avg(F.when(fail & ~explained, F.col("worst_margin"))).alias("orphan_margin"), F.avg(F.when(~fail, F.col("worst_margin"))).alias("healthy_margin"), F.count_if((F.col("rnf") == 1) & ~fail).alias("rnf_not_rolled_up"), F.sum("twf").cast("bigint").alias("twf_flags"), F.count_if("twf_rule").alias("twf_window"), *audit)
+    clean = F.lit(0) == reduce(lambda a, b: a + b, [F.count_if((F.col(f"{n}_rule") != (F.col(n) == 1))) for n in ("hdf", "pwf", "osf")])
+    verdict = F.when(F.count(F.lit(1)) == 0, "no data").when(~clean, "labels contradict rules").when(F.count_if(fail & ~explained) > 0, "consistent, with unexplained failures").otherwise("consistent")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum("machine_failure").cast("bigint").alias("failures"), F.count_if(fail & ~explained).alias("orphans"), F.avg(F.when(fail & ~explained, F.col("worst_margin"))).alias("orphan_margin"), F.avg(F.when(~fail, F.col("worst_margin"))).alias("healthy_margin"), F.count_if((F.col("rnf") == 1) & ~fail).alias("rnf_not_rolled_up"), F.sum("twf").cast("bigint").alias("twf_flags"), F.count_if("twf_rule").alias("twf_window"), *audit, verdict.alias("verdict"))
+
+
+#: Expected levels and tolerances of the process's laws, and the channels that each speaks of.
+LAWS = (("heat_order", 0.0, 0.0), ("temp_delta_mean", 10.0, 0.25), ("temp_delta_sd", 1.0, 0.25), ("speed_torque_corr", -0.875, 0.10), ("power_mean", 6280.0, 628.0))
+LAW_CHANNELS = {"heat_order": ("air_temp_k", "process_temp_k", "temp_delta_k"), "temp_delta_mean": ("air_temp_k", "process_temp_k", "temp_delta_k"), "temp_delta_sd": ("air_temp_k", "process_temp_k", "temp_delta_k"), "speed_torque_corr": ("rotational_speed_rpm", "torque_nm"), "power_mean": ("power_w", "rotational_speed_rpm", "torque_nm")}
+
+
+def _laws(where: Column | None = None) -> dict[str, Column]:
+    """Each law's value as an aggregate over the rows that meet a condition."""
+    of = (lambda c: F.col(c)) if where is None else (lambda c: F.when(where, F.col(c)))
+    dt = of("temp_delta_k")
+    wrong = F.count_if(of("process_temperature_k") <= of("air_temperature_k")).cast("double")
+    return dict(zip([n for n, *_ in LAWS], (wrong, F.avg(dt), F.stddev_samp(dt), S.corr(of("rotational_speed_rpm"), of("torque_nm")), F.avg(of("power_w"))), strict=True))
+
+
+def _holds(value: Column, expected: float, tolerance: float) -> Column:
+    return F.coalesce(F.abs(value - expected) <= tolerance, F.lit(False))
 
 
 def invariants(df: DataFrame) -> DataFrame:
     """Five laws of the process, measured in one pass: name, value, expected, tolerance, holds (null-safe on an empty window)."""
-    dt, rpm, tq = F.col("temp_delta_k"), F.col("rotational_speed_rpm"), F.col("torque_nm")
-    a = df.agg(F.count_if(F.col("process_temperature_k") <= F.col("air_temperature_k")).cast("double").alias("i1"), F.avg(dt).alias("i2a"), F.stddev_samp(dt).alias("i2b"), S.corr(rpm, tq).alias("i3"), F.avg("power_w").alias("i4"))
-    # fixed values: expected levels and tolerances of the process
-    laws = [("heat_order", "i1", 0.0, 0.0), ("temp_delta_mean", "i2a", 10.0, 0.25), ("temp_delta_sd", "i2b", 1.0, 0.25), ("speed_torque_corr", "i3", -0.875, 0.125), ("power_mean", "i4", 6280.0, 628.0)]
-    rows = F.array(*[F.struct(F.lit(n).alias("invariant"), F.col(c).alias("value"), F.lit(e).alias("expected"), F.lit(t).alias("tolerance")) for n, c, e, t in laws])
-    return a.select(F.explode(rows).alias("s")).select("s.*").withColumn("holds", F.coalesce(F.abs(F.col("value") - F.col("expected")) <= F.col("tolerance"), F.lit(False)))
+    a = df.agg(*[v.alias(n) for n, v in _laws().items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("invariant"), F.col(n).alias("value"), F.lit(e).alias("expected"), F.lit(t).alias("tolerance"), _holds(F.col(n), e, t).alias("holds")) for n, e, t in LAWS])
+    return a.select(F.explode(rows).alias("s")).select("s.*")
+
+
+def invariant_flags(laws: DataFrame, touched: set[str] | None = None) -> DataFrame:
+    """The laws of invariants() that don't hold and speak of a channel that an analysis touches (of any, where it names none)."""
+    names = [n for n, channels in LAW_CHANNELS.items() if not touched or touched & set(channels)]
+    return laws.filter(~F.col("holds") & F.col("invariant").isin(*names)).select("invariant", "value", "expected", "tolerance")
+
 
+def health(df: DataFrame) -> DataFrame:
+    """One row for each law and each rule's calibration: kind, name, whether it is in order, and why not."""
+    laws = invariants(df).select(F.lit("invariant").alias("kind"), F.col("invariant").alias("name"), F.col("holds").alias("ok"), F.when(F.col("holds"), "holds").otherwise("violated").alias("detail"))
+    rules = calibration_audit(df).select(F.lit("calibration").alias("kind"), F.col("rule").alias("name"), (F.col("verdict") == "calibrated").alias("ok"), F.col("verdict").alias("detail"))
+    return laws.unionByName(rules)
 
-def drift(df: DataFrame, window: Column, *, threshold: float = 5.0, block: int = 1000) -> DataFrame:
-    """Is the window's shift against the baseline thermal (a sensor) or mechanical (the process)?
 
-    z scores of the means use sample sizes corrected for lag-one correlation. The lag runs inside blocks of the key, so no task
-    sees the whole table; a block's first row has no predecessor.
+def with_previous(df: DataFrame, key: str, columns: tuple[str, ...], *, block: int = 10_000) -> DataFrame:
+    """df with each column's value in the row before, in the order of key, as <column>_prev.
+
+    No task orders the whole table: rows are ordered inside blocks of the key, and a block's first row takes the last row of the
+    block before, from a table with one row a block.
+    """
+    at = F.floor(F.col(key) / block)
+    inside = Window.partitionBy("_block").orderBy(key)
+    rows = df.withColumn("_block", at).withColumn("_place", F.row_number().over(inside)).withColumns({f"{c}_prev": F.lag(c).over(inside) for c in columns})
+    last = df.groupBy(at.alias("_block")).agg(F.max_by(F.struct(*columns), key).alias("_r"))
+    before = last.select("_block", F.lag("_r").over(Window.partitionBy().orderBy("_block")).alias("_before"))
+    joined = rows.join(before, "_block")
+    first = F.col("_place") == 1
+    return joined.withColumns({f"{c}_prev": F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"{c}_prev")) for c in columns}).drop("_block", "_place", "_before")
+
+
+def drift(df: DataFrame, window: Column, *, threshold: float = 5.0, block: int = 10_000) -> DataFrame:
+    """Is the window's shift against the baseline a sensor's or the process's?
+
+    z scores of the means use sample sizes corrected for lag-one correlation. The process doesn't move the temperature
+    difference alone: if only that has moved, or a law is broken while speed and torque stand still, a sensor has; if speed or
+    torque has moved, the process has.
     """
     chans = {"dt": "temp_delta_k", "rpm": "rotational_speed_rpm", "tq": "torque_nm"}
-    w = Window.partitionBy(F.floor(F.col("udi") / block)).orderBy("udi")
-    r = df.select("udi", window.alias("now"), *[F.col(c).alias(k) for k, c in chans.items()])
-    r = r.withColumns({f"{k}_prev": F.lag(k).over(w) for k in chans})
-    aggs = []
-    for k in chans:
-        old, new = F.when(~F.col("now"), F.col(k)), F.when(F.col("now"), F.col(k))
-        aggs += [F.avg(old).alias(f"{k}_m0"), F.stddev_samp(old).alias(f"{k}_s0"), F.avg(new).alias(f"{k}_m1"), F.count(new).alias(f"{k}_n1"), S.corr(old, F.when(~F.col("now"), F.col(f"{k}_prev"))).alias(f"{k}_rho")]
+    src = df.select("udi", window.alias("now"), "process_temperature_k", "air_temperature_k", "power_w", *chans.values())
+    r = with_previous(src, "udi", tuple(chans.values()), block=block)
+    aggs = [v.alias(n) for n, v in _laws(F.col("now")).items()]
+    for k, c in chans.items():
+        old, new = F.when(~F.col("now"), F.col(c)), F.when(F.col("now"), F.col(c))
+        aggs += [F.avg(old).alias(f"{k}_m0"), F.stddev_samp(old).alias(f"{k}_s0"), F.avg(new).alias(f"{k}_m1"), F.count(new).alias(f"{k}_n1"), S.corr(old, F.when(~F.col("now"), F.col(f"{c}_prev"))).alias(f"{k}_rho")]
     a = r.agg(*aggs)
     z = {k: F.try_divide(F.col(f"{k}_m1") - F.col(f"{k}_m0"), F.col(f"{k}_s0") / F.sqrt(S.effective_n(F.col(f"{k}_n1"), F.col(f"{k}_rho")))) for k in chans}
-    a = a.select(*[v.alias(f"z_{k}") for k, v in z.items()])
-    hot = F.abs("z_dt") > threshold
-    mech = (F.abs("z_rpm") > threshold) | (F.abs("z_tq") > threshold)
-    return a.withColumn("verdict", F.when(hot & mech, "both").when(hot, "sensor").when(mech, "process").otherwise("ok"))
+    broken = reduce(lambda x, y: x | y, [~_holds(F.col(n), e, t) for n, e, t in LAWS])
+    a = a.select(*[v.alias(f"z_{k}") for k, v in z.items()], broken.alias("law_broken"))
+    hot = F.coalesce(F.abs("z_dt") > threshold, F.lit(False))
+    mech = F.coalesce(F.abs("z_rpm") > threshold, F.lit(False)) | F.coalesce(F.abs("z_tq") > threshold, F.lit(False))
+    return a.withColumn("verdict", F.when(mech, "process").when(hot | F.col("law_broken"), "sensor").otherwise("ok"))
 
 
 def injected(df: DataFrame, p: Process, channel: str, shift: float, window: Column) -> DataFrame:
@@ -94,7 +142,7 @@ def fleet(df: DataFrame, upto: Column | None = None) -> DataFrame:
     src = df.filter(upto) if upto is not None else df
     g = src.groupBy("machine_id").agg(F.max_by(row, "udi").alias("r"), F.count(F.lit(1)).alias("cycles"), F.sum("machine_failure").cast("bigint").alias("failures"))
     state = F.when(F.col("worst_margin") < 0, "critical").when(F.col("worst_margin") < 0.05, "watch").otherwise("normal")
-    return g.select("machine_id", "r.*", "cycles", "failures").withColumn("state", state)
+    return g.select("machine_id", "r.*", "cycles", "failures").withColumn("state", state).orderBy("worst_margin", "machine_id")
 
 
 def history(df: DataFrame, n: int = 20) -> DataFrame:
@@ -109,38 +157,75 @@ def history(df: DataFrame, n: int = 20) -> DataFrame:
     return few.groupBy("machine_id").agg(got.alias("h")).select("machine_id", F.transform("h", lambda s: s["m"]).alias("margins"), F.size("h").cast("bigint").alias("points"))
 
 
-def remaining_life(df: DataFrame, p: Process, *, sigma: float = 9.8) -> DataFrame:
-    """Cycles until each machine's overstrain margin is used up, worst first."""
+def conformal_correction(df: DataFrame, p: Process, *, share: float = 0.9, least: int = 5) -> float:
+    """How many cycles the model still expects where the overstrain limit was crossed: the share's quantile over all such rows.
+
+    The interval of remaining life is widened by it. Zero with fewer than least crossings, which calibrate nothing.
+    """
+    limit, rate = p.mode("OSF").terms[0].bound(F.col(p.variant)), p.by_variant(p.wear_rate)
+    off = F.abs(limit - F.col("tool_wear_min") * F.col("torque_nm")) + 1
+    crossed = df.filter((F.col("osf") == 1) & (F.col("torque_nm") > 0)).select((off / (rate * F.col("torque_nm"))).alias("cycles"))
+    n = crossed.count()
+    return quantiles(crossed, {"cycles": F.col("cycles")}, (share,), discrete=True)["cycles"][0] if n >= least else 0.0
+
+
+#: Fixed value: the deviation of torque that the remaining life is spread by.
+SIGMA_TORQUE = 9.8
+
+
+def remaining_life(df: DataFrame, p: Process, *, sigma: float = SIGMA_TORQUE, confidence: float = 0.9) -> DataFrame:
+    """Cycles until each machine's overstrain margin is used up, with an interval widened by conformal_correction, worst first."""
     f = fleet(df)
-    limit, rate = p.mode("OSF").terms[0].bound(F.col("product_type")), F.element_at(F.create_map(*[x for k, v in p.wear_rate.items() for x in (F.lit(k), F.lit(v))]), F.col("product_type"))
+    wider, q = conformal_correction(df, p), S.z(confidence)
+    limit, rate = p.mode("OSF").terms[0].bound(F.col("product_type")), p.by_variant(p.wear_rate)
     margin = limit - F.col("tool_wear_min") * F.col("torque_nm")
     mu, sd = S.first_passage(margin, rate * F.col("torque_nm"), rate * sigma)
-    return f.select("machine_id", margin.alias("margin"), mu.alias("cycles"), F.greatest(mu - 1.96 * sd, F.lit(0.0)).alias("cycles_lo"), (mu + 1.96 * sd).alias("cycles_hi"), F.when(margin <= 0, "crossed").when(mu < 50, "imminent").otherwise("running").alias("status"))
+    gone = margin <= 0
+    left = lambda c: F.when(gone, 0.0).otherwise(c)
+    out = f.select("machine_id", margin.alias("margin"), left(mu).alias("cycles"), left(F.greatest(mu - q * sd - wider, F.lit(0.0))).alias("cycles_lo"), left(mu + q * sd + wider).alias("cycles_hi"), F.when(gone, "crossed").when(mu < 50, "imminent").otherwise("running").alias("status"))
+    return out.orderBy("cycles", "machine_id")
+
+
+def tool_lives(df: DataFrame) -> DataFrame:
+    """machine_id, life, cycles, first and last udi, wear at the end: a machine's rows from one fall of its wear to the next.
+
+    Falls are found against the row before in the machine's own order; machines are few and hot, so their rows are dealt by
+    blocks of the key. A life that runs over a block's end is put together from its parts.
+    """
+    block = 10_000
+    rows = df.select("machine_id", "udi", "tool_wear_min", F.floor(F.col("udi") / block).alias("block"))
+    w = Window.partitionBy("machine_id", "block").orderBy("udi")
+    rows = rows.withColumn("fell", F.coalesce(F.col("tool_wear_min") < F.lag("tool_wear_min").over(w), F.lit(False)).cast("int"))
+    parts = rows.withColumn("k", F.sum("fell").over(w)).groupBy("machine_id", "block", "k").agg(F.count(F.lit(1)).alias("cycles"), F.min("udi").alias("first_udi"), F.max("udi").alias("last_udi"), F.min_by("tool_wear_min", "udi").alias("wear_first"), F.max_by("tool_wear_min", "udi").alias("wear_last"))
+    order = Window.partitionBy("machine_id").orderBy("block", "k")
+    new = F.coalesce((F.col("k") > 0) | (F.col("wear_first") < F.lag("wear_last").over(order)), F.lit(True))
+    lives = parts.withColumn("new", new.cast("int")).withColumn("life", F.sum("new").over(order))
+    return lives.groupBy("machine_id", "life").agg(F.sum("cycles").alias("cycles"), F.min("first_udi").alias("first_udi"), F.max("last_udi").alias("last_udi"), F.max_by("wear_last", "last_udi").alias("wear_end"))
 
 
 def wear_trajectory(df: DataFrame, p: Process, horizon: int = 200) -> DataFrame:
     """Each machine's first cycle, from its latest reading, at which wear alone breaks the overstrain limit."""
-    limit, rate = p.mode("OSF").terms[0].bound(F.col("product_type")), F.element_at(F.create_map(*[x for k, v in p.wear_rate.items() for x in (F.lit(k), F.lit(v))]), F.col("product_type"))
+    limit, rate = p.mode("OSF").terms[0].bound(F.col("product_type")), p.by_variant(p.wear_rate)
     f = fleet(df).withColumn("limit", limit).withColumn("rate", rate)
     s = f.select("machine_id", "limit", "rate", "tool_wear_min", "torque_nm", F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("cycle"))
     s = s.withColumn("margin", F.col("limit") - (F.col("tool_wear_min") + F.col("cycle") * F.col("rate")) * F.col("torque_nm"))
     return s.groupBy("machine_id").agg(F.min(F.when(F.col("margin") <= 0, F.col("cycle"))).cast("bigint").alias("crossing_cycle"), F.min("margin").alias("last_margin"))
 
 
-def ranked(counted: DataFrame, by: str, counts: tuple[str, ...], buckets: int = 1024) -> DataFrame:
-    """counted (by, x, counts...) with running and total counts in the order of x, and the next x, by group.
+def ranked(counted: DataFrame, by: str, counts: tuple[str, ...], buckets: int = 128) -> DataFrame:
+    """counted (by, x, counts...; one row per value) with running and total counts in the order of x, and the next x, by group.
 
-    No task sorts a whole group: x falls into equal-width buckets, running sums are taken inside a bucket, and what lies before a
-    bucket comes from the small table of buckets. Groups are a plan's metrics or dimension values, so that table is bounded.
+    No task sorts a whole group: x falls into buckets between quantiles of a sketch of the group's values, so heavy tails fill no
+    bucket; running sums are taken inside a bucket, and what lies before one comes from the small table of buckets.
     """
-    span = counted.groupBy(by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    b = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(0)
-    keyed = counted.join(F.broadcast(span), by).withColumn("_b", b).drop("_lo", "_hi")
+    cuts = counted.groupBy(by).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
+    b = F.size(F.filter("_cuts", lambda c: c <= F.col("x")))
+    keyed = counted.join(cuts, by).withColumn("_b", b).drop("_cuts")
     per = keyed.groupBy(by, "_b").agg(*[F.sum(c).alias(c) for c in counts], F.min("x").alias("_first"))
     w, whole = Window.partitionBy(by).orderBy("_b"), Window.partitionBy(by)
     per = per.select(by, "_b", F.lead("_first").over(w).alias("_next"), *[(F.sum(c).over(w) - F.col(c)).alias(f"{c}_before") for c in counts], *[F.sum(c).over(whole).alias(f"{c}_all") for c in counts])
     inside = Window.partitionBy(by, "_b").orderBy("x")
-    out = keyed.join(F.broadcast(per), [by, "_b"])
+    out = keyed.join(per, [by, "_b"])
     return out.select(by, "x", *counts, *[(F.col(f"{c}_before") + F.sum(c).over(inside)).alias(f"{c}_upto") for c in counts], *[f"{c}_all" for c in counts], F.coalesce(F.lead("x").over(inside), F.col("_next")).alias("next"))
 
 
@@ -156,39 +241,42 @@ def conformal(df: DataFrame, column: str, by: str, alpha: float = 0.1) -> DataFr
 # alerts, outcomes, maintenance
 
 
-def alerts(df: DataFrame) -> DataFrame:
-    """Rows within a tenth of a limit, as alerts of their binding rule."""
+def signals(df: DataFrame) -> DataFrame:
+    """machine_id, at, mode (of an alert: a row within a twentieth of a limit; else null), failed: the rows that are an alert, a failure or both."""
     d = F.array_min(F.array(*[F.struct(F.col(f"{n}_distance").alias("d"), F.lit(n.upper()).alias("mode")) for n in ("hdf", "pwf", "osf")]))
-    return df.filter((F.col("worst_margin") >= 0) & (F.col("worst_margin") < 0.05)).select("machine_id", F.col("udi").alias("at"), d["mode"].alias("mode"))
-
+    near = (F.col("worst_margin") >= 0) & (F.col("worst_margin") < 0.05)
+    row = F.struct("machine_id", F.col("udi").alias("at"), F.when(near, d["mode"]).alias("mode"), (F.col("machine_failure") == 1).alias("failed"))
+    # the margins are worked out once: a generator is no place to push a filter through
+    return df.select(F.explode(F.filter(F.array(row), lambda r: r["mode"].isNotNull() | r["failed"])).alias("s")).select("s.*")
 
-def outcomes(df: DataFrame) -> DataFrame:
-    return df.filter("machine_failure = 1").select("machine_id", F.col("udi").alias("failed_at"))
 
+def matched(signals_: DataFrame, horizon: int = 600) -> DataFrame:
+    """Each alert with the earliest failure of its machine within the horizon, if any: machine_id, at, mode, failed_at, lead.
 
-def matched(alerts_: DataFrame, outcomes_: DataFrame, horizon: int = 600) -> DataFrame:
-    """Each alert with the earliest failure of its machine within the horizon, if any.
-
-    An interval join as an equi-join: alerts look into their own bucket of the horizon and the next, so every pair shares a key and
-    a machine's history is spread over its buckets.
+    An interval join without a join: failures stand in their own bucket of the horizon, alerts in theirs and the next, and inside
+    a bucket an alert looks ahead. One pass over the signals; a machine's history is spread over its buckets.
     """
-    a = alerts_.withColumn("bucket", F.explode(F.array(F.floor(F.col("at") / horizon), F.floor(F.col("at") / horizon) + 1)))
-    o = outcomes_.withColumn("bucket", F.floor(F.col("failed_at") / horizon))
-    hit = a.join(o, ["machine_id", "bucket"]).filter((F.col("failed_at") >= F.col("at")) & (F.col("failed_at") <= F.col("at") + horizon))
-    first = hit.groupBy("machine_id", "at", "mode").agg(F.min("failed_at").alias("failed_at"))
-    return alerts_.join(first, ["machine_id", "at", "mode"], "left").withColumn("lead", F.col("failed_at") - F.col("at"))
+    b = F.floor(F.col("at") / horizon)
+    copy = lambda at, alert, fail: F.struct(at.alias("bucket"), alert.alias("mode"), fail.alias("failed_at"))
+    none, when = F.lit(None), F.when(F.col("failed"), F.col("at"))
+    copies = F.filter(F.array(copy(b, F.col("mode"), when), copy(b + 1, F.col("mode"), none.cast("bigint"))), lambda s: s["mode"].isNotNull() | s["failed_at"].isNotNull())
+    s = signals_.select("machine_id", "at", F.explode(copies).alias("c")).select("machine_id", "at", "c.*")
+    ahead = Window.partitionBy("machine_id", "bucket").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    s = s.withColumn("next", F.min("failed_at").over(ahead)).filter("mode IS NOT NULL")
+    out = s.groupBy("machine_id", "at", "mode").agg(F.min(F.when(F.col("next") <= F.col("at") + horizon, F.col("next"))).alias("failed_at"))
+    return out.withColumn("lead", F.col("failed_at") - F.col("at"))
 
 
 def scorecard(found: DataFrame, *, actionable: int = 5) -> DataFrame:
-    """Precision, actionable precision and median lead by mode."""
+    """Precision, actionable precision and median lead by mode. Leads are whole cycles up to the horizon, so the exact median holds no more values than that."""
     g = found.groupBy("mode").agg(F.count(F.lit(1)).alias("alerts"), F.count("lead").alias("correct"), F.count_if(F.col("lead") >= actionable).alias("actionable"), F.count_if(F.col("lead") == 0).alias("lead_zero"), F.percentile("lead", F.lit(0.5)).alias("median_lead"))
     return g.withColumn("precision", F.col("correct") / F.col("alerts")).withColumn("actionable_precision", F.col("actionable") / F.col("alerts"))
 
 
-def recall(found: DataFrame, outcomes_: DataFrame) -> DataFrame:
-    """Share of failures that at least one alert foresaw."""
-    hit = found.filter("failed_at IS NOT NULL").select("machine_id", "failed_at").distinct().withColumn("seen", F.lit(1))
-    j = outcomes_.join(hit, ["machine_id", "failed_at"], "left")
+def recall(signals_: DataFrame, found: DataFrame) -> DataFrame:
+    """Share of failures that at least one alert foresaw; found is matched(signals_)."""
+    hit = found.filter("failed_at IS NOT NULL").select("machine_id", F.col("failed_at").alias("at")).distinct().withColumn("seen", F.lit(1))
+    j = signals_.filter("failed").select("machine_id", "at").join(hit, ["machine_id", "at"], "left")
     return j.agg(F.count(F.lit(1)).alias("failures"), F.count("seen").alias("foreseen")).withColumn("recall", F.try_divide(F.col("foreseen").cast("double"), F.col("failures")))
 
 
@@ -207,6 +295,11 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("wo").agg(F.max_by(F.struct("machine_id", "product_type", "mode", "status", "found_fault"), "seq").alias("r")).select("wo", "r.*")
 
 
+def newest_orders(log: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest work orders in their current state."""
+    return latest(log).orderBy(F.desc("wo")).limit(limit)
+
+
 def work_order_summary(log: DataFrame) -> DataFrame:
     g = latest(log).groupBy("mode").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("found_fault")).alias("confirmed"), F.count_if(~F.col("found_fault")).alias("false_alarms"))
     return g.withColumn("precision", F.try_divide(F.col("confirmed").cast("double"), F.col("confirmed") + F.col("false_alarms")))
@@ -216,22 +309,34 @@ def feedback(log: DataFrame, *, gain: float = 0.002, alarm: float = 0.10) -> Dat
     """Weights by mode and variant: confirmed orders raise them, false alarms take half as much back; many false alarms are flagged."""
     g = latest(log).filter("status = 'closed'").groupBy("mode", "product_type").agg(F.count(F.lit(1)).alias("closed"), F.count_if("found_fault").alias("confirmed"))
     fp = (F.col("closed") - F.col("confirmed")) / F.col("closed")
-    return g.select("mode", "product_type", "closed", "confirmed", (1 + gain * F.col("confirmed") - gain / 2 * (F.col("closed") - F.col("confirmed"))).alias("weight"), fp.alias("fp_rate"), ((fp > alarm) & (F.col("closed") >= 5)).alias("flagged"))
+    return g.select("mode", "product_type", "closed", "confirmed", (1 + gain * F.col("confirmed") - gain / 2 * (F.col("closed") - F.col("confirmed"))).alias("weight"), fp.alias("fp_rate"), ((fp > alarm) & (F.col("closed") >= 5)).alias("flagged")).orderBy(F.desc("fp_rate"), "mode", "product_type")
 
 
 # discovery
 
 
-def channel_profile(df: DataFrame, channels: tuple[str, ...], block: int = 1000) -> DataFrame:
-    """Mean, sd, range, share of repeats and of rises of every channel; lags stay inside blocks of the key."""
-    w = Window.partitionBy(F.floor(F.col("udi") / block)).orderBy("udi")
-    r = df.select("udi", *channels).withColumns({f"{c}_p": F.lag(c).over(w) for c in channels})
+def channel_profile(df: DataFrame, channels: tuple[str, ...], block: int = 10_000) -> DataFrame:
+    """Mean, sd, range, share of repeats and of rises of every channel, and the split of its steps' variance into process and instrument.
+
+    Steps d have Var(d) = q + 2 r and Cov(d, previous d) = -r for a random walk seen through noise; a covariance that isn't
+    negative leaves all of it to the instrument.
+    """
+    one = with_previous(df.select("udi", *channels), "udi", channels, block=block)
+    steps = one.withColumns({f"{c}_step": F.col(c) - F.col(f"{c}_prev") for c in channels})
+    two = with_previous(steps, "udi", tuple(f"{c}_step" for c in channels), block=block)
     aggs = []
     for c in channels:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg((F.col(c) == F.col(f"{c}_p")).cast("double")).alias(f"{c}_repeat"), F.avg((F.col(c) >= F.col(f"{c}_p")).cast("double")).alias(f"{c}_up")]
+        d, before = F.col(f"{c}_step"), F.col(f"{c}_step_prev")
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg((F.col(c) == F.col(f"{c}_prev")).cast("double")).alias(f"{c}_repeat"), F.avg((F.col(c) >= F.col(f"{c}_prev")).cast("double")).alias(f"{c}_up"), F.var_pop(d).alias(f"{c}_g0"), F.covar_pop(d, before).alias(f"{c}_g1")]
     keys = ("mean", "sd", "min", "max", "repeat", "up")
-    rows = F.array(*[F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}_{k}").alias(k) for k in keys]) for c in channels])
-    return r.agg(*aggs).select(F.explode(rows).alias("s")).select("s.*").withColumn("counter", F.col("up") >= 0.95)
+
+    def row(c: str) -> Column:
+        g0, g1 = F.col(f"{c}_g0"), F.col(f"{c}_g1")
+        walk = g1 < 0
+        process = F.sqrt(F.greatest(F.when(walk, g0 + 2 * g1).otherwise(0.0), F.lit(0.0)))
+        return F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}_{k}").alias(k) for k in keys], process.alias("process_sd"), F.sqrt(F.when(walk, -g1).otherwise(g0 / 2)).alias("instrument_sd"))
+
+    return two.agg(*aggs).select(F.explode(F.array(*[row(c) for c in channels])).alias("s")).select("s.*").withColumn("counter", F.col("up") >= 0.95)
 
 
 def leakage(df: DataFrame, columns: tuple[str, ...], outcome: str = "machine_failure") -> DataFrame:
@@ -259,50 +364,64 @@ def best_split(df: DataFrame, metrics: tuple[str, ...], outcome: str) -> DataFra
     return top.select("metric", (-F.col("b.cut")).alias("cut"), "b.f1", "b.side")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block: int = 512) -> DataFrame:
-    """Exact cosine neighbours of a stated query set: query_id, vec_id, similarity, rank.
+#: Bytes of query vectors that go to every task in one pass over all vectors, and queries that are multiplied at once.
+QUERY_BYTES, QUERY_BLOCK = 32 << 20, 512
+
 
-    Queries come in blocks of bounded size; each task multiplies a block with its own vectors and keeps k a query, and the
-    partial winners are merged by query. The query set is the only thing that is sent around, a block at a time.
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Exact cosine neighbours of a stated query set: query_id, vec_id, similarity, rank. Of equal similarities the smaller vec_id is nearer.
+
+    A pass over the vectors serves query_bytes of queries: each task multiplies them, block by block, with its own vectors and
+    keeps the k best of each query; the tasks' winners are merged by query. The queries are the only thing that is sent around,
+    and their size is bounded; a larger set takes more passes, whose winners are disjoint.
     """
     import numpy as np
     import pandas as pd
 
     spark = vectors.sparkSession
     schema = "query_id bigint, vec_id bigint, similarity double"
-    parts, held = [], []
 
-    def search(block_rows: list) -> DataFrame:
-        ids = np.array([r.vec_id for r in block_rows])
-        q = np.array([r.embedding for r in block_rows], dtype=np.float64)
-        sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
+    def unit(x) -> np.ndarray:
+        v = np.stack(x).astype(np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def search(rows: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), unit([r.embedding for r in rows])))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
+            best = np.full((len(ids), k), -np.inf)
+            whose = np.full((len(ids), k), np.iinfo(np.int64).max)
             for b in batches:
                 if not len(b):
                     continue
-                v = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T
-                own = b["vec_id"].to_numpy()
-                s[ids[:, None] == own[None, :]] = -2.0
-                m = min(k, s.shape[1])
-                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                yield pd.DataFrame({"query_id": np.repeat(ids, m), "vec_id": own[at].ravel(), "similarity": np.take_along_axis(s, at, 1).ravel()}).query("similarity > -2")
+                v, own = unit(b["embedding"].to_numpy()), b["vec_id"].to_numpy()
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    part = slice(at, at + QUERY_BLOCK)
+                    s = q[part] @ v.T
+                    s[ids[part][:, None] == own[None, :]] = -np.inf
+                    floor = best[part][:, -1:]
+                    hits = np.flatnonzero((s >= floor).any(axis=1) & np.isfinite(s).any(axis=1))
+                    for i in hits:  # few once the best are known
+                        near = np.flatnonzero((s[i] >= floor[i, 0]) & np.isfinite(s[i]))
+                        sims, names = np.r_[best[at + i], s[i, near]], np.r_[whose[at + i], own[near]]
+                        top = np.lexsort((names, -sims))[:k]
+                        best[at + i], whose[at + i] = sims[top], names[top]
+            there = np.isfinite(best)
+            yield pd.DataFrame({"query_id": np.repeat(ids, k)[there.ravel()], "vec_id": whose[there], "similarity": best[there]})
 
         return vectors.select("vec_id", "embedding").mapInPandas(run, schema)
 
+    parts, held, size = [], [], 0
     for r in queries.select("vec_id", "embedding").toLocalIterator():
         held.append(r)
-        if len(held) == block:
+        size += 8 * len(r.embedding)
+        if size >= query_bytes:
             parts.append(search(held))
-            held = []
+            held, size = [], 0
     if held:
         parts.append(search(held))
     if not parts:
         return spark.createDataFrame([], schema + ", rank bigint")
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return all_.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
