@@ -27,6 +27,14 @@ def read_cycles(spark: SparkSession, path: str, *, streaming: bool = False) -> D
     return r.schema(cycle_schema()).option("header", True).option("enforceSchema", True).csv(path).withColumnsRenamed(HEADERS)
 
 
+def with_place(df: DataFrame, *, machine: str = "unknown", start: float = 0.0, period: float = 1.0, order: str = "udi") -> DataFrame:
+    """df with machine_id and t where they are missing: an unknown machine, and seconds from start by the row's number in order."""
+    have = set(df.columns)
+    m = F.coalesce(F.col("machine_id"), F.lit(machine)) if "machine_id" in have else F.lit(machine)
+    made = F.lit(start) + F.col(order) * F.lit(max(period, 1.0))
+    return df.withColumns({"machine_id": m, "t": F.coalesce(F.col("t"), made) if "t" in have else made})
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, *, streaming: bool = False) -> DataFrame:
     """One JSON object a line; a corrupt line keeps its first 200 characters in _malformed."""
     full = T.StructType([*schema.fields, T.StructField("_malformed", T.StringType())])
@@ -83,3 +91,18 @@ def page(df: DataFrame, order: str, columns: tuple[str, ...], *, descending: boo
     if order not in columns:
         raise ValueError(f"can't order by {order}")
     return df.orderBy(F.desc(order) if descending else F.asc(order), "udi").offset(offset).limit(limit)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, *, once: bool = True):
+    """A running stream appended to Parquet at path, exactly once by its checkpoint; once: all that is there, then it ends."""
+    w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def write_examples(df: DataFrame, path: str, columns: tuple[str, ...] = ("question", "plan")) -> None:
+    """Verified examples as JSON lines; read_examples gives them back."""
+    df.select(*columns).write.mode("overwrite").json(path)
+
+
+def read_examples(spark: SparkSession, path: str, columns: tuple[str, ...] = ("question", "plan")) -> DataFrame:
+    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).json(path)
