@@ -46,7 +46,11 @@ def test_against_sql(name, spark, sf, duck):
 
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLES)))
 def test_runs(name, spark, sf):
-    assert q.QUERIES[name](spark, sf).count() >= 0
+    """Each of these is held against a plain version in test_engine; here its rows come out whole."""
+    large = name in ("rule_induction", "rule_paths")  # too few failures for a rule in the smallest tables
+    df = q.QUERIES[name](spark, sf.replace("sf0.001", "sf0.01") if large else sf)
+    got = df.collect()
+    assert got and all(len(r) == len(df.columns) for r in got)
 
 
 def test_fact_table_is_one_narrow_scan(spark, sf):

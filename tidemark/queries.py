@@ -170,7 +170,6 @@ def _binned(col: str, edges_sql: str, n: int, fmt: str) -> str:
 FROM (SELECT *, least(greatest(len(list_filter(e, lambda v: v <= {col})), 1), len(e) - 1) AS b FROM obs, ({edges_sql}))"""
 
 
-_Q5 = "SELECT list_sort(list_distinct([quantile_cont(rotational_speed_rpm, q) FOR q IN [0, 0.2, 0.4, 0.6, 0.8, 1]])) AS e FROM obs"
 _Q5 = "SELECT list_sort(list_distinct(quantile_cont(rotational_speed_rpm, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM obs"
 _W6 = "SELECT [lo + (hi - lo) * i / 6e0 FOR i IN range(7)] AS e FROM (SELECT min(torque_nm) AS lo, max(torque_nm) AS hi FROM obs)"
 _X4 = "SELECT [0e0, 60e0, 120e0, 180e0, 240e0] AS e"
@@ -315,6 +314,17 @@ def _(s, d):
     return a.select(F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), F.col(f"{n}_n").alias("n"), F.col(f"{n}_k").alias("failures")) for n in conds])).alias("x")).select("x.*")
 
 
+_UNITS = [("warm_air", "air_temp_k", "gt", 27.0, "°C", "air_temperature_k > 27e0 + 273.15e0"), ("strong", "power_w", "ge", 7.0, "kW", "power_w >= 7000e0"), ("fast", "rotational_speed_rpm", "between", (150.0, 160.0), "rad/s", "rotational_speed_rpm BETWEEN 150e0 / (2e0 * pi() / 60e0) AND 160e0 / (2e0 * pi() / 60e0)"), ("worn", "tool_wear_min", "ge", 2.0, "h", "tool_wear_min >= 120e0"), ("small_delta", "temp_delta_k", "lt", 9.0, "Δ°C", "temp_delta_k < 9e0")]
+
+
+@query("filter_units", f"{OBS} " + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) AS n, CAST(coalesce(sum(machine_failure), 0) AS BIGINT) AS failures FROM obs WHERE {w}" for n, *_, w in _UNITS))
+def _(s, d):
+    """Literals in other units than the columns'."""
+    conds = {n: Filter(f, op, v, u).column(CAT) for n, f, op, v, u, _ in _UNITS}
+    a = observations(s, d).agg(*[x for n, c in conds.items() for x in (F.count_if(c).alias(f"{n}_n"), F.coalesce(F.sum(F.when(c, F.col("machine_failure"))), F.lit(0)).cast("bigint").alias(f"{n}_k"))])
+    return a.select(F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), F.col(f"{n}_n").alias("n"), F.col(f"{n}_k").alias("failures")) for n in conds])).alias("x")).select("x.*")
+
+
 _REC = ["udi", "product_type", "machine_id", "machine_failure", "torque_nm", "rotational_speed_rpm", "worst_margin"]
 _REC_SQL = f"SELECT udi, product_type, machine_id, machine_failure, {r('torque_nm', 'rotational_speed_rpm', 'worst_margin')} FROM obs"
 
@@ -334,6 +344,12 @@ def _(s, d):
     return core.explore(observations(s, d), "SELECT machine_id, count(*) AS n, avg(power_w) AS p FROM observations GROUP BY machine_id HAVING count(*) > 10")
 
 
+@query("explore_sets", f"{OBS} SELECT product_type, shift FROM obs WHERE torque_nm > 50 EXCEPT SELECT product_type, shift FROM obs WHERE torque_nm < 22 AND shift = 'A' UNION SELECT 'all', NULL")
+def _(s, d):
+    """Set operations and a common table expression through the free query."""
+    return core.explore(observations(s, d), "WITH o AS (SELECT * FROM observations) SELECT product_type, shift FROM o WHERE torque_nm > 50 EXCEPT SELECT product_type, shift FROM o WHERE torque_nm < 22 AND shift = 'A' UNION SELECT 'all', NULL")
+
+
 # physics
 
 _FIRED = "concat_ws(' + ', CASE WHEN hdf_rule THEN 'HDF' END, CASE WHEN pwf_rule THEN 'PWF' END, CASE WHEN osf_rule THEN 'OSF' END, CASE WHEN twf = 1 THEN 'TWF' END)"
@@ -341,7 +357,7 @@ _CLOSEST = "CASE WHEN hdf_distance = worst_margin THEN 'HDF' WHEN osf_distance =
 
 
 @query("root_cause_rows", f"""{OBS} SELECT udi, product_type, machine_failure, CASE WHEN {_FIRED} <> '' THEN {_FIRED} WHEN machine_failure = 1 THEN 'cause_undetermined' ELSE 'healthy' END AS verdict,
-CAST(hdf_rule AS BIGINT) + CAST(pwf_rule AS BIGINT) + CAST(osf_rule AS BIGINT) + twf AS mode_count, {_CLOSEST} AS closest_rule, {r('worst_margin AS closest_distance', 'lim / torque_nm AS osf_crossing_wear', 'greatest(tool_wear_min - lim / torque_nm, 0e0) AS osf_exceeded_by')}, twf_rule AS twf_in_window, CASE product_type WHEN 'L' THEN 2e0 WHEN 'M' THEN 3e0 ELSE 5e0 END AS wear_rate FROM obs""")
+CAST(hdf_rule AS BIGINT) + CAST(pwf_rule AS BIGINT) + CAST(osf_rule AS BIGINT) + twf AS mode_count, {_CLOSEST} AS closest_rule, {r('worst_margin AS closest_distance', 'lim / torque_nm AS osf_crossing_wear', 'greatest(tool_wear_min - lim / torque_nm, 0e0) AS osf_exceeded_by')}, twf_rule AS twf_in_window, round(CASE WHEN twf_rule THEN 43e0 / 790e0 ELSE 0e0 END, 6) AS twf_probability, rnf = 1 AND machine_failure = 0 AS rnf_not_rolled_up, CASE product_type WHEN 'L' THEN 2e0 WHEN 'M' THEN 3e0 ELSE 5e0 END AS wear_rate FROM obs""")
 def _(s, d):
     return physics.root_causes(observations(s, d), P)
 
@@ -380,11 +396,60 @@ def _(s, d):
     return physics.envelope_curve(observations(s, d), P)
 
 
-@query("envelope_fix")
+_FIXES = (("torque_nm", "3500e0 * 1.02e0 / w", "torque_nm"), ("torque_nm", "9000e0 * 0.98e0 / w", "torque_nm"), ("torque_nm", "lim * 0.98e0 / nullif(tool_wear_min, 0)", "torque_nm"), ("rotational_speed_rpm", "1380e0 * 1.02e0", "rotational_speed_rpm"), ("rotational_speed_rpm", "3500e0 * 1.02e0 / kw / nullif(torque_nm, 0)", "rotational_speed_rpm"), ("rotational_speed_rpm", "9000e0 * 0.98e0 / kw / nullif(torque_nm, 0)", "rotational_speed_rpm"), ("tool_wear_min", "lim * 0.98e0 / nullif(torque_nm, 0)", "tool_wear_min"))
+
+
+@query("envelope_fix", f"""{OBS}, bad AS (SELECT *, CAST(0.10471975511965977 AS DOUBLE) AS kw, rotational_speed_rpm * CAST(0.10471975511965977 AS DOUBLE) AS w FROM obs WHERE hdf_rule OR pwf_rule OR osf_rule),
+opt AS ({' UNION ALL '.join(f"SELECT udi, '{n}' AS variable, {v} AS v, {n} AS was, {'v' if n == 'torque_nm' else 'torque_nm'} AS t, {'v' if n == 'rotational_speed_rpm' else 'rotational_speed_rpm'} AS rp, {'v' if n == 'tool_wear_min' else 'tool_wear_min'} AS x, temp_delta_k, kw, lim FROM bad" for n, v, _ in _FIXES)}),
+good AS (SELECT *, row_number() OVER (PARTITION BY udi ORDER BY abs(v / was - 1), variable, v - was, v) AS i FROM opt WHERE v >= 0 AND (variable <> 'tool_wear_min' OR v < was) AND NOT (temp_delta_k < 8.6e0 AND rp < 1380e0) AND t * rp * kw BETWEEN 3500e0 AND 9000e0 AND x * t <= lim)
+SELECT bad.udi, g.variable, {r('g.v - g.was AS delta', 'g.v AS new_value')}, g.udi IS NOT NULL AS available FROM bad LEFT JOIN good g ON g.udi = bad.udi AND g.i = 1""")
 def _(s, d):
     return physics.envelope_fix(observations(s, d), P)
 
 
+def _point_sql(given: dict[str, str], where: str = "true") -> str:
+    """The mean conditions, or the nominal ones, with what is given on top."""
+    nominal = {"air_temperature_k": "300e0", "process_temperature_k": "310e0", "rotational_speed_rpm": "1500e0", "torque_nm": "40e0", "tool_wear_min": "0e0"}
+    cols = {c: f"coalesce(avg({c}), {v})" for c, v in nominal.items()}
+    if "air_temperature_k" in given:
+        cols["process_temperature_k"] = f"{given['air_temperature_k']} + ({cols['process_temperature_k']} - {cols['air_temperature_k']})"
+    cols |= {k: v for k, v in given.items() if k in cols}
+    kind = given.get("product_type", "coalesce(min(product_type), 'L')")
+    assumed = ",".join(c for c in nominal if c not in given)
+    return f"""{OBS}, pt AS (SELECT {', '.join(f'{v} AS {c}' for c, v in cols.items())}, {kind} AS product_type, count(*) AS matched FROM obs WHERE {where}),
+p2 AS (SELECT *, rotational_speed_rpm * CAST(0.10471975511965977 AS DOUBLE) AS w, CASE product_type WHEN 'L' THEN 11000e0 WHEN 'M' THEN 12000e0 ELSE 13000e0 END AS lim FROM pt),
+p3 AS (SELECT *, 3500e0 / w AS lo, least(9000e0 / w, coalesce(lim / nullif(tool_wear_min, 0), 1e308)) AS hi, greatest((process_temperature_k - air_temperature_k - 8.6e0) / 8.6e0, (rotational_speed_rpm - 1380e0) / 1380e0) AS dh, least((torque_nm * w - 3500e0) / 3500e0, (9000e0 - torque_nm * w) / 9000e0) AS dp, (lim - torque_nm * tool_wear_min) / lim AS ds FROM p2)
+SELECT product_type, {r(*nominal)}, matched, '{assumed}' AS assumed, {r('CASE WHEN lo <= hi THEN lo END AS torque_min', 'CASE WHEN lo <= hi THEN hi END AS torque_max')}, CASE WHEN lo > hi THEN 'infeasible' WHEN coalesce(lim / nullif(tool_wear_min, 0), 1e308) < 9000e0 / w THEN 'overstrain' ELSE 'power' END AS binding_ceiling, dh >= 0 AND dp >= 0 AND ds >= 0 AS safe, {r('least(dh, dp, ds) AS worst_margin')} FROM p3"""
+
+
+@query("envelope_point", _point_sql({"tool_wear_min": "200e0"}, "product_type = 'M'"))
+def _(s, d):
+    """What torque is safe at 200 minutes of wear, on M machines as they run?"""
+    return physics.envelope_at(observations(s, d).filter("product_type = 'M'"), P, {"tool_wear_min": 200})
+
+
+@query("envelope_hypothetical", _point_sql({"air_temperature_k": "305e0", "rotational_speed_rpm": "1300e0", "product_type": "'L'"}, "udi < 0"))
+def _(s, d):
+    """A point that was never run: nominal conditions, a warm hall, a slow spindle, a variant that nobody knows."""
+    return physics.envelope_at(observations(s, d).filter("udi < 0"), P, {"air_temperature_k": 305, "rotational_speed_rpm": 1300, "product_type": "x"})
+
+
+@query("degenerate_margins", f"{OBS} SELECT count(*) AS n, " + ", ".join(f"count_if(abs({m}) <= 8e0 * 2.220446049250313e-16 * greatest({', '.join(f'abs({x})' for x in ops)})) AS {m}" for m, ops in (("hdf_margin_0", ("process_temperature_k", "air_temperature_k", "8.6e0")), ("hdf_margin_1", ("rotational_speed_rpm", "1380e0")), ("osf_margin", ("overstrain_min_nm", "lim")))) + " FROM obs")
+def _(s, d):
+    """How many margins have a sign that rounding decides."""
+    from .plans.process import degenerate
+
+    c, lit = F.col, F.lit
+    limit = P.mode("OSF").terms[0].bound(c("product_type"))
+    of = {"hdf_margin_0": (c("process_temperature_k"), c("air_temperature_k"), lit(8.6)), "hdf_margin_1": (c("rotational_speed_rpm"), lit(1380.0)), "osf_margin": (c("overstrain_min_nm"), limit)}
+    return observations(s, d).agg(F.count(lit(1)).alias("n"), *[F.count_if(degenerate(c(m), *ops)).alias(m) for m, ops in of.items()])
+
+
+@query("mode_regimes", "SELECT * FROM (VALUES ('HDF', 'exact'), ('PWF', 'exact'), ('OSF', 'exact'), ('TWF', 'statistical'), ('RNF', 'irreducible')) AS t(mode, regime)")
+def _(s, d):
+    return s.createDataFrame(P.regimes(), "mode string, regime string")
+
+
 @query("forecast_overstrain", f"""{OBS}, g AS (SELECT product_type, any_value(lim) AS lim, avg(tool_wear_min) AS w, avg(torque_nm) AS t, stddev_samp(torque_nm) AS sg, CASE product_type WHEN 'L' THEN 2e0 WHEN 'M' THEN 3e0 ELSE 5e0 END AS rt FROM obs GROUP BY product_type),
 k AS (SELECT *, lim - w * t AS margin, (lim - w * t) / (rt * t) AS mu FROM g), q AS (SELECT *, 1.959963984540054e0 * sqrt(mu * mu * mu / (margin * margin / (rt * sg * rt * sg))) AS h FROM k)
 SELECT product_type, {r('margin', 'mu AS cycles', 'greatest(mu - h, 0) AS cycles_lo', 'mu + h AS cycles_hi', 'mu * 2e0 AS lead_min', 'lim / t AS crossing_wear', dp=5)}, CASE WHEN margin <= 0 THEN 'exceeded' WHEN mu < 10 THEN 'critical' ELSE 'running' END AS status FROM q""", dp=5)
@@ -392,17 +457,32 @@ def _(s, d):
     return physics.forecast_overstrain(observations(s, d), P)
 
 
-@query("hazard_bands")
+_HZ = f"""{OBS}, hb AS (SELECT floor(tool_wear_min / 10e0) * 10e0 AS band_lo, count(*) AS n, CAST(sum(twf) AS BIGINT) AS k FROM obs WHERE tool_wear_min >= 180 AND tool_wear_min < 260 GROUP BY 1),
+hw AS (SELECT a.band_lo AS a, b.band_lo AS b, sum(c.k) / CAST(sum(c.n) AS DOUBLE) AS m FROM hb a JOIN hb b ON b.band_lo >= a.band_lo JOIN hb c ON c.band_lo BETWEEN a.band_lo AND b.band_lo GROUP BY 1, 2),
+hi AS (SELECT x.band_lo, max(lowest) AS hazard FROM hb x JOIN (SELECT a, i.band_lo AS at, min(m) AS lowest FROM hw JOIN hb i ON i.band_lo BETWEEN a AND b GROUP BY 1, 2) y ON y.at = x.band_lo GROUP BY 1)"""
+
+
+@query("hazard_bands", _HZ + f", t AS (SELECT hb.band_lo, n, k, hazard FROM hb JOIN hi USING (band_lo)), u AS (SELECT *, {_wilson('k', 'n').replace('100e0*', '')} FROM t) SELECT {r('band_lo', 'k / CAST(n AS DOUBLE) AS rate', 'ci_lo', 'ci_hi', 'hazard')}, n, k FROM u")
 def _(s, d):
+    """The least-squares fit that never falls is, at each band, the largest over earlier starts of the smallest mean up to a later end."""
     return physics.hazard_bands(observations(s, d))
 
 
-@query("hazard_of_rows")
+@query("hazard_of_rows", _HZ + f" SELECT udi, {r('tool_wear_min', 'floor(tool_wear_min / 10e0) * 10e0 AS band_lo', 'hazard')} FROM obs LEFT JOIN hi ON hi.band_lo = floor(tool_wear_min / 10e0) * 10e0")
 def _(s, d):
     o = observations(s, d)
     return physics.hazard_at(o.select("udi", "tool_wear_min"), physics.hazard_bands(o))
 
 
+@query("forecast_wearout", _HZ + f""", lt AS (SELECT machine_id, product_type, tool_wear_min, CASE product_type WHEN 'L' THEN 2e0 WHEN 'M' THEN 3e0 ELSE 5e0 END AS rt FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY udi DESC) AS rn FROM obs) WHERE rn = 1),
+w AS (SELECT t.band_lo, t.n, t.hazard, {_wilson('t.k', 't.n').replace('100e0*', '')} FROM (SELECT hb.band_lo, hb.n, hb.k, hazard FROM hb JOIN hi USING (band_lo)) t),
+j AS (SELECT lt.*, w.*, tool_wear_min >= 200 AND tool_wear_min < 240 AS inside, (240e0 - tool_wear_min) / rt AS lft, coalesce(hazard, 43e0 / 790e0) AS h FROM lt LEFT JOIN w ON w.band_lo = floor(tool_wear_min / 10e0) * 10e0)
+SELECT machine_id, product_type, {r('tool_wear_min')}, CASE WHEN tool_wear_min >= 240 THEN 'past' WHEN inside THEN 'inside' ELSE 'before' END AS status, {r('CASE WHEN tool_wear_min < 200 THEN (200e0 - tool_wear_min) / rt END AS cycles_to_window', 'CASE WHEN tool_wear_min < 200 THEN 200e0 - tool_wear_min END AS wear_to_window', 'CASE WHEN inside THEN lft END AS cycles_left', 'CASE WHEN inside THEN h END AS per_cycle', 'CASE WHEN inside THEN ci_lo END AS per_cycle_lo', 'CASE WHEN inside THEN ci_hi END AS per_cycle_hi', 'CASE WHEN inside THEN 1 - pow(1 - h, lft) END AS cumulative')}, CASE WHEN inside THEN n END AS band_n FROM j""")
+def _(s, d):
+    o = observations(s, d)
+    return physics.forecast_wearout(rel.fleet(o).select("machine_id", "product_type", "tool_wear_min"), P, physics.hazard_bands(o))
+
+
 _PW = "* CAST(0.10471975511965977 AS DOUBLE)"
 
 
@@ -418,15 +498,15 @@ def _(s, d):
 
 
 @query("data_quality", f"""{OBS} SELECT count(*) AS n, CAST(sum(machine_failure) AS BIGINT) AS failures, count_if(machine_failure = 1 AND hdf + pwf + osf + twf = 0) AS orphans, round(avg(worst_margin) FILTER (machine_failure = 1 AND hdf + pwf + osf + twf = 0), 6) AS orphan_margin, round(avg(worst_margin) FILTER (machine_failure = 0), 6) AS healthy_margin,
-count_if(rnf = 1 AND machine_failure = 0) AS rnf_not_rolled_up, CAST(sum(twf) AS BIGINT) AS twf_flags, count_if(twf_rule) AS twf_window, """ + ", ".join(f"count_if({n}_rule AND {n} = 0) AS {n}_false_alarms, count_if(NOT {n}_rule AND {n} = 1) AS {n}_surprises" for n in ("hdf", "pwf", "osf")) + " FROM obs")
+count_if(rnf = 1 AND machine_failure = 0) AS rnf_not_rolled_up, CAST(sum(twf) AS BIGINT) AS twf_flags, count_if(twf_rule) AS twf_window, """ + ", ".join(f"count_if({n}_rule AND {n} = 0) AS {n}_false_alarms, count_if(NOT {n}_rule AND {n} = 1) AS {n}_surprises" for n in ("hdf", "pwf", "osf")) + ", CASE WHEN count(*) = 0 THEN 'no data' WHEN " + " OR ".join(f"count_if({n}_rule <> ({n} = 1)) > 0" for n in ("hdf", "pwf", "osf")) + " THEN 'labels contradict rules' WHEN count_if(machine_failure = 1 AND hdf + pwf + osf + twf = 0) > 0 THEN 'consistent, with unexplained failures' ELSE 'consistent' END AS verdict FROM obs")
 def _(s, d):
     return rel.data_quality(observations(s, d))
 
 
-_LAWS = [("heat_order", "CAST(count_if(process_temperature_k <= air_temperature_k) AS DOUBLE)", 0, 0), ("temp_delta_mean", "avg(temp_delta_k)", 10, 0.25), ("temp_delta_sd", "stddev_samp(temp_delta_k)", 1, 0.25), ("speed_torque_corr", "corr(rotational_speed_rpm, torque_nm)", -0.875, 0.125), ("power_mean", "avg(power_w)", 6280, 628)]
+_LAWS = [("heat_order", "CAST(count_if(process_temperature_k <= air_temperature_k) AS DOUBLE)", 0, 0), ("temp_delta_mean", "avg(temp_delta_k)", 10, 0.25), ("temp_delta_sd", "stddev_samp(temp_delta_k)", 1, 0.25), ("speed_torque_corr", "corr(rotational_speed_rpm, torque_nm)", -0.875, 0.10), ("power_mean", "avg(power_w)", 6280, 628)]
 
 
-@query("invariants", f"{OBS} " + " UNION ALL ".join(f"SELECT '{n}' AS invariant, round({v}, 6) AS value, CAST({e} AS DOUBLE) AS expected, CAST({t} AS DOUBLE) AS tolerance, abs({v} - ({e})) <= {t} AS holds FROM obs" for n, v, e, t in _LAWS))
+@query("invariants", f"{OBS} " + " UNION ALL ".join(f"SELECT '{n}' AS invariant, round({v}, 6) AS value, CAST({e} AS DOUBLE) AS expected, CAST({t} AS DOUBLE) AS tolerance, abs({v} - ({e}e0)) <= {t}e0 AS holds FROM obs" for n, v, e, t in _LAWS))
 def _(s, d):
     return rel.invariants(observations(s, d))
 
@@ -435,9 +515,12 @@ _HALF = "(SELECT max(udi) / 2 FROM obs)"
 
 
 def _drift_sql(frame: str) -> str:
-    lag = ", ".join(f"lag({c}) OVER (PARTITION BY udi // 1000 ORDER BY udi) AS {k}_p, {c} AS {k}" for k, c in (("dt", "temp_delta_k"), ("rpm", "rotational_speed_rpm"), ("tq", "torque_nm")))
-    z = ", ".join(f"((avg({k}) FILTER (w)) - (avg({k}) FILTER (NOT w))) / ((stddev_samp({k}) FILTER (NOT w)) / sqrt(greatest((count({k}) FILTER (w)) * (1 - greatest(least(corr({k}, {k}_p) FILTER (NOT w), 0.99e0), -0.99e0)) / (1 + greatest(least(corr({k}, {k}_p) FILTER (NOT w), 0.99e0), -0.99e0)), 1))) AS z_{k}" for k in ("dt", "rpm", "tq"))
-    return f"{OBS}, src AS ({frame}), l AS (SELECT udi > (SELECT max(udi) // 2 FROM obs) AS w, {lag} FROM src), q AS (SELECT {z} FROM l) SELECT round(z_dt, 4) AS z_dt, round(z_rpm, 4) AS z_rpm, round(z_tq, 4) AS z_tq, CASE WHEN abs(z_dt) > 5 AND (abs(z_rpm) > 5 OR abs(z_tq) > 5) THEN 'both' WHEN abs(z_dt) > 5 THEN 'sensor' WHEN abs(z_rpm) > 5 OR abs(z_tq) > 5 THEN 'process' ELSE 'ok' END AS verdict FROM q"
+    chans = (("dt", "temp_delta_k"), ("rpm", "rotational_speed_rpm"), ("tq", "torque_nm"))
+    lag = ", ".join(f"lag({c}) OVER (ORDER BY udi) AS {k}_p, {c} AS {k}" for k, c in chans)
+    z = ", ".join(f"((avg({k}) FILTER (w)) - (avg({k}) FILTER (NOT w))) / ((stddev_samp({k}) FILTER (NOT w)) / sqrt(greatest((count({k}) FILTER (w)) * (1 - greatest(least(corr({k}, {k}_p) FILTER (NOT w), 0.99e0), -0.99e0)) / (1 + greatest(least(corr({k}, {k}_p) FILTER (NOT w), 0.99e0), -0.99e0)), 1))) AS z_{k}" for k, _ in chans)
+    now = {n: v for n, v, *_ in _LAWS}
+    broken = " OR ".join(f"NOT (SELECT abs({now[n]} - ({e}e0)) <= {t}e0 FROM src WHERE udi > (SELECT max(udi) // 2 FROM obs))" for n, _, e, t in _LAWS)
+    return f"{OBS}, src AS ({frame}), l AS (SELECT udi > (SELECT max(udi) // 2 FROM obs) AS w, {lag} FROM src), q AS (SELECT {z}, ({broken}) AS law_broken FROM l) SELECT round(z_dt, 4) AS z_dt, round(z_rpm, 4) AS z_rpm, round(z_tq, 4) AS z_tq, law_broken, CASE WHEN abs(z_rpm) > 5 OR abs(z_tq) > 5 THEN 'process' WHEN abs(z_dt) > 5 OR law_broken THEN 'sensor' ELSE 'ok' END AS verdict FROM q"
 
 
 def _second_half(df: DataFrame):
@@ -481,6 +564,18 @@ def _(s, d):
     return rel.threshold_bracket(_worn_labels(s, d))
 
 
+@query("health", f"{OBS} " + " UNION ALL ".join(f"SELECT 'invariant' AS kind, '{n}' AS name, abs({v} - ({e}e0)) <= {t}e0 AS ok, CASE WHEN abs({v} - ({e}e0)) <= {t}e0 THEN 'holds' ELSE 'violated' END AS detail FROM obs" for n, v, e, t in _LAWS) + "".join(f" UNION ALL SELECT 'calibration', '{n.upper()}', count_if({n}_rule <> ({n} = 1)) = 0, CASE WHEN count_if({n}_rule <> ({n} = 1)) = 0 THEN 'calibrated' ELSE 'other' END FROM obs" for n in ("hdf", "pwf", "osf")))
+def _(s, d):
+    return rel.health(observations(s, d))
+
+
+@query("invariant_flags", f"{OBS}, hot AS (SELECT * REPLACE (temp_delta_k + 3e0 AS temp_delta_k) FROM obs), v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS invariant, {v} AS value, CAST({e} AS DOUBLE) AS expected, CAST({t} AS DOUBLE) AS tolerance FROM hot" for n, v, e, t in _LAWS if n.startswith("temp")) + f") SELECT invariant, {r('value')}, expected, tolerance FROM v WHERE abs(value - expected) > tolerance")
+def _(s, d):
+    """A plan over temperatures, on data whose temperatures break a law."""
+    hot = observations(s, d).withColumn("temp_delta_k", F.col("temp_delta_k") + 3.0)
+    return rel.invariant_flags(rel.invariants(hot), {"temp_delta_k"}).filter("invariant LIKE 'temp%'")
+
+
 # fleet and remaining life
 
 _LATEST = f", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY udi DESC) AS rn, count(*) OVER (PARTITION BY machine_id) AS cycles, CAST(sum(machine_failure) OVER (PARTITION BY machine_id) AS BIGINT) AS fails, {_CLOSEST} AS binding, CASE product_type WHEN 'L' THEN 2e0 WHEN 'M' THEN 3e0 ELSE 5e0 END AS rt FROM obs) WHERE rn = 1)"
@@ -497,11 +592,17 @@ def _(s, d):
     return h.select("machine_id", F.posexplode("margins").alias("p", "margin")).select("machine_id", (F.col("p") + 1).cast("bigint").alias("point"), "margin")
 
 
-@query("fleet_rul", f"{OBS}{_LATEST}, k AS (SELECT machine_id, lim - tool_wear_min * torque_nm AS margin, rt, (lim - tool_wear_min * torque_nm) / (rt * torque_nm) AS mu FROM f), q AS (SELECT *, sqrt(mu * mu * mu / (margin * margin / (rt * 9.8e0 * rt * 9.8e0))) AS sd FROM k WHERE margin > 0 UNION ALL SELECT *, NULL FROM k WHERE margin <= 0) SELECT machine_id, {r('margin', 'mu AS cycles', 'greatest(mu - 1.96e0 * sd, 0) AS cycles_lo', 'mu + 1.96e0 * sd AS cycles_hi', dp=5)}, CASE WHEN margin <= 0 THEN 'crossed' WHEN mu < 50 THEN 'imminent' ELSE 'running' END AS status FROM q", dp=5)
+@query("fleet_rul", f"""{OBS}{_LATEST}, cr AS (SELECT (abs(lim - tool_wear_min * torque_nm) + 1e0) / (CASE product_type WHEN 'L' THEN 2e0 WHEN 'M' THEN 3e0 ELSE 5e0 END * torque_nm) AS c FROM obs WHERE osf = 1 AND torque_nm > 0),
+cc AS (SELECT CASE WHEN count(*) < 5 THEN 0e0 ELSE quantile_disc(c, 0.9) END AS wider FROM cr),
+k AS (SELECT machine_id, lim - tool_wear_min * torque_nm AS margin, rt, (lim - tool_wear_min * torque_nm) / (rt * torque_nm) AS mu, wider FROM f, cc), q AS (SELECT *, 1.6448536269514722e0 * sqrt(mu * mu * mu / (margin * margin / (rt * 9.8e0 * rt * 9.8e0))) AS h FROM k WHERE margin > 0 UNION ALL SELECT *, NULL FROM k WHERE margin <= 0)
+SELECT machine_id, {r('margin', 'CASE WHEN margin <= 0 THEN 0e0 ELSE mu END AS cycles', 'CASE WHEN margin <= 0 THEN 0e0 ELSE greatest(mu - h - wider, 0e0) END AS cycles_lo', 'CASE WHEN margin <= 0 THEN 0e0 ELSE mu + h + wider END AS cycles_hi', dp=5)}, CASE WHEN margin <= 0 THEN 'crossed' WHEN mu < 50 THEN 'imminent' ELSE 'running' END AS status FROM q""", dp=5)
 def _(s, d):
-    x = rel.remaining_life(observations(s, d), P)
-    gone = F.col("margin") <= 0
-    return x.withColumns({c: F.when(~gone, F.col(c)) for c in ("cycles_lo", "cycles_hi")}).withColumn("cycles_lo", F.when(gone, 0.0).otherwise(F.col("cycles_lo")))
+    return rel.remaining_life(observations(s, d), P)
+
+
+@query("tool_lives", f"{OBS}, l AS (SELECT machine_id, udi, tool_wear_min, CASE WHEN lag(tool_wear_min) OVER (PARTITION BY machine_id ORDER BY udi) <= tool_wear_min THEN 0 ELSE 1 END AS b FROM obs), n AS (SELECT *, CAST(sum(b) OVER (PARTITION BY machine_id ORDER BY udi) AS BIGINT) AS life FROM l) SELECT machine_id, life, count(*) AS cycles, min(udi) AS first_udi, max(udi) AS last_udi, {r('arg_max(tool_wear_min, udi) AS wear_end')} FROM n GROUP BY machine_id, life")
+def _(s, d):
+    return rel.tool_lives(observations(s, d))
 
 
 @query("wear_trajectory", f"{OBS}{_LATEST}, t AS (SELECT machine_id, c, lim - (tool_wear_min + c * rt) * torque_nm AS m FROM f, (SELECT unnest(range(201)) AS c)) SELECT machine_id, min(c) FILTER (m <= 0) AS crossing_cycle, round(min(m), 6) AS last_margin FROM t GROUP BY machine_id")
@@ -521,20 +622,18 @@ _MATCH = f"{OBS}, al AS (SELECT machine_id, udi AS raised, {_CLOSEST} AS mode FR
 
 @query("alert_outcome_join", f"{_MATCH} SELECT machine_id, raised AS \"at\", mode, coalesce(failed_at, -1) AS failed_at, coalesce(failed_at - raised, -1) AS lead FROM mt")
 def _(s, d):
-    o = observations(s, d)
-    return rel.matched(rel.alerts(o), rel.outcomes(o)).fillna(-1, ["failed_at", "lead"])
+    return rel.matched(rel.signals(observations(s, d))).fillna(-1, ["failed_at", "lead"])
 
 
 @query("scorecard_by_mode", f"{_MATCH} SELECT mode, count(*) AS alerts, count(failed_at) AS correct, count_if(failed_at - raised >= 5) AS actionable, count_if(failed_at = raised) AS lead_zero, round(median(failed_at - raised), 6) AS median_lead, round(count(failed_at) / CAST(count(*) AS DOUBLE), 6) AS precision, round(count_if(failed_at - raised >= 5) / CAST(count(*) AS DOUBLE), 6) AS actionable_precision FROM mt GROUP BY mode")
 def _(s, d):
-    o = observations(s, d)
-    return rel.scorecard(rel.matched(rel.alerts(o), rel.outcomes(o)))
+    return rel.scorecard(rel.matched(rel.signals(observations(s, d))))
 
 
 @query("alert_recall", f"{_MATCH} SELECT count(*) AS failures, count_if(EXISTS (SELECT 1 FROM mt WHERE mt.machine_id = oc.machine_id AND mt.failed_at = oc.failed_at)) AS foreseen, round(count_if(EXISTS (SELECT 1 FROM mt WHERE mt.machine_id = oc.machine_id AND mt.failed_at = oc.failed_at)) / CAST(count(*) AS DOUBLE), 6) AS recall FROM oc")
 def _(s, d):
-    o = observations(s, d)
-    return rel.recall(rel.matched(rel.alerts(o), rel.outcomes(o)), rel.outcomes(o))
+    found = rel.signals(observations(s, d))
+    return rel.recall(found, rel.matched(found))
 
 
 _WO = f"{OBS}, wo AS (SELECT udi, machine_id, product_type, CASE WHEN hdf = 1 THEN 'HDF' WHEN pwf = 1 THEN 'PWF' WHEN osf = 1 THEN 'OSF' WHEN twf = 1 THEN 'TWF' ELSE 'UNDETERMINED' END AS mode, (udi * 17) % 10 < 7 AS closed, (udi * 31) % 10 < 8 AS found FROM obs WHERE machine_failure = 1)"
@@ -545,6 +644,11 @@ def _(s, d):
     return rel.work_order_summary(rel.work_orders(observations(s, d)))
 
 
+@query("newest_orders", f"{_WO} SELECT udi AS wo, machine_id, product_type, mode, CASE WHEN closed THEN 'closed' ELSE 'open' END AS status, CASE WHEN closed THEN found END AS found_fault FROM wo ORDER BY udi DESC LIMIT 100")
+def _(s, d):
+    return rel.newest_orders(rel.work_orders(observations(s, d)))
+
+
 @query("feedback_weights", f"{_WO} SELECT mode, product_type, count(*) AS closed, count_if(found) AS confirmed, round(1 + 0.002e0 * count_if(found) - 0.001e0 * count_if(NOT found), 6) AS weight, round(count_if(NOT found) / CAST(count(*) AS DOUBLE), 6) AS fp_rate, count_if(NOT found) / CAST(count(*) AS DOUBLE) > 0.1e0 AND count(*) >= 5 AS flagged FROM wo WHERE closed GROUP BY mode, product_type")
 def _(s, d):
     return rel.feedback(rel.work_orders(observations(s, d)))
@@ -553,7 +657,13 @@ def _(s, d):
 # discovery
 
 
-@query("channel_profile", f"{OBS}, l AS (SELECT *, " + ", ".join(f"lag({c}) OVER (PARTITION BY udi // 1000 ORDER BY udi) AS {c}_p" for c in BASE) + " FROM obs) " + " UNION ALL ".join(f"SELECT '{c}' AS channel, {r(f'avg({c}) AS mean', f'stddev_samp({c}) AS sd', f'min({c}) AS min', f'max({c}) AS max', f'avg(CAST({c} = {c}_p AS INT)) AS repeat', f'avg(CAST({c} >= {c}_p AS INT)) AS up')}, avg(CAST({c} >= {c}_p AS INT)) >= 0.95e0 AS counter FROM l" for c in BASE))
+def _profile_sql(c: str) -> str:
+    g0, g1 = f"var_pop({c} - {c}_p)", f"covar_pop({c} - {c}_p, {c}_p - {c}_pp)"
+    values = r(f"avg({c}) AS mean", f"stddev_samp({c}) AS sd", f"min({c}) AS min", f"max({c}) AS max", f"avg(CAST({c} = {c}_p AS INT)) AS repeat", f"avg(CAST({c} >= {c}_p AS INT)) AS up", f"sqrt(greatest(CASE WHEN {g1} < 0 THEN {g0} + 2e0 * {g1} ELSE 0e0 END, 0e0)) AS process_sd", f"sqrt(CASE WHEN {g1} < 0 THEN -{g1} ELSE {g0} / 2e0 END) AS instrument_sd", dp=5)
+    return f"SELECT '{c}' AS channel, {values}, avg(CAST({c} >= {c}_p AS INT)) >= 0.95e0 AS counter FROM l"
+
+
+@query("channel_profile", f"{OBS}, l AS (SELECT *, " + ", ".join(f"lag({c}) OVER (ORDER BY udi) AS {c}_p, lag({c}, 2) OVER (ORDER BY udi) AS {c}_pp" for c in BASE) + " FROM obs) " + " UNION ALL ".join(_profile_sql(c) for c in BASE), dp=5)
 def _(s, d):
     return rel.channel_profile(observations(s, d), BASE)
 
@@ -563,11 +673,16 @@ def _(s, d):
     return rel.leakage(observations(s, d), ("hdf", "pwf", "osf", "twf", "rnf"))
 
 
-@query("rule_split", f"""{OBS}, c AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {m} AS x, count(*) AS n, sum(osf) AS k FROM obs GROUP BY {m}" for m in FIVE + ("overstrain_min_nm",))}),
+def _split_sql(where: str = "true") -> str:
+    """The best cut of each metric, as the table p with i = 1."""
+    counts = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS x, count(*) AS n, sum(osf) AS k FROM obs WHERE {where} GROUP BY {m}" for m in (*FIVE, "overstrain_min_nm"))
+    return f"""{OBS}, c AS ({counts}),
 w AS (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY x) AS nl, sum(k) OVER (PARTITION BY metric ORDER BY x) AS kl, sum(n) OVER (PARTITION BY metric) AS na, sum(k) OVER (PARTITION BY metric) AS ka, lead(x) OVER (PARTITION BY metric ORDER BY x) AS nx FROM c),
 f AS (SELECT metric, (x + nx) / 2 AS cut, 2e0 * kl / (nl + ka) AS f_lt, 2e0 * (ka - kl) / (na - nl + ka) AS f_gt FROM w WHERE nx IS NOT NULL),
-p AS (SELECT *, greatest(f_lt, f_gt) AS f1, row_number() OVER (PARTITION BY metric ORDER BY greatest(f_lt, f_gt) DESC, cut) AS i FROM f)
-SELECT metric, round(cut, 6) AS cut, round(f1, 6) AS f1, CASE WHEN f_gt >= f_lt THEN '>' ELSE '<' END AS side FROM p WHERE i = 1""")
+p AS (SELECT *, greatest(f_lt, f_gt) AS f1, row_number() OVER (PARTITION BY metric ORDER BY greatest(f_lt, f_gt) DESC, cut) AS i FROM f)"""
+
+
+@query("rule_split", _split_sql() + " SELECT metric, round(cut, 6) AS cut, round(f1, 6) AS f1, CASE WHEN f_gt >= f_lt THEN '>' ELSE '<' END AS side FROM p WHERE i = 1")
 def _(s, d):
     return rel.best_split(observations(s, d), FIVE + ("overstrain_min_nm",), "osf")
 
@@ -577,12 +692,42 @@ def _(s, d):
     return discovery.induce(observations(s, d), FIVE + ("overstrain_min_nm",), "osf")
 
 
-@query("rule_audit")
+@query("rule_audit", _split_sql("product_type = 'L'") + " SELECT metric, round(cut, 6) AS cut, round(f1, 6) AS f1, CASE WHEN metric = 'overstrain_min_nm' THEN 11000e0 END AS documented, round(CASE WHEN metric = 'overstrain_min_nm' THEN abs(cut - 11000e0) / 11000e0 END, 6) AS error, metric = 'overstrain_min_nm' AND abs(cut - 11000e0) / 11000e0 < 0.10e0 AS verified FROM p WHERE i = 1")
 def _(s, d):
     cuts = rel.best_split(observations(s, d).filter("product_type = 'L'"), FIVE + ("overstrain_min_nm",), "osf")
     return discovery.audit(cuts, {"overstrain_min_nm": 11000.0})
 
 
+_RAW_UNITS = {"air_temperature_k": "K", "process_temperature_k": "K", "rotational_speed_rpm": "rpm", "torque_nm": "N·m", "tool_wear_min": "min"}
+
+
+def _features(o: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The raw channels, what their units construct, and the variants as 0/1 columns."""
+    made = discovery.constructed(_RAW_UNITS, ("tool_wear_min",)) | discovery.one_hot(o, ("product_type",))
+    return o.withColumns(made), (*BASE, *made)
+
+
+@query("constructed_features", f"{OBS} SELECT udi, {r('process_temperature_k - air_temperature_k AS process_temperature_k_minus_air_temperature_k', 'power_w AS power_from_torque_nm_rotational_speed_rpm', 'overstrain_min_nm AS tool_wear_min_x_torque_nm')}, " + ", ".join(f"CASE WHEN product_type = '{v}' THEN 1e0 ELSE 0e0 END AS product_type_is_{v}" for v in "HLM") + " FROM obs")
+def _(s, d):
+    df, names = _features(observations(s, d))
+    return df.select("udi", *[n for n in names if n not in BASE])
+
+
+@query("rule_paths")
+def _(s, d):
+    """Conjunctions found in the features, with union coverage."""
+    df, names = _features(observations(s, d))
+    return discovery.rule_table(df, *discovery.induce_paths(df, names, "machine_failure"))
+
+
+@query("feature_f1")
+def _(s, d):
+    """One tree over raw channels against one over constructed features."""
+    df, names = _features(observations(s, d))
+    rows = [("raw", discovery.tree_f1(df, BASE, "osf", 2)), ("constructed", discovery.tree_f1(df, names, "osf", 2))]
+    return s.createDataFrame(rows, "features string, f1 double")
+
+
 @query("linear_baseline")
 def _(s, d):
     return discovery.anomalies(observations(s, d), BASE, F.col("machine_failure") == 0)
@@ -616,6 +761,23 @@ def _(s, d):
     return rel.nearest(e, e.filter("vec_id % 100 = 0"))
 
 
+@query("question_shapes")
+def _(s, d):
+    """Benchmark questions reduced to their shape and hashed: how many places of the vector are taken, and its largest weight."""
+    from .functions.text import embedding, normalise
+
+    q = table(s, d, "benchmark").select("item_id", normalise(F.col("text")).alias("shape"))
+    v = q.withColumn("v", embedding(F.col("shape")))
+    return v.select("item_id", "shape", F.size(F.filter("v", lambda x: x > 0)).cast("bigint").alias("places"), F.array_max("v").alias("largest"))
+
+
+@query("rendered_numbers", f"{OBS} SELECT udi, CASE WHEN torque_nm = floor(torque_nm) THEN printf('%d', CAST(torque_nm AS BIGINT)) WHEN torque_nm >= 10 THEN printf('%.2f', torque_nm) ELSE printf('%.3f', torque_nm) END AS torque, CASE WHEN rotational_speed_rpm >= 1000 THEN printf('%d,%03d', CAST(rotational_speed_rpm AS BIGINT) // 1000, CAST(rotational_speed_rpm AS BIGINT) % 1000) ELSE printf('%d', CAST(rotational_speed_rpm AS BIGINT)) END AS speed FROM obs")
+def _(s, d):
+    from .functions.units import rendered
+
+    return observations(s, d).select("udi", rendered(F.col("torque_nm")).alias("torque"), rendered(F.col("rotational_speed_rpm")).alias("speed"))
+
+
 # streams, by batch replay of the same transitions
 
 
@@ -635,6 +797,13 @@ def _(s, d):
     return intake.replay(_messages(s, d)).groupBy("machine_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("intake_stats")
+def _(s, d):
+    from .streaming import intake
+
+    return intake.stats(intake.replay(_messages(s, d)))
+
+
 @query("stream_duplicates", """WITH e AS (SELECT 'm' || CAST(user_id % 16 AS VARCHAR) AS machine_id, event_id AS seq FROM events) SELECT machine_id, count(*) AS messages, count(*) FILTER (seq % 50 = 0) AS duplicates FROM e GROUP BY machine_id""")
 def _(s, d):
     from .streaming import intake
