@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, hot_join, new_path, stored
+from .common import filesystem, hot_join, new_path, stored, whole
 
 MIN_REVISIT = 1000
 #: Magic number of the skippable frame with the dictionary, fixed by the format.
@@ -130,7 +130,7 @@ def write(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES)
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for p, u, y, d, r in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
-                    yield None if pd.isna(p) else int(p), u, y, d, None if pd.isna(r) else int(r)
+                    yield None if p is None else int(p), u, y, d, None if r is None else int(r)
 
         def begin() -> None:
             nonlocal sink, w, n, first, last
@@ -173,9 +173,12 @@ def write(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES)
                 put(h)
         if w is not None:
             end()
-        yield pd.DataFrame(out, columns=["path", "records", "first_id", "last_id", "bytes"]).astype({"first_id": "Int64", "last_id": "Int64"})
+        if out:
+            path, n, first, last, size = zip(*out, strict=True)
+            yield pd.DataFrame({"path": path, "records": n, "first_id": whole(first), "last_id": whole(last), "bytes": size})
 
-    rows = pages.select("page_id", "url", "payload", "digest", "refers_to")
+    text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  # ids keep all their digits beside nulls
+    rows = pages.select(text("page_id"), "url", "payload", "digest", text("refers_to"))
     manifest = rows.mapInPandas(run, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -312,6 +315,9 @@ def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) ->
     """
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: whole(c) if n in ("page_id", "refers_to") else c for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path in b["path"]:
@@ -326,10 +332,10 @@ def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) ->
                         rows.append(r if payloads else (*r[:2], None, *r[3:]))
                         size += len(rec) if payloads else 200
                         if size > 4 << 20:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield frame(rows)
                             rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield frame(rows)
 
     n = max(1, manifest.count())
     return manifest.select("path").repartition(n).mapInPandas(run, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
