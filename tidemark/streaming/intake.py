@@ -77,8 +77,7 @@ def _verdicts(state: Intake, b: pd.DataFrame) -> list[tuple]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in _NAMES]
-    return pd.DataFrame({n: pd.array(c, dtype="Int64") if n == "seq" else c for n, c in zip(_NAMES, columns, strict=True)})
+    return pd.DataFrame({n: pd.array(c, dtype="Int64") if n == "seq" else c for n, c in zip(_NAMES, zip(*rows, strict=True), strict=True)})
 
 
 def _prepared(messages: DataFrame) -> DataFrame:
@@ -97,7 +96,8 @@ def replay(messages: DataFrame) -> DataFrame:
                 if m != machine:
                     machine, state = m, Intake()
                 out += _verdicts(state, of)
-            yield _frame(out)
+            if out:
+                yield _frame(out)
 
     # messages without a machine are each judged by themselves, so they needn't meet
     key = F.coalesce("machine_id", F.concat(F.lit("?"), F.pmod(F.xxhash64("seq", "t", "order"), F.lit(64)).cast("string")))
