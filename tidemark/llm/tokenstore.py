@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, hot_join, new_path, stored
+from .common import appended, filesystem, hot_join, new_path, stored, whole
 from .tokens import encoder
 
 CUT_WINDOW, MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 16, 128, 512, 2048
@@ -100,41 +100,37 @@ def encode(docs: DataFrame, path: str, *, end: int = 1, id_col: str = "doc_id",
     """doc_id, tie (content hash), n_tokens, ids (16 or 32 bits each, a Zstandard frame), cuts (chunk ends, in ids), digests."""
     kind = "<u4" if wide else "<u2"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run():
         import zstandard
 
-        enc, squeeze = encoder(path, drops_space), zstandard.ZstdCompressor(level=3)
-        tail = end.to_bytes(4, "little")
-        for b in batches:
-            rows: list[tuple] = []
-            held: list[tuple[bytes, np.ndarray]] = []
-
-            def put() -> None:
-                for (t, ids), cuts in zip(held, cut_all([ids for _, ids in held]), strict=True):  # noqa: B023
-                    data, start, digests = ids.astype(kind), 0, []
-                    if not wide and not np.array_equal(data, ids):
-                        raise ValueError("ids over 65535 need wide=True")
-                    raw = data.tobytes()
-                    for c in cuts:
-                        digests.append(address(raw[start * data.itemsize : c * data.itemsize]))
-                        start = c
-                    rows.append((int.from_bytes(address(t)[:8], "little", signed=True), len(ids), squeeze.compress(raw), cuts, digests))  # noqa: B023
-                held.clear()  # noqa: B023
-
-            size = 0
-            for t in b["text"]:
+        enc, squeeze, tail = encoder(path, drops_space), zstandard.ZstdCompressor(level=3), end.to_bytes(4, "little")
+
+        def put(held: list[tuple[bytes, np.ndarray]]) -> Iterator[tuple]:
+            for (t, ids), cuts in zip(held, cut_all([ids for _, ids in held]), strict=True):
+                data, start, digests = ids.astype(kind), 0, []
+                if not wide and not np.array_equal(data, ids):
+                    raise ValueError("ids over 65535 need wide=True")
+                raw = data.tobytes()
+                for c in cuts:
+                    digests.append(address(raw[start * data.itemsize : c * data.itemsize]))
+                    start = c
+                yield int.from_bytes(address(t)[:8], "little", signed=True), len(ids), squeeze.compress(raw), cuts, digests
+
+        def make(texts: list) -> list:
+            rows, held, size = [], [], 0
+            for t in texts:
                 held.append((t or b"", np.frombuffer(enc.encode(t or b"") + tail, dtype="<u4")))
                 size += len(held[-1][1])
                 if size >= CUT_BATCH:
-                    put()
-                    size = 0
-            put()
-            b = b.drop(columns="text")
-            b["tie"], b["n_tokens"], b["ids"], b["cuts"], b["digests"] = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-            yield b
+                    rows += put(held)
+                    held, size = [], 0
+            rows += put(held)
+            return list(zip(*rows, strict=True)) if rows else [[]] * 5
+
+        return make
 
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return src.mapInPandas(run, "doc_id bigint, tie bigint, n_tokens bigint, ids binary, cuts array<int>, digests array<binary>")
+    return appended(src, "text", run, "tie bigint, n_tokens bigint, ids binary, cuts array<int>, digests array<binary>")
 
 
 def _owners(encoded: DataFrame) -> DataFrame:
@@ -157,6 +153,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
     lists = owned.select("doc_id", "tie", F.lit(0).alias("what"), "owned", *[none(c) for c in ("n_tokens", "ids", "cuts", "digests")])
     texts = encoded.select("doc_id", "tie", F.lit(1).alias("what"), F.lit(None).cast("array<int>").alias("owned"), "n_tokens", "ids", "cuts", "digests")
     dealt = lists.unionByName(texts).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "what")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # keeps all digits beside nulls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -171,7 +168,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
         for b in batches:
             out = []
             for doc_id, tie, what, own, n, ids, cuts, digests in b.itertuples(index=False):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                doc_id = None if doc_id is None else int(doc_id)
                 if what == 0:
                     mine = (doc_id, tie, frozenset(int(x) for x in own))
                     continue
@@ -202,7 +199,8 @@ def write(docs: DataFrame, folder: str, path: str, *, end: int = 1, wide: bool =
                 out.append((part, seq, doc_id, start, int(n), merkle(leaves), packs, offsets, sizes, leaves))
                 seq += 1
                 start += int(n)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _RECIPE.split(", ")]).astype({"doc_id": "Int64", "part": "int32"})
+            made = pd.DataFrame(out, columns=[c.split()[0] for c in _RECIPE.split(", ")]).astype({"part": "int32"})
+            yield made.assign(doc_id=whole([r[2] for r in out]))
         if sink is not None:
             sink.close()
 
@@ -231,11 +229,12 @@ def manifest(recipes: DataFrame) -> DataFrame:
     field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     leaf = F.sha2(F.concat_ws("|", *[field(c) for c in ("part", "seq", "doc_id", "local_start", "n_tokens")], F.hex("root")), 256)
     most = recipes.agg(F.max("seq").alias("seq"), F.max("part").alias("part")).first()
-    roots = _folded(recipes.select("part", F.col("seq").alias("at"), leaf.alias("digest")), ["part"], most.seq or 0).withColumnRenamed("digest", "root")
+    roots = stored(_folded(recipes.select("part", F.col("seq").alias("at"), leaf.alias("digest")), ["part"], most.seq or 0).withColumnRenamed("digest", "root"), "roots")
     parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).join(roots, "part")
     top = _folded(roots.select(F.lit(0).alias("of"), F.col("part").alias("at"), F.col("root").alias("digest")), ["of"], most.part or 0)
+    store = top.first()  # one digest
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("before", before).withColumn("of", F.lit(0)).join(F.broadcast(top.withColumnRenamed("digest", "store")), "of").drop("of")
+    return parts.withColumns({"before": before, "store": F.lit(store.digest if store else None).cast("string")})
 
 
 def _located(recipes: DataFrame) -> DataFrame:
@@ -255,7 +254,7 @@ def read(spark: SparkSession, folder: str, *, wide: bool = False, with_ids: bool
     """
     recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
     told = spark.read.parquet(f"{folder}/manifest")
-    now = manifest(recipes)
+    now = stored(manifest(recipes), "manifest")
     if not told.exceptAll(now).isEmpty() or not now.exceptAll(told).isEmpty():
         raise ValueError(f"the recipes in {folder} don't have their manifest's roots")
     away = _located(recipes)
@@ -264,7 +263,7 @@ def read(spark: SparkSession, folder: str, *, wide: bool = False, with_ids: bool
     names = [f.name for f in recipes.schema.fields if f.name not in ("part", "seq")]
     first = lists.select("part", "seq", F.lit(0).alias("what"), "away", *[none(c) for c in names])
     then = recipes.select("part", "seq", F.lit(1).alias("what"), F.lit(None).cast(lists.schema["away"].dataType).alias("away"), *names)
-    dealt = first.unionByName(then).repartitionByRange("part", "seq").sortWithinPartitions("part", "seq", "what")
+    dealt = first.unionByName(then).repartitionByRange("part", "seq").sortWithinPartitions("part", "seq", "what").withColumn("doc_id", F.col("doc_id").cast("string"))
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,10 +313,10 @@ def read(spark: SparkSession, folder: str, *, wide: bool = False, with_ids: bool
                 ids = np.frombuffer(b"".join(parts), dtype=kind).astype("<u4").tobytes()
                 if len(ids) != 4 * r.n_tokens:
                     raise ValueError(f"document {r.doc_id} doesn't have its length")
-                row = (r.part, None if pd.isna(r.doc_id) else int(r.doc_id), int(r.local_start), int(r.n_tokens), zlib.crc32(ids))
+                row = (r.part, None if r.doc_id is None else int(r.doc_id), int(r.local_start), int(r.n_tokens), zlib.crc32(ids))
                 out.append((*row, ids) if with_ids else row)
             names = ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "part": "int32"})
+            yield pd.DataFrame(out, columns=names).astype({"part": "int32"}).assign(doc_id=whole([r[1] for r in out]))
 
     schema = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     docs = dealt.mapInPandas(run, schema)
