@@ -12,12 +12,15 @@ benchmark contaminates nothing; repeated document rows are each returned.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import appended, stored, unused
+
 WINDOW = 10
 #: The automaton is shipped to every task, so its patterns must stay under this bound; a larger benchmark is cut
 #: into several automata of at most this size, and the documents pass through one after the other in one scan.
@@ -48,6 +51,20 @@ def pattern_rows(benchmark: DataFrame, size: int, id_col: str, text_col: str) ->
     return src.mapInPandas(run, "item string, pattern binary").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+#: Bytes of all patterns that go to every task: test sets are far below it, and anything above is refused, not cut.
+MAX_TOTAL_BYTES = 512 << 20
+
+#: The automata that this worker built last, by the call they belong to; workers live on between tasks.
+_BUILT: dict[str, list] = {}
+
+
+def _automata(call: str, shards: list) -> list:
+    if call not in _BUILT:
+        _BUILT.clear()
+        _BUILT[call] = [a for a in (_automaton(s.value) for s in shards) if len(a)]
+    return _BUILT[call]
+
+
 def _automaton(patterns: list[tuple[bytes, list[str]]]):
     import ahocorasick
 
@@ -99,35 +116,40 @@ def to_original(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, in
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """carry's columns (the id by default) with n_words, n_hit, items (sorted), spans (original code points, end exclusive).
 
-    The automaton is built once on the driver from the benchmark's distinct windows, which are bounded test sets:
-    shards of MAX_PATTERN_BYTES are read one after another, and the total is refused only by the driver's memory.
+    The benchmark's distinct windows are bounded test sets: their size is looked at first and refused over MAX_TOTAL_BYTES;
+    shards of MAX_PATTERN_BYTES go to the workers, each of which builds its automata once.
     """
     spark = docs.sparkSession
+    patterns = stored(pattern_rows(benchmark, window, item_col, item_text), "patterns")
+    total = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 64), F.lit(0)).alias("n")).first().n
+    if total > MAX_TOTAL_BYTES:
+        raise ValueError(f"the benchmark's windows have {total} bytes, more than {MAX_TOTAL_BYTES} go to every task: call once for each of its parts")
     shards: list[list[tuple[bytes, list[str]]]] = [[]]
     size = 0
-    for r in pattern_rows(benchmark, window, item_col, item_text).toLocalIterator():
+    for r in patterns.toLocalIterator():
         if size + len(r.pattern) > MAX_PATTERN_BYTES:
             shards.append([])
             size = 0
         shards[-1].append((bytes(r.pattern), list(r["items"])))
         size += len(r.pattern) + 64
-    sent = [spark.sparkContext.broadcast(s) for s in shards]
+    sent, call = [spark.sparkContext.broadcast(s) for s in shards], uuid.uuid4().hex
     keep = carry or [id_col]
+    source = unused(keep, "__text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = [a for a in (_automaton(s.value) for s in sent) if len(a)]
-        for b in batches:
+    def run():
+        automata = _automata(call, sent)
+
+        def make(texts: list) -> list:
             out = []
-            for t in b["__text"]:
+            for t in texts:
                 n, spans, items = scan(t or b"", automata)
                 out.append((n, sum(y - x + 1 for x, y in spans), sorted(items), [list(s) for s in to_original(t, spans)] if spans else []))
-            b = b.drop(columns="__text")
-            b["__n_words"], b["__n_hit"], b["__items"], b["__spans"] = zip(*out, strict=True) if out else ([], [], [], [])
-            yield b
+            return list(zip(*out, strict=True)) if out else [[]] * 4
+
+        return make
 
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInPandas(run, f"{schema}, __n_words bigint, __n_hit bigint, __items array<string>, __spans array<array<bigint>>")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(source))
+    return appended(src, source, run, "__n_words bigint, __n_hit bigint, __items array<string>, __spans array<array<bigint>>")
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
