@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored, unused
+from .common import appended, hot_join, stored, unused
 
 SHINGLE = 4
 BUDGET = 4
@@ -63,16 +63,11 @@ def with_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keep = carry or [id_col]
     source = unused([*keep, name], "__bytes")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t or b"", shingle) for t in b[source]), dtype=np.uint64, count=len(b)).view(np.int64)
-            b = b.drop(columns=source)
-            b[name] = fps
-            yield b
+    def run():
+        return lambda texts: [np.fromiter((fingerprint(t or b"", shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)]
 
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(source))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInPandas(run, f"{schema}, {name} bigint")
+    return appended(src, source, run, f"{name} bigint")
 
 
 def orders(m: int, budget: int) -> list[tuple[list[int], int]]:
