@@ -123,6 +123,14 @@ def induce_paths(df: DataFrame, metrics: tuple[str, ...], outcome: str, *, depth
     PRECISION and POSITIVES new failures are rules. What they explain is taken out, and the next tree finds the next mode.
     A rule without a false alarm is verified, any other a candidate.
     """
+    df = df.select(*metrics, outcome).persist()  # a pass a level of each tree; a lost part is worked out again
+    try:
+        return _induced(df, metrics, outcome, depth)
+    finally:
+        df.unpersist()
+
+
+def _induced(df: DataFrame, metrics: tuple[str, ...], outcome: str, depth: int) -> tuple[list[Rule], float]:
     y, rules, covered = F.col(outcome) == 1, [], F.lit(False)
     for _ in range(ROUNDS):
         left = y & ~covered

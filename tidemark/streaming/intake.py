@@ -101,7 +101,8 @@ def replay(messages: DataFrame) -> DataFrame:
 
     # messages without a machine are each judged by themselves, so they needn't meet
     key = F.coalesce("machine_id", F.concat(F.lit("?"), F.pmod(F.xxhash64("seq", "t", "order"), F.lit(64)).cast("string")))
-    dealt = _prepared(messages).repartition(key).sortWithinPartitions("machine_id", "order")
+    parts = 4 * int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not drawn together by their few bytes
+    dealt = _prepared(messages).repartition(parts, key).sortWithinPartitions("machine_id", "order")
     return dealt.select("machine_id", "seq", "t", "now").mapInPandas(run, SCHEMA)
 
 
