@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, decontaminate, html, licenses, lm, packing, pii, quality, runs, simhash, tokenstore, warc
+from . import align, decontaminate, html, jaccard, licenses, lm, packing, pii, quality, runs, simhash, tokenstore, warc
 from .common import table
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": lambda s, d: lm.op8(table(s, d, "documents"), tokenizer(lm.PIECES)),
     "op9_html": lambda s, d: html.op9(table(s, d, "pages")),
     "op10_packing": lambda s, d: packing.op10(table(s, d, "documents"), tokenizer("byte_bpe_50k.json")),
+    "op11_jaccard": lambda s, d: jaccard.op11(table(s, d, "documents")),
     "op12_runs": lambda s, d: runs.op12(table(s, d, "documents")),
     "op13_align": lambda s, d: align.op13(table(s, d, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")),
 }
