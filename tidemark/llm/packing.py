@@ -8,7 +8,7 @@ is cut. A bin that a limit closes more than a SLACK-th short is cut back to a po
 and what is over waits again.
 
 Each task packs the items of its own partition, a bounded pool of remainders at a time, so there is no shuffle
-and no group larger than the pool; sequence ids are partition number << 33 | number in the partition.
+and no group larger than the pool; an item that waits holds its own ids and nothing else of its document; sequence ids are partition number << 33 | number in the partition.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed like any others; an empty table
 gives no rows. The op10 query takes a document's first line for its prompt, whose tokens bear no loss (as many leading ids
@@ -52,10 +52,17 @@ QUERY_LIMITS = Limits(1024, 8, 1016)
 
 @dataclass(frozen=True, slots=True)
 class Item:
-    key: int
+    """A piece of a document: key tells the document, start its place there, ids are its own, four bytes each."""
+
+    key: tuple[int | None, int]
     start: int
     tokens: int
     loss: int
+    ids: bytes | memoryview = b""
+
+    def kept(self) -> Item:
+        """The same, without a view into the document's ids."""
+        return Item(self.key, self.start, self.tokens, self.loss, bytes(self.ids))
 
 
 class Packer:
@@ -71,7 +78,7 @@ class Packer:
         if n == self.vectors.shape[1]:
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)], axis=1)
         self.vectors[:, n] = it.tokens, it.loss
-        self.waiting.append(it)
+        self.waiting.append(it.kept())
 
     def _take(self, k: int) -> Item:
         it, last = self.waiting[k], self.waiting.pop()
@@ -85,7 +92,8 @@ class Packer:
         """Loss-bearing tokens come last in an item: the head takes those that the tail has no room for."""
         rest = it.tokens - tokens
         loss = min(it.loss, rest)
-        return Item(it.key, it.start, tokens, it.loss - loss), Item(it.key, it.start + tokens, rest, loss)
+        ids = memoryview(it.ids)
+        return Item(it.key, it.start, tokens, it.loss - loss, ids[: 4 * tokens]), Item(it.key, it.start + tokens, rest, loss, ids[4 * tokens :])
 
     def put(self, it: Item) -> list[list[Item]]:
         lim, out = self.limits, []
@@ -155,7 +163,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], limits: Limits, pool: int, path:
     enc = encoder(path, False)
     end_id = end.to_bytes(4, "little")
     base = TaskContext.get().partitionId() << 33
-    packer, held, seq = Packer(limits, pool), {}, 0
+    packer, seq = Packer(limits, pool), 0
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * ids_out
     rows: list[tuple] = []
 
@@ -164,14 +172,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], limits: Limits, pool: int, path:
         for b in bins:
             at = 0
             for it in b:
-                doc_id, ids, left, gone, total = held[it.key]
-                piece = ids[4 * (it.start - gone) : 4 * (it.start - gone + it.tokens)]
-                rows.append((doc_id, it.start, it.tokens, zlib.crc32(piece), total, base + seq, at, it.loss, *([piece] if ids_out else [])))
+                doc_id, total = it.key
+                rows.append((doc_id, it.start, it.tokens, zlib.crc32(it.ids), total, base + seq, at, it.loss, *([bytes(it.ids)] if ids_out else [])))
                 at += it.tokens
-                if left == it.tokens:
-                    del held[it.key]
-                else:
-                    held[it.key] = (doc_id, ids, left - it.tokens, gone, total)
             seq += 1
 
     def batch() -> pa.RecordBatch:
@@ -180,17 +183,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], limits: Limits, pool: int, path:
         rows.clear()
         return out
 
-    key = 0
     for b in batches:
         for doc_id, text, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             ids = enc.encode(text or b"") + end_id
             n = len(ids) // 4
-            held[key] = (doc_id, ids, n, 0, n)
             free = min(n, len(enc.encode(prompt)) // 4) if prompt else 0
-            emit(packer.put(Item(key, 0, n, n - free)))
-            if key in held and (left := held[key][2]) < n:  # of a document that waits, only what waits is kept
-                held[key] = (doc_id, ids[-4 * left :], left, n - left, n)
-            key += 1
+            emit(packer.put(Item((doc_id, n), 0, n, n - free, ids)))
             if len(rows) >= 8192:
                 yield batch()
     emit(packer.drain())
