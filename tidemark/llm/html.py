@@ -3,7 +3,8 @@
 A page is read once, tag by tag; start and end tags of block elements bound the leaf blocks, inline tags don't, and
 scripts, styles, comments, drawings (svg) and the head leave no block (one of these that is never closed is an empty
 element, but scripts, styles, titles and text areas go on to the end); formulas (math) and an object's fallback stay in theirs. A block's features are the tags, classes and ids of its open
-ancestors, its own tag, and its text (length, links, punctuation). The labels are main and other; the field is trained on
+ancestors (in words, camel case split), its own tag, its text (length, links, punctuation), the lengths and links of the blocks
+beside it, and whether it stands outside the article or main element of a page that has one. The labels are main and other; the field is trained on
 the driver on TRAIN_PAGES pages that generate() labels by construction, by exact gradients (forward-backward), and doesn't
 see the corpus. The blocks that Viterbi calls main make up the text.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import appended
 
 DIM = 1 << 12
-TRAIN_PAGES, TRAIN_STEPS, SEED = 500, 150, 11
+TRAIN_PAGES, TRAIN_STEPS, SEED = 900, 120, 11
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +41,9 @@ _TAG = re.compile(r"<(?:(!--)|([/]?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[
 #: A tag that the first pattern can't end, as a quoted value runs on to the page's last tag: it ends at the next >.
 _LOOSE = re.compile(r"<()([/]?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A comment ends here; right after its start also at > or ->, fixed by the format.
+_COMMENT_END = re.compile(r"--!?>")
 #: White space, no-break and other spaces included.
 _SPACE = re.compile(r"\s+")
 
@@ -63,8 +66,8 @@ def _ancestor(tag: str, attrs: str) -> list[int]:
     """Feature ids that an open element gives to all blocks below it."""
     key = tag + attrs if "class" in attrs or "id" in attrs or "role" in attrs else tag
     if (ids := _TAG_ID.get(key)) is None:
-        words = [w for m in _ATTR.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())]
-        ids = [_id("in=" + tag)] + [_id("class=" + w) for w in set(words)]
+        words = [w for m in _ATTR.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
+        ids = [_id("in=" + tag)] + [_id("class=" + w) for w in {w.lower() for w in words}]
         if len(_TAG_ID) < 50_000:
             _TAG_ID[key] = ids
     return ids
@@ -132,8 +135,9 @@ def blocks(page: str) -> list[Block]:
             continue
         at = m.end()
         if m[1]:
-            end = page.find("-->", at)
-            at = n if end < 0 else end + 3
+            short = next((x for x in (">", "->") if page.startswith(x, at)), "")
+            end = None if short else _COMMENT_END.search(page, at)
+            at = at + len(short) if short else end.end() if end else n
             continue
         if not m[3]:
             continue
@@ -166,12 +170,36 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def features(b: Block) -> list[int]:
-    t = b.text
-    words = t.count(" ") + 1
-    link = b.linked / max(1, len(t))
-    own = ["bias", "tag=" + b.tag, f"words={min(words.bit_length(), 8)}", f"link={0 if link == 0 else 1 if link < 0.3 else 2 if link < 0.8 else 3}", f"stop={t[-1] in '.!?:;'}", f"commas={min(t.count(','), 3)}", f"mark={t[0] in '©|•·»'}", f"tag={b.tag} words={min(words.bit_length(), 6)}"]
-    return b.above + [_id(f) for f in own]
+def _shape(b: Block) -> tuple[int, int]:
+    """Buckets of a block's length in words and of its share of linked text."""
+    link = b.linked / max(1, len(b.text))
+    return min((b.text.count(" ") + 1).bit_length(), 8), 0 if link == 0 else 1 if link < 0.3 else 2 if link < 0.8 else 3
+
+
+_LANDMARKS = frozenset((_id("in=article"), _id("in=main"), _id("class=main")))
+_FEATURE: dict[str, int] = {}
+
+
+def features(page: list[Block]) -> list[list[int]]:
+    """Feature ids of each block of a page."""
+    shapes = [(0, 0), *map(_shape, page), (0, 0)]
+    inside = [not _LANDMARKS.isdisjoint(b.above) for b in page]
+    where = "in" if any(inside) else "none"
+    longest = max((s[0] for s in shapes if s[1] < 2), default=0)
+    out = []
+    for i, b in enumerate(page):
+        t, (size, link), before, after = b.text, shapes[i + 1], shapes[i], shapes[i + 2]
+        own = (
+            "bias", f"tag={b.tag}", f"words={size}", f"link={link}", f"stop={t[-1] in '.!?:;'}", f"commas={min(t.count(','), 3)}", f"mark={t[0] in '©|•·»'}", f"tag={b.tag} words={min(size, 6)}",
+            f"words={size} link={link}", f"before={before}", f"after={after}", f"first={i == 0}", f"last={i + 1 == len(page)}", f"place={'out' if where == 'in' and not inside[i] else where}", f"less={min(longest - size, 5)}",
+        )
+        ids = list(b.above)
+        for f in own:
+            if (k := _FEATURE.get(f)) is None:
+                k = _FEATURE[f] = _id(f)
+            ids.append(k)
+        out.append(ids)
+    return out
 
 
 def generate(rng: random.Random) -> tuple[str, set[str]]:
@@ -196,8 +224,20 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{i}">{words(1, 3)[:-1]}</a></li>' for i in range(n))
 
+    def sections(inner: str) -> str:
+        """Now and then the article's parts stand in sections of their own."""
+        return f"<section>{inner}</section>" if rng.random() < 0.15 else inner
+
+    def name() -> str:
+        """A name that says nothing."""
+        return "".join(rng.choice("bcdfgklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+
     def menu() -> str:
-        k = rng.randint(0, 3)
+        k = rng.randint(0, 5)
+        if k == 4:
+            return f"<ul>{links(rng.randint(3, 9))}</ul>"
+        if k == 5:
+            return f"<{rng.choice(['p', 'div'])}>{' | '.join(f'<a href=/{i}>{words(1, 2)[:-1]}</a>' for i in range(rng.randint(3, 7)))}</p></div>"
         if k == 0:
             return f"<nav><ul>{links(rng.randint(2, 9))}</ul></nav>"
         if k == 1:
@@ -223,12 +263,17 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
         return f"<!-- {words(2, 5)} --><script>var x = '{words(2, 5)}';</script><style>p{{}}</style>"
 
     def comments() -> str:
-        one = "".join(f"<{t}{attr('comment', 'comment-body', 'reply')}><p>{words(4, 40)}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 5))
-        return f"<{rng.choice(['div', 'section'])}{attr('comments', 'comment-list', 'discussion', 'responses')}><h3>{words(1, 3)[:-1]}</h3>{one}</div></section>"
+        bare = rng.random() < 0.4  # the container alone says what it is
+        one = "".join(f"<{t}{'' if bare else attr('comment', 'comment-body', 'reply', 'commentText', 'user-comment')}><p>{words(4, 40)}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 5))
+        if rng.random() < 0.3:
+            one = f"<p>{words(4, 40)}</p>" * rng.randint(1, 4)
+        widget = attr("comments", "comment-list", "discussion", "responses", "disqus_thread", "fb-comments", "commentList", "respond", "replies", "userComments", "giscus", "commento", "comments-area")
+        return f"<{rng.choice(['div', 'section', 'ol'])}{widget}>{f'<h3>{words(1, 3)[:-1]}</h3>' * (rng.random() < 0.6)}{one}</div></section></ol>"
 
     def body() -> str:
-        out = [f"<h1>{keep(3, 12)}</h1>"]
-        for _ in range(rng.randint(1, 14)):
+        head = rng.choice(("h1", "h1", "h1", "h1", "h2", ""))
+        out = [f"<{head}>{keep(1, 12)}</{head}>"] if head else []
+        for _ in range(rng.choice((1, 2, 2, 3, 4, 6, 8, 11, 14))):
             k = rng.random()
             if k < 0.62:
                 out.append(f"<p>{keep(1 if rng.random() < 0.2 else 8, 90)}</p>")
@@ -248,20 +293,39 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
             out.append(comments())
         return "".join(out)
 
-    k = rng.randint(0, 9)
-    inner = body()
-    if k < 6:
+    k = rng.randint(0, 20)
+    inner = "".join(sections(body()) for _ in range(rng.choice((1, 1, 1, 2))))
+    if k < 7:
         mid = f"<article>{inner}</article>"
-    elif k < 7:
+    elif k < 8:
         mid = f"<main><div>{inner}</div></main>"
     elif k < 9:
-        mid = f"<div{attr('content', 'post', 'article', 'entry-content', 'main', 'story', 'post-body')}>{inner}</div>"
-    else:
         mid = f"<main><article{attr('post', 'story')}>{inner}</article></main>"
-    foot = f"<footer>&copy; {words(1, 4)} &middot; {words(2, 14)}</footer>" if rng.random() < 0.7 else f"<div{attr('footer', 'site-footer', 'copyright')}><p>{words(3, 15)}</p></div>"
+    elif k < 13:
+        mid = f"<div{attr('content', 'post', 'article', 'entry-content', 'main', 'story', 'post-body', 'bodyContent', 'mainContent', 'articleBody', 'storyText', 'page-content', 'text', 'PostContent', 'article_text')}>{inner}</div>"
+    elif k < 15:
+        mid = f"<div>{inner}</div>"
+    elif k < 16:
+        mid = f"<div{attr(name(), name())}>{inner}</div>"
+    elif k < 17:
+        mid = inner
+    else:  # a layout of cells; the first may be a single word
+        side = f"<td{attr('nav', 'menu', 'left', 'navigation', 'sidebar', 'leftNav')}>{menu() if rng.random() < 0.5 else words(1, 3)[:-1]}</td>"
+        cell = f"<td{rng.choice(['', '', attr('content', 'main', 'text', 'bodyText', name())])}>{inner}</td>"
+        mid = f"<table><tr>{side}{cell}{f'<td{attr("right", "side", "ads")}>{words(3, 15)}</td>' * (rng.random() < 0.4)}</tr></table>"
+    foot = f"<footer>&copy; {words(1, 4)} &middot; {words(2, 14)}</footer>" if rng.random() < 0.6 else f"<div{attr('footer', 'site-footer', 'copyright', 'pageFooter')}><p>{words(3, 15)}</p></div>" if rng.random() < 0.6 else f"<p>&copy; {words(2, 8)}</p>" if rng.random() < 0.5 else ""
     end = "</body></html>" if rng.random() < 0.9 else ""
-    parts = [menu() for _ in range(rng.randint(0, 2))] + [noise() for _ in range(rng.randint(0, 2))] + [mid] + [noise() for _ in range(rng.randint(0, 1))] + [comments()] * (rng.random() < 0.3) + [foot]
-    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{''.join(parts)}{end}", main
+    few = rng.random() < (0.5 if 13 <= k < 17 else 0.15)  # the article and hardly anything beside it
+    parts = [menu() for _ in range(rng.randint(0, 0 if few else 2))] + [noise() for _ in range(rng.randint(0, 0 if few else 2))] + [mid] + [noise() for _ in range(rng.randint(0, 1))] + [comments()] * (rng.random() < 0.3) + [foot]
+    whole = "".join(parts)
+    if few and rng.random() < 0.5:  # a fragment
+        if rng.random() < 0.35:
+            main.clear()
+            mid = rng.choice(("", "<p>", "<p>", "<div>", "<td>", "<article>")) + keep(2, 60)
+        return mid, main
+    if rng.random() < 0.3:
+        whole = f"<div{attr('wrapper', 'page', 'container', 'outer', name())}>{whole}</div>"
+    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{whole}{end}", main
 
 
 def _emit(feats: list[list[int]], w: np.ndarray) -> np.ndarray:
@@ -279,7 +343,7 @@ def train(n_pages: int = TRAIN_PAGES, steps: int = TRAIN_STEPS, seed: int = SEED
         page, main = generate(rng)
         bs = blocks(page)
         if bs:
-            pages.append(([features(b) for b in bs], [int(b.text in main) for b in bs]))
+            pages.append((features(bs), [int(b.text in main) for b in bs]))
     feats = [f for p, _ in pages for f in p]
     y = np.array([v for _, p in pages for v in p])
     rows = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
@@ -354,7 +418,7 @@ def viterbi(e: list[list[float]], tr: list[list[float]]) -> list[int]:
 def extract_all(pages: list[str], w: np.ndarray, tr: np.ndarray) -> list[list[str]]:
     """Main blocks of each page."""
     found = [blocks(p) for p in pages]
-    feats = [features(b) for bs in found for b in bs]
+    feats = [f for bs in found for f in features(bs)]
     if not feats:
         return [[] for _ in pages]
     e, t, at, out = _emit(feats, w).tolist(), tr.tolist(), 0, []
