@@ -66,6 +66,8 @@ def _fft_lags(ids: np.ndarray, heavy: np.ndarray, lags: int) -> np.ndarray:
 
 def lag_counts(texts: list[np.ndarray]) -> list[np.ndarray]:
     """Of each text (words as numbers from 0) the matches at lags 0..n // MIN_PERIODS; lag 0 isn't counted."""
+    if not texts:
+        return []
     lags = [len(t) // MIN_PERIODS for t in texts]
     base = np.r_[0, np.cumsum([x + 1 for x in lags])]
     counts = np.zeros(base[-1], np.int64)
@@ -81,8 +83,6 @@ def lag_counts(texts: list[np.ndarray]) -> list[np.ndarray]:
         light.append((np.full(len(at), t), at))
         keys.append(ids[at] + first)
         first += len(times)
-    if not keys:
-        return []
     key, of, at = np.concatenate(keys), np.concatenate([x[0] for x in light]), np.concatenate([x[1] for x in light])
     order = np.argsort(key, kind="stable")  # a word's positions stay ascending
     key, of, at = key[order], of[order], at[order]
