@@ -96,11 +96,11 @@ def test_jaccard_join_of_documents_and_odd_rows(docs, odd, spark):
     assert jaccard.op11(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("double", [0, 3, 6])
-def test_linked_sets_share_a_key(double):
-    """The pigeonhole: whatever sets differ in fewer shingles than there are units meet at a key."""
-    rng, band = np.random.default_rng(1), jaccard.Band(13, double)
-    for n in (0, 5, 40, 90):
+@pytest.mark.parametrize(("double", "extra"), [(0, 0), (3, 0), (6, 0), (0, 2), (4, 3), (8, 4)])
+def test_linked_sets_share_a_key(double, extra):
+    """The pigeonhole: whatever sets differ in at most 12 shingles meet at a key, with and without keys of empty segments."""
+    rng, band = np.random.default_rng(1), jaccard.Band(13 + extra, double, extra)
+    for n in (0, 5, 12, 40, 90):
         for _ in range(200):
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
             off = int(rng.integers(0, min(12, n) + 1))
@@ -116,7 +116,9 @@ def test_bounds_of_the_join():
             for i in range(y + 1):
                 if 100 * i >= 85 * (x + y - i):
                     assert x + y - 2 * i <= rule.most_apart(x + y) and x <= rule.largest(y)
-    assert jaccard.allocate(1000, 300, 60).double == 0 and jaccard.allocate(10**8, 300, 60).double == 30
+    few, many = jaccard.allocate(1000, 300, 48), jaccard.allocate(10**9, 300, 48)
+    assert few.double == 0 and few.extra < many.extra and many.units == 49 + many.extra
+    assert jaccard.allocate(10**9, 5, 1) == jaccard.Band(2, 1) and jaccard.cost(10**9, 300, many) < jaccard.cost(10**9, 300, jaccard.Band(49)) / 1000
     a, b = (np.unique(np.random.default_rng(k).integers(0, 2**63, 500).astype(np.uint64)) for k in (1, 2))
     b = np.r_[a[:480], b[:30]]
     apart = int(np.bitwise_count((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)).sum())

@@ -8,13 +8,14 @@ Partition: sets x and y that link differ in at most (x + y)(DEN - NUM) / (DEN +
 BAND; a pair belongs to the band of its larger set, and H is the most it can differ there. The band cuts the universe of
 shingles by hash into segments with thresholds v of sum H + 1: by the pigeonhole a linked pair differs in fewer than v shingles in
 at least one segment. A segment of v = 1 is indexed by its subset of the set, one of v = 2 by the subset and its one-deletion
-neighbourhood, so subsets that differ by one shingle meet. How H + 1 is allocated is chosen by cost for each band from the number of its
-sets: one-deletion rows cost more, and equal subsets of unrelated sets (a segment is empty by chance) grow with the square of the sets.
+neighbourhood, so subsets that differ by one shingle meet. With E units more, segments that match have E + 1 units at
+least; so a set with up to E empty segments of v = 1 needn't index these, by which unrelated sets would meet. E and the number of segments of v = 2
+are chosen by cost for each band from the number and sizes of its sets: one-deletion rows cost more, and chance meetings grow with the square of the sets.
 
 Candidates: index rows go to buckets of keys, packed. Keys with one node fall out; up to SMALL nodes make their pairs; of more,
 each node is paired with the key's smallest one. Pairs pass by size and by a bound on the difference (parities of SKETCH
 bits differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Larger keys are taken in
-rounds: as long as a key's nodes lie in several components, leaders (one a slot of a hash, four times as many slots each round) meet
+rounds: as long as a key's nodes lie in several components, leaders (one a slot of a hash, LEADERS times as many slots each round) meet
 its nodes of other components and leave. So every pair that shares a key is verified, or its nodes are known to be connected, and
 neither a large group of near copies nor a frequent subset makes all its pairs at once.
 
@@ -45,9 +46,11 @@ from .simhash import roots
 SHINGLE = 4
 NUM, DEN = 85, 100
 #: Ratio of a band's largest to its smallest size.
-BAND = 1.5
+BAND = 1.3
 #: What the verification of a pair costs, in index rows.
-PAIR_COST = 50
+PAIR_COST = 20
+#: Units at most beyond those that the pigeonhole needs.
+MAX_EXTRA = 8
 #: Nodes of a key up to which all its pairs are taken.
 SMALL = 6
 #: Bits of a set's parity sketch.
@@ -56,8 +59,10 @@ SKETCH = 1024
 CHUNK_ROWS = 1 << 21
 #: Bits of the filter of documents whose sets are fetched; a full filter only lets more through.
 FILTER_BITS = 1 << 26
-#: Leaders of a key in the first round.
-LEADERS = 4
+#: Leaders of a key in the first round; as many times more in each that follows.
+LEADERS = 16
+#: Pairs of a node that are verified at first, then, then all that are left and not yet connected.
+WAVES = (1, 8)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -123,26 +128,35 @@ def edges(most: int, ratio: float = BAND) -> list[int]:
 
 @dataclass(frozen=True)
 class Band:
-    """units: H + 1; double: segments of threshold 2, of two units each; the others have one unit and threshold 1."""
+    """units: H + 1 + extra; double: segments of threshold 2, of two units each; the others have one unit and threshold 1."""
 
     units: int
-    double: int
+    double: int = 0
+    extra: int = 0
 
     @property
     def segments(self) -> int:
         return self.units - self.double
 
 
-def allocate(n_sets: int, mean: float, units: int) -> Band:
-    """The cheaper of no and as many segments of threshold 2 as there can be: both costs are linear in their number.
+def cost(n_sets: int, mean: float, band: Band) -> float:
+    """Index rows, and pairs of unrelated sets in their measure, of n_sets sets of mean shingles.
 
-    A unit of the universe has mean / units shingles of a set. Unrelated sets meet where a subset is empty in both, or, at
-    threshold 2, where both have one shingle at most.
+    A unit has a Poisson number of a set's shingles. Unrelated sets meet in a segment of threshold 1 where both are empty and
+    index it, as they have over extra empty ones; in one of threshold 2 where both have one shingle at most.
     """
-    per, pairs = mean / units, n_sets * n_sets / 2
-    single = n_sets + PAIR_COST * pairs * math.exp(-2 * per)
-    double = n_sets * (1 + 2 * per) + PAIR_COST * pairs * (math.exp(-2 * per) * (1 + 2 * per)) ** 2
-    return Band(units, units // 2 if double < 2 * single else 0)
+    per, single = mean / band.units, band.units - 2 * band.double
+    empty = math.exp(-per)
+    others = max(0, single - 1) * empty
+    few = sum(math.exp(-others) * others**k / math.factorial(k) for k in range(band.extra))
+    chance = single * (empty * (1 - few)) ** 2 + band.double * (math.exp(-2 * per) * (1 + 2 * per)) ** 2
+    return n_sets * (single + band.double * (1 + 2 * per)) + PAIR_COST * n_sets * n_sets / 2 * chance
+
+
+def allocate(n_sets: int, mean: float, apart: int) -> Band:
+    """The cheapest allocation for sets that differ in at most apart shingles where they link."""
+    able = [Band(u, d, e) for e in range(MAX_EXTRA + 1) for u in [apart + 1 + e] for d in {0, u // 4, u // 2}]
+    return min(able, key=lambda b: (cost(n_sets, mean, b), b.extra, b.double))
 
 
 def keys(of: np.ndarray, number: int, band: Band) -> np.ndarray:
@@ -155,6 +169,9 @@ def keys(of: np.ndarray, number: int, band: Band) -> np.ndarray:
     total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
     name = _mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(number << 32) + _M2)
     exact = _mix(total[at[1:]] - total[at[:-1]] + name)
+    full = np.r_[np.ones(band.double, bool), (at[1:] > at[:-1])[band.double :]]
+    if len(full) - full.sum() <= band.extra:
+        exact = exact[full]
     near = seg[: at[band.double]]
     if not len(near):
         return exact
@@ -171,6 +188,7 @@ class Join:
         self.spark = docs.sparkSession
         self.src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         self.links: DataFrame | None = None
+        self.comp: DataFrame | None = None
         self.sets: list[DataFrame] = []
         self.seed = 0
         while True:
@@ -214,13 +232,13 @@ class Join:
         told = sizes.select("s", "count", F.explode(F.sequence(low, high)).alias("band")).groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("s") * F.col("count")).alias("words"))
         bands, rows = {}, 0
         for r in told.collect():  # a row a band
-            units = rule.most_apart(2 * (first[r.band + 1] - 1)) + 1
-            if units > 1:
-                b = allocate(r.n, r.words / r.n, units)
+            apart = rule.most_apart(2 * (first[r.band + 1] - 1))
+            if apart:  # else only equal sets link
+                b = allocate(r.n, r.words / r.n, apart)
                 if self.force is not None:
-                    b = Band(units, units // 2 if self.force else 0)
+                    b = Band(apart + 1, (apart + 1) // 2 if self.force else 0)
                 bands[r.band] = b
-                rows += r.n * b.segments + int(r.words * 2 * b.double / units)
+                rows += r.n * b.segments + int(r.words * 2 * b.double / b.units)
         return first, bands, rows
 
     def candidates(self) -> DataFrame:
@@ -233,10 +251,11 @@ class Join:
         def pack(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
             key = np.concatenate([k for k, _ in held])
             node = np.repeat(np.array([d for _, d in held], dtype=np.uint64), [len(k) for k, _ in held])
-            bucket = (key % np.uint64(n_buckets)).astype(np.int64)
+            bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+            key = key.astype(np.uint32)  # a bucket's keys are told apart by 32 bits more
             order = np.lexsort((key, bucket))
             key, node, bucket = key[order], node[order], bucket[order]
-            place = np.arange(len(key)) - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+            place = np.arange(len(key)) - np.maximum.accumulate(np.where(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])], np.arange(len(key)), 0))
             over = place > SMALL  # the key is a large one whatever else there is
             away = bucket.copy()
             away[over] = np.random.default_rng(len(key)).integers(0, n_buckets, int(over.sum()))
@@ -245,11 +264,14 @@ class Join:
             ends = [*cut[1:], int(kept.sum())]
             ks, ns = key[kept], node[kept]
             told = [(int(bucket[kept][i]), False, ks[i:j].tobytes(), ns[i:j].tobytes()) for i, j in zip(cut, ends, strict=True)]
-            far, kf, nf = away[over], key[over], node[over]
+            far, kf, nf = away[over], named(bucket[over], key[over]), node[over]
             for x in np.unique(far):
                 told.append((int(x), True, kf[far == x].tobytes(), nf[far == x].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*told, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "large", "keys", "nodes"])
 
+        def named(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+            return np.uint64(bucket) << np.uint64(32) | key.astype(np.uint64)
+
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             held, n = [], 0
@@ -275,10 +297,11 @@ class Join:
             open_, held = None, []
             for b in batches:
                 for bucket, large, k, n in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                    k, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.uint64)
+                    n = np.frombuffer(n, np.uint64)
                     if large:
-                        yield rows([(k.view(np.int64), n.view(np.int64), None)])
+                        yield rows([(np.frombuffer(k, np.int64), n.view(np.int64), None)])
                         continue
+                    k = named(bucket, np.frombuffer(k, np.uint32))
                     if bucket != open_ and held:
                         yield rows(matched(*map(np.concatenate, zip(*held, strict=True))))
                         held = []
@@ -329,8 +352,12 @@ class Join:
         found = self.src.select(place.alias("p"), "text").mapInArrow(each, "node bigint, hashes array<bigint>")
         return stored(found.join(need, "node", "left_semi").dropDuplicates(["node"]), "hashes")
 
-    def component(self) -> DataFrame | None:
-        return None if self.links is None else stored(roots(self.links), "components")
+    def link(self, pairs: DataFrame) -> None:
+        """Adds verified pairs and works the components out again."""
+        new = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "verified")
+        if not new.isEmpty():
+            self.links = new if self.links is None else self.links.unionByName(new)
+            self.comp = stored(roots(self.links), "components")
 
     def apart(self, pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
         """The pairs (a, b, ...) that no links connect yet."""
@@ -365,24 +392,18 @@ class Join:
             sets = sets.unionByName(x)
         of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"s{x}"))
         shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-        both = pairs.select("a", "b").join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
         return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).filter(F.col("i") * self.rule.den >= (F.col("s") - F.col("i")) * self.rule.num).select("a", "b")
 
     def settle(self, pairs: DataFrame) -> None:
         """Verifies pairs, the likeliest of each a first, until all are verified or connected."""
-        left, take = self.able(pairs), 1
-        while True:
-            left = stored(self.apart(left, self.component()), "left")
+        left = self.able(pairs)
+        for take in (*WAVES, None):
+            left = stored(self.apart(left, self.comp).withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))), "left")
             if left.isEmpty():
                 return
-            w = Window.partitionBy("a").orderBy("d", "b")
-            ranked = stored(left.withColumn("place", F.row_number().over(w)), "ranked")
-            ok = self.verified(ranked.filter(F.col("place") <= take)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            if self.links is not None:
-                ok = ok.unionByName(self.links)
-            self.links = stored(ok.distinct(), "links")
-            left = ranked.filter(F.col("place") > take).drop("place")
-            take *= 4
+            self.link(self.verified(left if take is None else left.filter(F.col("place") <= take)))
+            left = left.filter(F.col("place") > take).drop("place") if take else left
 
     def run(self) -> DataFrame | None:
         """(node, root) of all nodes with links."""
@@ -391,21 +412,21 @@ class Join:
         star = large.groupBy("key").agg(F.min("node").alias("b"))
         stars = large.join(star, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
         self.settle(found.filter("b is not null").select("a", "b").unionByName(stars))
-        slots, step = LEADERS, 0
+        step = 1
         while True:
-            comp = self.component()
+            comp = self.comp
             named = large.withColumn("root", F.col("node")) if comp is None else large.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
             named = stored(named, "named")
             mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
             named = stored(named.join(mixed, "key", "left_semi"), "mixed")
             if named.isEmpty():
                 return comp
-            slot = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(slots))
+            slot = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(LEADERS**step))
             lead = stored(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.root").alias("rb")), "leaders")
             met = named.alias("n").join(lead.alias("l"), (F.col("n.key") == F.col("l.key")) & (F.col("n.root") != F.col("l.rb")))
             self.settle(met.select(F.col("n.node").alias("a"), F.col("l.b").alias("b")))
             large = named.select("key", "node").join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
-            slots, step = 4 * slots, step + 1
+            step += 1
 
 
 def matched(key: np.ndarray, node: np.ndarray) -> list[tuple]:
