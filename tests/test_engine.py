@@ -99,6 +99,8 @@ def test_free_sql_is_guarded(spark, sf, tmp_path):
         ("WITH x AS (SELECT * FROM observations) SELECT count(*) AS n FROM x", n),
         ("SELECT count(*) AS n FROM observations o JOIN (SELECT DISTINCT machine_id AS m FROM observations) d ON o.machine_id = d.m", n),
         ("SELECT (SELECT count(*) FROM observations) AS n", n),
+        ("WITH a AS (SELECT * FROM observations), b AS (SELECT * FROM a) SELECT (SELECT count(*) FROM b) AS n", n),
+        ("SELECT count(*) AS n FROM (WITH a AS (SELECT upper(product_type) AS t FROM observations WHERE torque_nm IS NOT NULL) SELECT * FROM a WHERE t IN ('L', 'M', 'H'))", n),
         ("SELECT sum(c) AS n FROM (SELECT product_type, count(*) OVER () AS w, 1 AS c FROM observations) -- done", n),
         ("SELECT count(*) AS n FROM observations WHERE udi IN (SELECT udi FROM observations WHERE torque_nm > -1)", n),
     ):
@@ -112,10 +114,15 @@ def test_free_sql_is_guarded(spark, sf, tmp_path):
         "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS h", "SELECT reflect('java.lang.System', 'getenv', 'PATH') AS h", "SELECT try_reflect('java.lang.System', 'getenv', 'PATH')", "SELECT max(reflect('java.lang.System', 'getenv', 'PATH')) FROM observations",
         "SELECT * FROM global_temp.observations", "SELECT * FROM spark_catalog.default.x", "SELECT * FROM nothing", "SELECT input_file_name() FROM observations",
         f"SELECT * FROM IDENTIFIER('text.`{tmp_path}/f.txt`')", "WITH observations2 AS (SELECT 1) SELECT * FROM other", "EXPLAIN SELECT 1", "",
+        "SELECT p.secret FROM (WITH payroll AS (SELECT 1 AS x) SELECT x FROM payroll) a, payroll p", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT (WITH t AS (SELECT 1) SELECT * FROM t) AS v FROM t",
+        "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT * FROM r", "SELECT * FROM range(1000000000000)", "SELECT explode(sequence(1, 100000000))", "SELECT repeat('x', 1000000000)", "SELECT my_udf(torque_nm) FROM observations", "SELECT current_user()",
     ]
+    spark.range(2).withColumn("secret", F.lit("s")).createOrReplaceTempView("payroll")
+    spark.udf.register("my_udf", lambda x: x)
     for q in bad:
         with pytest.raises(PlanError):
             core.explore(o, q)
+    spark.catalog.dropTempView("payroll")
     assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("observations")]
 
 
@@ -570,3 +577,42 @@ def test_dedupe_and_tiles_stream(spark, sf):
     assert scorer.deduplicated(twice).count() == o.count()
     hourly, daily = scorer.tiles(o), scorer.tiles(o, "1 day")
     assert sorted(map(tuple, scorer.rolled(hourly).collect())) == sorted(map(tuple, daily.collect()))
+
+
+def test_values_that_are_missing_fire_nowhere(spark):
+    """Null and NaN metrics, null outcomes and null keys, against plain versions."""
+    rows = [(i, float(i % 10) if i >= 5 else None, int(i < 5 or i % 10 >= 8) if i != 17 else None) for i in range(60)] + [(60, float("nan"), 1)]
+    df = spark.createDataFrame(rows, "udi bigint, x double, y int")
+    real = [(x, y) for _, x, y in rows if x is not None and not math.isnan(x) and y is not None]
+
+    def f1(cut, side):
+        hit = [y for x, y in real if (x < cut if side == "<" else x > cut)]
+        return 2.0 * sum(hit) / (len(hit) + sum(y for _, y in real))
+
+    values = sorted({x for x, _ in real})
+    want = max((f1((a + b) / 2, s), -(a + b) / 2) for a, b in zip(values, values[1:]) for s in "<>")
+    got = rel.best_split(df, ("x",), "y").first()
+    assert (got.f1, got.cut) == pytest.approx((want[0], -want[1])) and (got.cut, got.f1, got.side) == (7.5, 1.0, ">")
+    assert [r.cut for r in discovery.induce(spark.createDataFrame(rows * 3, "udi bigint, x double, y int"), ("x",), "y").collect()] == [7.5]
+    leaves = discovery.grow(df, ("x",), F.col("y") == 1, depth=1, least=2)
+    assert {t[0][2] for t, _, _ in leaves if t} == {7.5}
+    c = spark.createDataFrame([("a", float(i)) for i in range(1, 41)] + [("a", None)] * 20 + [("a", float("nan"))], "g string, x double")
+    r = rel.conformal(c, "x", "g").first()
+    assert (r.n, r.lo, r.hi, r.valid) == (40, 2.0, 39.0, True)
+    assert discovery.leave_one_out(c, "x", "g").first().n == 40
+    k = spark.createDataFrame([(None, 1.0), (3, 3.0), (None, 9.0), (25, 5.0), (4, None), (26, 6.0)], "udi bigint, x double")
+    got = rel.with_previous(k, "udi", ("x",), block=10).collect()
+    assert sorted(((r.udi, r.x, r.x_prev) for r in got), key=str) == sorted([(None, 1.0, None), (None, 9.0, None), (3, 3.0, None), (4, None, 3.0), (25, 5.0, None), (26, 6.0, 5.0)], key=str)
+
+
+def test_half_widths_follow_the_verdict():
+    c = scorer.Channel()
+    assert all(c.half_width(v, "torque_nm") == scorer.WIDE["torque_nm"] for v in ("learning", "frozen", "missing"))
+    values = [40 + math.sin(i) for i in range(3 * scorer.WARMUP)]
+    for i, x in enumerate(values):
+        c.observe(x)
+        if 4 <= i + 1 <= scorer.WARMUP:
+            assert c.half_width("learning", "torque_nm") == pytest.approx(2 * float(np.std(values[: i + 1], ddof=1)))
+    assert c.half_width("lost", "torque_nm") == 10 * math.sqrt(c.r) and c.half_width("drift", "torque_nm") == 2 * scorer.DECLARED["torque_nm"]
+    c.observe(None)
+    assert c.half_width("ok", "torque_nm") == pytest.approx(2 * math.sqrt(scorer.DECLARED["torque_nm"] ** 2 + c.q))

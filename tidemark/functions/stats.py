@@ -71,13 +71,13 @@ def first_passage(margin: Column, rate: Column, sigma: Column) -> tuple[Column,
 
 
 def permutation_spread(groups: list[tuple[int, int]], draws: int = 2000, seed: int = 7) -> tuple[float, float, float]:
-    """(observed spread of rates, mean spread by chance, add-one p) of (failures, n) groups: labels dealt to the groups at random."""
+    """(observed spread of rates, median spread by chance, add-one p) of (failures, n) groups: labels dealt to the groups at random."""
     k = np.array([g[0] for g in groups])
     n = np.array([g[1] for g in groups])
     spread = lambda x: (x / n).max(axis=-1) - (x / n).min(axis=-1)
     seen = float(spread(k))
     null = spread(np.random.default_rng(seed).multivariate_hypergeometric(n, int(k.sum()), size=draws, method="marginals"))
-    return seen, float(null.mean()), float((1 + (null >= seen - 1e-12).sum()) / (draws + 1))
+    return seen, float(np.median(null)), float((1 + (null >= seen - 1e-12).sum()) / (draws + 1))
 
 
 def isotonic(values: list[float], weights: list[float]) -> list[float]:

@@ -20,9 +20,7 @@ PRECISION, POSITIVES, ROUNDS = 0.90, 15, 8
 
 def _splits(df: DataFrame, metrics: tuple[str, ...], outcome: str) -> DataFrame:
     """Every cut of every metric with its precision and the positives it holds, either side."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-    c = df.select(F.explode(pairs).alias("s"), F.col(outcome).alias("y")).groupBy("s.metric", "s.x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-    r = rel.ranked(c, "metric", ("n", "k")).filter("next IS NOT NULL")
+    r = rel.ranked(rel.counted_pairs(df, metrics, F.col(outcome)), "metric", ("n", "k")).filter("next IS NOT NULL")
     side = lambda k, n, s: F.struct(k.alias("k"), F.try_divide(k.cast("double"), n).alias("precision"), F.lit(s).alias("side"))
     both = F.array(side(F.col("k_upto"), F.col("n_upto"), "<"), side(F.col("k_all") - F.col("k_upto"), F.col("n_all") - F.col("n_upto"), ">"))
     return r.select("metric", ((F.col("x") + F.col("next")) / 2).alias("cut"), F.explode(both).alias("s")).select("metric", "cut", "s.*")
@@ -43,7 +41,7 @@ def induce(df: DataFrame, metrics: tuple[str, ...], outcome: str) -> DataFrame:
         found += b.k
         rules.append((i + 1, b.metric, b.side, b.cut, b.precision, int(b.k), found / positives))
         inside = F.col(b.metric) < b.cut if b.side == "<" else F.col(b.metric) > b.cut
-        rest = rest.filter(~inside)
+        rest = rest.filter(~F.coalesce(inside, F.lit(False)))  # a row without the metric's value is not inside
     return df.sparkSession.createDataFrame(rules, "rule long, metric string, side string, cut double, precision double, positives long, coverage double")
 
 
@@ -84,9 +82,10 @@ def grow(df: DataFrame, metrics: tuple[str, ...], target: Column, *, depth: int
     """Leaves (terms, weight of the target, weight of the rest) of a tree of threshold tests, both classes weighing the same.
 
     One aggregate a level, whatever the number of nodes: distinct values are counted map-side by node and metric, and the
-    exact cut with the lowest weighted impurity is taken from their running counts. A row a node comes here.
+    exact cut with the lowest weighted impurity is taken from their running counts. A row a node comes here. A row without a
+    metric's value meets no test of it; one whose target is null is no target.
     """
-    y = target.cast("int")
+    y = F.coalesce(target, F.lit(False)).cast("int")
     n, k = df.agg(F.count(F.lit(1)), F.sum(y)).first()
     if not n or not k or n == k:
         return [((), float(k or 0), float((n or 0) - (k or 0)))]
@@ -96,9 +95,8 @@ def grow(df: DataFrame, metrics: tuple[str, ...], target: Column, *, depth: int
         node = F.coalesce(*[F.when(_meets(t), F.lit(i)) for i, (t, _, _) in enumerate(open_)]) if open_ else None
         if node is None:
             break
-        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-        rows = df.withColumn("_node", node).filter("_node IS NOT NULL").select("_node", F.explode(pairs).alias("s"), y.alias("_y"))
-        counted = rows.groupBy(F.struct(F.col("_node").alias("node"), F.col("s.metric").alias("metric")).alias("g"), F.col("s.x").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k"))
+        rows = df.withColumn("_node", node).filter("_node IS NOT NULL")
+        counted = rel.counted_pairs(rows, metrics, y, F.col("_node")).select(F.struct(F.col("_node").alias("node"), "metric").alias("g"), "x", "n", "k")
         r = rel.ranked(counted, "g", ("n", "k")).filter(F.col("next").isNotNull() & (F.col("n_upto") >= least) & (F.col("n_all") - F.col("n_upto") >= least))
         left = (F.col("k_upto") * up, (F.col("n_upto") - F.col("k_upto")) * down)
         right = ((F.col("k_all") - F.col("k_upto")) * up, (F.col("n_all") - F.col("n_upto") - F.col("k_all") + F.col("k_upto")) * down)
@@ -131,7 +129,7 @@ def induce_paths(df: DataFrame, metrics: tuple[str, ...], outcome: str, *, depth
 
 
 def _induced(df: DataFrame, metrics: tuple[str, ...], outcome: str, depth: int) -> tuple[list[Rule], float]:
-    y, rules, covered = F.col(outcome) == 1, [], F.lit(False)
+    y, rules, covered = F.coalesce(F.col(outcome) == 1, F.lit(False)), [], F.lit(False)
     for _ in range(ROUNDS):
         left = y & ~covered
         leaves = [simplified(t) for t, p, q in grow(df, metrics, left, depth=depth) if t and p > q]
@@ -143,7 +141,7 @@ def _induced(df: DataFrame, metrics: tuple[str, ...], outcome: str, depth: int)
         if not found:
             break
         rules += found
-        covered = reduce(lambda a, b: a | b, [_meets(r.terms) for r in rules])
+        covered = F.coalesce(reduce(lambda a, b: a | b, [_meets(r.terms) for r in rules]), F.lit(False))
     share = df.agg(F.try_divide(F.count_if(covered & y).cast("double"), F.count_if(y))).first()[0]
     return sorted(rules, key=lambda r: (-r.support, -r.precision, str(r))), share or 0.0
 
@@ -235,8 +233,7 @@ def leave_one_out(df: DataFrame, column: str, by: str, alpha: float = 0.1) -> Da
     Without the row itself the interval runs from the k-th to the (n-k)-th of the others; a row at either end moves that end
     one place inward.
     """
-    counted = df.groupBy(by, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    r = rel.ranked(counted, by, ("c",)).withColumn("k", F.floor(F.lit(alpha) * F.col("c_all") / 2))
+    r = rel.ranked(rel.counted_values(df, by, column), by, ("c",)).withColumn("k", F.floor(F.lit(alpha) * F.col("c_all") / 2))
     below, upto, n, k = F.col("c_upto") - F.col("c"), F.col("c_upto"), F.col("c_all"), F.col("k")
     # of ties some row is always inside, so a value is outside only when all its places are
     outside = F.when(k < 1, F.lit(False)).otherwise((upto <= k) | (below >= n - k))

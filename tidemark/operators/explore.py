@@ -13,10 +13,24 @@ from ..plans.plan import PlanError
 
 #: What a free query may read, and the rows that it may return.
 VIEW, ROWS = "observations", 10_000
-#: Table functions that only make rows of their arguments.
-TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"})
-#: Functions that run code, read files or tell of the installation.
-REFUSED = frozenset({"reflect", "try_reflect", "java_method", "input_file_name", "input_file_block_start", "input_file_block_length", "current_catalog", "current_database", "current_schema", "current_user", "user", "session_user", "version", "from_avro", "to_avro", "from_protobuf", "to_protobuf", "schema_of_avro"})
+#: Table functions that only make rows of a row's own arrays.
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer".split())
+#: Functions that a query may call: of values alone, and none that makes much of little. Any other is refused, registered ones too.
+FUNCTIONS = frozenset(
+    """
+    any any_value approx_count_distinct approx_percentile avg bool_and bool_or corr count count_if covar_pop covar_samp every first first_value kurtosis last last_value max max_by mean median min
+    min_by mode percentile percentile_approx percentile_cont percentile_disc regr_count regr_intercept regr_r2 regr_slope skewness some std stddev stddev_pop stddev_samp sum try_avg try_sum var_pop var_samp variance
+    grouping grouping_id cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number
+    abs acos asin atan atan2 bround cbrt ceil ceiling cos cosh degrees div e exp floor greatest hypot isnan least ln log log10 log2 mod nanvl negative pi pmod positive pow power radians rint round sign
+    signum sin sinh sqrt tan tanh try_add try_divide try_multiply try_subtract width_bucket
+    coalesce if iff ifnull isnotnull isnull nullif nullifzero nvl nvl2 zeroifnull
+    ascii btrim char_length character_length concat contains endswith initcap instr left length locate lower ltrim position regexp_count regexp_extract regexp_like regexp_replace replace
+    right rtrim split_part startswith substr substring translate trim ucase lcase upper
+    bigint boolean date double float int string timestamp cast try_cast to_date to_timestamp try_to_timestamp
+    date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear extract hour minute month quarter second timestampadd timestampdiff trunc unix_timestamp weekday weekofyear window year
+    array array_contains array_max array_min element_at named_struct struct size
+    """.split()
+)
 #: Nodes of a query. Any other kind, such as a command, is refused.
 NODES = frozenset({"Project", "Filter", "Aggregate", "Sort", "Distinct", "GlobalLimit", "LocalLimit", "Offset", "Join", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedWith", "WithWindowDefinition", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedTVFAliases", "UnresolvedTableValuedFunction", "OneRowRelation", "LocalRelation", "Generate", "LateralJoin", "Pivot", "Unpivot", "Sample", "Expand", "GroupingSets", "ResolvedInlineTable"})
 
@@ -30,12 +44,21 @@ def _name(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _plans(plan) -> Iterator:
-    """Every node of a parsed query: children, common table expressions, and the plans of subqueries inside expressions."""
-    yield plan
-    for child in [*_items(plan.children()), *_items(plan.innerChildren())]:
+def _plans(plan, names: frozenset[str]) -> Iterator[tuple]:
+    """Every node of a parsed query with the names that can be read there: children, and the plans of subqueries inside expressions.
+
+    A common table expression is seen by those after it in its WITH and by what that WITH heads, and nowhere else.
+    """
+    yield plan, names
+    inner = list(_items(plan.innerChildren()))
+    if _name(plan) == "UnresolvedWith":
+        for c in inner:
+            yield from _plans(c, names)
+            names = names | {c.alias().lower()}
+        inner = []
+    for child in [*_items(plan.children()), *inner]:
         if hasattr(child, "innerChildren"):
-            yield from _plans(child)
+            yield from _plans(child, names)
 
 
 def _expressions(e) -> Iterator:
@@ -52,13 +75,10 @@ def refusal(spark, sql: str) -> str | None:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except ParseException as e:
         return f"no single SELECT: {str(e).splitlines()[0]}"
-    nodes = list(_plans(plan))
-    named = {VIEW}
-    for node in nodes:
-        if _name(node) == "UnresolvedWith":
-            named |= {c.alias().lower() for c in _items(node.innerChildren())}
-    for node in nodes:
+    for node, named in _plans(plan, frozenset({VIEW})):
         kind = _name(node)
+        if kind == "UnresolvedWith" and node.allowRecursion():
+            return "a query may not call itself"
         if kind not in NODES:
             return f"{kind} can't stand in a query"
         if kind == "UnresolvedRelation":
@@ -72,7 +92,7 @@ def refusal(spark, sql: str) -> str | None:
         for e in (x for top in _items(node.expressions()) for x in _expressions(top)):
             if _name(e) == "UnresolvedFunction":
                 parts = [str(p) for p in _items(e.nameParts())]
-                if len(parts) != 1 or parts[0].lower() in REFUSED:
+                if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
                     return f"the function {'.'.join(parts)} can't be used"
             elif "UnresolvedIdentifier" in _name(e) or _name(e) == "CallMethodViaReflection":
                 return f"{_name(e)} can't be used"
@@ -83,7 +103,7 @@ def explore(df: DataFrame, sql: str) -> DataFrame:
     """A read-only query over the view observations, in a session of its own; at most ROWS rows come back.
 
     The text is parsed first and its whole plan looked at, subqueries included: it may read the view and its own common table
-    expressions, and nothing that runs code or opens files. Only then is it analysed.
+    expressions, each in its scope, and call only functions of a stated list. Only then is it analysed.
     """
     spark = df.sparkSession
     if why := refusal(spark, sql):

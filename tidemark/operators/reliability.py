@@ -64,16 +64,18 @@ def with_previous(df: DataFrame, key: str, columns: tuple[str, ...], *, block: i
     """df with each column's value in the row before, in the order of key, as <column>_prev.
 
     No task orders the whole table: rows are ordered inside blocks of the key, and a block's first row takes the last row of the
-    block before, from a table with one row a block.
+    block before, from a table with one row a block. Rows without a key are kept and have no row before them.
     """
-    at = F.floor(F.col(key) / block)
-    inside = Window.partitionBy("_block").orderBy(key)
-    rows = df.withColumn("_block", at).withColumn("_place", F.row_number().over(inside)).withColumns({f"{c}_prev": F.lag(c).over(inside) for c in columns})
-    last = df.groupBy(at.alias("_block")).agg(F.max_by(F.struct(*columns), key).alias("_r"))
-    before = last.select("_block", F.lag("_r").over(Window.partitionBy().orderBy("_block")).alias("_before"))
-    joined = rows.join(before, "_block")
+    none = F.col(key).isNull()
+    at = F.when(none, F.pmod(F.xxhash64(*columns), F.lit(1024))).otherwise(F.floor(F.col(key) / block))  # keyless rows are spread
+    inside = Window.partitionBy("_none", "_block").orderBy(key)
+    rows = df.withColumn("_none", none).withColumn("_block", at).withColumn("_place", F.row_number().over(inside)).withColumns({f"{c}_prev": F.lag(c).over(inside) for c in columns})
+    last = df.filter(~none).groupBy(at.alias("_block")).agg(F.max_by(F.struct(*columns), key).alias("_r"))
+    before = last.select(F.lit(False).alias("_none"), "_block", F.lag("_r").over(Window.partitionBy().orderBy("_block")).alias("_before"))
+    joined = rows.join(before, ["_none", "_block"], "left")
     first = F.col("_place") == 1
-    return joined.withColumns({f"{c}_prev": F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"{c}_prev")) for c in columns}).drop("_block", "_place", "_before")
+    shown = {f"{c}_prev": F.when(~F.col("_none"), F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"{c}_prev"))) for c in columns}
+    return joined.withColumns(shown).drop("_none", "_block", "_place", "_before")
 
 
 def drift(df: DataFrame, window: Column, *, threshold: float = 5.0, block: int = 10_000) -> DataFrame:
@@ -229,10 +231,21 @@ def ranked(counted: DataFrame, by: str, counts: tuple[str, ...], buckets: int =
     return out.select(by, "x", *counts, *[(F.col(f"{c}_before") + F.sum(c).over(inside)).alias(f"{c}_upto") for c in counts], *[f"{c}_all" for c in counts], F.coalesce(F.lead("x").over(inside), F.col("_next")).alias("next"))
 
 
+def counted_values(df: DataFrame, by: str, column: str) -> DataFrame:
+    """Distinct values x of a column by group with their rows c; rows without a value (null or not a number) aren't counted."""
+    return df.select(F.col(by), F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").groupBy(by, "x").agg(F.count(F.lit(1)).alias("c"))
+
+
+def counted_pairs(df: DataFrame, metrics: tuple[str, ...], outcome: Column, *also: Column) -> DataFrame:
+    """Distinct values x of each metric, with their rows n and those of the outcome k; rows without the metric's value, or an outcome, aren't counted."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
+    rows = df.select(*also, F.explode(pairs).alias("s"), outcome.cast("int").alias("y")).filter("s.x IS NOT NULL AND NOT isnan(s.x) AND y IS NOT NULL")
+    return rows.groupBy(*[F.col(c) for c in rows.columns if c not in ("s", "y")], "s.metric", "s.x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+
+
 def conformal(df: DataFrame, column: str, by: str, alpha: float = 0.1) -> DataFrame:
-    """Split-conformal interval by group: order statistics k and n + 1 - k, exact by counting values map-side."""
-    counted = df.groupBy(by, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    r = ranked(counted, by, ("c",)).withColumnsRenamed({"c_upto": "upto", "c_all": "n"})
+    """Split-conformal interval by group: order statistics k and n + 1 - k of its values, exact by counting them map-side."""
+    r = ranked(counted_values(df, by, column), by, ("c",)).withColumnsRenamed({"c_upto": "upto", "c_all": "n"})
     k = F.floor(F.lit(alpha) * (F.col("n") + 1) / 2)
     kk = F.greatest(k, F.lit(1))
     return r.groupBy(by).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= kk, F.col("x"))).alias("lo"), F.min(F.when(F.col("upto") >= F.col("n") + 1 - kk, F.col("x"))).alias("hi"), F.max(k >= 1).alias("valid"))
@@ -351,11 +364,10 @@ def leakage(df: DataFrame, columns: tuple[str, ...], outcome: str = "machine_fai
 def best_split(df: DataFrame, metrics: tuple[str, ...], outcome: str) -> DataFrame:
     """For every metric the threshold and side with the best F1 for the outcome, over all distinct values (exact).
 
-    Distinct values are counted map-side; prefix sums run over counts, bucket by bucket.
+    Distinct values are counted map-side; prefix sums run over counts, bucket by bucket. Rows without a metric's value fire at
+    no threshold of it and aren't counted; a metric of fewer than two values has no row.
     """
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-    c = df.select(F.explode(pairs).alias("s"), F.col(outcome).alias("y")).groupBy("s.metric", "s.x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-    r = ranked(c, "metric", ("n", "k")).withColumnsRenamed({"n_upto": "n_lo", "k_upto": "k_lo"})
+    r = ranked(counted_pairs(df, metrics, F.col(outcome)), "metric", ("n", "k")).withColumnsRenamed({"n_upto": "n_lo", "k_upto": "k_lo"})
     f1 = lambda k, n: F.try_divide(2.0 * k, n + F.col("k_all"))
     r = r.filter("next IS NOT NULL").withColumn("cut", (F.col("x") + F.col("next")) / 2)
     sides = F.array(F.struct(f1(F.col("k_lo"), F.col("n_lo")).alias("f1"), F.lit("<").alias("side")), F.struct(f1(F.col("k_all") - F.col("k_lo"), F.col("n_all") - F.col("n_lo")).alias("f1"), F.lit(">").alias("side")))

@@ -673,10 +673,10 @@ def _(s, d):
     return rel.leakage(observations(s, d), ("hdf", "pwf", "osf", "twf", "rnf"))
 
 
-def _split_sql(where: str = "true") -> str:
+def _split_sql(where: str = "true", obs: str = OBS) -> str:
     """The best cut of each metric, as the table p with i = 1."""
-    counts = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS x, count(*) AS n, sum(osf) AS k FROM obs WHERE {where} GROUP BY {m}" for m in (*FIVE, "overstrain_min_nm"))
-    return f"""{OBS}, c AS ({counts}),
+    counts = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS x, count(*) AS n, sum(osf) AS k FROM obs WHERE {where} AND {m} IS NOT NULL AND osf IS NOT NULL GROUP BY {m}" for m in (*FIVE, "overstrain_min_nm"))
+    return f"""{obs}, c AS ({counts}),
 w AS (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY x) AS nl, sum(k) OVER (PARTITION BY metric ORDER BY x) AS kl, sum(n) OVER (PARTITION BY metric) AS na, sum(k) OVER (PARTITION BY metric) AS ka, lead(x) OVER (PARTITION BY metric ORDER BY x) AS nx FROM c),
 f AS (SELECT metric, (x + nx) / 2 AS cut, 2e0 * kl / (nl + ka) AS f_lt, 2e0 * (ka - kl) / (na - nl + ka) AS f_gt FROM w WHERE nx IS NOT NULL),
 p AS (SELECT *, greatest(f_lt, f_gt) AS f1, row_number() OVER (PARTITION BY metric ORDER BY greatest(f_lt, f_gt) DESC, cut) AS i FROM f)"""
@@ -687,6 +687,24 @@ def _(s, d):
     return rel.best_split(observations(s, d), FIVE + ("overstrain_min_nm",), "osf")
 
 
+#: Every seventh row without torque, every fifth without speed: what is derived from them stays.
+GAPS = OBS + ", whole AS (SELECT * FROM obs), gaps AS (SELECT * REPLACE (CASE WHEN udi % 7 <> 0 THEN torque_nm END AS torque_nm, CASE WHEN udi % 5 <> 0 THEN rotational_speed_rpm END AS rotational_speed_rpm) FROM whole)"
+
+
+def _gaps(df: DataFrame) -> DataFrame:
+    return df.withColumns({"torque_nm": F.when(F.col("udi") % 7 != 0, F.col("torque_nm")), "rotational_speed_rpm": F.when(F.col("udi") % 5 != 0, F.col("rotational_speed_rpm"))})
+
+
+@query("rule_split_gaps", _split_sql(obs=GAPS).replace("FROM obs WHERE true", "FROM gaps WHERE true") + " SELECT metric, round(cut, 6) AS cut, round(f1, 6) AS f1, CASE WHEN f_gt >= f_lt THEN '>' ELSE '<' END AS side FROM p WHERE i = 1")
+def _(s, d):
+    return rel.best_split(_gaps(observations(s, d)), FIVE + ("overstrain_min_nm",), "osf")
+
+
+@query("conformal_gaps", f"{GAPS}, o AS (SELECT product_type, torque_nm AS x, row_number() OVER (PARTITION BY product_type ORDER BY torque_nm) AS i, count(*) OVER (PARTITION BY product_type) AS n FROM gaps WHERE torque_nm IS NOT NULL), k AS (SELECT *, greatest(CAST(floor(0.1e0 * (n + 1) / 2e0) AS BIGINT), 1) AS k FROM o) SELECT product_type, max(n) AS n, max(x) FILTER (i = k) AS lo, max(x) FILTER (i = n + 1 - k) AS hi, max(floor(0.1e0 * (n + 1) / 2e0)) >= 1 AS valid FROM k GROUP BY product_type")
+def _(s, d):
+    return rel.conformal(_gaps(observations(s, d)), "torque_nm", "product_type")
+
+
 @query("rule_induction")
 def _(s, d):
     return discovery.induce(observations(s, d), FIVE + ("overstrain_min_nm",), "osf")
