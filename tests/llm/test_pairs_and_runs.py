@@ -84,6 +84,7 @@ def made_up():
 def test_components_of_the_jaccard_join(small, double, spark, monkeypatch):
     """Small keys, keys taken in rounds, and both thresholds give the links of all pairs."""
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "FEW", 10_000 if double is None else 0)
     rows = made_up()
     got = jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), force=double)
     assert sorted((tuple(r) for r in got.collect()), key=str) == joined(rows)
@@ -121,8 +122,11 @@ def test_bounds_of_the_join():
     assert jaccard.allocate(10**9, 5, 1) == jaccard.Band(2, 1) and jaccard.cost(10**9, 300, many) < jaccard.cost(10**9, 300, jaccard.Band(49)) / 1000
     a, b = (np.unique(np.random.default_rng(k).integers(0, 2**63, 500).astype(np.uint64)) for k in (1, 2))
     b = np.r_[a[:480], b[:30]]
-    apart = int(np.bitwise_count((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)).sum())
-    assert 0 < apart <= len(np.setxor1d(a, b))
+    for places in (10, 1000, 100):
+        apart = int(np.bitwise_count((jaccard.sketch(a, places) ^ jaccard.sketch(b, places)).view(np.uint64)).sum())
+        assert 0 < apart <= len(np.setxor1d(a, b))
+    wide, narrow = jaccard.sketch(a, 400), jaccard.sketch(a, 200)
+    assert len(wide) == 2 * len(narrow) and (wide[: len(narrow)] ^ wide[len(narrow) :]).tolist() == narrow.tolist()
 
 
 # 12 periodic runs

@@ -3,7 +3,8 @@
 Texts are normalised word by word: A-Z lower-cased, words are runs of ASCII letters, digits and non-ASCII
 characters. A window is WINDOW consecutive words of an item; an item with fewer words, but not none, is one
 window. All windows go into one automaton, each document is scanned once, and every hit is mapped back to
-code points of the original text.
+code points of the original text. The automaton reads words as numbers of the windows' vocabulary, two or three characters each, so a window
+has two or three nodes a word; what it takes in a worker is counted beforehand (NODE_BYTES, PATTERN_BYTES) and bounded.
 
 Defined results: null or wordless texts have no words and no hits; items without words have no window; repeated
 benchmark rows count once per item_id; a null item_id counts as one item, rendered as an empty string; an empty
@@ -22,10 +23,6 @@ from pyspark.sql import functions as F
 from .common import appended, stored, unused
 
 WINDOW = 10
-#: The automaton is shipped to every task, so its patterns must stay under this bound; a larger benchmark is cut
-#: into several automata of at most this size, and the documents pass through one after the other in one scan.
-MAX_PATTERN_BYTES = 64 << 20
-
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -51,58 +48,77 @@ def pattern_rows(benchmark: DataFrame, size: int, id_col: str, text_col: str) ->
     return src.mapInPandas(run, "item string, pattern binary").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-#: Bytes of all patterns that go to every task: test sets are far below it, and anything above is refused, not cut.
-MAX_TOTAL_BYTES = 512 << 20
+#: Bytes of a worker's memory that a node and a window with its items take, as measured, and the most that all may take:
+#: test sets are far below it, and anything above is refused, not cut.
+NODE_BYTES, PATTERN_BYTES = 50, 600
+MAX_TOTAL_BYTES = 256 << 20
+#: Digits of word numbers: a number's first character and its others are told apart, and a word outside the vocabulary is a space.
+_HEADS, _TAILS = [chr(c) for c in range(0x21, 0x61)], [chr(c) for c in range(0xC0, 0x100)]
 
-#: The automata that this worker built last, by the call they belong to; workers live on between tasks.
-_BUILT: dict[str, list] = {}
 
+def width(n_words: int) -> int:
+    """Characters of a word number."""
+    n = 1
+    while 64**n < n_words:
+        n += 1
+    return n
 
-def _automata(call: str, shards: list) -> list:
-    if call not in _BUILT:
-        _BUILT.clear()
-        _BUILT[call] = [a for a in (_automaton(s.value) for s in shards) if len(a)]
-    return _BUILT[call]
 
+class Matcher:
+    """The automaton over word numbers, and the numbers."""
+
+    def __init__(self, patterns: list[tuple[bytes, list[str]]]):
+        import ahocorasick
+
+        words = sorted({w for p, _ in patterns for w in p.split()})
+        n = width(len(words))
+        self.code = {}
+        for i, w in enumerate(words):
+            digits = []
+            for _ in range(n - 1):
+                i, d = divmod(i, 64)
+                digits.append(_TAILS[d])
+            self.code[w] = _HEADS[i] + "".join(digits)
+        self.automaton = ahocorasick.Automaton()
+        for p, items in patterns:
+            of = p.split()
+            self.automaton.add_word("".join([self.code[w] for w in of]), (len(of), items))
+        if patterns:
+            self.automaton.make_automaton()
 
-def _automaton(patterns: list[tuple[bytes, list[str]]]):
-    import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for p, items in patterns:
-        a.add_word(f" {p.decode('latin-1')} ", (len(p), items))
-    if patterns:
-        a.make_automaton()
-    return a
+#: The matcher that this worker built last, by the call it belongs to; workers live on between tasks.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(call: str, patterns) -> Matcher:
+    if call not in _BUILT:
+        _BUILT.clear()
+        _BUILT[call] = Matcher(patterns.value)
+    return _BUILT[call]
 
 
-def scan(text: bytes, automata: list) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: bytes, matcher: Matcher) -> tuple[int, list[tuple[int, int]], set[str]]:
     """(words, hit spans as merged [first word, last word], items) of one text."""
     words = fold(text).split()
-    if not words:
-        return 0, [], set()
-    hay = f" {b' '.join(words).decode('latin-1')} "
-    hits: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for a in automata:
-        for end, (length, of) in a.iter(hay):
-            hits.append((end - length, end))
-            items.update(of)
+    if not words or not len(matcher.automaton):
+        return len(words), [], set()
+    get = matcher.code.get
+    read = [get(w, " ") for w in words]
+    hits = list(matcher.automaton.iter("".join(read)))
     if not hits:
-        return len(words), [], items
-    starts, at = {}, 1
-    ends = {}
-    for i, w in enumerate(words):
-        starts[at] = i
-        at += len(w) + 1
-        ends[at - 1] = i
+        return len(words), [], set()
+    ends, at = {}, -1
+    for i, c in enumerate(read):
+        at += len(c)
+        ends[at] = i
     spans: list[tuple[int, int]] = []
-    for a0, b0 in sorted((starts[s], ends[e]) for s, e in set(hits)):
-        if spans and a0 <= spans[-1][1] + 1:
-            spans[-1] = (spans[-1][0], max(spans[-1][1], b0))
+    for a, b in sorted({(ends[end] - n + 1, ends[end]) for end, (n, _) in hits}):
+        if spans and a <= spans[-1][1] + 1:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
         else:
-            spans.append((a0, b0))
-    return len(words), spans, items
+            spans.append((a, b))
+    return len(words), spans, {x for _, (_, of) in hits for x in of}
 
 
 def to_original(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,33 +132,26 @@ def to_original(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, in
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """carry's columns (the id by default) with n_words, n_hit, items (sorted), spans (original code points, end exclusive).
 
-    The benchmark's distinct windows are bounded test sets: their size is looked at first and refused over MAX_TOTAL_BYTES;
-    shards of MAX_PATTERN_BYTES go to the workers, each of which builds its automata once.
+    The benchmark's distinct windows are bounded test sets: what their automaton takes is worked out first and refused over
+    MAX_TOTAL_BYTES; each worker builds it once.
     """
     spark = docs.sparkSession
     patterns = stored(pattern_rows(benchmark, window, item_col, item_text), "patterns")
-    total = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + 64), F.lit(0)).alias("n")).first().n
+    size = patterns.agg(F.coalesce(F.sum(F.size(F.split(F.col("pattern").cast("string"), " "))), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("items")).first()
+    total = size.words * width(size.words) * NODE_BYTES + size.n * PATTERN_BYTES + 100 * size["items"]
     if total > MAX_TOTAL_BYTES:
-        raise ValueError(f"the benchmark's windows have {total} bytes, more than {MAX_TOTAL_BYTES} go to every task: call once for each of its parts")
-    shards: list[list[tuple[bytes, list[str]]]] = [[]]
-    size = 0
-    for r in patterns.toLocalIterator():
-        if size + len(r.pattern) > MAX_PATTERN_BYTES:
-            shards.append([])
-            size = 0
-        shards[-1].append((bytes(r.pattern), list(r["items"])))
-        size += len(r.pattern) + 64
-    sent, call = [spark.sparkContext.broadcast(s) for s in shards], uuid.uuid4().hex
+        raise ValueError(f"the automaton of the benchmark's windows takes up to {total} bytes, more than {MAX_TOTAL_BYTES}: call once for each of its parts")
+    sent, call = spark.sparkContext.broadcast([(bytes(r.pattern), list(r["items"])) for r in patterns.toLocalIterator()]), uuid.uuid4().hex
     keep = carry or [id_col]
     source = unused(keep, "__text")
 
     def run():
-        automata = _automata(call, sent)
+        matcher = _matcher(call, sent)
 
         def make(texts: list) -> list:
             out = []
             for t in texts:
-                n, spans, items = scan(t or b"", automata)
+                n, spans, items = scan(t or b"", matcher)
                 out.append((n, sum(y - x + 1 for x, y in spans), sorted(items), [list(s) for s in to_original(t, spans)] if spans else []))
             return list(zip(*out, strict=True)) if out else [[]] * 4
 

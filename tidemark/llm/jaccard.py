@@ -13,8 +13,8 @@ least; so a set with up to E empty segments of v = 1 needn't index these, by whi
 are chosen by cost for each band from the number and sizes of its sets: one-deletion rows cost more, and chance meetings grow with the square of the sets.
 
 Candidates: index rows go to buckets of keys, packed. Keys with one node fall out; up to SMALL nodes make their pairs; of more,
-each node is paired with the key's smallest one. Pairs pass by size and by a bound on the difference (parities of SKETCH
-bits differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Larger keys are taken in
+each node is paired with the key's smallest one. Pairs pass by size and by a bound on the difference (parities of a number of places
+in step with the set's size differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Larger keys are taken in
 rounds: as long as a key's nodes lie in several components, leaders (one a slot of a hash, LEADERS times as many slots each round) meet
 its nodes of other components and leave. So every pair that shares a key is verified, or its nodes are known to be connected, and
 neither a large group of near copies nor a frequent subset makes all its pairs at once.
@@ -53,16 +53,16 @@ PAIR_COST = 20
 MAX_EXTRA = 8
 #: Nodes of a key up to which all its pairs are taken.
 SMALL = 6
-#: Bits of a set's parity sketch.
-SKETCH = 1024
+#: Bits of a set's parity sketch at least, and per shingle in which linked sets of its size can differ.
+SKETCH, SKETCH_SHARE = 512, 4
 #: Index rows that a task gathers before it packs them; about those of a bucket.
 CHUNK_ROWS = 1 << 21
 #: Bits of the filter of documents whose sets are fetched; a full filter only lets more through.
 FILTER_BITS = 1 << 26
 #: Leaders of a key in the first round; as many times more in each that follows.
 LEADERS = 16
-#: Pairs of a node that are verified at first, then, then all that are left and not yet connected.
-WAVES = (1, 8)
+#: Pairs of a node that are verified at first, then, then all that are left and not yet connected; a few pairs are verified at once.
+WAVES, FEW = (1, 8), 10_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -97,9 +97,13 @@ def digest(of: np.ndarray, seed: int) -> int:
     return xxhash.xxh64_intdigest(of.tobytes(), seed)
 
 
-def sketch(of: np.ndarray) -> np.ndarray:
-    """Parity of the set's number of shingles at each of SKETCH places, as 64-bit numbers."""
-    odd = np.bincount((of & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+def sketch(of: np.ndarray, apart: int) -> np.ndarray:
+    """Parity of the set's number of shingles at each of a power of two of places, as 64-bit numbers; apart is the most that a linked set differs.
+
+    Halves of a sketch, one over the other, are the sketch of half as many places.
+    """
+    size = max(SKETCH, 1 << (SKETCH_SHARE * apart - 1).bit_length()) if apart else SKETCH
+    odd = np.bincount((of & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -201,7 +205,7 @@ class Join:
 
     def _digests(self) -> DataFrame:
         """doc_id, n, node (first digest), h2 (second), and the sketch where the task meets the digest first."""
-        seed, shingle = self.seed, self.shingle
+        seed, shingle, rule = self.seed, self.shingle, self.rule
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -213,7 +217,7 @@ class Join:
                     n.append(len(s))
                     node.append(d)
                     second.append(digest(s, seed + 1))
-                    parity.append(None if d in seen or not len(s) else sketch(s))
+                    parity.append(None if d in seen or not len(s) else sketch(s, rule.most_apart(2 * len(s))))
                     seen.add(d)
                 signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, second)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *signed, pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "h2", "sketch"])
@@ -253,8 +257,10 @@ class Join:
             node = np.repeat(np.array([d for _, d in held], dtype=np.uint64), [len(k) for k, _ in held])
             bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
             key = key.astype(np.uint32)  # a bucket's keys are told apart by 32 bits more
-            order = np.lexsort((key, bucket))
+            order = np.lexsort((node, key, bucket))
             key, node, bucket = key[order], node[order], bucket[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])]
+            key, node, bucket = key[new], node[new], bucket[new]
             place = np.arange(len(key)) - np.maximum.accumulate(np.where(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])], np.arange(len(key)), 0))
             over = place > SMALL  # the key is a large one whatever else there is
             away = bucket.copy()
@@ -284,7 +290,7 @@ class Join:
                     seen.add(d)
                     for k in range(bisect.bisect_right(first, len(s)) - 1, bisect.bisect_right(first, rule.largest(len(s)))):
                         if k in bands:
-                            held.append((np.unique(keys(s, k, bands[k])), d))
+                            held.append((keys(s, k, bands[k]), d))
                             n += len(held[-1][0])
                     if n >= CHUNK_ROWS:
                         yield from pack(held)
@@ -375,8 +381,13 @@ class Join:
         of = lambda x: light.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         r = self.rule
         fits = F.least("na", "nb") * r.den >= F.greatest("na", "nb") * r.num
-        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")), F.lit(0).cast("bigint"), lambda x, y: x + y)
-        both = pairs.join(of("a"), "a").join(of("b"), "b").filter(fits).withColumn("d", differ)
+        xor = lambda x, y: x.bitwiseXOR(y)
+        both = pairs.join(of("a"), "a").join(of("b"), "b").filter(fits)
+        for x, y in (("sa", "sb"), ("sb", "sa")):  # sizes that can link have as many places, or twice as many
+            k = F.size(y)
+            both = both.withColumn(x, F.when(F.size(x) > k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), xor)).otherwise(F.col(x)))
+        differ = F.aggregate(F.zip_with("sa", "sb", xor), F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x))
+        both = both.withColumn("d", differ)
         return stored(both.filter(F.col("d") * (r.den + r.num) <= (F.col("na") + F.col("nb")) * (r.den - r.num)).select("a", "b", "d"), "able")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -400,10 +411,13 @@ class Join:
         left = self.able(pairs)
         for take in (*WAVES, None):
             left = stored(self.apart(left, self.comp).withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))), "left")
-            if left.isEmpty():
+            n = left.count()
+            if not n:
                 return
-            self.link(self.verified(left if take is None else left.filter(F.col("place") <= take)))
-            left = left.filter(F.col("place") > take).drop("place") if take else left
+            if take is None or n <= FEW:
+                return self.link(self.verified(left))
+            self.link(self.verified(left.filter(F.col("place") <= take)))
+            left = left.filter(F.col("place") > take).drop("place")
 
     def run(self) -> DataFrame | None:
         """(node, root) of all nodes with links."""

@@ -6,8 +6,8 @@ any other goes on in the next line, so wrapped notices are read as one. Its feat
 unknown by definition, and one scan for anchors finds all others. Multinomial logistic regression, trained on the driver on
 labelled variants of the templates and on look-alikes (class unknown), scores the families; its temperature and the
 threshold under which a prediction is unknown are fitted on CALIBRATION, statements in other words than the templates.
-Templates then confirm: most n-grams of a template statement must be in the paragraph, or most of the paragraph's in the
-template.
+Templates then confirm: most n-grams of a template statement must be in the paragraph (and, where that names no licence,
+make up a share of it), or most of the paragraph's, a part of some length, in the template. A paragraph that says that something is not licensed is unknown.
 
 Spark classifies each distinct paragraph once (licence lines repeat by the thousand) and joins the verdicts back, hot
 paragraphs by broadcast. Words and n-grams are written out once each, so no expression is worked out again inside another.
@@ -94,6 +94,39 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Released under the GNU AGPL v3.",
+        "Licensed under the AGPL.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "License: AGPL-3.0",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "Released under the EPL.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Licensed under the zlib License.",
+        "Released under the zlib/libpng license.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+        "Licensed under the Boost Software License 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -111,6 +144,22 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
+    "cc-by-nc-sa": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-NonCommercial-ShareAlike License.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ],
+    "cc-by-nc-nd": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+    ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights (CC0 1.0).",
@@ -140,6 +189,11 @@ LOOKALIKES = (
     "She was licensed to practise medicine in 1998.",
     "Version 2.0 of the program was released in May.",
     "The warranty covers parts and labour for two years.",
+    "All rights reserved by the crown were given up in the treaty.",
+    "Seats reserved by members were taken, and all rights of way stayed open.",
+    "The eclipse was seen by the public, and a boost to trade followed.",
+    "The lens in the sky at the eclipse needed no license.",
+    "He was granted permission to use the hall for any purpose.",
     "Members of the house of commons spoke about redistribution of income.",
     "Their rights were read to them, and copying from others was not allowed.",
     "With the permission of the owner they walked across the land.",
@@ -156,23 +210,41 @@ CALIBRATION: dict[str, list[str]] = {
     "cc-by": ["Content is licensed under CC BY 4.0 unless noted.", "available under the terms of the Creative Commons Attribution 4.0 License"],
     "cc-by-sa": ["Content is available under CC BY-SA 4.0.", "under the Creative Commons Attribution-ShareAlike 4.0 license"],
     "cc-by-nc": ["Photos are licensed under CC BY-NC 4.0.", "under a Creative Commons Attribution-NonCommercial 4.0 license"],
+    "agpl": ["The server is covered by the GNU Affero General Public License v3.", "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation"],
+    "epl": ["The plugin is provided under the Eclipse Public License v2.0.", "made available under the terms of the Eclipse Public License"],
+    "zlib": ["This file is distributed under the zlib license.", "provided as-is, without any express or implied warranty; in no event will the authors be held liable for any damages"],
+    "boost": ["Use, modification and distribution are subject to the Boost Software License, Version 1.0.", "covered by the Boost Software License, see LICENSE_1_0.txt"],
+    "cc-by-nc-sa": ["Slides are licensed under CC BY-NC-SA 4.0.", "under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 license"],
+    "cc-by-nc-nd": ["The film is licensed under CC BY-NC-ND 4.0.", "under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 license"],
+    "cc-by-nd": ["The essay is licensed under CC BY-ND 4.0.", "under a Creative Commons Attribution-NoDerivatives 4.0 license"],
     "public-domain": ["The author dedicates this file to the public domain.", "released into the public domain under CC0 1.0"],
     "proprietary": ["(c) 2020 Some Company. All rights reserved worldwide.", "No part of this document may be reproduced without written permission of the copyright holder. All rights reserved."],
     UNKNOWN: ["The apache tribe lived in the south west.", "His driving license was renewed in March.", "The public domain name registry was closed.", "A licence to sell wine was refused.", "The general public has rights, said the minister.", "Copyright law changed in 1976.", "The warranty is void if the seal is broken.", "mit einer Lizenz, mit license plate"],
 }
-ANCHORS = ("license", "licence", "licensed", "licences", "licenses", "copyright", "copying", "spdx", "mit0", "isc", "apache", "bsd", "gnu", "gpl", "lgpl", "mozilla", "mpl", "cc", "cc0", "commons", "domain", "warranties", "warranty", "redistribution", "redistributions", "redistribute", "permission", "rights", "proprietary", "granted", "sublicense", "merchantability", "noninfringement", "disclaimer", "unencumbered", "furnished", "confidential", "reproduced", "unauthorized")
+ANCHORS = ("license", "licence", "licensed", "licences", "licenses", "copyright", "copying", "spdx", "mit0", "ccbync", "ccbysa", "ccbynd", "ccbyncsa", "ccbyncnd", "affero", "agpl", "epl", "eclipse", "zlib", "boost", "isc", "apache", "bsd", "gnu", "gpl", "lgpl", "mozilla", "mpl", "cc", "cc0", "commons", "domain", "warranties", "warranty", "redistribution", "redistributions", "redistribute", "permission", "rights", "proprietary", "granted", "sublicense", "merchantability", "noninfringement", "disclaimer", "unencumbered", "furnished", "confidential", "reproduced", "unauthorized")
 FAMILIES = (UNKNOWN, *TEMPLATES)
+#: Words that only rewriting makes.
+_MADE = frozenset(("mit0", "ccbync", "ccbysa", "ccbynd", "ccbyncsa", "ccbyncnd"))
 NGRAM = 3
 TRAIN_EACH, TRAIN_STEPS, SEED = 160, 250, 3
-#: Share of n-grams that a template comparison needs.
-CONFIRM = 0.6
+#: Share of n-grams that a template comparison needs; a part of a template counts from so many n-grams on.
+CONFIRM, PART = 0.6, 12
+#: Of these families a statement names no licence; it must make up so much of its paragraph, unless it is a long one (n-grams).
+WEAK, WEAK_SHARE, LONG = frozenset(("proprietary",)), 0.25, 30
 _WORD = "[a-z0-9]+"
 #: "mit" is a common German word: it names the licence (the word mit0) only beside one of these, in any case.
 _MIT = (("(?<![a-z0-9])mit(?=[ \\t\\r\\n(\"'-]+(?:licen[cs]e|style|expat|x11))", "mit0"), ("((?:identifier|licen[cs]e)[: ]+|(?:licen[cs]ed|released|distributed|available|terms)[a-z ]{0,20} (?:under|of)(?: the)? )mit(?![a-z0-9])", "{1}mit0"))
+#: The conditions of a Creative Commons licence are one word, however they are written; the longest come first.
+_CC = tuple(
+    (f"(?<![a-z0-9])(?:by|attribution)[ -]+{''.join(f'(?:{x})[ -]+' for x in parts[:-1])}(?:{parts[-1]})(?![a-z0-9])", name)
+    for parts, name in ((("nc|non-?commercial", "sa|share-?alike"), "ccbyncsa"), (("nc|non-?commercial", "nd|no-?deriv(?:ative)?s"), "ccbyncnd"), (("nc|non-?commercial",), "ccbync"), (("sa|share-?alike",), "ccbysa"), (("nd|no-?deriv(?:ative)?s",), "ccbynd"))
+)
+#: A paragraph that says so of itself grants nothing.
+_DENIED = "(?<![a-z])(?:not|never|no longer|isn't|aren't|wasn't|weren't)[ ]+(?:[a-z]+[ ]+){0,3}(?:licen[cs]ed|released|distributed|available|covered|published|offered|provided)[ ]+(?:[a-z]+[ ]+){0,2}under(?![a-z])"
 #: Cut and cleaned alike in Spark and here; the patterns mean the same in both.
 _MARKS = "(?m)^[ \\t]*(?:/\\*+|\\*+/|\\*+|//+|#+|;+|--+|<!--|%+|\\|)[ \\t]*"
 _ENDS = "\\n(?:[ \\t]*\\n)+|(?<=[.!?:;])[ \\t]*\\n"
-_ANCHORED = "(?<![A-Za-z0-9])(?i:" + "|".join(a for a in ANCHORS if a != "mit0") + ")(?![A-Za-z0-9])"
+_ANCHORED = "(?<![A-Za-z0-9])(?i:" + "|".join(a for a in ANCHORS if a not in _MADE) + ")(?![A-Za-z0-9])"
 
 
 def paragraphs(text: str | None) -> list[str]:
@@ -183,7 +255,7 @@ def paragraphs(text: str | None) -> list[str]:
 
 def words(text: str) -> list[str]:
     t = "".join(c.lower() if c.isascii() else c for c in text)
-    for pattern, to in _MIT:
+    for pattern, to in (*_MIT, *_CC):
         t = re.sub(pattern, to.replace("{1}", r"\1"), t)
     return re.findall(_WORD, t)
 
@@ -209,7 +281,7 @@ def _variants(rng: random.Random, n: int, statements: dict[str, list[str]] | Non
             if label == 0 and rng.random() < 0.5:  # anchors among other words
                 words = filler(rng.randint(3, 12)).split()
                 for _ in range(rng.randint(1, 3)):
-                    words.insert(rng.randint(0, len(words)), rng.choice(ANCHORS).replace("mit0", "MIT"))
+                    words.insert(rng.randint(0, len(words)), rng.choice([a for a in ANCHORS if a not in _MADE] + ["MIT"]))
             elif label and i >= len(statements[name]):
                 if len(words) > 12 and rng.random() < 0.4:  # a part of it
                     size = rng.randint(10, len(words))
@@ -277,11 +349,15 @@ def model() -> dict:
 
 def _words(paragraph: Column) -> Column:
     t = F.translate(paragraph, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    for pattern, to in _MIT:
+    for pattern, to in (*_MIT, *_CC):
         t = F.regexp_replace(t, pattern, to.replace("{1}", "$1"))
     return F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
 
 
+def denied(paragraph: Column) -> Column:
+    return F.translate(paragraph, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(_DENIED)
+
+
 def _grams(w: Column, only: Column | None = None) -> Column:
     """Distinct n-grams of an array of words; with only (whether each word is an anchor), of those that hold one."""
 
@@ -303,23 +379,26 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     """
     spark, m, k = paragraphs.sparkSession, model(), len(FAMILIES)
     cores = spark.sparkContext.defaultParallelism
-    told = stored(paragraphs.repartition(cores, "key").select("key", _words(F.col("paragraph")).alias("w")), "words")
+    told = stored(paragraphs.repartition(cores, "key").select("key", _words(F.col("paragraph")).alias("w"), denied(F.col("paragraph")).alias("no")), "words")
     anchor = F.transform("w", lambda x: x.isin(*ANCHORS))
-    flagged = stored(told.repartition(cores, "key").select("key", "w", anchor.alias("a")), "flagged")
+    flagged = stored(told.repartition(cores, "key").select("key", "w", "no", anchor.alias("a")), "flagged")
     weights = spark.createDataFrame(m["weights"], "gram string, v array<double>")
     grams = flagged.select("key", F.explode(_grams(F.col("w"), F.col("a"))).alias("gram"))
     sums = grams.join(F.broadcast(weights), "gram").groupBy("key").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(k)])
     score = [(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + m["bias"][i]) / m["temperature"] for i in range(k)]
-    scored = stored(flagged.select("key").join(sums, "key", "left").select("key", F.array(*score).alias("s")), "scores")
+    scored = stored(flagged.select("key", "no").join(sums, "key", "left").select("key", "no", F.array(*score).alias("s")), "scores")
     top = F.array_max("s")
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("s")))
-    best = scored.select("key", (F.array_position("s", top) - 1).cast("int").alias("at"), (1 / total).alias("probability"))
-    family = F.when(F.col("probability") >= m["threshold"], F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), F.col("at") + 1)).otherwise(UNKNOWN)
+    best = scored.select("key", "no", (F.array_position("s", top) - 1).cast("int").alias("at"), (1 / total).alias("probability"))
+    family = F.when(~F.col("no") & (F.col("probability") >= m["threshold"]), F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), F.col("at") + 1)).otherwise(UNKNOWN)
     named = best.select("key", "probability", family.alias("family"))
     templates = spark.createDataFrame([(f, sorted(ngrams(t))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
     told = stored(named.filter(F.col("family") != UNKNOWN).join(flagged, "key").repartition(cores, "key").select("key", "family", _grams(F.col("w")).alias("grams")), "grams")
     both = F.size(F.array_intersect("grams", "template")).cast("double")
-    match = F.greatest(both / F.size("template"), both / F.size("grams"))
+    size = F.size("template")
+    cover, inside = both / size, both / F.size("grams")
+    stands = ~F.col("family").isin(*WEAK) | (size >= LONG) | (inside >= WEAK_SHARE)
+    match = F.greatest(F.when(stands, cover).otherwise(0.0), F.when(both >= PART, inside).otherwise(0.0))
     near = told.join(F.broadcast(templates), "family").groupBy("key").agg(F.max(match).alias("match"))
     return named.join(near, "key", "left").withColumn("confirmed", F.coalesce(F.col("match") >= CONFIRM, F.lit(False)))
 
