@@ -18,11 +18,15 @@ def z(confidence: float) -> float:
 
 def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
     """Interval of a rate, within [0, 1]; without trials it says nothing."""
-    q = z(confidence)
+    return wilson_at(k, n, F.lit(z(confidence)))
+
+
+def wilson_at(k: Column, n: Column, q: Column) -> tuple[Column, Column]:
+    """The same at a quantile that may differ by row."""
     k, n = k.cast("double"), n.cast("double")
-    p, d = F.try_divide(k, n), 1 + F.try_divide(F.lit(q * q), n)
-    mid = (p + F.try_divide(F.lit(q * q), 2 * n)) / d
-    half = q * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(q * q), 4 * n * n)) / d
+    p, d = F.try_divide(k, n), 1 + F.try_divide(q * q, n)
+    mid = (p + F.try_divide(q * q, 2 * n)) / d
+    half = q * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(q * q, 4 * n * n)) / d
     return F.coalesce(F.greatest(mid - half, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(mid + half, F.lit(1.0)), F.lit(1.0))
 
 

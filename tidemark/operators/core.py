@@ -107,8 +107,11 @@ def rate(df: DataFrame, plan: Plan, cat: Catalog, *, rollup: bool = False) -> Da
     keyed = df.withColumn("grp", key)
     g = keyed.rollup("grp") if rollup else keyed.groupBy("grp")
     out = g.agg(F.sum(y).cast("bigint").alias("failures"), F.count(F.lit(1)).alias("n"), *(order or [F.lit(0).alias("ord")]), F.grouping("grp").alias("total") if rollup else F.lit(0).alias("total"))
-    if plan.group_by and out.limit(MAX_GROUPS + 2).count() > MAX_GROUPS + rollup:
-        raise PlanError(f"more than {MAX_GROUPS} groups")
+    if plan.group_by:  # the few groups there may be come here, so that nothing is aggregated twice
+        rows = out.limit(MAX_GROUPS + 2).collect()
+        if len(rows) > MAX_GROUPS + rollup:
+            raise PlanError(f"more than {MAX_GROUPS} groups")
+        out = df.sparkSession.createDataFrame(rows, out.schema)
     out = out.withColumn("grp", F.when(F.col("total") == 1, F.lit("overall")).otherwise(F.col("grp"))).drop("total")
     lo, hi = S.wilson(F.col("failures"), F.col("n"), plan.confidence)
     return out.select("grp", "ord", "failures", "n", (100 * F.try_divide(F.col("failures").cast("double"), F.col("n"))).alias("rate"), (100 * lo).alias("ci_lo"), (100 * hi).alias("ci_hi"), S.quality(F.col("n")).alias("quality"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import core, discovery, physics
+from .operators import core, discovery, physics, scans
 from .operators import reliability as rel
-from .plans import catalog
+from .plans import catalog, fused
 from .plans.plan import Binning, Cohort, Filter, Plan
 from .plans.process import MILLING as P
 from .sources.sql import OBS, SALES
 from .sources.tables import observations, sales, table
+from .streaming import orders
 
 CAT = catalog.MILLING
 Query = Callable[[SparkSession, str], DataFrame]
@@ -868,3 +869,145 @@ def _(s, d):
 @query("sales_rate_region_flag", f"{SALES}, a AS (SELECT r_name || '/' || l_linestatus AS grp, CAST(sum(returned) AS BIGINT) AS failures, count(*) AS n FROM sales GROUP BY 1) SELECT grp, 0 AS ord, failures, n, round(100e0 * failures / n, 6) AS rate, {_wilson()}, {_QUALITY} FROM a")
 def _(s, d):
     return core.execute(sales(s, d), Plan("rate", group_by=("region", "linestatus")), catalog.SALES)
+
+
+# recursions as block scans
+
+_STEP = "(torque_nm - 40e0) / 10e0"
+_RUN_UP = "OVER (PARTITION BY machine_id ORDER BY udi ROWS UNBOUNDED PRECEDING)"
+
+
+@query("cusum_blocks", f"{OBS}, s AS (SELECT machine_id, udi, sum({_STEP} - 0.5e0) {_RUN_UP} AS p, sum(-{_STEP} - 0.5e0) {_RUN_UP} AS q FROM obs) SELECT machine_id, udi, round(p - least(min(p) {_RUN_UP}, 0e0), 6) + 0e0 AS step_up, round(q - least(min(q) {_RUN_UP}, 0e0), 6) + 0e0 AS step_down FROM s")
+def _(s, d):
+    o = observations(s, d).select("machine_id", "udi", ((F.col("torque_nm") - 40.0) / 10.0).alias("step"))
+    return scans.cusum(o, "machine_id", "udi", "step").drop("step")
+
+
+@query("run_lengths", f"{OBS}, s AS (SELECT machine_id, udi, torque_nm > 38e0 AS hit, row_number() OVER (PARTITION BY machine_id ORDER BY udi) AS i FROM obs) SELECT machine_id, udi, i - coalesce(max(CASE WHEN NOT hit THEN i END) {_RUN_UP}, 0) AS run FROM s")
+def _(s, d):
+    o = observations(s, d).select("machine_id", "udi", "torque_nm")
+    return scans.runs(o, "machine_id", "udi", F.col("torque_nm") > 38.0).drop("torque_nm")
+
+
+@query("settled_level", f"{OBS}, s AS (SELECT machine_id, udi, power_w AS z, row_number() OVER (PARTITION BY machine_id ORDER BY udi) - 1 AS i FROM obs) SELECT a.machine_id, a.udi, round(sum(b.z * pow(0.75e0, a.i - b.i) * CASE WHEN b.i = 0 THEN 1e0 ELSE 0.25e0 END), 4) AS power_w_level FROM s a JOIN s b ON a.machine_id = b.machine_id AND b.i BETWEEN a.i - 150 AND a.i GROUP BY a.machine_id, a.udi", dp=4)
+def _(s, d):
+    o = observations(s, d).select("machine_id", "udi", "power_w")
+    return scans.settled(o, "machine_id", "udi", "power_w", gain=0.25).drop("power_w")
+
+
+# work orders as a log of events
+
+
+def order_events(df: DataFrame) -> DataFrame:
+    """Made-up but fixed events of the failures' work orders, in batches; some closed, reopened, closed again or twice, and some delivered again by a later batch."""
+    u, at = F.col("udi"), lambda hours: F.col("ts") + F.expr(f"INTERVAL {hours} HOURS")
+    done = (u * 17) % 10 < 7
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("confirmed",) * 6 + ("false_alarm",) * 2 + ("wrong_mode", "inconclusive")]), ((u * 31) % 10 + 1).cast("int"))
+    mode = F.when(F.col("hdf") == 1, "HDF").when(F.col("pwf") == 1, "PWF").when(F.col("osf") == 1, "OSF").when(F.col("twf") == 1, "TWF").otherwise("UNDETERMINED")
+    event = lambda v, kind, when, hours, out=None: F.when(when, F.struct(F.lit(v).cast("bigint").alias("version"), F.lit(kind).alias("kind"), at(hours).alias("at"), (F.lit(None).cast("string") if out is None else out).alias("outcome")))
+    made = [event(0, "created", F.lit(True), 0), event(1, "closed", done, 2, outcome), event(2, "reopened", done & (u % 3 == 0), 5), event(3, "closed", done & (u % 6 == 0), 9, F.lit("wrong_mode")), event(4, "closed", done & (u % 5 == 0), 11, F.lit("inconclusive"))]
+    rows = df.filter("machine_failure = 1").select(u.alias("order_id"), "machine_id", mode.alias("mode"), "product_type", F.explode(F.filter(F.array(*made), lambda e: e.isNotNull())).alias("e"))
+    flat = rows.select("order_id", "e.version", "e.kind", "e.at", "machine_id", "mode", "product_type", "e.outcome", F.lit(None).cast("string").alias("technician"), F.lit(None).cast("string").alias("notes"))
+    again = F.when(F.col("order_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return flat.withColumn("batch", F.explode(again.cast("array<bigint>"))).withColumn("outcome", F.when(F.col("batch") == 0, F.col("outcome")))
+
+
+_EVENTS = f"""{OBS}, f AS (SELECT *, (udi * 17) % 10 < 7 AS done, (['confirmed', 'confirmed', 'confirmed', 'confirmed', 'confirmed', 'confirmed', 'false_alarm', 'false_alarm', 'wrong_mode', 'inconclusive'])[CAST((udi * 31) % 10 + 1 AS INT)] AS o,
+  CASE WHEN hdf = 1 THEN 'HDF' WHEN pwf = 1 THEN 'PWF' WHEN osf = 1 THEN 'OSF' WHEN twf = 1 THEN 'TWF' ELSE 'UNDETERMINED' END AS mode FROM obs WHERE machine_failure = 1),
+e AS (SELECT udi, 0 AS v, false AS shut, ts AS happened, NULL AS outcome FROM f UNION ALL SELECT udi, 1, true, ts + INTERVAL 2 HOUR, o FROM f WHERE done UNION ALL SELECT udi, 2, false, ts + INTERVAL 5 HOUR, NULL FROM f WHERE done AND udi % 3 = 0
+  UNION ALL SELECT udi, 3, true, ts + INTERVAL 9 HOUR, 'wrong_mode' FROM f WHERE done AND udi % 6 = 0 UNION ALL SELECT udi, 4, true, ts + INTERVAL 11 HOUR, 'inconclusive' FROM f WHERE done AND udi % 5 = 0)"""
+
+
+def _asof_sql(then: str) -> str:
+    """Each order's last event that changed whether it is shut, of those up to a time."""
+    return f"""{_EVENTS}, l AS (SELECT *, lag(shut) OVER (PARTITION BY udi ORDER BY v) AS was FROM e WHERE happened <= {then}),
+c AS (SELECT *, row_number() OVER (PARTITION BY udi ORDER BY v DESC) AS i, sum(CAST(NOT shut AND v > 0 AS INT)) OVER (PARTITION BY udi) AS again FROM l WHERE was IS NULL OR was <> shut),
+st AS (SELECT f.udi, f.machine_id, f.mode, f.product_type, epoch_us(f.ts) AS raised_us, c.shut, c.happened, c.outcome, c.again, c.v FROM c JOIN f ON f.udi = c.udi WHERE c.i = 1)"""
+
+
+@query("workorder_asof", _asof_sql("TIMESTAMP '2024-01-15 12:00:00'") + " SELECT udi AS order_id, machine_id, mode, product_type, raised_us, CASE WHEN shut THEN 'closed' ELSE 'open' END AS status, CASE WHEN shut THEN epoch_us(happened) END AS closed_us, CASE WHEN shut THEN outcome END AS outcome, CAST(again AS BIGINT) AS reopened, CAST(v AS BIGINT) AS version FROM st")
+def _(s, d):
+    e = orders.distinct_events(order_events(observations(s, d)))
+    o = orders.as_of(e, F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return o.select("order_id", "machine_id", "mode", "product_type", F.unix_micros(F.col("raised_at").cast("timestamp")).alias("raised_us"), "status", F.unix_micros(F.col("closed_at").cast("timestamp")).alias("closed_us"), "outcome", "reopened", "version")
+
+
+@query("workorder_outcomes", _asof_sql("TIMESTAMP '2100-01-01'") + " SELECT count(*) AS total, count_if(NOT shut) AS open, count_if(shut AND outcome = 'confirmed') AS confirmed, count_if(shut AND outcome = 'false_alarm') AS false_alarm, count_if(shut AND outcome = 'wrong_mode') AS wrong_mode, count_if(shut AND outcome = 'inconclusive') AS inconclusive, round(count_if(shut AND outcome = 'confirmed') / nullif(CAST(count_if(shut AND outcome IN ('confirmed', 'false_alarm')) AS DOUBLE), 0), 6) AS precision FROM st")
+def _(s, d):
+    return orders.summary(orders.current(orders.distinct_events(order_events(observations(s, d)))))
+
+
+@query("workorder_weights", _asof_sql("TIMESTAMP '2100-01-01'") + " SELECT mode, product_type, count(*) AS closed, count_if(outcome = 'confirmed') AS confirmed, count_if(outcome = 'false_alarm') AS false_alarm, round(1 + 0.002e0 * count_if(outcome = 'confirmed') - 0.001e0 * count_if(outcome = 'false_alarm'), 6) AS weight FROM st WHERE shut GROUP BY mode, product_type")
+def _(s, d):
+    return orders.weights(orders.current(orders.distinct_events(order_events(observations(s, d)))))
+
+
+# many plans in one scan
+
+_PLAN_DIMS = ((), ("product_type",), ("shift", "machine_id"), ("machine_id",))
+
+
+def many_plans(n: int = 60) -> list[tuple]:
+    """n plans of all operators over changing filters and dimensions, as rows of fused.PLANS."""
+    out = []
+    for i in range(n):
+        metric = ("torque_nm", "power_w", "tool_wear_min", "temp_delta_k")[i % 4]
+        filters = [("torque_nm", "gt", 30.0 + i / 4, None, None)] if i % 5 else []
+        if i % 7 == 0:
+            filters.append(("product_type", "is_not" if i % 2 else "is", None, None, "L"))
+        if i % 11 == 0:
+            filters.append(("tool_wear_min", "between", 20.0, 200.0 - i, None))
+        out.append((f"p{i:03d}", ("rate", "mean", "count")[i % 3], metric if i % 3 == 1 else None, list(_PLAN_DIMS[i // 3 % 4]), filters, (None, 0.9, 0.99)[i % 3 - 1]))
+    return out
+
+
+def _plan_sql(p: tuple) -> str:
+    name, op, metric, dims, filters, confidence = p
+    from .functions.stats import z
+
+    q = f"CAST({z(confidence or 0.95)!r} AS DOUBLE)"
+    say = {"gt": "{0} > {2}", "between": "{0} BETWEEN {2} AND {3}", "is": "{0} = '{4}'", "is_not": "{0} <> '{4}'"}
+    where = " AND ".join(say[f[1]].format(*f) for f in filters) or "true"
+    grp = " || '/' || ".join(dims) or "'all'"
+    body = {
+        "count": ("count(*)", "CAST(count(*) AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+        "mean": ("count(*)", f"avg({metric})", f"avg({metric}) - {q} * stddev_samp({metric}) / sqrt(count(*))", f"avg({metric}) + {q} * stddev_samp({metric}) / sqrt(count(*))"),
+        "rate": ("count(*)", "100e0 * avg(machine_failure)", *(f"100e0 * {f}((avg(machine_failure) + {q} * {q} / (2 * count(*)) {sign} {q} * sqrt(avg(machine_failure) * (1 - avg(machine_failure)) / count(*) + {q} * {q} / (4e0 * count(*) * count(*)))) / (1 + {q} * {q} / count(*)), {end})" for f, sign, end in (("greatest", "-", "0e0"), ("least", "+", "1e0")))),
+    }[op]
+    n, value, lo, hi = body
+    return f"SELECT '{name}' AS plan_id, {grp} AS grp, {n} AS n, round({value}, 4) AS value, round({lo}, 4) AS ci_lo, round({hi}, 4) AS ci_hi FROM obs WHERE {where}" + (f" GROUP BY {', '.join(dims)}" if dims else "")
+
+
+@query("plans_in_one_scan", f"{OBS} " + " UNION ALL ".join(_plan_sql(p) for p in many_plans()), dp=4)
+def _(s, d):
+    return fused.run(observations(s, d), s.createDataFrame(many_plans(), fused.PLANS), CAT)
+
+
+def plans_of_events(events: DataFrame) -> DataFrame:
+    """A plan an event, valid and not, as a table that has to be checked: names, bounds and dimensions follow the event's numbers."""
+    e = F.col("event_id")
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(e, F.lit(k)) % len(names) + 1).cast("int"))
+    f = F.struct(pick(("torque_nm", "power_w", "shift", "colour", "air_temp_k"), 35).alias("field"), pick(("gt", "is", "between", "like", "le", "is_null"), 66).alias("op"), F.when(e % 13 > 0, (e % 97 - 5).cast("double")).alias("value"), F.when(e % 3 > 0, (e % 50).cast("double")).alias("high"), F.when(e % 4 > 0, F.lit("A")).alias("word"))
+    dims = F.when(e % 9 < 6, F.slice(F.array(F.lit("shift"), F.lit("machine_id"), F.lit("udi"), F.lit("tint")), (e % 4 + 1).cast("int"), (e % 3 + 1).cast("int")))
+    return events.select(F.concat(F.lit("e"), e.cast("string")).alias("plan_id"), pick(("rate", "mean", "count", "sum"), 28).alias("op"), pick(("torque_nm", "weight", "shift"), 21).alias("metric"), dims.alias("group_by"), F.when(e % 8 > 0, F.array(f)).alias("filters"), F.when(e % 6 == 0, F.lit(0.3)).when(e % 6 == 1, F.lit(0.9)).alias("confidence"))
+
+
+_VIOLATIONS = """WITH p AS (SELECT event_id AS e, 'e' || CAST(event_id AS VARCHAR) AS plan_id, (['rate', 'mean', 'count', 'sum'])[event_id % 28 % 4 + 1] AS op, (['torque_nm', 'weight', 'shift'])[event_id % 21 % 3 + 1] AS metric,
+  CASE WHEN event_id % 9 < 6 THEN list_slice(['shift', 'machine_id', 'udi', 'tint'], event_id % 4 + 1, event_id % 4 + event_id % 3 + 1) ELSE [] END AS dims,
+  (['torque_nm', 'power_w', 'shift', 'colour', 'air_temp_k'])[event_id % 35 % 5 + 1] AS field, (['gt', 'is', 'between', 'like', 'le', 'is_null'])[event_id % 66 % 6 + 1] AS how, CASE WHEN event_id % 13 > 0 THEN event_id % 97 - 5e0 END AS value, CASE WHEN event_id % 3 > 0 THEN event_id % 50 END AS high, CASE WHEN event_id % 4 > 0 THEN 'A' END AS word FROM events),
+f AS (SELECT * FROM p WHERE e % 8 > 0), v AS (
+SELECT 'unknown operator' AS rule, plan_id FROM p WHERE op = 'sum' UNION ALL SELECT 'unknown metric', plan_id FROM p WHERE op = 'mean' AND metric <> 'torque_nm' UNION ALL SELECT 'too many dimensions', plan_id FROM p WHERE len(dims) > 2
+UNION ALL SELECT 'unknown dimension', plan_id FROM p WHERE list_contains(dims, 'tint') UNION ALL SELECT 'a key is no dimension', plan_id FROM p WHERE list_contains(dims, 'udi') UNION ALL SELECT 'confidence out of range', plan_id FROM p WHERE e % 6 = 0
+UNION ALL SELECT 'unknown filter', plan_id FROM f WHERE how = 'like' UNION ALL SELECT 'unknown field', plan_id FROM f WHERE field = 'colour'
+UNION ALL SELECT 'filter without a value', plan_id FROM f WHERE how IN ('gt', 'le', 'between') AND (value IS NULL OR how = 'between' AND high IS NULL) OR how = 'is' AND word IS NULL UNION ALL SELECT 'empty range', plan_id FROM f WHERE how = 'between' AND high < value
+UNION ALL SELECT 'a dimension is no number', plan_id FROM f WHERE how IN ('gt', 'le', 'between') AND field = 'shift' UNION ALL SELECT 'a metric is no word', plan_id FROM f WHERE how = 'is' AND field IN ('torque_nm', 'power_w', 'air_temp_k')
+UNION ALL SELECT 'impossible value', plan_id FROM f WHERE how IN ('gt', 'le', 'between') AND field IN ('torque_nm', 'power_w', 'air_temp_k') AND value < 0)
+SELECT rule, count(*) AS n, count(DISTINCT plan_id) AS plans, min(plan_id) AS first_plan FROM v GROUP BY rule"""
+
+
+@query("plan_violations", _VIOLATIONS)
+def _(s, d):
+    """All plans of a table checked at once."""
+    plans = plans_of_events(table(s, d, "events").select("event_id"))
+    v = fused.violations(plans, CAT)
+    return v.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("plan_id").alias("plans"), F.min("plan_id").alias("first_plan"))
