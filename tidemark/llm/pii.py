@@ -6,8 +6,8 @@ from hashed token, shape and context features; chain edges join neighbouring tok
 domain) are one entity; skip edges join each of them to the entity's hub, a variable without features, so two occurrences
 are two edges apart however many there are and however far they stand from each other. Tokens inside base spans are
 clamped to their kind, and so is the hub of an entity that has a whole token there. Loopy sum-product messages run over chain and skip edges of a whole batch of documents at once,
-damped, until no message of a document changes by more than TOLERANCE; one that doesn't settle in MAX_ROUNDS, with ever
-stronger damping, is an error. Labels are decided by entity: when the hub or an occurrence reaches BELIEF in a kind, every
+damped, until no message of a document changes by more than TOLERANCE; a document whose messages don't settle in MAX_ROUNDS,
+with ever stronger damping, has its base spans alone and is flagged as such. Labels are decided by entity: when the hub or an occurrence reaches BELIEF in a kind, every
 occurrence is of that kind, so labels agree across a document. Tokens that are no entity by themselves but may be a piece
 of one (under seven digits, no at sign, no address: area codes, card blocks, but page numbers too) are decided where they
 stand: by their own belief, or by their hub's beside a piece of that kind.
@@ -56,7 +56,7 @@ _MARK = re.compile("[0-9@]")
 _WS = re.compile(r"[\x20\x09-\x0D]")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>|"
-_BEFORE = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
+_BLANK = frozenset("\x20\t\n\v\f\r")
 
 
 def luhn(digits: str) -> bool:
@@ -136,6 +136,16 @@ def _beside(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     return bool(m) and m.end() == b[0]
 
 
+def _word_before(text: str, at: int) -> str:
+    """The word before a place, however far before; words are visited once each, so a text is read in step with its length."""
+    while at and text[at - 1] in _BLANK:
+        at -= 1
+    end = at
+    while at and text[at - 1] not in _BLANK:
+        at -= 1
+    return text[at:end]
+
+
 def features(text: str, toks: list[tuple[int, int]]) -> list[list[int]]:
     out = []
     shapes = [_shape(text[a:b].strip(_EDGE)) for a, b in toks]
@@ -149,8 +159,7 @@ def features(text: str, toks: list[tuple[int, int]]) -> list[list[int]]:
         parts = tok.split(":")[0].split(".")
         f.append(f"octets={len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}")
         f.append(f"luhn={13 <= len(digits) <= 19 and luhn(digits)}")
-        m = _BEFORE.search(text, max(0, a - 64), a)
-        word = m[1].strip(".,;:!?\"'()|#").lower() if m else ""
+        word = _word_before(text, a).strip(".,;:!?\"'()|#").lower()
         f.append("cue=" + _CUE.get(word, "-"))
         f.append(f"before={'version' if word in ('version', 'v', 'section', 'page', 'chapter', 'art') else '='if word == '=' else '-'}")
         left, right = k > 0 and near[k - 1], k + 1 < len(toks) and near[k]
@@ -233,13 +242,14 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def _messages(phi: np.ndarray, i: np.ndarray, j: np.ndarray, psi: np.ndarray, doc: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Messages of all edges into j and into i. A document's stop when they have settled, so others in the batch don't change them."""
+def _messages(phi: np.ndarray, i: np.ndarray, j: np.ndarray, psi: np.ndarray, doc: np.ndarray, tolerance: float, unsettled: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Messages of all edges into j and into i. A document's stop when they have settled, so others in the batch don't change them; those that never do are added to unsettled."""
     fwd, bwd = np.zeros((len(i), N_LABELS)), np.zeros((len(i), N_LABELS))
     live, of, done = np.arange(len(i)), doc[i], 0
     while len(live):
         if done >= MAX_ROUNDS:
-            raise RuntimeError(f"messages of {len(np.unique(of[live]))} documents did not settle within {TOLERANCE} in {MAX_ROUNDS} rounds")
+            unsettled.update(np.unique(of[live]).tolist())
+            break
         damp = next(d for r, d in reversed(DAMP) if done >= r)
         ends, at = np.unique(np.r_[i[live], j[live]], return_inverse=True)
         a, b, own, p, f, g = at[: len(live)], at[len(live) :], phi[ends], psi[live], fwd[live], bwd[live]
@@ -261,7 +271,7 @@ def _messages(phi: np.ndarray, i: np.ndarray, j: np.ndarray, psi: np.ndarray, do
     return fwd, bwd
 
 
-def beliefs(w: np.ndarray, pair: np.ndarray, arrays, clamped: bool = True, doc: np.ndarray | None = None, tolerance: float = TOLERANCE):
+def beliefs(w: np.ndarray, pair: np.ndarray, arrays, clamped: bool = True, doc: np.ndarray | None = None, tolerance: float = TOLERANCE, unsettled: set[int] | None = None):
     """(node beliefs, edge beliefs) by damped loopy sum-product, all messages at once; doc: the document of each variable."""
     n, rows, cols, ij, kind, clamp = arrays
     phi = np.zeros((n, N_LABELS))
@@ -272,7 +282,7 @@ def beliefs(w: np.ndarray, pair: np.ndarray, arrays, clamped: bool = True, doc:
         phi[np.flatnonzero(held), clamp[held]] = 0.0
     i, j = ij[:, 0], ij[:, 1]
     psi = pair[kind]
-    fwd, bwd = _messages(phi, i, j, psi, np.zeros(n, np.int64) if doc is None else doc, tolerance)  # into j, into i
+    fwd, bwd = _messages(phi, i, j, psi, np.zeros(n, np.int64) if doc is None else doc, tolerance, set() if unsettled is None else unsettled)  # into j, into i
     node = phi.copy()
     np.add.at(node, j, fwd)
     np.add.at(node, i, bwd)
@@ -384,8 +394,8 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     return _MODEL[0]
 
 
-def find_spans(texts: list[str], w: np.ndarray, pair: np.ndarray, belief: float = BELIEF) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(base spans, added spans) of each text; one graph for all of them."""
+def find_spans(texts: list[str], w: np.ndarray, pair: np.ndarray, belief: float = BELIEF, unsettled: set[int] | None = None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """(base spans, added spans) of each text; one graph for all of them. Texts whose messages don't settle are added, by place, to unsettled and have no added spans."""
     out: list = [([], []) for _ in texts]
     g, where = Graph(), []
     for k, t in enumerate(texts):
@@ -406,9 +416,14 @@ def find_spans(texts: list[str], w: np.ndarray, pair: np.ndarray, belief: float
         where.append((k, *g.add(t, toks, clamp), toks, clamp))
     if not where:
         return out
-    node, _ = beliefs(w, pair, g.arrays(), doc=np.array(g.doc))
+    restless: set[int] = set()
+    node, _ = beliefs(w, pair, g.arrays(), doc=np.array(g.doc), unsettled=restless)
     for k, at, hubs, toks, clamp in where:
         t = texts[k]
+        if g.doc[at] in restless:
+            if unsettled is not None:
+                unsettled.add(k)
+            continue
         label = _labels(t, toks, clamp, hubs, node[at : at + len(toks) + len(hubs)], belief)
         x = 0
         while x < len(toks):
@@ -508,9 +523,9 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None, redacted: bool = False, belief: float = BELIEF) -> DataFrame:
-    """carry's columns (doc_id by default), __base and __added (array of kind, start, end; code points), and __redacted text if asked for.
+    """carry's columns (doc_id by default), __base and __added (array of kind, start, end; code points), __settled (whether the model's part counts), and __redacted text if asked for.
 
-    carry must have none of these three names; the pipeline renames its columns for that.
+    carry must have none of these names; the pipeline renames its columns for that.
     """
     w, pair = model()
     sent = docs.sparkSession.sparkContext.broadcast((w, pair))
@@ -522,15 +537,19 @@ def detect(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None =
         span = lambda found: [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found]
 
         def make(texts: list) -> list:
-            found = [x for part in _parts([t or "" for t in texts]) for x in find_spans(part, w, pair, belief)]
-            new = [span(x for x, _ in found), span(y for _, y in found)]
+            found, settled = [], []
+            for part in _parts([t or "" for t in texts]):
+                restless: set[int] = set()
+                found += find_spans(part, w, pair, belief, restless)
+                settled += [k not in restless for k in range(len(part))]
+            new = [span(x for x, _ in found), span(y for _, y in found), settled]
             return new + [[None if t is None else redact(t, x + y) for t, (x, y) in zip(texts, found, strict=True)]] * redacted
 
         return make
 
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(source))
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return appended(src, source, run, f"__base {kind}, __added {kind}" + ", __redacted string" * redacted)
+    return appended(src, source, run, f"__base {kind}, __added {kind}, __settled boolean" + ", __redacted string" * redacted)
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -538,4 +557,4 @@ def op3(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     rank = lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     text = lambda c: F.array_join(F.transform(F.sort_array(F.transform(c, rank)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), text(F.concat("__base", "__added")).alias("spans"), F.size("__added").cast("bigint").alias("n_added"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), text(F.concat("__base", "__added")).alias("spans"), F.size("__added").cast("bigint").alias("n_added"), F.col("__settled").alias("settled"))

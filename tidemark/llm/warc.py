@@ -8,8 +8,10 @@ and run again leaves nothing to be read twice.
 
 Reading: archives are read one after another in a task, frame by frame; the reader loads the dictionary from the leading
 frame, decodes a record per frame, and validates version line, mandatory headers, Content-Length against the block,
-and the SHA-1 payload digest (hex or base 32; names of fields in any case). A revisit's digest and length are held against
-the response that it refers to. A bad archive raises ValueError naming the file and the offset.
+WARC-Date and the SHA-1 payload digest (hex or base 32; names of fields in any case). Archives from elsewhere are read alike:
+record ids are any URIs and come as text beside the page number, which only this writer's ids have; records of all types are rows;
+a revisit may hold HTTP headers, and its length, where the record doesn't tell it, is that of the response it refers to (with_lengths). A revisit's
+digest and length are held against that response. A bad archive raises ValueError naming the file and the offset.
 
 Defined results: a null html is an empty payload; a null id is written without an id and read back as null; null urls
 are read back as null; repeated rows are each written, and if they share the largest id each is a response; an empty
@@ -44,6 +46,10 @@ ARCHIVE_BYTES = 512 << 20
 MAX_BROADCAST = 500_000
 #: Types of records, fixed by the format.
 TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+#: Dates of records, fixed by the format.
+_DATE = re.compile(r"[0-9]{4}(-[0-9]{2}(-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?Z)?)?)?")
+#: What this writer's record ids begin with.
+PAGE = "urn:x-page:"
 _MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
 MANIFEST = "path string, records bigint, first_id bigint, last_id bigint, bytes bigint"
 
@@ -85,7 +91,7 @@ def dictionary(samples: list[bytes], size: int = DICT_BYTES):
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record. A revisit has the digest and length of the payload it stands for, but no block."""
-    name = f"urn:x-page:{'' if page_id is None else page_id}"
+    name = f"{PAGE}{'' if page_id is None else page_id}"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.encode("unicode_escape").decode("ascii"))
@@ -95,7 +101,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         head.append("Content-Type: application/http; msgtype=response")
     else:
         block = b""
-        head += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {len(payload)}"]
+        head += [f"WARC-Refers-To: <{PAGE}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {len(payload)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("ascii") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -255,8 +261,11 @@ def parse(rec: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block[:-4]
 
 
-def _page(uri: str) -> int | None:
-    tail = uri.rstrip(">").rsplit(":", 1)[-1]
+def _page(uri: str | None) -> int | None:
+    """The page number of this writer's ids; other records have none."""
+    if uri is None or not uri.startswith(PAGE):
+        return None
+    tail = uri[len(PAGE) :]
     if tail and not re.fullmatch("-?[0-9]+", tail):
         raise ValueError(f"{uri} names no page")
     return int(tail) if tail else None
@@ -275,37 +284,64 @@ def sha1_hex(labelled: str) -> str:
 
 
 def decode(rec: bytes) -> tuple:
-    """(page_id, url, payload, payload_bytes, digest, record_type, refers_to) of one record, all checked but a revisit's claims."""
+    """(page_id, url, payload, payload_bytes, digest, record_type, refers_to, record_id, refers_to_id, date) of one record, all checked but a revisit's claims.
+
+    payload_bytes of a revisit is null where the record doesn't tell it.
+    """
     f, block = parse(rec)
-    url = f["WARC-Target-URI"].encode("ascii").decode("unicode_escape") if "WARC-Target-URI" in f else None
-    kind = f["WARC-Type"]
+    if not _DATE.fullmatch(f["WARC-Date"]):
+        raise ValueError(f"WARC-Date is {f['WARC-Date']}")
+    url = f["WARC-Target-URI"].strip("<>").encode("ascii").decode("unicode_escape") if "WARC-Target-URI" in f else None
+    name = lambda k: f[k].strip("<>") if k in f else None
+    own, kind = name("WARC-Record-ID"), f["WARC-Type"]
     if kind == "revisit":
-        if block:
-            raise ValueError("a revisit has a block")
-        if not re.fullmatch("[0-9]+", f["X-Payload-Length"]):
-            raise ValueError(f"X-Payload-Length is {f['X-Payload-Length']}")
-        return _page(f["WARC-Record-ID"]), url, None, int(f["X-Payload-Length"]), sha1_hex(f["WARC-Payload-Digest"]), kind, _page(f["WARC-Refers-To"])
+        size = f["X-Payload-Length"] if "X-Payload-Length" in f else None
+        if size is not None and not re.fullmatch("[0-9]+", size):
+            raise ValueError(f"X-Payload-Length is {size}")
+        by_digest = "WARC-Payload-Digest" in f or "identical-payload-digest" in f["WARC-Profile"]
+        digest = sha1_hex(f["WARC-Payload-Digest"]) if by_digest else None
+        ref = name("WARC-Refers-To")
+        return _page(own), url, None, None if size is None else int(size), digest, kind, _page(ref), own, ref, f["WARC-Date"]
     payload = block
-    if kind == "response":
+    if kind == "response" and f.get("content-type", "application/http").startswith("application/http"):
         _, sep, payload = block.partition(b"\r\n\r\n")
         if not sep:
             raise ValueError("no HTTP header")
     digest = hashlib.sha1(payload).hexdigest()
-    if (kind == "response" or "WARC-Payload-Digest" in f) and digest != sha1_hex(f["WARC-Payload-Digest"]):
+    if own.startswith(PAGE) and "WARC-Payload-Digest" not in f or "WARC-Payload-Digest" in f and digest != sha1_hex(f["WARC-Payload-Digest"]):
         raise ValueError("the payload doesn't have its digest")
-    return _page(f["WARC-Record-ID"]), url, payload, len(payload), digest, kind, None
+    return _page(own), url, payload, len(payload), digest, kind, None, own, None, f["WARC-Date"]
+
+
+def _ids(records: DataFrame) -> tuple[str, str]:
+    return ("record_id", "refers_to_id") if "record_id" in records.columns else ("page_id", "refers_to")
 
 
 def verify_revisits(records: DataFrame) -> None:
     """Raises ValueError where a revisit's digest and length aren't those of a response with the id it refers to.
 
-    Payloads aren't needed. A response that any number of others revisit counts once before anything is shuffled.
+    Payloads aren't needed. A response that any number of others revisit counts once before anything is shuffled. A length or
+    digest that a revisit doesn't tell isn't held against anything, nor is one that refers to no record.
     """
-    claim = ["page_id", "payload_digest", "payload_bytes"]
-    claims = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *claim[1:]).distinct()
-    has = records.filter("record_type = 'response'").select(*claim).distinct()
-    if wrong := claims.join(has.hint("merge"), claim, "left_anti").take(1):
-        raise ValueError(f"a revisit of {wrong[0].page_id} has another payload than that response")
+    own, ref = _ids(records)
+    claims = records.filter((F.col("record_type") == "revisit") & F.col(ref).isNotNull()).select(F.col(ref).alias("id"), "payload_digest", "payload_bytes").distinct()
+    has = records.filter("record_type = 'response'").select(F.col(own).alias("of"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
+    same = (F.col("id") == F.col("of")) & F.coalesce(F.col("payload_digest") == F.col("d"), F.lit(True)) & F.coalesce(F.col("payload_bytes") == F.col("n"), F.lit(True))
+    if wrong := claims.join(has.hint("merge"), same, "left_anti").take(1):
+        raise ValueError(f"a revisit of {wrong[0].id} has another payload than that response")
+
+
+def with_lengths(records: DataFrame) -> DataFrame:
+    """records with the length and digest that a revisit doesn't tell itself taken from the response it refers to."""
+    own, ref = _ids(records)
+    size = records.filter("record_type = 'response'").groupBy(F.col(own).alias("_id")).agg(F.max("payload_bytes").alias("_n"), F.max("payload_digest").alias("_d"))
+    wanted = (F.col("record_type") == "revisit") & (F.col("payload_bytes").isNull() | F.col("payload_digest").isNull()) & F.col(ref).isNotNull()
+    asked = records.filter(wanted).groupBy(F.col(ref).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    known = stored(asked.join(size, "_id", "left"), "lengths")
+    total = known.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first().n
+    filled = hot_join(records.filter(wanted).withColumn("_id", F.col(ref)), known, "_id", "_rows", total, "left")
+    filled = filled.withColumns({"payload_bytes": F.coalesce("payload_bytes", "_n"), "payload_digest": F.coalesce("payload_digest", "_d")}).select(*records.columns)
+    return filled.unionByName(records.filter(~F.coalesce(wanted, F.lit(False))))
 
 
 def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
@@ -313,10 +349,10 @@ def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) ->
 
     verify_revisits() holds the revisits among them against their responses.
     """
-    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date"]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({n: whole(c) if n in ("page_id", "refers_to") else c for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+        return pd.DataFrame({n: whole(c) if n in ("page_id", "refers_to", "payload_bytes") else c for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -338,15 +374,15 @@ def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) ->
                     yield frame(rows)
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n).mapInPandas(run, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return manifest.select("path").repartition(n).mapInPandas(run, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, refers_to_id string, date string")
 
 
 def op2(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     manifest = write(mark_revisits(pages), new_path(spark, "warc"))
-    records = stored(read(spark, manifest, payloads=False), "records")
+    records = stored(read(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
     verify_revisits(records)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records
 
 
 SQL = """
