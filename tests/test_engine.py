@@ -132,13 +132,13 @@ def test_quantiles_are_exact(spark):
         xs = [7.0] * heavy + [rng.lognormvariate(0, 4) for _ in range(n - heavy)]
         df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
         at = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-        for accuracy in (100, 50_000):
-            got = quantiles(df, {"x": F.col("x"), "y": -F.col("x")}, at, accuracy=accuracy)
+        for accuracy, few in ((100, 0), (50_000, 0), (100, 50_000)):
+            got = quantiles(df, {"x": F.col("x"), "y": -F.col("x")}, at, accuracy=accuracy, few=few)
             want = [float(np.quantile(xs, q)) if xs else None for q in at]
             assert got["x"] == pytest.approx(want, rel=1e-9) if xs else got["x"] == want
             if xs:
                 assert got["y"] == pytest.approx([float(np.quantile([-x for x in xs], q)) for q in at], rel=1e-9)
-                assert quantiles(df, {"x": F.col("x")}, (0.9,), discrete=True, accuracy=accuracy)["x"][0] == sorted(xs)[math.ceil(0.9 * len(xs)) - 1]
+                assert quantiles(df, {"x": F.col("x")}, (0.9,), discrete=True, accuracy=accuracy, few=few)["x"][0] == sorted(xs)[math.ceil(0.9 * len(xs)) - 1]
 
 
 def test_running_counts_of_heavy_tails(spark):

@@ -1,5 +1,6 @@
 """Block scans against row-by-row recursions, the work-order log against a dict, fused plans against single runs."""
 
+import datetime
 import math
 import random
 
@@ -11,7 +12,7 @@ from tidemark.plans import catalog, fused
 from tidemark.plans.plan import Filter, Plan, PlanError
 from tidemark.queries import many_plans
 from tidemark.sources.tables import observations
-from tidemark.streaming import orders, scorer
+from tidemark.streaming import orders, scorer, watch
 
 CAT = catalog.MILLING
 
@@ -77,7 +78,7 @@ def test_the_observer_and_the_scan_sum_alike(spark):
 
 def test_one_machine_is_many_tasks(spark):
     """A million rows of one machine: no task of any window holds more than a few blocks."""
-    df = spark.range(1_000_000).select(F.lit("a").alias("m"), F.col("id").alias("at"), F.sin("id").alias("z"))
+    df = spark.range(1_000_000).select(F.when(F.col("id") >= 0, "a").otherwise("b").alias("m"), F.col("id").alias("at"), F.sin("id").alias("z"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
@@ -222,7 +223,56 @@ def test_plans_are_checked_as_a_table(spark, sf):
     assert {r.plan_id for r in fused.run(observations(spark, sf), plans, CAT).collect()} == {"ok", "bare"}
     assert fused.run(observations(spark, sf), plans.limit(0), CAT).count() == 0
     with pytest.raises(PlanError):
-        fused.run(observations(spark, sf), spark.createDataFrame(many_plans(fused.MAX_PLANS + 1), fused.PLANS), CAT)
+        fused.run(observations(spark, sf), spark.createDataFrame([(f"p{i}", "count", None, [], [], None) for i in range(fused.MAX_PLANS + 1)], fused.PLANS), CAT)
     many = spark.range(500).select(F.col("id").cast("string").alias("machine_id"), F.lit(0).alias("machine_failure"))
     with pytest.raises(Exception, match="more than 200 groups"):
         fused.run(many, spark.createDataFrame([("p", "rate", None, ["machine_id"], [], None)], fused.PLANS), CAT).collect()
+
+
+# silence
+
+
+def test_a_silent_machine_is_told_by_a_timer(spark, tmp_path):
+    """Typed state and event-time timers: the stream, in batches and restarted, equals the table at rest; a pause is STALE once."""
+    t0, rng, told, read, batches = datetime.datetime(2024, 1, 1), random.Random(2), [], [], 0
+    spark.conf.set(*watch.PROVIDER)
+    try:
+        now = dict.fromkeys("abc", 0.0)
+        for part in range(3):
+            rows = []
+            for m in now:
+                for _ in range(12):
+                    now[m] += rng.choice((5, 10, 20)) if rng.random() < 0.85 else rng.choice((301, 900))
+                    rows.append((m, t0 + datetime.timedelta(seconds=now[m]), len(read) + len(rows)))
+            rows += [rows[3], (None, t0, 1), ("a", None, 2)]  # said twice, without a machine, without a time
+            read += rows
+            late = min(now.values())
+            now = {m: max(x, late) for m, x in now.items()}
+            spark.createDataFrame(rows, "machine_id string, at timestamp, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            batches += 1
+            readings = spark.readStream.schema("machine_id string, at timestamp, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            q = watch.stream(readings, delay="2 hours").writeStream.foreachBatch(lambda df, i: told.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+            q.awaitTermination(180)
+            assert q.exception() is None and (q.lastProgress is None or sum(o.numRowsTotal for o in q.lastProgress.stateOperators) <= 3 * (len(read) + 70))
+    finally:
+        spark.conf.unset(watch.PROVIDER[0])
+    at_rest = spark.createDataFrame(read, "machine_id string, at timestamp, seq long")
+    want = [tuple(r) for r in watch.replay(at_rest, F.lit("2023-01-01").cast("timestamp")).collect()]
+    assert sorted(told, key=str) == sorted(want, key=str) and len({r[:3] for r in told}) == len(told) and sum(r[1] == "STALE" for r in told) == sum(r[1] == "BACK" for r in told) > 5
+    last = {m: max(a for x, a, _ in read if x == m and a is not None) for m in "abc"}
+    quiet = [tuple(r) for r in watch.replay(at_rest, F.lit("2024-01-02").cast("timestamp")).collect()]
+    assert {(m, a + datetime.timedelta(seconds=300)) for m, a in last.items()} == {(r[0], r[2]) for r in quiet if r[1] == "STALE"} - {(r[0], r[2]) for r in want}
+
+
+def test_the_watermark_alone_tells_of_silence(spark, tmp_path):
+    """No reading of the silent machine follows: another's moves the watermark, and the timer goes off."""
+    t0, told = datetime.datetime(2024, 1, 1), []
+    spark.conf.set(*watch.PROVIDER)
+    try:
+        for rows in ([("a", 0, 1), ("b", 10, 1)], [("b", 250, 2)], [("b", 500, 3)], [("b", 600, 4)]):
+            spark.createDataFrame([(m, t0 + datetime.timedelta(seconds=x), q) for m, x, q in rows], "machine_id string, at timestamp, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            readings = spark.readStream.schema("machine_id string, at timestamp, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            watch.stream(readings).writeStream.foreachBatch(lambda df, i: told.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(180)
+    finally:
+        spark.conf.unset(watch.PROVIDER[0])
+    assert told == [("a", "STALE", t0 + datetime.timedelta(seconds=300), 300.0, None)]

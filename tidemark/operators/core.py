@@ -15,7 +15,7 @@ from ..functions import stats as S
 from ..plans.catalog import Catalog
 from ..plans.plan import MAX_GROUPS, Binning, Cohort, Plan, PlanError, all_of
 from .explore import explore as explore
-from .quantiles import quantiles
+from .quantiles import quantiles, summary
 
 
 def _cohorts(plan: Plan) -> tuple[Cohort, ...]:
@@ -26,23 +26,14 @@ def _metric_columns(plan: Plan, cat: Catalog) -> dict[str, str]:
     return {m: cat.column(m) for m in plan.metrics}
 
 
-def _long(df: DataFrame, plan: Plan, cat: Catalog, population: Column) -> DataFrame:
-    """(cohort, metric, x): one scan, each row once per cohort and metric it belongs to; aggregated map-side by the callers."""
-    pairs = [F.when(all_of(c.filters, cat), F.struct(F.lit(c.name).alias("cohort"), F.lit(m).alias("metric"), F.col(x).cast("double").alias("x"))) for c in _cohorts(plan) for m, x in _metric_columns(plan, cat).items()]
-    return df.filter(population).select(F.explode(F.filter(F.array(*pairs), lambda s: s.isNotNull())).alias("s")).select("s.*")
-
-
 def describe(df: DataFrame, plan: Plan, cat: Catalog) -> DataFrame:
-    """cohort, metric, n, mean with interval, sd, min, p25, median, p75, max, quality. Quantiles are exact and their state is
-    bounded (see quantiles); a row for each cohort and metric, so the three of each stand in the plan as numbers."""
+    """cohort, metric, n, mean with interval, sd, min, p25, median, p75, max, quality. Moments come with the quantiles' first
+    pass, quantiles are exact and their state is bounded (see quantiles); the result has a row for each cohort and metric."""
     pairs = [(c, m) for c in _cohorts(plan) for m in plan.metrics]
     rows = df.filter(all_of(plan.filters, cat))
-    found = quantiles(rows, {f"{i}": F.when(all_of(c.filters, cat), F.col(cat.column(m))) for i, (c, m) in enumerate(pairs)}, (0.25, 0.5, 0.75))
-    number = lambda v: F.lit(v).cast("double")
-    named = F.array(*[F.struct(F.lit(c.name).alias("cohort"), F.lit(m).alias("metric"), F.array(*[number(v) for v in found[f"{i}"]]).alias("q")) for i, (c, m) in enumerate(pairs)])
-    frame = df.sparkSession.range(1).select(F.explode(named).alias("s")).select("s.*")
-    got = _long(df, plan, cat, all_of(plan.filters, cat)).groupBy("cohort", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
-    out = frame.join(got, ["cohort", "metric"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    found, told = summary(rows, {f"{i}": F.when(all_of(c.filters, cat), F.col(cat.column(m))) for i, (c, m) in enumerate(pairs)}, (0.25, 0.5, 0.75))
+    one = lambda i, c, m: (c.name, m, *[told[f"{i}"][k] for k in ("n", "mean", "sd", "min", "max")], found[f"{i}"])
+    out = df.sparkSession.createDataFrame([one(i, c, m) for i, (c, m) in enumerate(pairs)], "cohort string, metric string, n long, mean double, sd double, min double, max double, q array<double>")
     lo, hi = S.mean_interval(F.col("mean"), F.col("sd"), F.col("n"), plan.confidence)
     return out.select("cohort", "metric", "n", "mean", lo.alias("ci_lo"), hi.alias("ci_hi"), "sd", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max", S.quality(F.col("n")).alias("quality"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..plans.process import Process
-from .quantiles import quantiles
+from .quantiles import summary
 
 
 def data_quality(df: DataFrame) -> DataFrame:
@@ -167,8 +167,8 @@ def conformal_correction(df: DataFrame, p: Process, *, share: float = 0.9, least
     limit, rate = p.mode("OSF").terms[0].bound(F.col(p.variant)), p.by_variant(p.wear_rate)
     off = F.abs(limit - F.col("tool_wear_min") * F.col("torque_nm")) + 1
     crossed = df.filter((F.col("osf") == 1) & (F.col("torque_nm") > 0)).select((off / (rate * F.col("torque_nm"))).alias("cycles"))
-    n = crossed.count()
-    return quantiles(crossed, {"cycles": F.col("cycles")}, (share,), discrete=True)["cycles"][0] if n >= least else 0.0
+    found, told = summary(crossed, {"cycles": F.col("cycles")}, (share,), discrete=True)
+    return found["cycles"][0] if told["cycles"]["n"] >= least else 0.0
 
 
 #: Fixed value: the deviation of torque that the remaining life is spread by.

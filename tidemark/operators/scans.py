@@ -28,8 +28,8 @@ BLOCK = 4096
 SETTLED_BITS = 40
 
 
-def numbered(df: DataFrame, by: str, order: str, *, block: int = BLOCK, name: str = "_n") -> DataFrame:
-    """df with each row's number from 0 in its machine's order.
+def numbered(df: DataFrame, by: str, order: str, *, block: int = BLOCK, name: str = "_n", ties: list[str] | None = None) -> DataFrame:
+    """df with each row's number from 0 in its machine's order; rows of equal order by a hash of the columns ties (all by default).
 
     The order is a whole number; blocks of it are counted, and a row's number is the count before its block and its place
     there. Keys that are sparse make small blocks, and keys that repeat make large ones.
@@ -39,7 +39,7 @@ def numbered(df: DataFrame, by: str, order: str, *, block: int = BLOCK, name: st
     counts = rows.groupBy(by, "_at").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(by).orderBy("_at")
     before = counts.select(by, "_at", (F.sum("_c").over(w) - F.col("_c")).alias("_before"))
-    inside = Window.partitionBy(by, "_at").orderBy(order, F.xxhash64(*df.columns))
+    inside = Window.partitionBy(by, "_at").orderBy(order, F.xxhash64(*(ties or df.columns)))
     placed = rows.withColumn("_place", F.row_number().over(inside) - 1)
     b = before.select(F.col(by).alias("_by"), F.col("_at").alias("_of"), "_before")
     joined = placed.join(b, F.col(by).eqNullSafe(F.col("_by")) & F.col("_at").eqNullSafe(F.col("_of")))
@@ -102,7 +102,7 @@ def settled(df: DataFrame, by: str, order: str, value: str, *, gain: float, bloc
         raise ValueError("a gain lies in (0, 1]")
     keep, size = 1.0 - gain, settled_block(gain)
     z = _finite(F.col(value))
-    given = numbered(df.withColumn("_z", z), by, order, block=block)
+    given = numbered(df.withColumn("_z", z), by, order, block=block, ties=df.columns)
     # values only: a row without one keeps the level
     seen = numbered(given.filter("_z IS NOT NULL"), by, "_n", block=block, name="_m").withColumn("_b", F.floor(F.col("_m") / size))
     place = F.pmod(F.col("_m"), F.lit(size))
@@ -131,7 +131,7 @@ def settled(df: DataFrame, by: str, order: str, value: str, *, gain: float, bloc
 
 def runs(df: DataFrame, by: str, order: str, condition: Column, *, name: str = "run", block: int = BLOCK) -> DataFrame:
     """df with the length of the run of rows meeting the condition that ends at each row; zero where it doesn't hold."""
-    rows = numbered(df.withColumn("_hit", F.coalesce(condition, F.lit(False))), by, order, block=block).withColumn("_b", F.floor(F.col("_n") / block))
+    rows = numbered(df.withColumn("_hit", F.coalesce(condition, F.lit(False))), by, order, block=block, ties=df.columns).withColumn("_b", F.floor(F.col("_n") / block))
     miss = F.when(~F.col("_hit"), F.col("_n"))
     rows = rows.withColumn("_miss", F.max(miss).over(Window.partitionBy(by, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)))
     blocks = rows.groupBy(by, "_b").agg(F.max(miss).alias("_m"))

@@ -14,7 +14,7 @@ from .plans.plan import Binning, Cohort, Filter, Plan
 from .plans.process import MILLING as P
 from .sources.sql import OBS, SALES
 from .sources.tables import observations, sales, table
-from .streaming import orders
+from .streaming import orders, watch
 
 CAT = catalog.MILLING
 Query = Callable[[SparkSession, str], DataFrame]
@@ -942,6 +942,19 @@ def _(s, d):
     return orders.weights(orders.current(orders.distinct_events(order_events(observations(s, d)))))
 
 
+# silence
+
+
+@query("silence_events", f"""{OBS}, r AS (SELECT DISTINCT machine_id, epoch_ms(ts) AS ms FROM obs), g AS (SELECT *, (lead(ms) OVER w - ms) / 1000e0 AS gap, (ms - lag(ms) OVER w) / 1000e0 AS before FROM r WINDOW w AS (PARTITION BY machine_id ORDER BY ms)),
+u AS (SELECT *, list_sort(list_filter(array_agg(before) OVER (PARTITION BY machine_id ORDER BY ms ROWS BETWEEN 63 PRECEDING AND CURRENT ROW), x -> x IS NOT NULL)) AS steps FROM g)
+SELECT machine_id, 'STALE' AS event, ms + 14400000 AS at_ms, 14400e0 AS silence_s, round(steps[len(steps) // 2 + 1], 6) AS usual_s FROM u WHERE gap > 14400 OR gap IS NULL AND epoch_ms(TIMESTAMP '2024-02-01') > ms + 14400000
+UNION ALL SELECT machine_id, 'BACK', CAST(round(ms + gap * 1000) AS BIGINT), round(gap, 6), round(steps[len(steps) // 2 + 1], 6) FROM u WHERE gap > 14400""")
+def _(s, d):
+    readings = observations(s, d).select("machine_id", F.col("ts").alias("at"), F.col("udi").alias("seq"))
+    e = watch.replay(readings, F.lit("2024-02-01 00:00:00").cast("timestamp"), stale_s=14400.0)
+    return e.select("machine_id", "event", F.unix_millis("at").alias("at_ms"), "silence_s", "usual_s")
+
+
 # many plans in one scan
 
 _PLAN_DIMS = ((), ("product_type",), ("shift", "machine_id"), ("machine_id",))
