@@ -147,6 +147,9 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "u", big), (2, None, big), (9, "ü", big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", "nobody"), (7, "u", "é" * 500), (8, "u", "é" * 500)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1))
     manifest = warc.write(warc.mark_revisits(pages), new_path(spark, "t"))
+    for r in manifest.collect():  # on disk the dictionary's frame leads, and nothing is packed around the frames
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            assert int.from_bytes(f.read(4), "little") == warc.DICT_MAGIC
     got = {r.page_id: r for r in warc.read(spark, manifest).collect()}
     assert len(got) == 10 and {k for k, r in got.items() if r.record_type == "revisit"} == {1, 2, 7}
     assert got[1].refers_to == 9 and got[2].refers_to == 9 and got[7].refers_to == 8 and got[9].refers_to is None

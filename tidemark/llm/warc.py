@@ -141,7 +141,7 @@ def write(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES)
         def begin() -> None:
             nonlocal sink, w, n, first, last
             path = f"{base}/{uuid.uuid4().hex}.warc.zst"
-            sink, n, first, last = fs.open_output_stream(path), 0, None, None
+            sink, n, first, last = fs.open_output_stream(path, compression=None), 0, None, None
             w = Writer(sink, [h[2][:131072] for h in held if h[2]])
             out.append([f"{folder}/{path.rsplit('/', 1)[1]}"])
 
@@ -359,7 +359,7 @@ def read(spark: SparkSession, manifest: DataFrame, *, payloads: bool = True) ->
             for path in b["path"]:
                 fs, at = filesystem(path)
                 rows, size = [], 0
-                with fs.open_input_stream(at) as s:
+                with fs.open_input_stream(at, compression=None) as s:
                     for offset, rec in frames(s):
                         try:
                             r = decode(rec)
