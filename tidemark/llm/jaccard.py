@@ -14,10 +14,12 @@ are chosen by cost for each band from the number and sizes of its sets: one-dele
 
 Candidates: index rows go to buckets of keys, packed. Keys with one node fall out; up to SMALL nodes make their pairs; of more,
 each node is paired with the key's smallest one. Pairs pass by size and by a bound on the difference (parities of a number of places
-in step with the set's size differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Larger keys are taken in
+in step with the set's size differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Nodes of larger keys that still lie in several components are told apart by
+a second index, of prefixes: linked sets share one of their rarest shingles (as many as they can differ in and one, by
+frequency among these nodes), so far copies, whose own shingles are the rarest, meet nobody. Its keys are taken in
 rounds: as long as a key's nodes lie in several components, leaders (one a slot of a hash, LEADERS times as many slots each round) meet
-its nodes of other components and leave. So every pair that shares a key is verified, or its nodes are known to be connected, and
-neither a large group of near copies nor a frequent subset makes all its pairs at once.
+its nodes of other components and leave. So every pair that shares a key of each index is verified, or its nodes are known to be connected, and
+neither a large group of near copies nor a frequent subset makes all its pairs.
 
 Skew: within a task a digest is indexed once and a key sends at most SMALL + 1 nodes to its bucket, what is over goes to
 random ones. Joins of candidates are sort-merge joins, whose large partitions adaptive execution splits.
@@ -390,9 +392,9 @@ class Join:
         both = both.withColumn("d", differ)
         return stored(both.filter(F.col("d") * (r.den + r.num) <= (F.col("na") + F.col("nb")) * (r.den - r.num)).select("a", "b", "d"), "able")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def whole_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, hashes) of all sets fetched so far, those of nodes.node (distinct) among them."""
+        need = nodes
         for have in self.sets:
             need = need.join(have.select("node"), "node", "left_anti")
         need = stored(need, "need")
@@ -401,6 +403,25 @@ class Join:
         sets = self.sets[0]
         for x in self.sets[1:]:
             sets = sets.unionByName(x)
+        return sets
+
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """(key, node): of each node the rarest shingles, as many as a set that links can lack and one more; those that one node has alone are left out.
+
+        In any one order of the shingles, two sets of overlap o share one of the first |x| - o + 1 and |y| - o + 1; o is at least
+        num / den of either size.
+        """
+        sets = self.whole_sets(nodes).join(nodes, "node", "left_semi")
+        flat = stored(sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("key")), "shingles")
+        times = flat.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+        r = self.rule
+        most = F.col("n") - F.ceil(F.col("n") * r.num / r.den) + 1
+        ranked = flat.join(times, "key").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("times", "key")))
+        return stored(ranked.filter((F.col("place") <= most) & (F.col("times") > 1)).select("key", "node"), "prefixes")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets."""
+        sets = self.whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"s{x}"))
         shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
         both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
@@ -426,15 +447,14 @@ class Join:
         star = large.groupBy("key").agg(F.min("node").alias("b"))
         stars = large.join(star, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
         self.settle(found.filter("b is not null").select("a", "b").unionByName(stars))
-        step = 1
+        large = self.mixed(large)
+        if large.isEmpty():
+            return self.comp
+        large, step = self.prefixes(large.select("node").distinct()), 1
         while True:
-            comp = self.comp
-            named = large.withColumn("root", F.col("node")) if comp is None else large.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            named = stored(named, "named")
-            mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-            named = stored(named.join(mixed, "key", "left_semi"), "mixed")
+            named = self.mixed(large)
             if named.isEmpty():
-                return comp
+                return self.comp
             slot = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(LEADERS**step))
             lead = stored(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.root").alias("rb")), "leaders")
             met = named.alias("n").join(lead.alias("l"), (F.col("n.key") == F.col("l.key")) & (F.col("n.root") != F.col("l.rb")))
@@ -442,6 +462,14 @@ class Join:
             large = named.select("key", "node").join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
             step += 1
 
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """(key, node, root) of the keys whose nodes lie in several components."""
+        comp = self.comp
+        named = rows.withColumn("root", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = stored(named, "named")
+        several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        return stored(named.join(several, "key", "left_semi"), "mixed")
+
 
 def matched(key: np.ndarray, node: np.ndarray) -> list[tuple]:
     """Of a bucket's index rows the parts (key, a, b): pairs of small keys, nodes of large ones."""
