@@ -16,7 +16,7 @@ Candidates: index rows go to buckets of keys, packed. Keys with one node fall ou
 each node is paired with the key's smallest one. Pairs pass by size and by a bound on the difference (parities of a number of places
 in step with the set's size differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Nodes of larger keys that still lie in several components are told apart by
 a second index, of prefixes: linked sets share one of their rarest shingles (as many as they can differ in and one, by
-frequency among these nodes), so far copies, whose own shingles are the rarest, meet nobody. Its keys are taken in
+frequency among these nodes), and what either has left behind that one bounds their overlap, so far copies, whose own shingles are the rarest, meet few. Its keys are taken in
 rounds: as long as a key's nodes lie in several components, leaders (one a slot of a hash, LEADERS times as many slots each round) meet
 its nodes of other components and leave. So every pair that shares a key of each index is verified, or its nodes are known to be connected, and
 neither a large group of near copies nor a frequent subset makes all its pairs.
@@ -377,7 +377,9 @@ class Join:
 
     def able(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d): the distinct pairs whose sizes and sketches allow a link; d is the least number of shingles they differ in."""
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+        high, low = F.greatest("a", "b").alias("h"), F.least("a", "b").alias("l")  # a pair may come either way round; the node stays before its leader
+        once = pairs.groupBy(high, low).agg(F.min("a").alias("a"))
+        pairs = stored(once.select("a", F.when(F.col("a") == F.col("h"), F.col("l")).otherwise(F.col("h")).alias("b")), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         light = stored(self.rows.filter("sketch is not null").select("node", "n", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
         of = lambda x: light.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -406,7 +408,7 @@ class Join:
         return sets
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """(key, node): of each node the rarest shingles, as many as a set that links can lack and one more; those that one node has alone are left out.
+        """(key, node, n, place): of each node, of size n, the rarest shingles by place from 1, as many as a set that links can lack and one more; those that one node has alone are left out.
 
         In any one order of the shingles, two sets of overlap o share one of the first |x| - o + 1 and |y| - o + 1; o is at least
         num / den of either size.
@@ -417,7 +419,7 @@ class Join:
         r = self.rule
         most = F.col("n") - F.ceil(F.col("n") * r.num / r.den) + 1
         ranked = flat.join(times, "key").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("times", "key")))
-        return stored(ranked.filter((F.col("place") <= most) & (F.col("times") > 1)).select("key", "node"), "prefixes")
+        return stored(ranked.filter((F.col("place") <= most) & (F.col("times") > 1)).select("key", "node", "n", "place"), "prefixes")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
@@ -456,14 +458,18 @@ class Join:
             if named.isEmpty():
                 return self.comp
             slot = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(LEADERS**step))
-            lead = stored(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.root").alias("rb")), "leaders")
-            met = named.alias("n").join(lead.alias("l"), (F.col("n.key") == F.col("l.key")) & (F.col("n.root") != F.col("l.rb")))
+            lead = stored(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "n", "place")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.root").alias("rb"), F.col("x.n").alias("nb"), F.col("x.place").alias("pb")), "leaders")
+            # at the first shingle that two sets share, what is left of either bounds their overlap
+            r, n, m = self.rule, F.col("n.n"), F.col("l.nb")
+            enough = (F.least(n - F.col("n.place"), m - F.col("l.pb")) + 1) * (r.den + r.num) >= (n + m) * r.num
+            fits = (F.least(n, m) * r.den >= F.greatest(n, m) * r.num) & enough
+            met = named.alias("n").join(lead.alias("l"), (F.col("n.key") == F.col("l.key")) & (F.col("n.root") != F.col("l.rb")) & fits)
             self.settle(met.select(F.col("n.node").alias("a"), F.col("l.b").alias("b")))
-            large = named.select("key", "node").join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
+            large = named.drop("root").join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
             step += 1
 
     def mixed(self, rows: DataFrame) -> DataFrame:
-        """(key, node, root) of the keys whose nodes lie in several components."""
+        """rows (key, node, ...), with each node's root, of the keys whose nodes lie in several components."""
         comp = self.comp
         named = rows.withColumn("root", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = stored(named, "named")
