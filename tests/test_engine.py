@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,23 @@ def test_questions_have_shapes(spark):
     assert np.allclose(got[0].v, want / np.linalg.norm(want)) and set(got[1].v) == {0.0}
 
 
+def test_a_question_costs_in_proportion_to_its_text(spark):
+    """Whatever stands inside a lambda is worked out for every element: the text's clean-up for every stretch of it, its length for every place."""
+    from tidemark.functions.text import DIM, embedding, normalise
+
+    long = " ".join(f"valve{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} opens" for i in range(400))
+    start = time.monotonic()
+    got = spark.createDataFrame([(long,)], "t string").select(normalise(F.col("t")).alias("n")).withColumn("v", embedding(F.col("n"))).withColumn("w", embedding(F.col("n"), 100)).first()
+    assert time.monotonic() - start < 60
+    for v, dim in ((got.v, DIM), (got.w, 100)):  # 100 places don't fill their last group
+        want, padded = np.zeros(dim), f"  {got.n}  "
+        for x in [f"w:{w}" for w in got.n.split()]:
+            want[zlib.crc32(x.encode()) % dim] += 1.0
+        for i in range(len(padded) - 2):
+            want[zlib.crc32(f"c:{padded[i : i + 3]}".encode()) % dim] += 0.5
+        assert np.allclose(v, want / np.linalg.norm(want))
+
+
 def test_statistics():
     assert S.z(0.95) == pytest.approx(1.959964, abs=1e-6)
     assert S.chi2_quantile(0.999, 3) == pytest.approx(16.2662, abs=1e-3)
