@@ -264,6 +264,39 @@ def test_a_silent_machine_is_told_by_a_timer(spark, tmp_path):
     assert {(m, a + datetime.timedelta(seconds=300)) for m, a in last.items()} == {(r[0], r[2]) for r in quiet if r[1] == "STALE"} - {(r[0], r[2]) for r in want}
 
 
+def test_times_are_taken_to_the_nearest_millisecond(spark, tmp_path):
+    """Halves away from 1970, as SQL's epoch_ms: at rest, and in the stream (whose watermark starts at 1970, so that older ones are late)."""
+    micros = (-700_000_000_500, -300_000_001_400, 100_000_000_499, 500_000_000_500, 900_000_001_500, 1_300_000_000_600)
+    ms = (-700_000_001, -300_000_001, 100_000_000, 500_000_001, 900_000_002, 1_300_000_001)
+    spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in micros]))).select(F.lit("a").alias("machine_id"), F.timestamp_micros("col").alias("at"), F.col("pos").cast("bigint").alias("seq")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = [(a + 300_000, b) for a, b in zip(ms, ms[1:])]
+    told = []
+    spark.conf.set(*watch.PROVIDER)
+    try:
+        readings = spark.readStream.schema("machine_id string, at timestamp, seq long").parquet(f"{tmp_path}/in")
+        watch.stream(readings).writeStream.foreachBatch(lambda df, i: told.extend(df.selectExpr("event", "unix_millis(at) AS ms", "silence_s").collect())).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(180)
+    finally:
+        spark.conf.unset(watch.PROVIDER[0])
+    e = watch.replay(spark.read.parquet(f"{tmp_path}/in"), F.lit("1960-01-01").cast("timestamp")).selectExpr("event", "unix_millis(at) AS ms", "silence_s").collect()
+    for rows, want in ((told, want[2:]), (e, want)):
+        stale, back = sorted(r.ms for r in rows if r.event == "STALE"), sorted((r.ms, r.silence_s) for r in rows if r.event == "BACK")
+        assert stale == [a for a, _ in want] and back == [(b, (b - a + 300_000) / 1000) for a, b in want]
+
+
+def test_silence_at_rest_equals_its_sql_to_the_millisecond(spark):
+    """The registered statement as it stands; this DuckDB reads its arrow under the setting that it names itself."""
+    import duckdb
+
+    from tidemark import queries as q
+
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute("SET lambda_syntax='ENABLE_SINGLE_ARROW'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = c.sql(q.ORACLES["silence_events"]).fetchall()
+    assert len(want) > 800 and sorted(tuple(r) for r in q.QUERIES["silence_events"](spark, sf).collect()) == sorted(want)
+
+
 def test_the_watermark_alone_tells_of_silence(spark, tmp_path):
     """No reading of the silent machine follows: another's moves the watermark, and the timer goes off."""
     t0, told = datetime.datetime(2024, 1, 1), []
