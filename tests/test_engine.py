@@ -361,6 +361,20 @@ def test_questions_have_shapes(spark):
     assert np.allclose(got[0].v, want / np.linalg.norm(want)) and set(got[1].v) == {0.0}
 
 
+def test_values_are_counted_once_for_their_ranks(spark):
+    """The cuts, the buckets and the rows of a ranking read one count of the values, and whatever the cuts, ranks are exact."""
+    df = spark.range(3000).select((F.col("id") * 7919 % 1009 / 8).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("b"), (F.col("id") % 7 == 0).alias("hit"))
+    r = rel.ranked(rel.counted_pairs(df, ("a", "b"), F.col("hit")), "metric", ("n", "k"))
+    got = {(x.metric, x.x): x for x in r.collect()}
+    assert r._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Generate ") == 1
+    rows = [(i * 7919 % 1009 / 8, None if i % 5 == 0 else float(i % 3), i % 7 == 0) for i in range(3000)]
+    for at, m in enumerate("ab"):
+        known = sorted((x[at], x[2]) for x in rows if x[at] is not None)
+        for v in {x for x, _ in known}:
+            assert (got[m, v].n_upto, got[m, v].k_upto, got[m, v].n_all) == (sum(x <= v for x, _ in known), sum(h for x, h in known if x <= v), len(known))
+            assert got[m, v].next == min((x for x, _ in known if x > v), default=None)
+
+
 def test_a_question_costs_in_proportion_to_its_text(spark):
     """Whatever stands inside a lambda is worked out for every element: the text's clean-up for every stretch of it, its length for every place."""
     from tidemark.functions.text import DIM, embedding, normalise

@@ -214,14 +214,22 @@ def wear_trajectory(df: DataFrame, p: Process, horizon: int = 200) -> DataFrame:
     return s.groupBy("machine_id").agg(F.min(F.when(F.col("margin") <= 0, F.col("cycle"))).cast("bigint").alias("crossing_cycle"), F.min("margin").alias("last_margin"))
 
 
+#: Cuts to a stretch.
+STEP = 12
+
+
 def ranked(counted: DataFrame, by: str, counts: tuple[str, ...], buckets: int = 128) -> DataFrame:
     """counted (by, x, counts...; one row per value) with running and total counts in the order of x, and the next x, by group.
 
     No task sorts a whole group: x falls into buckets between quantiles of a sketch of the group's values, so heavy tails fill no
     bucket; running sums are taken inside a bucket, and what lies before one comes from the small table of buckets.
     """
-    cuts = counted.groupBy(by).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
-    b = F.size(F.filter("_cuts", lambda c: c <= F.col("x")))
+    # the cuts look at the counts too: without them the optimizer prunes these, and counts all rows once more for the cuts alone
+    told = counted.filter(reduce(lambda a, c: a & c, [F.col(c) >= 0 for c in counts]))
+    cuts = told.groupBy(by).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
+    # every STEP-th cut tells the stretch, the cuts of the stretch the bucket
+    coarse = reduce(lambda a, i: a + (F.element_at("_cuts", i) <= F.col("x")).cast("int"), range(STEP, buckets, STEP), F.lit(0)) * STEP
+    b = coarse + F.size(F.filter(F.slice("_cuts", coarse + 1, F.lit(STEP)), lambda c: c <= F.col("x")))
     keyed = counted.join(cuts, by).withColumn("_b", b).drop("_cuts")
     per = keyed.groupBy(by, "_b").agg(*[F.sum(c).alias(c) for c in counts], F.min("x").alias("_first"))
     w, whole = Window.partitionBy(by).orderBy("_b"), Window.partitionBy(by)
@@ -238,9 +246,12 @@ def counted_values(df: DataFrame, by: str, column: str) -> DataFrame:
 
 def counted_pairs(df: DataFrame, metrics: tuple[str, ...], outcome: Column, *also: Column) -> DataFrame:
     """Distinct values x of each metric, with their rows n and those of the outcome k; rows without the metric's value, or an outcome, aren't counted."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
-    rows = df.select(*also, F.explode(pairs).alias("s"), outcome.cast("int").alias("y")).filter("s.x IS NOT NULL AND NOT isnan(s.x) AND y IS NOT NULL")
-    return rows.groupBy(*[F.col(c) for c in rows.columns if c not in ("s", "y")], "s.metric", "s.x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    values = F.array(*[F.col(m).cast("double") for m in metrics])
+    rows = df.select(*also, outcome.cast("int").alias("_y"), F.posexplode(values).alias("_m", "x")).filter("x IS NOT NULL AND NOT isnan(x) AND _y IS NOT NULL")
+    given = [c for c in rows.columns if c not in ("_y", "_m", "x")]
+    # numbers of metrics until the rows are counted: their names would be hashed and compared for every row and metric
+    counted = rows.groupBy(*given, "_m", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k"))
+    return counted.select(*given, F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("_m") + 1).alias("metric"), "x", "n", "k")
 
 
 def conformal(df: DataFrame, column: str, by: str, alpha: float = 0.1) -> DataFrame:
