@@ -1043,3 +1043,23 @@ def test_stray_quotes_and_formulas_lose_no_text():
     assert seen("<p title=\"1 > 0\" lang='a>b'>a</p><p title=\"x>b</p>c \" d") == ["a", "b", 'c " d']
     assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p><object data=y>in words</object></p>") == ["so x=2 holds", "in words"]
     assert seen("<p>a</p><p " + "x=\"1\" " * 3000) == ["a"]
+
+
+def test_segments_have_one_memo_and_the_librarys_ids():
+    """Words are remembered once, by whichever way a text was cut; ids are those of the library's own call."""
+    import random
+
+    import public_tokenizers
+
+    from tidemark.llm.tokens import Encoder
+
+    rng = random.Random(3)
+    texts = [" ", "\n", "a ", " a b", "a\n\nb", "a \nb", " \na", "a\tb", "Abc, Abc abc. abc", "a  b", "É, é", "\n!x", "x\x1cy z"]
+    texts += ["".join(rng.choice("aB ,\n\té.1-") for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    for name, drops_space in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        e = Encoder(public_tokenizers.path(name), drops_space)
+        for x in texts:
+            assert e.encode(x.encode()) == e.whole(x), x
+        e.pieces.clear()
+        e.encode(b" unheardof unheardof, words")  # a text's first word without a space goes by its piece
+        assert set(e.pieces) <= {","}
