@@ -1,6 +1,7 @@
 """Operators 11 to 13 against plain versions, packing with a full pool, hand-labelled pages."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -110,6 +111,26 @@ def test_linked_sets_share_a_key(double, extra):
             assert len(np.setxor1d(x, y)) <= 12 and np.intersect1d(jaccard.keys(x, 4, band), jaccard.keys(y, 4, band)).size
 
 
+def test_fewest_shingles_are_left_out():
+    """A set indexes as many segments as links can differ in and one, whatever it has empty, and long sets are given units enough for that."""
+    rng, band = np.random.default_rng(2), jaccard.Band(17, 0, 4)
+    for n in (0, 5, 12, 40, 90):
+        assert len(jaccard.keys(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 4, band)) == 13
+    long = jaccard.allocate(2000, 10_000, 2434)
+    assert 2435 * math.exp(-10_000 / long.units) < long.extra and long.units == 2435 + long.extra
+
+
+@pytest.mark.parametrize("middle", [0, 4])
+def test_jaccard_rounds_after_middle_keys(middle, spark, monkeypatch):
+    """Prefixes and their rounds give the links that keys of up to MIDDLE nodes don't, and components are joined step by step."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "MIDDLE", middle)
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    rows = made_up()
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == joined(rows)
+
+
 def test_bounds_of_the_join():
     rule = jaccard.Rule()
     for x in range(1, 200):

@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are worth a partition of their own.
+FEW_ROWS = 20_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has that many rows at most, in as many partitions as these need, or its own where they are fewer: small tables then make few tasks and files."""
+    return df.coalesce(rows // FEW_ROWS + 1)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI that tasks and the driver can both open."""
     from pyarrow import fs

@@ -9,11 +9,12 @@ BAND; a pair belongs to the band of its larger set, and H is the most it can dif
 shingles by hash into segments with thresholds v of sum H + 1: by the pigeonhole a linked pair differs in fewer than v shingles in
 at least one segment. A segment of v = 1 is indexed by its subset of the set, one of v = 2 by the subset and its one-deletion
 neighbourhood, so subsets that differ by one shingle meet. With E units more, segments that match have E + 1 units at
-least; so a set with up to E empty segments of v = 1 needn't index these, by which unrelated sets would meet. E and the number of segments of v = 2
+least. So every set leaves out the E segments of v = 1 with the fewest shingles (ties: the first), by which unrelated sets would meet: of E + 1
+segments that match, the fullest comes after E others in either set, so both index it. E and the number of segments of v = 2
 are chosen by cost for each band from the number and sizes of its sets: one-deletion rows cost more, and chance meetings grow with the square of the sets.
 
 Candidates: index rows go to buckets of keys, packed. Keys with one node fall out; up to SMALL nodes make their pairs; of more,
-each node is paired with the key's smallest one. Pairs pass by size and by a bound on the difference (parities of a number of places
+each node is paired with the key's smallest one, and of up to MIDDLE all that still lie in several components. Pairs pass by size and by a bound on the difference (parities of a number of places
 in step with the set's size differ in no more places than the sets do), and are then verified on the whole sets, the likeliest first. Nodes of larger keys that still lie in several components are told apart by
 a second index, of prefixes: linked sets share one of their rarest shingles (as many as they can differ in and one, by
 frequency among these nodes), and what either has left behind that one bounds their overlap, so far copies, whose own shingles are the rarest, meet few. Its keys are taken in
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import gathered, hot_join, stored
 from .simhash import roots
 
 SHINGLE = 4
@@ -51,10 +52,14 @@ NUM, DEN = 85, 100
 BAND = 1.3
 #: What the verification of a pair costs, in index rows.
 PAIR_COST = 20
-#: Units at most beyond those that the pigeonhole needs.
-MAX_EXTRA = 8
+#: Units beyond those that the pigeonhole needs: up to so many, or one for so many needed ones; what one costs, in index rows.
+MAX_EXTRA, EXTRA_SHARES, EXTRA_COST = 8, (32, 16, 8, 4), 0.1
+#: Chance that two shingles of unrelated sets are the same where they are in the same segment.
+SAME = 0.001
 #: Nodes of a key up to which all its pairs are taken.
 SMALL = 6
+#: Nodes of a key up to which all pairs across components are taken after that.
+MIDDLE = 64
 #: Bits of a set's parity sketch at least, and per shingle in which linked sets of its size can differ.
 SKETCH, SKETCH_SHARE = 512, 4
 #: Index rows that a task gathers before it packs them; about those of a bucket.
@@ -148,20 +153,29 @@ class Band:
 def cost(n_sets: int, mean: float, band: Band) -> float:
     """Index rows, and pairs of unrelated sets in their measure, of n_sets sets of mean shingles.
 
-    A unit has a Poisson number of a set's shingles. Unrelated sets meet in a segment of threshold 1 where both are empty and
-    index it, as they have over extra empty ones; in one of threshold 2 where both have one shingle at most.
+    A unit has a Poisson number of a set's shingles. Unrelated sets meet in a segment of threshold 1 where both have the same few
+    shingles or none and index it, as extra others or more have no more than it; in one of threshold 2 where both have one shingle at most.
     """
     per, single = mean / band.units, band.units - 2 * band.double
-    empty = math.exp(-per)
-    others = max(0, single - 1) * empty
-    few = sum(math.exp(-others) * others**k / math.factorial(k) for k in range(band.extra))
-    chance = single * (empty * (1 - few)) ** 2 + band.double * (math.exp(-2 * per) * (1 + 2 * per)) ** 2
-    return n_sets * (single + band.double * (1 + 2 * per)) + PAIR_COST * n_sets * n_sets / 2 * chance
+    chance, upto = band.double * (math.exp(-2 * per) * (1 + 2 * per)) ** 2, 0.0
+    for n in range(3):
+        share = math.exp(-per) * per**n / math.factorial(n)
+        upto += share
+        chance += single * (share * at_least(max(0, single - 1) * upto, band.extra)) ** 2 * SAME**n
+    return n_sets * (max(0, single - band.extra) + EXTRA_COST * band.extra + band.double * (1 + 2 * per)) + PAIR_COST * n_sets * n_sets / 2 * chance
+
+
+def at_least(mean: float, k: int) -> float:
+    """Chance that a Poisson number is k at least; of more than MAX_EXTRA, as a normal one."""
+    if k <= MAX_EXTRA:
+        return 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
+    return math.erfc((k - 0.5 - mean) / math.sqrt(2 * mean)) / 2 if mean else 0.0
 
 
 def allocate(n_sets: int, mean: float, apart: int) -> Band:
     """The cheapest allocation for sets that differ in at most apart shingles where they link."""
-    able = [Band(u, d, e) for e in range(MAX_EXTRA + 1) for u in [apart + 1 + e] for d in {0, u // 4, u // 2}]
+    extra = {*range(MAX_EXTRA + 1), *((apart + 1) // x for x in EXTRA_SHARES)}
+    able = [Band(u, d, e) for e in extra for u in [apart + 1 + e] for d in {0, u // 4, u // 2}]
     return min(able, key=lambda b: (cost(n_sets, mean, b), b.extra, b.double))
 
 
@@ -175,9 +189,9 @@ def keys(of: np.ndarray, number: int, band: Band) -> np.ndarray:
     total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
     name = _mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(number << 32) + _M2)
     exact = _mix(total[at[1:]] - total[at[:-1]] + name)
-    full = np.r_[np.ones(band.double, bool), (at[1:] > at[:-1])[band.double :]]
-    if len(full) - full.sum() <= band.extra:
-        exact = exact[full]
+    if band.extra:
+        fewest = np.argsort((at[1:] - at[:-1])[band.double :], kind="stable")[: band.extra]
+        exact = np.delete(exact, band.double + fewest)
     near = seg[: at[band.double]]
     if not len(near):
         return exact
@@ -193,8 +207,8 @@ class Join:
         self.rule, self.shingle, self.force = rule or Rule(), shingle, force
         self.spark = docs.sparkSession
         self.src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        self.links: DataFrame | None = None
         self.comp: DataFrame | None = None
+        self.n_linked = 0
         self.sets: list[DataFrame] = []
         self.seed = 0
         while True:
@@ -244,7 +258,7 @@ class Join:
                 if self.force is not None:
                     b = Band(apart + 1, (apart + 1) // 2 if self.force else 0)
                 bands[r.band] = b
-                rows += r.n * b.segments + int(r.words * 2 * b.double / b.units)
+                rows += r.n * max(0, b.segments - b.extra) + int(r.words * 2 * b.double / b.units)
         return first, bands, rows
 
     def candidates(self) -> DataFrame:
@@ -360,28 +374,36 @@ class Join:
         found = self.src.select(place.alias("p"), "text").mapInArrow(each, "node bigint, hashes array<bigint>")
         return stored(found.join(need, "node", "left_semi").dropDuplicates(["node"]), "hashes")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Adds verified pairs and works the components out again."""
-        new = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "verified")
-        if not new.isEmpty():
-            self.links = new if self.links is None else self.links.unionByName(new)
-            self.comp = stored(roots(self.links), "components")
-
-    def apart(self, pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """The pairs (a, b, ...) that no links connect yet."""
+    def link(self, pairs: DataFrame, most: int) -> None:
+        """Joins the components of verified pairs, of which there are that many at most."""
+        new = stored(gathered(self.apart(pairs, self.comp, named=True).distinct(), most), "verified")
+        if new.isEmpty():
+            return
+        more = roots(new)
+        if self.comp is not None:  # roots of before that have one of their own now, and nodes that had no links
+            moved = self.comp.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            more = moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(more)
+        self.n_linked += 2 * most
+        self.comp = stored(gathered(more, self.n_linked), "components")
+
+    def apart(self, pairs: DataFrame, comp: DataFrame | None, named: bool = False) -> DataFrame:
+        """The pairs (a, b, ...) that no links connect yet; named: as their components' roots, the larger first."""
         if comp is None:
-            return pairs
-        of = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+            both = pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+        else:
+            of = lambda x: comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+            both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+        both = both.filter("ra <> rb")
+        return both.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")) if named else both.select(*pairs.columns)
 
     def able(self, pairs: DataFrame) -> DataFrame:
         """(a, b, d): the distinct pairs whose sizes and sketches allow a link; d is the least number of shingles they differ in."""
         high, low = F.greatest("a", "b").alias("h"), F.least("a", "b").alias("l")  # a pair may come either way round; the node stays before its leader
         once = pairs.groupBy(high, low).agg(F.min("a").alias("a"))
         pairs = stored(once.select("a", F.when(F.col("a") == F.col("h"), F.col("l")).otherwise(F.col("h")).alias("b")), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        light = stored(self.rows.filter("sketch is not null").select("node", "n", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+        n_pairs = pairs.count()
+        ends = gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n_pairs)
+        light = stored(gathered(self.rows.filter("sketch is not null").select("node", "n", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), 2 * n_pairs), "sketches")
         of = lambda x: light.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         r = self.rule
         fits = F.least("na", "nb") * r.den >= F.greatest("na", "nb") * r.num
@@ -392,7 +414,7 @@ class Join:
             both = both.withColumn(x, F.when(F.size(x) > k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), xor)).otherwise(F.col(x)))
         differ = F.aggregate(F.zip_with("sa", "sb", xor), F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x))
         both = both.withColumn("d", differ)
-        return stored(both.filter(F.col("d") * (r.den + r.num) <= (F.col("na") + F.col("nb")) * (r.den - r.num)).select("a", "b", "d"), "able")
+        return stored(gathered(both.filter(F.col("d") * (r.den + r.num) <= (F.col("na") + F.col("nb")) * (r.den - r.num)).select("a", "b", "d"), n_pairs), "able")
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, hashes) of all sets fetched so far, those of nodes.node (distinct) among them."""
@@ -432,14 +454,17 @@ class Join:
     def settle(self, pairs: DataFrame) -> None:
         """Verifies pairs, the likeliest of each a first, until all are verified or connected."""
         left = self.able(pairs)
+        n = left.count()
         for take in (*WAVES, None):
-            left = stored(self.apart(left, self.comp).withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))), "left")
+            if not n:
+                return
+            left = stored(gathered(self.apart(left, self.comp).withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))), n), "left")
             n = left.count()
             if not n:
                 return
             if take is None or n <= FEW:
-                return self.link(self.verified(left))
-            self.link(self.verified(left.filter(F.col("place") <= take)))
+                return self.link(self.verified(left), n)
+            self.link(self.verified(left.filter(F.col("place") <= take)), n)
             left = left.filter(F.col("place") > take).drop("place")
 
     def run(self) -> DataFrame | None:
@@ -449,16 +474,28 @@ class Join:
         star = large.groupBy("key").agg(F.min("node").alias("b"))
         stars = large.join(star, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
         self.settle(found.filter("b is not null").select("a", "b").unionByName(stars))
-        large = self.mixed(large)
+        n = large.count()
+        large = self.mixed(large, n)
+        if large.isEmpty():
+            return self.comp
+        times = stored(gathered(large.groupBy("key").agg(F.count(F.lit(1)).alias("n")), n), "times")
+        middle = large.join(times.filter(F.col("n") <= MIDDLE), "key", "left_semi").join(self.nodes.select("node", F.col("n").alias("size")), "node")
+        x, y = middle.alias("x"), middle.alias("y")
+        fits = F.least("x.size", "y.size") * self.rule.den >= F.greatest("x.size", "y.size") * self.rule.num
+        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        self.settle(x.join(y, across & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        large = self.mixed(large.join(times.filter(F.col("n") > MIDDLE), "key", "left_semi").drop("root"), n)
         if large.isEmpty():
             return self.comp
         large, step = self.prefixes(large.select("node").distinct()), 1
+        n_rows = large.count()
         while True:
-            named = self.mixed(large)
+            named = self.mixed(large, n_rows)
             if named.isEmpty():
                 return self.comp
             slot = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(LEADERS**step))
-            lead = stored(named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "n", "place")).alias("x")).select("key", F.col("x.node").alias("b"), F.col("x.root").alias("rb"), F.col("x.n").alias("nb"), F.col("x.place").alias("pb")), "leaders")
+            lead = named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "root", "n", "place")).alias("x"))
+            lead = stored(gathered(lead.select("key", F.col("x.node").alias("b"), F.col("x.root").alias("rb"), F.col("x.n").alias("nb"), F.col("x.place").alias("pb")), n_rows), "leaders")
             # at the first shingle that two sets share, what is left of either bounds their overlap
             r, n, m = self.rule, F.col("n.n"), F.col("l.nb")
             enough = (F.least(n - F.col("n.place"), m - F.col("l.pb")) + 1) * (r.den + r.num) >= (n + m) * r.num
@@ -468,13 +505,13 @@ class Join:
             large = named.drop("root").join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
             step += 1
 
-    def mixed(self, rows: DataFrame) -> DataFrame:
-        """rows (key, node, ...), with each node's root, of the keys whose nodes lie in several components."""
+    def mixed(self, rows: DataFrame, n: int) -> DataFrame:
+        """rows (key, node, ...), n at most, with each node's root, of the keys whose nodes lie in several components."""
         comp = self.comp
         named = rows.withColumn("root", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = stored(named, "named")
+        named = stored(gathered(named, n), "named")
         several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return stored(named.join(several, "key", "left_semi"), "mixed")
+        return stored(gathered(named.join(gathered(several, n), "key", "left_semi"), n), "mixed")
 
 
 def matched(key: np.ndarray, node: np.ndarray) -> list[tuple]:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, hot_join, stored, unused
+from .common import appended, gathered, hot_join, stored, unused
 
 SHINGLE = 4
 BUDGET = 4
@@ -263,16 +263,17 @@ def roots(edges: DataFrame) -> DataFrame:
     e = stored(edges.select("a", "b"), "links")
     count = F.count(F.lit(1)).alias("n")
     while True:
-        up = e.groupBy("a").agg(F.min("b").alias("m"), count)
-        wide = hot_join(e, up, "a", "n", e.count()).filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        flat = stored(up.select("a", F.col("m").alias("b")).unionByName(wide).distinct(), "links")
+        n = e.count()
+        up = gathered(e.groupBy("a").agg(F.min("b").alias("m"), count), n)
+        wide = hot_join(e, up, "a", "n", n).filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        flat = stored(gathered(gathered(up.select("a", F.col("m").alias("b")).unionByName(wide), n).distinct(), n), "links")
         n = flat.count()
         # every b is there with its count, whether it has a smaller neighbour or not: a root may have any number of children
-        above = flat.groupBy("b").agg(count).join(flat.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "b", "left")
-        jumped = hot_join(flat, above, "b", "n", n)
-        e = stored(jumped.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")).distinct(), "links")
+        above = gathered(flat.groupBy("b").agg(count).join(flat.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "b", "left"), n)
+        jumped = gathered(hot_join(flat, above, "b", "n", n), n)
+        e = stored(gathered(jumped.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")).distinct(), n), "links")
         state = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("a"), F.max("moved").alias("moved")).first()
-        e = e.select("a", "b").distinct()
+        e = gathered(e.select("a", "b").distinct(), n)
         if not state.moved and state.n == state.a:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
